@@ -199,11 +199,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         m = cut(both.join(lab, both.s == lab.node).groupBy(F.col("d").alias("node"))
                 .agg(F.min("component").alias("m")), "near")
-        step = cut(lab.join(m, "node").select("node", F.least("component", "m").alias("to"),
+        step = cut(lab.join(m, "node").select("node", F.least("component", "m").alias("tgt"),
                                               F.col("component").alias("was")), "step")
-        up = step.select(F.col("node").alias("up"), F.col("to").alias("up_to"))
-        new = cut(step.join(up, step.to == F.col("up")).select(
-            "node", F.least("to", "up_to").alias("component"), (F.least("to", "up_to") != F.col("was")).alias("moved")), "label")
+        up = step.select(F.col("node").alias("up"), F.col("tgt").alias("up_to"))
+        new = cut(step.join(up, step.tgt == F.col("up")).select(
+            "node", F.least("tgt", "up_to").alias("component"), (F.least("tgt", "up_to") != F.col("was")).alias("moved")), "label")
         drop(lab, m, step)
         lab = new
         if not lab.where("moved").limit(1).count():

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_matrix, minhash
+from . import bpe_matrix, minhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              public_tokenizers.PATTERN, ids=False)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op7_minhash": op7_minhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {}

@@ -28,8 +28,6 @@ from .common import (LOWER, block_of, components, cut, drop, mix, n_blocks, pick
                      text_buffer, text_bytes, word_spans)
 
 BINS, ROWS = 128, 4
-#: Rows of one side of a block of pairs.
-SQUARE = 512
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
@@ -52,7 +50,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
         if b - a >= k:
             out.append(np.unique(acc[a:b - k + 1]))
         elif b > a:
-            short = (w[a:b] * _A[:b - a]).sum(dtype=np.uint64) + _A[32 + b - a]
+            short = (w[a:b] * _A[:b - a]).sum(dtype=np.uint64) ^ _A[32 + b - a]
             out.append(mix(np.array([short], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -138,46 +136,60 @@ def confirmed(docs: DataFrame, pairs: DataFrame, blocks: int, k: int, percent: i
     return rows.groupBy("blk").applyInArrow(run, "a long, b long")
 
 
-def _left_over(members: DataFrame, groups: int) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures come near
-    the threshold. A bucket over SQUARE rows is dealt out in pairs of parts."""
-    side = F.ceil(F.col("n") / F.lit(SQUARE)).cast("int")
-    m = members.withColumn("part", F.pmod(F.xxhash64("rep"), side).cast("int")).withColumn(
-        "g", F.when(side > 1, F.col("bk")).otherwise(F.pmod("bk", F.lit(groups))))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
-    m = m.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+def _left_over(members: DataFrame, sizes: DataFrame, texts: DataFrame, sigs: DataFrame, blocks: int, k: int, percent: int) -> DataFrame:
+    """Links between the components that still meet in a bucket. Documents
+    outside the largest component of a bucket are sent to every block that
+    holds a document of that bucket, and compared there with those documents:
+    first by signature, then on full sets. A block returns one link at most for
+    a document and a component, never the pairs it looked at."""
+    m = members.join(sizes, members.component == sizes.root).drop("root")
+    big = cut(m.groupBy("bk").agg(F.max(F.struct("size", "component")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+              .where("lo != hi").select(F.col("bk").alias("bk2"), F.col("main.component").alias("main")), "main")
+    m = cut(members.join(big, members.bk == big.bk2).select("bk", "rep", "component", "main", block_of(blocks, "rep").alias("blk")), "open")
+    where = cut(m.select(F.col("bk").alias("bk2"), F.col("blk").alias("to")).distinct(), "where")
+    ask = m.where("component != main").select("bk", "rep", "component")
+    ask = ask.join(where, ask.bk == where.bk2).select(F.col("to").alias("blk"), F.lit(True).alias("asks"), "rep", "component").distinct()
+    rows = ask.unionByName(m.select("blk", F.lit(False).alias("asks"), "rep", "component").distinct())
+    s = sigs.select(F.col("rep").alias("rep2"), "sig").dropDuplicates(["rep2"])
+    rows = rows.join(s, rows.rep == s.rep2).drop("rep2")
+    rows = rows.join(texts, rows.rep == texts.doc_id).select("blk", "asks", "rep", "component", "sig", "text")
 
     def run(t: pa.Table) -> pa.Table:
-        bk, rep, comp = (t.column(c).to_numpy() for c in ("bk", "rep", "component"))
-        center, pos, part = (t.column(c).to_numpy() for c in ("center", "pos", "part"))
-        sig = np.array(t.column("sig").to_pylist(), np.int64).reshape(len(bk), -1)
-        order = np.argsort(bk, kind="stable")
-        cuts = np.flatnonzero(np.diff(bk[order])) + 1
-        one, two = [], []
-        lo, hi = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        for rows in np.split(order, cuts):
-            left = rows[part[rows] == lo]
-            right = rows[part[rows] == hi]
-            if not len(left) or not len(right):
-                continue
-            s2 = sig[right]
-            for k in range(0, len(left), 32):
-                r = left[k:k + 32]
-                same = (sig[r].view(np.uint16).reshape(len(r), 1, -1) == s2.view(np.uint16).reshape(1, len(right), -1)).mean(2)
-                band = (sig[r][:, None, :] == s2[None, :, :]).argmax(2)
-                ok = (same >= 0.55) & (comp[r][:, None] != comp[right][None, :]) & (rep[r][:, None] < rep[right][None, :]) \
-                    & (band == pos[r][0]) & (rep[r] != center[r])[:, None]
-                if lo != hi:  # the other order of the two parts
-                    ok |= (same >= 0.55) & (comp[r][:, None] != comp[right][None, :]) & (rep[r][:, None] > rep[right][None, :]) \
-                        & (band == pos[r][0]) & (rep[right] != center[right])[None, :]
-                x, y = np.nonzero(ok)
-                one.append(rep[r[x]])
-                two.append(rep[right[y]])
-        a = np.concatenate(one) if one else np.zeros(0, np.int64)
-        b = np.concatenate(two) if two else np.zeros(0, np.int64)
+        asks, rep, comp = (t.column(c).to_numpy() for c in ("asks", "rep", "component"))
+        sig = np.array(t.column("sig").to_pylist(), np.int64).reshape(len(rep), -1)
+        half = sig.view(np.uint16).reshape(len(rep), -1)
+        buf, off = text_buffer(t.column("text"))
+        sets = [u for i, j in slices(off) for u in shingle_sets(buf[off[i]:off[j]], off[i:j + 1] - off[i], k)]
+        size = np.array([len(u) for u in sets], np.int64)
+        x_all, y_all = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found: dict[tuple[int, int], int] = {}
+        for band in range(sig.shape[1]):
+            y = y_all[np.argsort(sig[y_all, band], kind="stable")]
+            v = sig[y, band]
+            lo, hi = np.searchsorted(v, sig[x_all, band]), np.searchsorted(v, sig[x_all, band], "right")
+            for q in range(len(x_all)):
+                for at in range(lo[q], hi[q], 4096):
+                    x, ys = x_all[q], y[at:min(at + 4096, hi[q])]
+                    ys = ys[comp[ys] != comp[x]]
+                    ys = ys[~(sig[ys, :band] == sig[x, :band]).any(1)]
+                    # Four standard errors below the threshold.
+                    n = np.minimum(np.minimum(size[ys], size[x]), BINS)
+                    ys = ys[(half[ys] == half[x]).mean(1) >= percent / 100 - 4 * np.sqrt(0.1875 / np.maximum(n, 1))]
+                    ys = ys[[(x, c) not in found for c in comp[ys].tolist()]] if len(ys) else ys
+                    if not len(ys):
+                        continue
+                    flat = np.concatenate([sets[i] for i in ys])
+                    hit = sets[x][np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)] == flat
+                    both = np.add.reduceat(hit, np.cumsum(size[ys]) - size[ys], dtype=np.int64)
+                    for i in ys[(100 * both >= percent * (size[ys] + size[x] - both))]:
+                        found.setdefault((x, int(comp[i])), int(rep[i]))
+        a = np.array([rep[x] for x, _ in found], np.int64)
+        b = np.array(list(found.values()), np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return m.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    out = cut(rows.groupBy("blk").applyInArrow(run, "a long, b long"), "link")
+    drop(big, m, where)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -194,34 +206,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     drop(sigs, cls)
     reps = own.where("sig is not null").select("rep", "sig")
     bands = reps.select("rep", F.posexplode("sig").alias("pos", "v")).select(
-        "rep", "pos", F.xxhash64("pos", "v").alias("bk"))
+        "rep", F.xxhash64("pos", "v").alias("bk"))
     full = cut(bands.groupBy("bk").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("n"))
                .where("center != last").select(F.col("bk").alias("bk2"), "center", "n"), "bucket")
-    members = cut(bands.join(full, bands.bk == full.bk2).select("bk", "pos", "rep", "center", "n"), "member")
+    members = cut(bands.join(full, bands.bk == full.bk2).select("bk", "rep", "center", "n"), "member")
     drop(full)
-    # A document's own several texts are one node already.
-    links = [cut(confirmed(docs, members.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b"))
+    # The texts that any comparison needs; planned alike at every size.
+    need = members.select(F.col("rep").alias("id")).distinct().hint("merge")
+    d = pick(docs, "doc_id", "text")
+    texts = cut(d.join(need, d.doc_id == need.id).select(F.col("id").alias("doc_id"), "text"), "text")
+    links = [cut(confirmed(texts, members.where("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b"))
                            .distinct(), blocks, k, percent), "link")]
-    for again in (1, 2):
+    for again in (1, 2, 3):
         lab = components(_all(links))
-        m = members.where("n > 2").join(lab, members.rep == lab.node, "left").select(
-            "bk", "pos", "rep", "center", "n", F.coalesce("component", "rep").alias("component"))
-        m = cut(m, "labelled")
+        m = cut(members.where("n > 2").join(lab, members.rep == lab.node, "left").select(
+            "bk", "rep", F.coalesce("component", "rep").alias("component")), "labelled")
+        if again == 3:
+            sizes = cut(m.select("rep", "component").distinct().groupBy(F.col("component").alias("root")).agg(F.count("*").alias("size")), "size")
+            links.append(_left_over(m, sizes, texts, reps, blocks, k, percent))
+            drop(lab, m, sizes)
+            break
         star = cut(m.groupBy("bk").agg(
             F.min(F.struct(F.xxhash64("rep", F.lit(again)).alias("h"), F.col("rep").alias("r"), F.col("component").alias("c"))).alias("s"),
             F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select(
             F.col("bk").alias("bk2"), "s.r", "s.c"), "star")
-        left = m.join(star, m.bk == star.bk2).drop("bk2")
-        if again == 1:
-            pairs = left.where("component != c").select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct()
-        else:
-            s = reps.select(F.col("rep").alias("rep2"), "sig").dropDuplicates(["rep2"])
-            pairs = _left_over(left.join(s, left.rep == s.rep2).drop("rep2", "r", "c"), 4 * blocks)
-        pairs = cut(pairs, "pairs")
+        pairs = cut(m.join(star, m.bk == star.bk2).where("component != c").select(
+            F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct(), "pairs")
         if pairs.limit(1).count():
-            links.append(cut(confirmed(docs, pairs, blocks, k, percent), "link"))
+            links.append(cut(confirmed(texts, pairs, blocks, k, percent), "link"))
         drop(lab, m, star, pairs)
-    drop(members)
+    drop(members, texts)
     lab = components(_all(links))
     drop(*links)
     out = own.join(lab, own.rep == lab.node, "left").select(

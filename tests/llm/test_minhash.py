@@ -55,9 +55,17 @@ def test_same_as_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_large_group_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SQUARE", 8)
-    rows = texts()[30:]
+def test_group_near_the_threshold(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    out = ["w1 w2"]
+    for _ in range(250):  # most pairs lie between 0.5 and 0.9
+        c = list(base)
+        for _ in range(r.choice([0, 1, 1, 2])):
+            c[r.randrange(60)] = f"x{r.random()}"
+        out.append(" ".join(c))
+    rows = list(enumerate(out))
+    r.shuffle(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id)
            for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)

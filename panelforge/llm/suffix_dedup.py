@@ -102,82 +102,79 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 class ColumnBWT:
     """The sorted suffixes of a string collection, one symbol of every string
-    per round: bwt (symbol before the suffix, 0 at a string's start, else
-    byte + 1), lcp (common prefix with the entry before), sid and length."""
+    per round: bwt (symbol before the suffix: 0 at a string's start, else its
+    number in `alphabet` + 1), lcp (common prefix with the entry before), sid
+    and length. Strings have 127 bytes at most, the collection 2^24 strings."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
-        m = len(off) - 1
-        size = np.diff(off)
-        self.m = m
-        cols = [np.where(size > 0, data[np.maximum(off[1:] - 1, 0)].astype(np.int16) + 1, 0).astype(np.int16) if len(data)
-                else np.zeros(m, np.int16), np.zeros(m, np.int16), np.arange(m, dtype=np.int32), np.zeros(m, np.int16)]
-        at = np.arange(m)  # where each string's last suffix is
-        for t in range(1, int(size.max(initial=0)) + 1):
-            live = np.flatnonzero(size >= t)
-            cols, at = self._round(self._reread(cols), at, live, t, data, off)
-        self.bwt, self.lcp, self.sid, self.length = cols
+        self.m = m = len(off) - 1
+        self.off, self.size = off, np.diff(off)
+        self.alphabet = np.flatnonzero(np.bincount(data, minlength=256))
+        code = np.zeros(256, np.uint8 if len(self.alphabet) < 256 else np.uint16)
+        code[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+        self.code = np.append(code[data], code[:1] * 0)
+        live = np.arange(m)
+        cols = [self._before(live, 0), np.zeros(m, np.uint8), live.astype(np.uint32) << np.uint32(7)]
+        at = live  # places of the last suffixes, in order, of the strings `live`
+        for t in range(1, int(self.size.max(initial=0)) + 1):
+            ok = self.size[live] >= t
+            cols, at, live = self._round(self._reread(cols), at[ok], live[ok], t)
+        self.bwt, self.lcp = cols[0], cols[1]
+        self.sid, self.length = (cols[2] >> np.uint32(7)).astype(np.int64), (cols[2] & np.uint32(127)).astype(np.int64)
+
+    def _before(self, s: np.ndarray, t: int) -> np.ndarray:
+        """The symbols before the suffixes of length t of the strings s."""
+        return np.where(self.size[s] > t, self.code[np.where(self.size[s] > t, self.off[s + 1] - t - 1, -1)], 0).astype(self.code.dtype)
 
     @staticmethod
     def _reread(cols):
         """Large columns are written out and read again in sequence."""
         if len(cols[0]) < SPOOL:
             return cols
-        out = []
         with tempfile.TemporaryFile() as f:
             for c in cols:
                 c.tofile(f)
             f.seek(0)
-            for c in cols:
-                out.append(np.fromfile(f, c.dtype, len(c)))
-        return out
+            return [np.fromfile(f, c.dtype, len(c)) for c in cols]
 
-    def _round(self, cols, at, live, t, data, off):
-        bwt, lcp, sid, length = cols
+    def _round(self, cols, q, live, t):
+        """Put the suffixes of length t of `live` in, found from the places q
+        of their suffixes of length t - 1."""
+        bwt, lcp, tag = cols
         n = len(bwt)
-        q = at[live]
-        by = np.argsort(q, kind="stable")
-        live, q = live[by], q[by]
-        fresh = np.zeros(n, bool)
-        fresh[q] = True
-        order = np.argsort(bwt, kind="stable")
-        order = order[bwt[order] > 0]  # (symbol, place): the suffixes that start with a symbol
-        isnew = fresh[order]
-        place = self.m + np.cumsum(~isnew)  # old entries up to here
-        k = np.flatnonzero(isnew)
-        before = place[k]
-        sym = bwt[order]
-        # Common prefixes with the neighbours of the same first symbol.
-        pad = np.append(lcp, np.int16(0)).astype(np.int16)
+        owner = np.zeros(n, np.int32)
+        owner[q] = live + 1
+        order = np.argsort(bwt, kind="stable")[n - np.count_nonzero(bwt):]  # suffixes that start with a symbol, sorted
+        k = np.flatnonzero(owner[order])
+        place = self.m + k - np.arange(len(k))  # entries that stay before each new one
+        s = owner[order[k]].astype(np.int64) - 1
 
         def reach(i, j):
-            lo, hi = order[i] + 1, order[j] + 1
-            out = np.minimum.reduceat(pad, np.column_stack([lo, hi]).ravel())[::2] if len(lo) else np.zeros(0, np.int16)
-            return out + 1
-
-        same = np.zeros(len(order) + 1, bool)
-        same[1:-1] = sym[1:] == sym[:-1]
-        up = np.zeros(len(k), np.int16)
-        a = np.flatnonzero(same[k])
+            """Common prefix of the suffixes i and j, next to each other."""
+            at = np.empty(2 * len(i), np.int64)
+            at[::2], at[1::2] = order[i] + 1, order[j] + 1
+            return np.minimum.reduceat(pad, at)[::2] + 1 if len(i) else np.zeros(0, np.uint8)
+
+        pad = np.append(lcp, np.uint8(0))
+        sym = bwt[order[k]]
+        up, down = np.zeros(len(k), np.uint8), np.zeros(len(k), np.uint8)
+        a = np.flatnonzero((k > 0) & (bwt[order[k - 1]] == sym))
         up[a] = reach(k[a] - 1, k[a])
-        down = np.zeros(len(k), np.int16)
-        b = np.flatnonzero(same[k + 1])
-        down[b] = reach(k[b], k[b] + 1)
-        which = np.searchsorted(q, order[k])
-        s = live[which]
-        size = off[s + 1] - off[s]
-        left = off[s + 1] - t - 1
-        sym_before = np.where(size > t, data[np.maximum(left, 0)].astype(np.int16) + 1, 0).astype(np.int16)
-        lcp = lcp.copy()
-        nxt = k + 1 < len(order)
-        old_next = np.zeros(len(k), bool)
-        old_next[nxt] = ~isnew[k[nxt] + 1]
-        e = np.flatnonzero(old_next & (before < n))
-        lcp[before[e]] = down[e]
-        new = [np.insert(bwt, before, sym_before), np.insert(lcp, before, up), np.insert(sid, before, s.astype(np.int32)),
-               np.insert(length, before, np.int16(t))]
-        where = np.full(len(at), -1, np.int64)
-        where[s] = before + np.arange(len(k))
-        return new, where
+        nxt = np.minimum(k + 1, len(order) - 1)
+        stays = (k + 1 < len(order)) & (owner[order[nxt]] == 0)
+        b = np.flatnonzero(stays & (bwt[order[nxt]] == sym))
+        down[b] = reach(k[b], nxt[b])
+        pad[place[stays]] = down[stays]
+        at = place + np.arange(len(k))
+        old = np.ones(n + len(k), bool)
+        old[at] = False
+        out = []
+        for c, new in ((bwt, self._before(s, t)), (pad[:n], up), (tag, (s.astype(np.uint32) << np.uint32(7)) | np.uint32(t))):
+            x = np.empty(len(old), c.dtype)
+            x[old] = c
+            x[at] = new
+            out.append(x)
+        return out, at, s
 
 
 def first_documents(data: np.ndarray, off: np.ndarray, doc: np.ndarray, length: int):
@@ -190,7 +187,7 @@ def first_documents(data: np.ndarray, off: np.ndarray, doc: np.ndarray, length:
     head[1:] |= np.diff(i) > 1
     cls = np.cumsum(head) - 1
     best = np.minimum.reduceat(doc[c.sid[i]], np.flatnonzero(head)) if len(i) else np.zeros(0, np.int64)
-    sid, at, first = c.sid[i].astype(np.int64), (np.diff(off)[c.sid[i]] - c.length[i]).astype(np.int64), best[cls]
+    sid, at, first = c.sid[i], np.diff(off)[c.sid[i]] - c.length[i], best[cls]
     o = np.lexsort((at, sid))
     sid, at, first = sid[o], at[o], first[o]
     new = np.ones(len(sid), bool)
@@ -422,11 +419,11 @@ def _tables(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         raise ValueError("length must be 64 bytes at most")
     spark = docs.sparkSession
     n = n_blocks(spark, text_bytes(docs))
-    buckets = max(n // 4, spark.sparkContext.defaultParallelism)
+    few = max(n // 4, spark.sparkContext.defaultParallelism)
     d = docs.withColumn("_pf_blk", block_of(n, "doc_id"))
     small = d.select("_pf_blk", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = cut(_shared_minimisers(small, buckets, length), "minimiser")
-    strings = cut(_strings(small, shared, buckets, length), "string")
+    shared = cut(_shared_minimisers(small, few, length), "minimiser")
+    strings = cut(_strings(small, shared, 3 * n, length), "string")
     drop(shared)
     answers = cut(_answers(strings, length), "answer")
     drop(strings)

@@ -113,6 +113,10 @@ class MatrixBPE:
         ids = self.byte_id[flat]
         n = size[rows].copy()
         ids[np.arange(width)[None, :] >= n[:, None]] = -1
+        self.merge(ids, n, rows, out)
+
+    def merge(self, ids: np.ndarray, n: np.ndarray, rows: np.ndarray, out: list) -> None:
+        """out[rows[i]]: the first n[i] ids of row i (padding is -1), merged."""
         pair = self._pairs(ids)
         while len(rows):
             at = pair.argmin(1)  # the leftmost of the least
@@ -154,8 +158,10 @@ class MatrixBPE:
         return self.ranks.get(self.vocab[a] + self.vocab[b])
 
     def _queue(self, piece: bytes) -> np.ndarray:
-        """One long piece: leftmost least pair first, by a heap over a list."""
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
+        return np.array(self.queue(self.byte_id[np.frombuffer(piece, np.uint8)].tolist()), np.int32)
+
+    def queue(self, ids: list[int]) -> list[int]:
+        """One long row: leftmost least pair first, by a heap over a list."""
         n = len(ids)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := self._pair(ids[i], ids[i + 1])) is not None]
@@ -171,7 +177,7 @@ class MatrixBPE:
             for left in (prv[i], i):
                 if left >= 0 and nxt[left] < n and (s := self._pair(ids[left], ids[nxt[left]])) is not None:
                     heapq.heappush(heap, (s, left))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        return [x for x in ids if x >= 0]
 
 
 class TextCodec:

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_matrix, minhash, suffix_dedup, token_store
+from . import bpe_matrix, count_transducer, minhash, suffix_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,16 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op7_minhash": op7_minhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_count_transducer": op10_count_transducer,
 }
 
 ORACLE: dict[str, str] = {}

@@ -184,6 +184,52 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+class HashIndex:
+    """Open-addressing table in NumPy: 64-bit hashes -> 0, 1, 2, ... in the
+    order they were added. About 24 bytes an entry, no Python objects."""
+
+    def __init__(self, bits: int = 16):
+        self.n, self.bits = 0, bits
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.at = np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the keys, -1 where they are new."""
+        slot = self._slot(keys)
+        out = self.at[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            got = self.at[slot[todo]]
+            out[todo] = got
+            todo = todo[(got >= 0) & (self.keys[slot[todo]] != keys[todo])]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Keys that are new and different from each other."""
+        first, self.n = self.n, self.n + len(keys)
+        if 2 * self.n > len(self.keys):
+            k, v = self.keys[self.at >= 0], self.at[self.at >= 0]
+            self.bits = int(2 * self.n).bit_length()
+            self.keys = np.zeros(1 << self.bits, np.uint64)
+            self.at = np.full(1 << self.bits, -1, np.int32)
+            self._put(k, v)
+        self._put(keys, np.arange(first, self.n, dtype=np.int32))
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.at[slot] < 0
+            place, first = np.unique(slot[free], return_index=True)
+            put = todo[free][first]
+            self.keys[place], self.at[place] = keys[put], values[put]
+            left = self.at[slot] != values[todo]
+            todo, slot = todo[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+
 # --- connected components ----------------------------------------------------
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

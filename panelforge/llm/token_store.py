@@ -25,14 +25,13 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, new_path, pick, text_bytes
+from .common import HashIndex, cut, drop, new_path, pick, slices, span_hashes, text_buffer, text_bytes, word_spans
 
 PROB = 20
 LANES, STEP, BLOCK = 2048, 256, 1 << 20
@@ -136,14 +135,16 @@ class Coder:
 
 # --- the tokenizer -----------------------------------------------------------
 
-CACHE = 300_000
+#: Words that a worker keeps before it starts anew.
+CACHE = 1_500_000
 
 
 class WordTokenizer:
     """Token ids of whole texts through the tokenizers library. The tokenizer
     drops white space and never joins what it divides, so texts are cut at
-    ASCII white space and each different word is encoded once; that is checked
-    against the tokenizer's own definition when it is loaded."""
+    ASCII white space and each different word (by a 64-bit hash, within one
+    worker) is encoded once; the tokenizer's definition is looked at for that
+    when it is loaded, and texts go through it whole where it doesn't hold."""
 
     def __init__(self, path: str):
         import json
@@ -162,30 +163,46 @@ class WordTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
+        self.known = HashIndex()
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.off = np.zeros(1 << 16, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids = self._encode(words)
+        n, size = self.known.n, np.fromiter(map(len, ids), np.int64, len(ids))
+        used, total = int(self.off[n]), int(size.sum())
+        while len(self.flat) < used + total:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.off) < n + len(ids) + 1:
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+        self.flat[used:used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
+        self.off[n + 1:n + len(ids) + 1] = used + np.cumsum(size)
+        self.known.add(keys)
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents of a slice and where each one's begin."""
         if not self.split:
-            return [np.array(x, np.int64) for x in self._encode(texts)]
-        if len(self.seen) > CACHE:
+            got = self._encode([buf[off[i]:off[i + 1]].tobytes().decode() for i in range(len(off) - 1)])
+            return np.array([i for x in got for i in x], np.int32), np.cumsum([0, *map(len, got)])
+        if self.known.n > CACHE:
             self.reset()
-        words = [t.encode().split() for t in texts]
-        seen = self.seen
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in seen]
-        if new:
-            self.ids.extend(self._encode([w.decode() for w in new]))
-            seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
-        out, ids = [], self.ids
-        for ws in words:
-            flat: list[int] = []
-            for k in map(seen.__getitem__, ws):
-                flat += ids[k]
-            out.append(np.array(flat, np.int64))
-        return out
+        start, end, first = word_spans(buf, off)
+        h = span_hashes(buf, start, end)
+        k = self.known.get(h)
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            keys, one = np.unique(h[new], return_index=True)
+            one = new[one]
+            self._learn(keys, [buf[a:b].tobytes().decode() for a, b in zip(start[one], end[one], strict=True)])
+            k[new] = self.known.get(h[new])
+        a = self.off[k]
+        size = self.off[k + 1] - a
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(a - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[first]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -197,19 +214,6 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def _groups(col: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
-    group, held = [], 0
-    for t in col:
-        t = t.as_py() or ""
-        group.append(t)
-        held += len(t)
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
 def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, n, ids (packed little-endian, two bytes an id if the vocabulary
     allows it, else four), the end id after each text."""
@@ -219,10 +223,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         kind = "<u2" if max(t.vocab, end_id + 1) <= 1 << 16 else "<u4"
         for b in batches:
             n, ids = [], []
-            for texts in _groups(b.column("text")):
-                for x in t.encode(texts):
-                    n.append(len(x) + 1)
-                    ids.append(np.append(x, end_id).astype(kind).tobytes())
+            buf, off = text_buffer(b.column("text"))
+            for i, j in slices(off):
+                x, at = t.encode(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                x = np.insert(x.astype(kind), at[1:], end_id)
+                at = (at + np.arange(len(at))) * x.itemsize
+                raw = x.tobytes()
+                n.extend((np.diff(at) // x.itemsize).tolist())
+                ids.extend(raw[at[k]:at[k + 1]] for k in range(j - i))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     d = pick(docs, "doc_id", "text")

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_matrix, count_transducer, ecoc_langid, minhash, ppm_score, suffix_dedup, token_store
+from . import bpe_matrix, count_transducer, ecoc_langid, importance, minhash, ppm_score, suffix_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score.scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return importance.resample(table(spark, sf_dir, "documents"), target, share=0.85)
+
+
 def op6_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ecoc_langid.identify(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
 
@@ -46,6 +51,7 @@ def op10_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ppm_score": op2_ppm_score,
+    "op5_importance": op5_importance,
     "op6_ecoc_langid": op6_ecoc_langid,
     "op7_minhash": op7_minhash,
     "op8_byte_bpe": op8_byte_bpe,

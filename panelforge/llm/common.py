@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one block (one Python group) holds, about.
 BLOCK_BYTES = 12 << 20
 #: Bytes of text whose NumPy intermediates exist at one time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

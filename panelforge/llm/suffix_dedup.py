@@ -6,7 +6,7 @@ so the collection's Burrows-Wheeler transform and the common prefixes of its
 sorted suffixes grow by one entry per string (class ColumnBWT; the columns live
 in sequential temporary files once they are large). Rounds are as many as the
 longest string, so whole documents, of any length, never enter it as they are.
-Each 50-byte window belongs to its minimiser (the least hash of its 16-byte
+Each 50-byte window belongs to its minimiser (the least hash of its 28-byte
 substrings), and windows that follow each other with one minimiser make a short
 string of at most 113 bytes. Equal windows have equal minimisers, so the
 strings of one minimiser are a collection of their own:
@@ -40,27 +40,29 @@ from pyspark.sql import functions as F
 
 from .common import block_of, cut, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes
 
-MER = 16
+MER = 28
 #: Windows of one string at most.
 RUN = 64
 #: Column entries above which a round's columns go through temporary files.
 SPOOL = 1 << 20
 #: Strings of one collection build, about.
-STRINGS = 16_384
+STRINGS = 4096
 
 
-def window_minima(buf: np.ndarray, length: int, mer: int = MER) -> np.ndarray:
+def window_minima(buf: np.ndarray, length: int) -> np.ndarray:
     """For every start of a window of `length` bytes, the least hash of its
-    substrings of `mer` bytes."""
-    n = len(buf) - length + 1
+    substrings of MER bytes (of all its bytes if it is shorter)."""
+    n, mer = len(buf) - length + 1, min(MER, length)
     if n <= 0:
         return np.zeros(0, np.uint64)
-    pad = np.concatenate([buf, np.zeros(16, np.uint8)])
-    x = np.ndarray((len(buf) + 8,), "<u8", pad, 0, (1,)).astype(np.uint64)
+    pad = np.concatenate([buf, np.zeros(8, np.uint8)])
+    x = np.ndarray((len(buf),), "<u8", pad, 0, (1,)).astype(np.uint64)
     m = len(buf) - mer + 1
     h = x[:m] * np.uint64(0x9E3779B97F4A7C15)
-    y = x[mer - 8:mer - 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= (y << np.uint64(31)) | (y >> np.uint64(33))
+    for at in [*range(8, mer - 8, 8), mer - 8]:  # eight bytes each, the last ones flush
+        h ^= h >> np.uint64(32)
+        h += x[at:at + m]
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -413,10 +415,8 @@ def _marks(t: pa.Table, s: pa.Table, length: int):
 
 def _tables(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """The documents with their block, and the answers for each block."""
-    if length < MER:
-        raise ValueError(f"length must be {MER} bytes at least")
-    if length + RUN - 1 > 127:
-        raise ValueError("length must be 64 bytes at most")
+    if not 16 <= length <= 128 - RUN:
+        raise ValueError(f"length must be 16 to {128 - RUN} bytes")
     spark = docs.sparkSession
     n = n_blocks(spark, text_bytes(docs))
     few = max(n // 4, spark.sparkContext.defaultParallelism)

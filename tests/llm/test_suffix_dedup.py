@@ -73,6 +73,13 @@ def test_column_bwt(monkeypatch, spool):
     assert all(c.bwt[k] == (0 if n == len(strings[i]) else c.alphabet.tolist().index(strings[i][-n - 1]) + 1) for k, (_, n, i) in enumerate(want))
 
 
+@pytest.mark.parametrize("length", [16, 20, 33, 64])
+def test_other_lengths(spark, length):
+    rows = texts()[:40]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.digests(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
+    assert got == brute(rows, length)
+
+
 def test_empty_null_and_repeated(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sd.digests(empty).collect() == []

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_matrix, count_transducer, ecoc_langid, importance, minhash, positional_index, ppm_score, suffix_dedup, token_store
+from . import bpe_matrix, count_transducer, ecoc_langid, importance, minhash, positional_index, ppm_score, rp_forest, suffix_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score.scores(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
 
 
+def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_vectors(table(spark, sf_dir, "embeddings"), limit=0.93)
+
+
 def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10).drop("k2")
 
@@ -55,6 +59,7 @@ def op10_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ppm_score": op2_ppm_score,
+    "op3_rp_forest": op3_rp_forest,
     "op4_positional_index": op4_positional_index,
     "op5_importance": op5_importance,
     "op6_ecoc_langid": op6_ecoc_langid,

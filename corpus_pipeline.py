@@ -1,8 +1,65 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: language ID, near-duplicates, repeated passages, benchmark
+passages, token ids. Each stage works on all that the one before kept; the
+first four return the columns of documents, the last the token ids.
 
+- language_id: documents that are `und` (no letter) or ambiguous go;
+- near_duplicates: one document of each group stays, that of smallest doc_id;
+- repeated_bytes: bytes of 50-byte strings that a document of smaller doc_id
+  also holds are taken out of the text; the document stays;
+- decontaminate: documents that hold ten consecutive words of a benchmark item
+  (or the whole of a shorter one) go;
+- byte_bpe: doc_id, n_tokens, digests and ids of every text that is left.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm import bpe_matrix, ecoc_langid, minhash, positional_index, suffix_dedup
+from panelforge.llm.common import new_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ecoc_langid.identified(docs, ecoc_langid.fit(docs, F.lit(True)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(docs, 50)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return positional_index.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_matrix.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_bytes", repeated_bytes),
+    ("decontaminate", decontaminate),
+    ("byte_bpe", byte_bpe),
+]
+
+#: Models and token ids can't be written in SQL; tests/llm/test_pipeline.py
+#: holds every stage against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = new_path(spark, f"stage-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs

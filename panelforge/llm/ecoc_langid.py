@@ -156,35 +156,49 @@ def decode(model: dict, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, (low[:, 1] - low[:, 0]) / np.maximum(low[:, 1] + low[:, 0], 1e-300)
 
 
-def predict(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """doc_id (and the columns named in keep), lang_pred, score, ambiguous; a
-    narrow map that looks at nothing but text."""
-    d = pick(docs, "doc_id", "text", *keep)
-    schema = d.drop("text").select(F.col("doc_id").cast("long"), *keep).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    names = ["doc_id", *keep]
+def _predict(model: dict, col) -> tuple[list, list, list]:
+    """(language, score, ambiguous) of every text of an Arrow column."""
+    langs = [*model["langs"], "und"]
+    buf, off = text_buffer(col)
+    best, score = [], []
+    for i, j in slices(off):
+        low, o = LOWER[buf[off[i]:off[j]]], off[i:j + 1] - off[i]
+        if model["langs"]:
+            k, s = decode(model, _margins(low, o, model["w"]))
+        else:
+            k, s = np.full(j - i, -1), np.zeros(j - i)
+        seen = np.concatenate([[0], np.cumsum(_LETTER[low])])[o]
+        for x in np.flatnonzero(seen[1:] == seen[:-1]):  # no letter from a to z
+            if not any(map(str.isalpha, low[o[x]:o[x + 1]].tobytes().decode())):
+                k[x], s[x] = -1, 0
+        best.extend(k.tolist())
+        score.extend(s.tolist())
+    return [langs[k] for k in best], score, [k >= 0 and s < AMBIGUOUS for k, s in zip(best, score, strict=True)]
+
+
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous; a narrow map that looks at nothing
+    but text."""
 
     def run(batches):
-        langs = [*model["langs"], "und"]
         for b in batches:
-            buf, off = text_buffer(b.column("text"))
-            best, score = [], []
-            for i, j in slices(off):
-                low, o = LOWER[buf[off[i]:off[j]]], off[i:j + 1] - off[i]
-                if model["langs"]:
-                    k, s = decode(model, _margins(low, o, model["w"]))
-                else:
-                    k, s = np.zeros(j - i, np.int64), np.zeros(j - i)
-                seen = np.concatenate([[0], np.cumsum(_LETTER[low])])[o]
-                for x in np.flatnonzero(seen[1:] == seen[:-1]):  # no letter from a to z
-                    if not any(map(str.isalpha, low[o[x]:o[x + 1]].tobytes().decode())):
-                        k[x], s[x] = -1, 0
-                best.extend(k.tolist())
-                score.extend(s.tolist())
-            amb = [k >= 0 and s < AMBIGUOUS and len(langs) > 1 for k, s in zip(best, score, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array([langs[k] for k in best], pa.string()), pa.array(score, pa.float64()), pa.array(amb, pa.bool_())],
-                                             names=names + ["lang_pred", "score", "ambiguous"])
-
-    return d.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(run, schema)
+            lang, score, amb = _predict(model, b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(amb, pa.bool_())],
+                                             names=["doc_id", "lang_pred", "score", "ambiguous"])
+
+    d = pick(docs, "doc_id", "text")
+    return d.select(d.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def identified(docs: DataFrame, model: dict) -> DataFrame:
+    """The documents, all columns, without those that are `und` or ambiguous."""
+
+    def run(batches):
+        for b in batches:
+            lang, _, amb = _predict(model, b.column("text"))
+            yield b.filter(pa.array([k != "und" and not a for k, a in zip(lang, amb, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame, train: Column) -> DataFrame:

@@ -243,6 +243,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The documents, all columns, one of each group of near-duplicates (that
+    of smallest doc_id) and of rows with one doc_id; those without a doc_id
+    stay."""
+    names = docs.columns
+    ids = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_pf_id")).distinct()
+    own = docs.where("doc_id is not null")
+    own = own.join(ids, own.doc_id == ids._pf_id, "left_semi").dropDuplicates(["doc_id"])
+    return own.select(*[F.col(f"`{c}`") for c in names]).unionByName(docs.where("doc_id is null"))
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

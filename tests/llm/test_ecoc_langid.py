@@ -35,6 +35,8 @@ def test_und_null_empty_and_extra_columns(spark):
     by = {r.doc_id: r for r in got}
     assert len(got) == 8 and by[None].lang_pred == by[5].lang_pred == by[6].lang_pred == "und"
     assert by[7].lang_pred in ("en", "fr") and by[8].lang_pred != "und" and not by[5].score and not by[5].ambiguous
+    left = el.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string"), el.fit(spark.createDataFrame(rows[:2], "doc_id long, text string, lang string, score string"), F.lit(True))).collect()
+    assert {1, 3} <= {r.doc_id for r in left} <= {1, 3, 7, 8} and left[0].score == "x"
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert el.identify(empty, train()).collect() == []
     one = spark.createDataFrame([(1, "ab", "en"), (2, "cd", "en")], "doc_id long, text string, lang string")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import cut, pick  # noqa: F401
+from .common import pick
 
 LONG = 256
 #: Pieces kept by a worker before the cache starts anew.

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one block (one Python group) holds, about.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Bytes of text whose NumPy intermediates exist at one time.
 SLICE_BYTES = 1 << 19
 
@@ -230,6 +230,32 @@ class HashIndex:
             todo, slot = todo[left], (slot[left] + 1) & ((1 << self.bits) - 1)
 
 
+def tidy() -> None:
+    """Give a group's freed memory back to the system, so that workers waiting
+    for their next task don't keep their peak."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run):
+    """run, a function of one or two Arrow tables, with tidy() after it."""
+    if run.__code__.co_argcount == 2:
+        def both(t: pa.Table, s: pa.Table) -> pa.Table:
+            out = run(t, s)
+            tidy()
+            return out
+        return both
+
+    def one(t: pa.Table) -> pa.Table:
+        out = run(t)
+        tidy()
+        return out
+    return one
+
+
 # --- connected components ----------------------------------------------------
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -33,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, HashIndex, block_of, cut, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes, word_spans
+from .common import tidied, LOWER, HashIndex, block_of, cut, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes, word_spans
 
 ORDER = 5
+#: Larger blocks than elsewhere: the more text, the fewer strings a byte.
+BLOCK_BYTES = 12 << 20
 END, START, SYMBOLS = 256, 257, 257
 
 
@@ -174,7 +176,7 @@ def _sent(docs: DataFrame, buckets: int, order: int) -> DataFrame:
                     put(int(b[rows[0]]), kind, key[rows], n[rows])
         return pa.table(out, schema=_SENT_PA)
 
-    return docs.groupBy("blk").applyInArrow(send, _SENT)
+    return docs.groupBy("blk").applyInArrow(tidied(send), _SENT)
 
 
 def _answers(sent: DataFrame, low: np.ndarray, order: int) -> DataFrame:
@@ -194,7 +196,7 @@ def _answers(sent: DataFrame, low: np.ndarray, order: int) -> DataFrame:
                          "vals": pa.array([vals[off[i]:off[i + 1]].tobytes() for i in range(len(keys))], pa.binary()),
                          "known": once((c > 0).sum()), "tokens": once(c.sum())})
 
-    return sent.where("bucket >= 0").groupBy("kind", "bucket").applyInArrow(meet, "blk int, kind int, keys binary, vals binary, known long, tokens long")
+    return sent.where("bucket >= 0").groupBy("kind", "bucket").applyInArrow(tidied(meet), "blk int, kind int, keys binary, vals binary, known long, tokens long")
 
 
 def _low_table(sent: DataFrame) -> np.ndarray:
@@ -219,7 +221,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     if not 2 <= order <= 5:
         raise ValueError("order must be 2 to 5")
     spark = docs.sparkSession
-    n = n_blocks(spark, text_bytes(docs))
+    n = n_blocks(spark, text_bytes(docs), BLOCK_BYTES)
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), block_of(n, "doc_id").alias("blk"))
     sent = cut(_sent(d, n, order), "sent")
@@ -261,7 +263,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
                          "base": base, "score": score, "n_symbols": syms})
 
     got = d.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(
-        run, "doc_id long, train boolean, n_tokens long, n_known long, base double, score double, n_symbols long")
+        tidied(run), "doc_id long, train boolean, n_tokens long, n_known long, base double, score double, n_symbols long")
     return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                       (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total + v + 1)))).alias("base_score"), "score", "n_symbols")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, cut, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes
+from .common import tidied, block_of, cut, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes
 
 MER = 28
 #: Windows of one string at most.
@@ -278,8 +278,8 @@ def _shared_minimisers(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         out = [(int(_pf_blk[i]), _pack(v[cuts[i]:cuts[i + 1]])) for i in range(len(vals)) if cuts[i] < cuts[i + 1]]
         return pa.table({"_pf_blk": pa.array([x[0] for x in out], pa.int32()), "vals": pa.array([x[1] for x in out], pa.binary())})
 
-    sent = docs.groupBy("_pf_blk").applyInArrow(send, "bucket int, _pf_blk int, vals binary, many binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "_pf_blk int, vals binary")
+    sent = docs.groupBy("_pf_blk").applyInArrow(tidied(send), "bucket int, _pf_blk int, vals binary, many binary")
+    return sent.groupBy("bucket").applyInArrow(tidied(meet), "_pf_blk int, vals binary")
 
 
 def _strings(docs: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -326,7 +326,7 @@ def _strings(docs: DataFrame, shared: DataFrame, buckets: int, length: int) -> D
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("_pf_blk", pa.int32())] + [(c, pa.binary()) for c in ("vals", "docs", "lens", "data")]))
 
     return docs.groupBy("_pf_blk").cogroup(shared.groupBy("_pf_blk")).applyInArrow(
-        send, "bucket int, _pf_blk int, vals binary, docs binary, lens binary, data binary")
+        tidied(send), "bucket int, _pf_blk int, vals binary, docs binary, lens binary, data binary")
 
 
 def _answers(strings: DataFrame, length: int) -> DataFrame:
@@ -385,7 +385,7 @@ def _answers(strings: DataFrame, length: int) -> DataFrame:
                     out[name].append(x)
         return pa.table(out, schema=pa.schema([("_pf_blk", pa.int32())] + [(c, pa.binary()) for c in ("key", "lo", "hi", "doc")]))
 
-    return strings.groupBy("bucket").applyInArrow(meet, "_pf_blk int, key binary, lo binary, hi binary, doc binary")
+    return strings.groupBy("bucket").applyInArrow(tidied(meet), "_pf_blk int, key binary, lo binary, hi binary, doc binary")
 
 
 def _marks(t: pa.Table, s: pa.Table, length: int):
@@ -419,11 +419,11 @@ def _tables(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         raise ValueError(f"length must be 16 to {128 - RUN} bytes")
     spark = docs.sparkSession
     n = n_blocks(spark, text_bytes(docs))
-    few = max(n // 4, spark.sparkContext.defaultParallelism)
+    few = max(n // 8, spark.sparkContext.defaultParallelism)
     d = docs.withColumn("_pf_blk", block_of(n, "doc_id"))
     small = d.select("_pf_blk", F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = cut(_shared_minimisers(small, few, length), "minimiser")
-    strings = cut(_strings(small, shared, 3 * n, length), "string")
+    strings = cut(_strings(small, shared, 2 * n, length), "string")
     drop(shared)
     answers = cut(_answers(strings, length), "answer")
     drop(strings)
@@ -444,7 +444,7 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
                                                          zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), out, strict=True)})
 
     return d.select("_pf_blk", F.col("doc_id").cast("long").alias("doc_id"), "text").groupBy("_pf_blk").cogroup(answers.groupBy("_pf_blk")).applyInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -470,4 +470,4 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             t = t.set_column(k, "n_chars", pa.array(chars, t.schema.field(k).type))
         return t.select(names)
 
-    return d.groupBy("_pf_blk").cogroup(answers.groupBy("_pf_blk")).applyInArrow(run, schema)
+    return d.groupBy("_pf_blk").cogroup(answers.groupBy("_pf_blk")).applyInArrow(tidied(run), schema)

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, pick
+from .common import tidied, components, cut, drop, pick
 
-TREES, SPILL = 8, 0.06
-LEAF, FIT, DEPTH, SQUARE = 400, 4096, 8, 1024
+TREES, SPILL = 4, 0.03
+LEAF, FIT, DEPTH, SQUARE = 800, 4096, 8, 1024
 
 
 def _matrix(col) -> np.ndarray:
@@ -105,7 +105,7 @@ def _grow(places: DataFrame, reps: DataFrame, seed: int) -> DataFrame:
             nodes = fit_tree(_matrix(t.column("emb")), n, (node ^ salt) & (2**63 - 1))
             return pa.table({"tree": pa.array([node], pa.int64()), "model": pa.array([pickle.dumps(nodes)], pa.binary()), "whole": pa.array([len(nodes) == 1])})
 
-        model = cut(sample.groupBy("node").applyInArrow(fit, "tree long, model binary, whole boolean"), "model")
+        model = cut(sample.groupBy("node").applyInArrow(tidied(fit), "tree long, model binary, whole boolean"), "model")
         # Nodes no direction can split are leaves of their own.
         stuck = model.where("whole").select("tree")
         done.append(open_.join(stuck, open_.node == stuck.tree, "left_semi").select("rep", "node"))
@@ -189,12 +189,12 @@ def _compare(forest: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
         got = np.flatnonzero(links)
         return pa.table({"rep": rep[got], "links": links[got], "root": np.array([rep[find(i)] for i in got], np.int64)})
 
-    return rows.groupBy("node", "i", "j").applyInArrow(run, "rep long, links long, root long")
+    return rows.groupBy("node", "i", "j").applyInArrow(tidied(run), "rep long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, limit: float = 0.93, trees: int = TREES, seed: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept (vec_id = component_id)."""
-    d = pick(vectors, "vec_id", "label", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("emb"))
+    d = pick(vectors, "vec_id", "label", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("emb"))
     fine = F.forall("emb", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("emb", lambda x: x != 0)
     good = d.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("emb").isNotNull() & fine)
     one = cut(good.groupBy("vec_id").agg(F.min(F.struct("label", "emb")).alias("v")).select("vec_id", "v.label", "v.emb"), "valid")

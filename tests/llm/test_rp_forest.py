@@ -52,6 +52,22 @@ def test_recall_on_test_data(spark):
     assert sum(got[i][1] == want[i][1] for i in got) >= 0.99 * len(got)
 
 
+def test_recall_at_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(rf, "LEAF", 100)
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(600):  # pairs at a cosine just above the limit
+        a, b = r.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        c = 0.931 + 0.02 * r.random()
+        rows += [(2 * i, 1, a.tolist()), (2 * i + 1, 1, (c * a + np.sqrt(1 - c * c) * b).tolist())]
+    want = brute(rows)
+    got = {x.vec_id: x.n_links for x in rf.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert sum(got.values()) >= 0.95 * sum(w[0] for w in want.values())
+
+
 def test_empty_null_and_repeated(spark):
     assert rf.near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).collect() == []
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (2, 1, [2.0, 0.0]), (None, 1, [1.0, 0.0])], "vec_id long, label int, embedding array<float>")

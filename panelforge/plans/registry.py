@@ -1,11 +1,24 @@
-"""Every query of the library by name, with its DuckDB SQL."""
+"""Every query of the library by name, with its DuckDB SQL where there is one."""
 
 from __future__ import annotations
 
+from panelforge.plans import windows
+from panelforge.plans.sql import exact
+
+MODULES = (windows,)
+
+
+def _all() -> dict:
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
+
 
 def queries() -> dict:
-    return {}
+    return {k: v[0] for k, v in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: exact(v[1]) for k, v in _all().items() if v[1]}
+
+
+def flagship(spark, sf_dir: str):
+    return windows.w02_rolling(spark, sf_dir)

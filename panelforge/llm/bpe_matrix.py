@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import mapped, pick
 
 LONG = 256
 #: Pieces kept by a worker before the cache starts anew.
@@ -243,8 +243,8 @@ def codec(path: str, pattern: str) -> TextCodec:
 def text_groups(col: pa.Array, size: int = 2 << 20) -> Iterator[list[str]]:
     """The texts of a column (null as empty) in lists of about `size` chars."""
     group, held = [], 0
-    for t in col.to_pylist():
-        t = t or ""
+    for t in col:
+        t = t.as_py() or ""
         group.append(t)
         held += len(t)
         if held >= size:
@@ -261,6 +261,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
 
     def run(batches):
         c = codec(path, pattern)
+        c.reset()  # what a worker has seen is kept for one task
         for b in batches:
             n, one, two, kept = [], [], [], []
             for texts in text_groups(b.column("text")):
@@ -273,9 +274,10 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
             cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.list_(pa.int32()))] * ids,
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
+        c.reset()
 
     d = pick(docs, "doc_id", "text")
-    return d.select(d.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return d.select(d.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(mapped(run), schema)
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -287,4 +289,4 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
             got = [c.decode(np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], names=["doc_id", "decoded"])
 
-    return pick(coded, "doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return pick(coded, "doc_id", "ids").mapInArrow(mapped(run), "doc_id long, decoded binary")

@@ -76,9 +76,18 @@ def drop(*frames: DataFrame) -> None:
 
 # --- columns and blocks ------------------------------------------------------
 
+#: Rows of one Arrow batch: whole texts, so Spark's default of 10,000 is much.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found case-insensitively; extra columns of any
-    name, clashing ones included, never reach an operator."""
+    name, clashing ones included, never reach an operator. Lowers the session's
+    Arrow batches to BATCH_ROWS if they have more."""
+    spark = docs.sparkSession
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     have = {c.lower(): c for c in docs.columns}
     return docs.select(*[F.col(f"`{have[n.lower()]}`").alias(n) for n in names])
 
@@ -256,6 +265,16 @@ def tidied(run):
     return one
 
 
+def mapped(run):
+    """run, a function of Arrow batches, with tidy() when its task is done."""
+    def all_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+    return all_batches
+
+
 # --- connected components ----------------------------------------------------
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe_matrix import MatrixBPE, PairTable
-from .common import pick, slices, span_hashes, text_buffer
+from .common import mapped, pick, slices, span_hashes, text_buffer
 
 CHUNK = 128
 CACHE = 400_000
@@ -273,4 +273,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
 
     d = pick(docs, "doc_id", "text")
     return d.select(d.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        mapped(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

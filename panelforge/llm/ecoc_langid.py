@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, drop, pick, slices, text_buffer
+from .common import LOWER, cut, drop, mapped, pick, slices, text_buffer
 
 #: Labelled texts of each language that a model is fitted on, at most.
 SAMPLE = 4000
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, train: Column) -> dict:
         which, feature = np.nonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(feature, pa.int32()), pa.array(got[which, feature])], names=["l", "f", "c"])
 
-    rows = sample.mapInArrow(count, "l int, f int, c long").groupBy("l", "f").agg(F.sum("c").alias("c")).toArrow()
+    rows = sample.mapInArrow(mapped(count), "l int, f int, c long").groupBy("l", "f").agg(F.sum("c").alias("c")).toArrow()
     c = np.zeros((len(langs), TABLE))
     c[rows.column("l").to_numpy(), rows.column("f").to_numpy()] = rows.column("c").to_numpy()
     p = (c + 0.5) / (c.sum(1, keepdims=True) + 0.5 * TABLE)
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, train: Column) -> dict:
         k = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n[k]), pa.array(list(right[k]), pa.list_(pa.float64()))], names=["l", "n", "right"])
 
-    got = sample.mapInArrow(check, "l int, n double, right array<double>").select("l", "n", F.posexplode("right").alias("b", "r")) \
+    got = sample.mapInArrow(mapped(check), "l int, n double, right array<double>").select("l", "n", F.posexplode("right").alias("b", "r")) \
         .groupBy("l", "b").agg(F.sum("n").alias("n"), F.sum("r").alias("r")).toArrow()
     drop(sample)
     right = np.zeros(code.shape)
@@ -187,7 +187,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                                              names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     d = pick(docs, "doc_id", "text")
-    return d.select(d.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return d.select(d.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(mapped(run), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def identified(docs: DataFrame, model: dict) -> DataFrame:
@@ -198,7 +198,8 @@ def identified(docs: DataFrame, model: dict) -> DataFrame:
             lang, _, amb = _predict(model, b.column("text"))
             yield b.filter(pa.array([k != "und" and not a for k, a in zip(lang, amb, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    pick(docs)  # bounds the batches
+    return docs.mapInArrow(mapped(run), docs.schema)
 
 
 def identify(docs: DataFrame, train: Column) -> DataFrame:

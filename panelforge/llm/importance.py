@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, mix, pick, slices, span_hashes, text_buffer, word_spans
+from .common import LOWER, cut, mapped, mix, pick, slices, span_hashes, text_buffer, word_spans
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
@@ -55,7 +55,7 @@ def model(texts: DataFrame) -> np.ndarray:
         k = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(got[k])], names=["f", "c"])
 
-    rows = texts.select("text").mapInArrow(run, "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).toArrow()
+    rows = texts.select("text").mapInArrow(mapped(run), "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(BUCKETS)
     out[rows.column("f").to_numpy()] = rows.column("c").to_numpy()
     return out
@@ -91,7 +91,7 @@ def weights(docs: DataFrame, target: DataFrame, sharpness: float = SHARPNESS, se
                                              names=["doc_id", "n_features", "log_ratio", "log_weight", "noisy", "rank_bits"])
 
     return d.withColumn("noise", F.xxhash64("doc_id", F.lit(seed + 1))).mapInArrow(
-        run, "doc_id long, n_features long, log_ratio double, log_weight double, noisy double, rank_bits long")
+        mapped(run), "doc_id long, n_features long, log_ratio double, log_weight double, noisy double, rank_bits long")
 
 
 def kth_largest(table: DataFrame, column: str, k: int) -> int | None:

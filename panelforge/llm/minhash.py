@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (tidied, LOWER, block_of, components, cut, drop, mix, n_blocks, pick, slices, span_hashes,
-                     text_buffer, text_bytes, word_spans)
+from .common import (LOWER, block_of, components, cut, drop, mapped, mix, n_blocks, pick, slices,
+                     span_hashes, text_buffer, text_bytes, tidied, word_spans)
 
 BINS, ROWS = 128, 4
 _rng = np.random.default_rng(7)
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
 
     d = pick(docs, "doc_id", "text")
     return d.select(d.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
+        mapped(run), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, blocks: int, k: int, percent: int) -> DataFrame:

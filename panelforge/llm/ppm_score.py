@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied, LOWER, HashIndex, block_of, cut, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes, word_spans
+from .common import (LOWER, HashIndex, block_of, cut, drop, mapped, mix, n_blocks, pick, slices,
+                     span_hashes, text_buffer, text_bytes, tidied, word_spans)
 
 ORDER = 5
 #: Larger blocks than elsewhere: the more text, the fewer strings a byte.
@@ -207,7 +208,7 @@ def _low_table(sent: DataFrame) -> np.ndarray:
             for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, "<i8")), pa.array(np.frombuffer(c, "<i8"))], names=["k", "c"])
 
-    got = sent.where(F.col("kind") == LOW).select("keys", "counts").mapInArrow(rows, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
+    got = sent.where(F.col("kind") == LOW).select("keys", "counts").mapInArrow(mapped(rows), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
     low = np.zeros((258, 257), np.int64)
     k = got.column("k").to_numpy()
     low[k >> 9, k & 511] = got.column("c").to_numpy()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied, components, cut, drop, pick
+from .common import components, cut, drop, mapped, pick, tidied
 
 TREES, SPILL = 4, 0.03
 LEAF, FIT, DEPTH, SQUARE = 800, 4096, 8, 1024
@@ -133,7 +133,7 @@ def _grow(places: DataFrame, reps: DataFrame, seed: int) -> DataFrame:
                     ids, to = np.concatenate(ids), np.concatenate(to)
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(to[:, 0]), pa.array(to[:, 1])], names=["rep", "parent", "leaf"])
 
-        places = cut(rows.mapInArrow(send, "rep long, parent long, leaf long").select("rep", F.xxhash64("parent", "leaf").alias("node")), "place")
+        places = cut(rows.mapInArrow(mapped(send), "rep long, parent long, leaf long").select("rep", F.xxhash64("parent", "leaf").alias("node")), "place")
         drop(size)
     out = done[0]
     for d in done[1:]:

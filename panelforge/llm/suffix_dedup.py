@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied, block_of, cut, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes
+from .common import block_of, cut, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes, tidied
 
 MER = 28
 #: Windows of one string at most.

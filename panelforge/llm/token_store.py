@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashIndex, cut, drop, new_path, pick, slices, span_hashes, text_buffer, text_bytes, word_spans
+from .common import HashIndex, cut, drop, mapped, new_path, pick, slices, span_hashes, text_buffer, text_bytes, word_spans
 
 PROB = 20
 LANES, STEP, BLOCK = 2048, 256, 1 << 20
@@ -234,7 +234,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     d = pick(docs, "doc_id", "text")
-    return d.select(d.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return d.select(d.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(mapped(run), "doc_id long, n long, ids binary")
 
 
 def _ids(n: int, raw: bytes) -> np.ndarray:
@@ -256,7 +256,7 @@ def frequencies(tokens: DataFrame, bits: int = PROB) -> np.ndarray:
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["id", "c"])
 
-    rows = tokens.select("n", "ids").mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()
+    rows = tokens.select("n", "ids").mapInArrow(mapped(run), "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()
     k, c = rows.column("id").to_numpy(), rows.column("c").to_numpy()
     counts = np.zeros(int(k.max()) + 1 if len(k) else 1, np.int64)
     counts[k] = c
@@ -307,7 +307,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, part
             yield flush()
 
     dealt = tokens.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "ids")
-    dealt.mapInArrow(pack, _SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(mapped(pack), _SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
     k = np.flatnonzero(freq)
     spark.createDataFrame(pa.table({"id": k.astype(np.int64), "freq": freq[k].astype(np.int64)})).coalesce(1).write.parquet(f"{path}/table")
     drop(tokens)
@@ -344,7 +344,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     cols.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x, pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    return blocks.mapInArrow(mapped(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:

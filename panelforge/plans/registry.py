@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelforge.plans import windows
+from panelforge.plans import daily, intraday, windows
 from panelforge.plans.sql import exact
 
-MODULES = (windows,)
+MODULES = (windows, daily, intraday)
 
 
 def _all() -> dict:

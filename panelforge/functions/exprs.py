@@ -56,3 +56,12 @@ def clip(x: Column, lo: float, hi: float) -> Column:
 
 def sign(x: Column) -> Column:
     return F.signum(x)
+
+
+def corr(a: Column, b: Column, w: WindowSpec | None = None) -> Column:
+    """Correlation, as an aggregate or over a window, of rows where both are
+    known; NULL where one doesn't vary (the built-in raises in ANSI mode)."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    parts = (F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b))
+    c, x, y = (p.over(w) for p in parts) if w is not None else parts
+    return F.try_divide(c, x * y)

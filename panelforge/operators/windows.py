@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from panelforge.functions.exprs import corr as pair_corr
 from panelforge.functions.exprs import div, gate, roll, series, so_far
 
 
@@ -67,8 +68,7 @@ def _pairs(a: Column, b: Column) -> tuple[Column, Column]:
 
 def corr(a, b, n, least=None):
     a, b = _pairs(a, b)
-    c = gate(F.corr(a, b), a, roll(n), least or max(5, n // 2))
-    return F.when(~F.isnan(c), c)
+    return F.when(F.count(a).over(roll(n)) >= (least or max(5, n // 2)), pair_corr(a, b, roll(n)))
 
 
 def cov(a, b, n, least=None):

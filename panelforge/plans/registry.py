@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelforge.plans import daily, intraday, relational, windows
+from panelforge.plans import daily, intraday, relational, research, windows
 from panelforge.plans.sql import exact
 
-MODULES = (windows, daily, intraday, relational)
+MODULES = (windows, daily, intraday, relational, research)
 
 
 def _all() -> dict:

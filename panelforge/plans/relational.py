@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelforge.functions.exprs import corr
 from panelforge.operators import aggregates as a
 from panelforge.operators import cleaning as c
 from panelforge.operators import joins as j
@@ -192,7 +193,7 @@ def a20_rank_matrix_a21_pivot(spark, sf):
     cols = ["open", "close", "volume"]
     d = bars.supplier_months(spark, sf)
     d = d.select(*[(F.rank().over(Window.partitionBy(F.lit(1)).orderBy(k)) + (F.count("*").over(Window.partitionBy(k)) - 1) / 2).alias(k) for k in cols])
-    long = d.agg(*[F.corr(x, y).alias(f"{x}|{y}") for x in cols for y in cols])
+    long = d.agg(*[corr(C(x), C(y)).alias(f"{x}|{y}") for x in cols for y in cols])
     long = long.unpivot([], [f"{x}|{y}" for x in cols for y in cols], "pair", "c")
     s = F.split("pair", r"\|")
     return long.groupBy(s[0].alias("feature")).pivot("pair", [f"{x}|{y}" for x in cols for y in cols]).agg(F.first("c")).select(

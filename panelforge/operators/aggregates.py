@@ -26,13 +26,18 @@ def with_value_bucket(df: DataFrame, x: str, q: int, name: str) -> DataFrame:
     return df.crossJoin(F.broadcast(edges(df, x, q))).withColumn(name, value_bucket(F.col(x), F.col("_edges"))).drop("_edges")
 
 
+def quantile_points(q: int) -> list[float]:
+    """The lower q of q + 1 even quantiles, in the arithmetic of percentages."""
+    return [k * (1.0 / q) * 100.0 / 100.0 for k in range(q)]
+
+
 def rank_bucket(x: Column, q: int, *keys: str, ties: tuple[str, ...] = ()) -> Column:
     """Equal counts: rows are numbered by x (ties by the given columns) and the
     linear quantiles of 1..n cut the numbers, within the keys."""
     w = Window.partitionBy(*keys)
     r = F.row_number().over(w.orderBy(x, *ties))
     n = F.count(x).over(w)
-    below = F.size(F.filter(F.sequence(F.lit(0), F.lit(q - 1)), lambda k: 1 + (n - 1) * k / q < r))
+    below = F.size(F.filter(F.array(*[F.lit(p) for p in quantile_points(q)]), lambda p: 1 + (n - 1) * p < r))
     return F.when(x.isNotNull(), F.greatest(below, F.lit(1)))
 
 

@@ -10,7 +10,7 @@ from panelforge.operators import aggregates as a
 from panelforge.operators import cleaning as c
 from panelforge.operators import joins as j
 from panelforge.operators import windows as w
-from panelforge.plans.sql import BARS, CUM, HOURS, MACRO, MONTHS, P, USERS, rd, roll
+from panelforge.plans.sql import BARS, CUM, HOURS, MACRO, MONTHS, P, USERS, rank_bucket, rd, roll
 from panelforge.sources import bars
 
 C = F.col
@@ -118,7 +118,7 @@ def a06_rank_cut(spark, sf):
 
 
 A06 = f"""WITH {USERS}, x AS (SELECT symbol, ts, row_number() OVER (PARTITION BY ts ORDER BY close, symbol) AS k, count(*) OVER (PARTITION BY ts) AS n FROM bars)
-SELECT symbol, ts, CAST(greatest(len(list_filter(range(0, 5), lambda q: 1 + (n - 1) * q / 5 < k)), 1) AS INTEGER) AS bucket FROM x"""
+SELECT symbol, ts, {rank_bucket(5, 'n', 'k')} AS bucket FROM x"""
 
 
 def _scored(spark, sf):

@@ -10,7 +10,7 @@ from panelforge.operators import backtest as b
 from panelforge.operators import labels as la
 from panelforge.operators import scoring as s
 from panelforge.operators import windows as w
-from panelforge.plans.sql import BARS, MONTHS, P, USERS, rd, roll, xs_rank
+from panelforge.plans.sql import BARS, MONTHS, P, USERS, rank_bucket, rd, roll, xs_rank
 from panelforge.sources import bars
 
 C = F.col
@@ -153,7 +153,7 @@ def m11_long_short_m09_drawdown(spark, sf):
 
 M11 = f"""WITH {_LONG}, a AS (SELECT ts, symbol, close AS x, y / 1000 AS y FROM fe WHERE y IS NOT NULL), n AS (SELECT ts, count(*) AS names FROM a GROUP BY 1 HAVING count(*) >= 50), k AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS k FROM n),
 r AS (SELECT a.*, k.names, row_number() OVER (PARTITION BY ts ORDER BY x, symbol) AS r FROM a JOIN k USING (ts) WHERE k.k % 2 = 0),
-b AS (SELECT *, greatest(len(list_filter(range(0, 5), lambda q: 1 + (names - 1) * q / 5 < r)), 1) AS b FROM r),
+b AS (SELECT *, {rank_bucket(5, 'names', 'r')} AS b FROM r),
 g AS (SELECT ts, names, avg(CASE WHEN b = 5 THEN y END) - avg(CASE WHEN b = 1 THEN y END) AS gross, list(symbol) FILTER (b = 5) AS up, list(symbol) FILTER (b = 1) AS dn FROM b GROUP BY 1, 2),
 t AS (SELECT *, coalesce(((1 - len(list_intersect(up, lag(up) OVER (ORDER BY ts))) / len(up)) + (1 - len(list_intersect(dn, lag(dn) OVER (ORDER BY ts))) / len(dn))) / 2, 1.0) AS turnover FROM g),
 q AS (SELECT *, gross - turnover * 0.001 AS net, exp(sum(ln(greatest(1 + gross - turnover * 0.001, 1e-9))) OVER (ORDER BY ts)) AS equity FROM t)
@@ -165,7 +165,7 @@ def m21_profile(spark, sf):
 
 
 M21 = f"""WITH {_LONG}, r AS (SELECT ts, y, row_number() OVER (PARTITION BY ts ORDER BY close, symbol) AS r, count(*) OVER (PARTITION BY ts) AS n FROM fe WHERE y IS NOT NULL)
-SELECT CAST(greatest(len(list_filter(range(0, 10), lambda q: 1 + (n - 1) * q / 10 < r)), 1) AS INTEGER) AS bucket, count(*) AS n, round(avg(y), 4) AS mean FROM r GROUP BY 1"""
+SELECT {rank_bucket(10, 'n', 'r')} AS bucket, count(*) AS n, round(avg(y), 4) AS mean FROM r GROUP BY 1"""
 
 
 def m22_by_group_m23_trailing(spark, sf):

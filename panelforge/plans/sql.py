@@ -6,6 +6,8 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from panelforge.operators.aggregates import quantile_points
+
 #: Results are compared rounded to four places. Exact ties (means of a few
 #: prices) would round by the last bit, so both sides are moved off them.
 NUDGE = 3.7e-7
@@ -65,3 +67,8 @@ def ewm(x: str, alpha: float, least: int, source: str = "bars") -> tuple[str, st
     return (f"""{name}_b AS (SELECT symbol, ts, {x} AS x, row_number() OVER {P} AS rn, count({x}) OVER {CUM} AS k FROM {source}),
 {name} AS (SELECT symbol, ts, rn, k, x AS y FROM {name}_b WHERE k = 1 AND x IS NOT NULL
  UNION ALL SELECT b.symbol, b.ts, b.rn, b.k, CASE WHEN b.x IS NULL THEN e.y ELSE {1 - alpha!r} * e.y + {alpha!r} * b.x END FROM {name} e JOIN {name}_b b ON b.symbol = e.symbol AND b.rn = e.rn + 1)""", name)
+
+
+def rank_bucket(q: int, n: str, r: str) -> str:
+    points = ", ".join(repr(p) for p in quantile_points(q))
+    return f"CAST(greatest(len(list_filter(CAST([{points}] AS DOUBLE[]), lambda q: 1 + ({n} - 1) * q < {r})), 1) AS INTEGER)"

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_matrix, count_transducer, ecoc_langid, importance, minhash, positional_index, ppm_score, rp_forest, suffix_dedup, token_store
+from . import bpe_matrix, count_transducer, ecoc_langid, importance, minhash, oracle, positional_index, ppm_score, rp_forest, suffix_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +69,11 @@ QUERIES = {
     "op10_count_transducer": op10_count_transducer,
 }
 
-ORACLE: dict[str, str] = {}
+#: The others hold models or tokenizers, which SQL can't express; their tests
+#: compare them with brute-force versions and the tokenizers' libraries.
+ORACLE = {
+    "op3_rp_forest": oracle.OP3,
+    "op4_positional_index": oracle.OP4,
+    "op7_minhash": oracle.OP7,
+    "op9_suffix_dedup": oracle.OP9,
+}

@@ -38,7 +38,7 @@ from .common import (LOWER, HashIndex, block_of, cut, drop, mapped, mix, n_block
 
 ORDER = 5
 #: Larger blocks than elsewhere: the more text, the fewer strings a byte.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 END, START, SYMBOLS = 256, 257, 257
 
 

@@ -137,6 +137,8 @@ class Coder:
 
 #: Words that a worker keeps before it starts anew.
 CACHE = 1_500_000
+#: Words in one call of the library, and what stands between them.
+RUN, MARK = 256, "`"
 
 
 class WordTokenizer:
@@ -170,16 +172,34 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word's). Words go to the library in
+        runs with a mark between them, which has one id of its own; a run whose
+        marks don't come back as they should is encoded word by word."""
+        mark = self._encode([MARK])[0]
+        runs = [words[i:i + RUN] for i in range(0, len(words), RUN)]
+        ids, sizes = [], []
+        for run, got in zip(runs, self._encode([f" {MARK} ".join(r) for r in runs]), strict=True):
+            x = np.array(got, np.int32)
+            at = np.flatnonzero(x == mark[0]) if len(mark) == 1 else np.zeros(0, np.int64)
+            if len(at) == len(run) - 1 and not any(MARK in w for w in run):
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(x)]])) - 1)
+                ids.append(np.delete(x, at))
+            else:
+                one = self._encode(run)
+                sizes.append(np.fromiter(map(len, one), np.int64, len(one)))
+                ids.append(np.fromiter((i for w in one for i in w), np.int32))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = self._encode(words)
-        n, size = self.known.n, np.fromiter(map(len, ids), np.int64, len(ids))
-        used, total = int(self.off[n]), int(size.sum())
+        ids, size = self._encode_words(words)
+        n, used, total = self.known.n, int(self.off[self.known.n]), len(ids)
         while len(self.flat) < used + total:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.off) < n + len(ids) + 1:
+        while len(self.off) < n + len(size) + 1:
             self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-        self.flat[used:used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
-        self.off[n + 1:n + len(ids) + 1] = used + np.cumsum(size)
+        self.flat[used:used + total] = ids
+        self.off[n + 1:n + len(size) + 1] = used + np.cumsum(size)
         self.known.add(keys)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

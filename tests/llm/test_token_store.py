@@ -40,7 +40,7 @@ def test_scale_with_many_rare_ids():
 def texts():
     r = random.Random(4)
     odd = [None, "", " \n\t", "don't I'LL we've", "<|endoftext|> x<|startoftext|>y", "É é ﬁ Σ ΑΣ ΑΣ b", "a\x1cb\x1dc d　e\x0b\x0cf\x85g",
-           "x" * 3000, "123 4567", "日本語 テキスト 🎉", "́ a ́", "İ ı ß"]
+           "x" * 3000, "123 4567", "日本語 テキスト 🎉", "́ a ́", "İ ı ß", "a`b ` c", "` x", "\u1fef y\u1fef z"]
     odd += ["".join(r.choice("abcé '1!\n 日") for _ in range(r.randint(0, 400))) for _ in range(200)]
     odd.append(" ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(40_000)))
     return odd

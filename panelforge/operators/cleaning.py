@@ -109,3 +109,33 @@ def no_labels(features: list[str], patterns: tuple[str, ...] = (r"^ret_\d+d", r"
     bad = [f for f in features if any(re.search(p, f) for p in patterns)]
     if bad:
         raise ValueError(f"labels among the features: {bad}")
+
+
+def local_time(c: Column, zone: str) -> Column:
+    """The wall clock of a UTC time in a zone, without a zone of its own."""
+    return F.from_utc_timestamp(c, zone).cast("timestamp_ntz")
+
+
+def local_date(c: Column, zone: str) -> Column:
+    """The date there; a local midnight stays on its own day."""
+    return F.to_date(F.from_utc_timestamp(c, zone))
+
+
+def exclude(df: DataFrame, pattern: str, column: str = "symbol") -> DataFrame:
+    """Rows whose name doesn't fit the pattern; NULL names stay."""
+    return df.where(~F.coalesce(F.col(column).cast("string").rlike(pattern), F.lit(False)))
+
+
+def out_of_range(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """One row: how many values of each column lie outside its limits."""
+    return df.agg(*[F.count_if(~F.col(c).between(*lim)).alias(c) for c, lim in limits.items()])
+
+
+def merged(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Columns that mean the same as one; the last that is known wins."""
+    return df.withColumn(name, F.coalesce(*[F.col(c) for c in reversed(columns)])).drop(*[c for c in columns if c != name])
+
+
+def narrowed(df: DataFrame) -> DataFrame:
+    """Doubles as floats, for storage that may lose the last digits."""
+    return df.select(*[F.col(c).cast("float").alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])

@@ -68,6 +68,21 @@ def scaled_target(df: DataFrame, ret: str, bars: int = 20, floor: float = 0.05)
     return d.withColumn("label", F.when(C("fwd_rank") >= 0.8, 1).when(C("fwd_rank") <= 0.2, 0)).drop("_1", "_v")
 
 
+def target(df: DataFrame, n: int, leg: str = "oc", basis: str | None = None, percent: bool = True) -> Column:
+    """The return over n bars, from this close (cc) or the next open (oc), over
+    a scale column in per cent of price (basis) if one is named."""
+    start = C("close") if leg == "cc" else w.lead(C("open"), 1)
+    ret = (div(w.lead(C("close"), n), start) - 1) * (100 if percent else 1)
+    return div(ret, C(basis)) if basis else ret
+
+
+def features(df: DataFrame, base: list[str], lags: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Lags of the base columns and the products of every two of them."""
+    cols = {f"{c}_lag{n}": w.delay(C(c), n) for c in base for n in lags}
+    cols |= {f"{a}_x_{b}": C(a) * C(b) for i, a in enumerate(base) for b in base[i + 1:]}
+    return df.withColumns(cols)
+
+
 def strict_label(df: DataFrame, n: int = 5, drawdown: float = 3.0) -> Column:
     """1 where the label is top, the end isn't below the entry and the way down
     stays within the drawdown."""

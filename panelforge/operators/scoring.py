@@ -135,6 +135,51 @@ def verdict(n: Column, ir: Column, t: Column, agree: Column, floor: float) -> Co
     return F.when(n < 20, "THIN").when((F.abs(t) >= floor) & (agree >= 0.75), F.when(ir > 0, "EDGE").otherwise("INVERSE")).when(F.abs(t) >= 2, "WEAK").otherwise("NO_EDGE")
 
 
+def screen(scores: DataFrame, ic: float, positive: float, t: float) -> DataFrame:
+    """Features whose mean IC, share of good days and t are all far from chance;
+    the share counts for the sign of the mean."""
+    right = F.when(C("mean") >= 0, C("positive")).otherwise(1 - C("positive"))
+    return scores.where((F.abs("mean") >= ic) & (right >= positive) & (F.abs("t") >= t))
+
+
+def by_period(ic: DataFrame, period: Column) -> DataFrame:
+    """feature, periods, mean, worst, flips: mean ICs of the periods, and the
+    share of periods whose sign differs from the mean's."""
+    d = ic.where("ic is not null").groupBy("feature", period.alias("_p")).agg(F.avg("ic").alias("_m"))
+    d = d.withColumn("_a", F.avg("_m").over(Window.partitionBy("feature")))
+    return d.groupBy("feature").agg(F.count("*").alias("periods"), F.avg("_m").alias("mean"), F.min(C("_m") * F.signum("_a")).alias("worst"), F.avg((F.signum("_m") != F.signum("_a")).cast("double")).alias("flips"))
+
+
+def near_pairs(df: DataFrame, features: list[str], least: float) -> list[tuple[str, str, float]]:
+    """Pairs of features with |correlation| of `least` or more: one aggregate
+    over the rows, one number a pair."""
+    named = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    row = df.agg(*[corr(C(a), C(b)).alias(f"{a}|{b}") for a, b in named]).first()
+    return [(a, b, row[f"{a}|{b}"]) for a, b in named if row[f"{a}|{b}"] is not None and abs(row[f"{a}|{b}"]) >= least]
+
+
+def deflated(scores: DataFrame, n_trials: int) -> DataFrame:
+    """Adds benchmark (the Sharpe ratio that the best of n_trials without effect
+    is expected to show: their robust spread times the expected maximum) and
+    deflated, the probability that the true ratio is over it. scores: feature,
+    n, sr, skew, kurt."""
+    from panelforge.functions.stats import expected_max_t, probabilistic_sharpe
+
+    med = scores.agg(F.percentile("sr", 0.5).alias("_med"))
+    d = scores.crossJoin(F.broadcast(med))
+    mad = d.agg((F.percentile(F.abs(C("sr") - C("_med")), 0.5) * 1.4826).alias("_mad"))
+    d = d.crossJoin(F.broadcast(mad))
+    spread = F.sqrt(F.greatest(C("_mad") * C("_mad"), 1 / C("n")))
+    d = d.withColumn("benchmark", spread * expected_max_t(n_trials))
+    return d.withColumn("deflated", probabilistic_sharpe(C("sr"), C("benchmark"), C("n"), C("skew"), C("kurt"))).drop("_med", "_mad")
+
+
+def character(pairs: DataFrame, momentum: float = 0.02) -> DataFrame:
+    """Adds what a score's correlation with past returns says of it."""
+    m = C("mean")
+    return pairs.withColumn("character", F.when(m > momentum, "momentum").when(m < -momentum, "reversion").otherwise("neutral"))
+
+
 def clusters(pairs: list[tuple[str, str, float]], limit: float) -> list[list[str]]:
     """Single-linkage clusters of features by |correlation|: a short list."""
     root: dict[str, str] = {}

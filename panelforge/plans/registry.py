@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelforge.plans import daily, intraday, modelling, relational, research, windows
+from panelforge.plans import daily, intraday, modelling, more, relational, research, windows
 from panelforge.plans.sql import exact
 
-MODULES = (windows, daily, intraday, relational, research, modelling)
+MODULES = (windows, daily, intraday, relational, research, modelling, more)
 
 
 def _all() -> dict:

@@ -28,7 +28,9 @@ from .common import LOWER, cut, mapped, mix, pick, slices, span_hashes, text_buf
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
-SHARPNESS = 20.0
+#: N-grams that a text counts as, whatever its length: enough for junk to stand
+#: apart from the noise, few enough for long texts not to decide all.
+SHARPNESS = 200.0
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -47,9 +47,9 @@ def test_gumbel_draws_follow_the_weights(spark):
 def test_quality_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = im.resample(docs, labels.where("quality = 1"), 0.85).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+    got = im.resample(docs, labels.where("quality = 1 and toxic = 0"), 0.86).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
     share = dict(map(tuple, got))
-    assert share[1] > 0.95 and share[0] < 0.3
+    assert share[1] > 0.97 and share[0] < 0.15
 
 
 def test_kth_largest(spark):

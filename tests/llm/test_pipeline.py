@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelforge.llm import bpe_matrix
@@ -68,3 +69,19 @@ def test_run_and_empty_input(spark, tmp_path):
     docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns_come_through(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
+    odd = ["blk", "rep", "sig", "k1", "K2x", "pos", "term", "component", "kept", "node", "id"]
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in odd})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name == "byte_bpe":
+            assert out.count() == docs.count()
+            break
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in odd)
+        docs = spark.createDataFrame(rows, out.schema)

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ from .common import (LOWER, HashIndex, block_of, cut, drop, mapped, mix, n_block
 ORDER = 5
 #: Larger blocks than elsewhere: the more text, the fewer strings a byte.
 BLOCK_BYTES = 8 << 20
+#: Blocks, or merged groups of them, that meet in one task.
+FAN = 64
 END, START, SYMBOLS = 256, 257, 257
 
 
@@ -135,6 +138,16 @@ def code_lengths(key: np.ndarray, count: np.ndarray, low: np.ndarray, order: int
     return out
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Eight-byte values by byte place: what is alike lies together, so tables
+    and shuffles compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(b: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 _SENT = "bucket int, blk int, kind int, keys binary, counts binary"
 _SENT_PA = pa.schema([("bucket", pa.int32()), ("blk", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 #: kind: strings, words, contexts of one symbol.
@@ -162,7 +175,7 @@ def _sent(docs: DataFrame, buckets: int, order: int) -> DataFrame:
         blk = t.column("blk")[0].as_py()
 
         def put(bucket, kind, keys, counts):
-            for f, x in zip(_SENT_PA.names, (bucket, blk, kind, keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes()), strict=True):
+            for f, x in zip(_SENT_PA.names, (bucket, blk, kind, _pack(keys.astype("<u8")), _pack(counts.astype("<i8"))), strict=True):
                 out[f].append(x)
 
         key, n = _merged(grams)
@@ -180,24 +193,51 @@ def _sent(docs: DataFrame, buckets: int, order: int) -> DataFrame:
     return docs.groupBy("blk").applyInArrow(tidied(send), _SENT)
 
 
-def _answers(sent: DataFrame, low: np.ndarray, order: int) -> DataFrame:
-    """blk, kind, keys, vals (code lengths or counts), and once for a bucket
-    its number of different training words and of training words."""
+def _lists(t: pa.Table, c: str, kind: str) -> list[np.ndarray]:
+    return [_unpack(x, kind) for x in t.column(c).to_pylist()]
+
+
+def _answers(sent: DataFrame, blocks: int, low: np.ndarray, order: int) -> DataFrame:
+    """grp (a block), kind, keys, vals (code lengths or counts), and once for a
+    bucket its number of different training words and of training words. What
+    blocks sent for a bucket is merged up a tree of FAN children a node, so the
+    latest bytes that every block has don't meet in one task, and the answers
+    go down the same way."""
+    names = "kind int, bucket int, grp int, keys binary"
+
+    def merge(t: pa.Table) -> pa.Table:
+        u, c, _ = _sum_by(np.concatenate(_lists(t, "keys", "<u8")), np.concatenate(_lists(t, "counts", "<i8")))
+        one = {k: t.column(k)[:1] for k in ("kind", "bucket")}
+        return pa.table({**one, "grp": pa.array([t.column("up")[0].as_py()], pa.int32()), "keys": pa.array([_pack(u.astype("<u8"))], pa.binary()), "counts": pa.array([_pack(c)], pa.binary())})
 
-    def meet(t: pa.Table) -> pa.Table:
+    def top(t: pa.Table) -> pa.Table:
         kind = t.column("kind")[0].as_py()
-        keys = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("counts").to_pylist()])
-        u, c, inv = _sum_by(np.concatenate(keys), counts)
-        vals = code_lengths(u, c, low, order) if kind == STRING else c.astype(np.float64)
-        vals = vals[inv]
+        keys = _lists(t, "keys", "<u8")
+        u, c, inv = _sum_by(np.concatenate(keys), np.concatenate(_lists(t, "counts", "<i8")))
+        vals = (code_lengths(u, c, low, order) if kind == STRING else c.astype(np.float64))[inv]
         off = np.cumsum([0, *map(len, keys)])
         once = lambda x: pa.array([int(x) if kind == WORD else 0] + [0] * (len(keys) - 1), pa.int64())
-        return pa.table({"blk": t.column("blk"), "kind": t.column("kind"), "keys": t.column("keys"),
-                         "vals": pa.array([vals[off[i]:off[i + 1]].tobytes() for i in range(len(keys))], pa.binary()),
+        return pa.table({**{k: t.column(k) for k in ("kind", "bucket", "grp", "keys")}, "vals": pa.array([_pack(vals[off[i]:off[i + 1]]) for i in range(len(keys))], pa.binary()),
                          "known": once((c > 0).sum()), "tokens": once(c.sum())})
 
-    return sent.where("bucket >= 0").groupBy("kind", "bucket").applyInArrow(tidied(meet), "blk int, kind int, keys binary, vals binary, known long, tokens long")
+    def down(t: pa.Table, s: pa.Table) -> pa.Table:
+        """Children's rows and their node's answer (its keys are sorted)."""
+        key, val = (np.concatenate(_lists(s, c, k)) for c, k in (("keys", "<u8"), ("vals", "<f8")))
+        vals = [_pack(val[np.searchsorted(key, k)]) for k in _lists(t, "keys", "<u8")]
+        count = lambda c: pa.array([sum(s.column(c).to_pylist())] + [0] * (len(t) - 1), pa.int64())
+        return pa.table({**{k: t.column(k) for k in ("kind", "bucket", "grp", "keys")}, "vals": pa.array(vals, pa.binary()), "known": count("known"), "tokens": count("tokens")})
+
+    levels = [sent.where("bucket >= 0").withColumnRenamed("blk", "grp")]
+    up = F.floor(F.col("grp") / FAN).cast("int")
+    while blocks > FAN:
+        levels.append(cut(levels[-1].withColumn("up", up).groupBy("kind", "bucket", "up").applyInArrow(tidied(merge), names + ", counts binary"), "merged"))
+        blocks = -(-blocks // FAN)
+    schema = names + ", vals binary, known long, tokens long"
+    got = levels[-1].groupBy("kind", "bucket").applyInArrow(tidied(top), schema)
+    for below in reversed(levels[:-1]):
+        upper = cut(got, "lengths").withColumnRenamed("grp", "up")
+        got = below.withColumn("up", up).groupBy("kind", "bucket", "up").cogroup(upper.groupBy("kind", "bucket", "up")).applyInArrow(tidied(down), schema)
+    return got
 
 
 def _low_table(sent: DataFrame) -> np.ndarray:
@@ -206,7 +246,7 @@ def _low_table(sent: DataFrame) -> np.ndarray:
     def rows(batches):
         for b in batches:
             for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, "<i8")), pa.array(np.frombuffer(c, "<i8"))], names=["k", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(_unpack(k, "<i8")), pa.array(_unpack(c, "<i8"))], names=["k", "c"])
 
     got = sent.where(F.col("kind") == LOW).select("keys", "counts").mapInArrow(mapped(rows), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
     low = np.zeros((258, 257), np.int64)
@@ -228,7 +268,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     sent = cut(_sent(d, n, order), "sent")
     low = _low_table(sent)
     ends = int(low[:, END].sum())
-    answers = cut(_answers(sent, low, order), "lengths")
+    answers = cut(_answers(sent, n, low, order).drop("bucket").withColumnRenamed("grp", "blk"), "lengths")
     drop(sent)
     totals = answers.where(F.col("kind") == WORD).agg(F.sum("known"), F.sum("tokens")).first()
     v, total = (totals[0] or 0) + (ends > 0), (totals[1] or 0) + ends
@@ -236,11 +276,11 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     def run(t: pa.Table, s: pa.Table) -> pa.Table:
         tables = {}
         for kind in (STRING, WORD):
-            rows = [(k, x) for g, k, x in zip(s.column("kind").to_pylist(), s.column("keys").to_pylist(), s.column("vals").to_pylist(), strict=True) if g == kind]
-            key = np.frombuffer(b"".join(k for k, _ in rows), "<u8").astype(np.uint64)
+            mine = s.filter(pc.equal(s.column("kind"), kind))
+            key, val = (np.concatenate([np.zeros(0, k), *_lists(mine, c, k)]) for c, k in (("keys", "<u8"), ("vals", "<f8")))
             h = HashIndex(max(10, int(2 * len(key)).bit_length()))
             h.add(mix(key))
-            tables[kind] = (h, np.frombuffer(b"".join(x for _, x in rows), "<f8"))
+            tables[kind] = (h, val)
         size = len(t)
         toks, known, base, score, syms = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
         for buf, off, _, at in _each(t):

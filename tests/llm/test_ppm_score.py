@@ -63,8 +63,10 @@ def texts():
     return list(enumerate(out + [out[-1], out[-1]]))
 
 
-@pytest.mark.parametrize("order", [2, 3, 5])
-def test_same_as_plain_model(spark, order):
+@pytest.mark.parametrize("order,fan", [(2, 64), (3, 2), (5, 64)])
+def test_same_as_plain_model(spark, monkeypatch, order, fan):
+    monkeypatch.setattr(ps, "FAN", fan)
+    monkeypatch.setattr(ps, "BLOCK_BYTES", 4000 if fan == 2 else 1 << 20)
     rows = texts()
     train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kind string").repartition(3)

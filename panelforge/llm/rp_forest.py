@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, mapped, pick, tidied
+from .common import components, cut, drop, pick, tidied
 
 TREES, SPILL = 4, 0.03
-LEAF, FIT, DEPTH, SQUARE = 800, 4096, 8, 1024
+LEAF, FIT, DEPTH, SQUARE, PART = 800, 4096, 8, 1024, 20_000
 
 
 def _matrix(col) -> np.ndarray:
@@ -103,37 +103,30 @@ def _grow(places: DataFrame, reps: DataFrame, seed: int) -> DataFrame:
         def fit(t: pa.Table) -> pa.Table:
             node, n = t.column("node")[0].as_py(), t.column("n")[0].as_py()
             nodes = fit_tree(_matrix(t.column("emb")), n, (node ^ salt) & (2**63 - 1))
-            return pa.table({"tree": pa.array([node], pa.int64()), "model": pa.array([pickle.dumps(nodes)], pa.binary()), "whole": pa.array([len(nodes) == 1])})
+            return pa.table({"tree": pa.array([node], pa.int64()), "model": pa.array([pickle.dumps(nodes)], pa.binary()), "whole": pa.array([len(nodes) == 1]), "n": pa.array([n], pa.int64())})
 
-        model = cut(sample.groupBy("node").applyInArrow(tidied(fit), "tree long, model binary, whole boolean"), "model")
+        model = cut(sample.groupBy("node").applyInArrow(tidied(fit), "tree long, model binary, whole boolean, n long"), "model")
         # Nodes no direction can split are leaves of their own.
         stuck = model.where("whole").select("tree")
         done.append(open_.join(stuck, open_.node == stuck.tree, "left_semi").select("rep", "node"))
-        rows = open_.join(model.where("not whole").select("tree", "model"), open_.node == F.col("tree")).select(F.col("rep").alias("id"), "node", "model")
-        rows = rows.join(r, rows.id == r.rep).select("rep", "node", "model", "emb")
-
-        def send(batches):
-            known: dict = {}
-            for b in batches:
-                node, rep = b.column("node").to_numpy(), b.column("rep").to_numpy()
-                x = None
-                ids, to = [], []
-                order = np.argsort(node, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
-                    if not len(part):
-                        continue
-                    k = int(node[part[0]])
-                    if k not in known:
-                        known = {k: pickle.loads(b.column("model")[int(part[0])].as_py())}
-                    x = _matrix(b.column("emb").take(pa.array(part)))
-                    for leaf, got in leaves_of(known[k], x):
-                        ids.append(rep[part[got]])
-                        to.append(np.stack([np.full(len(got), k), np.full(len(got), leaf)], 1))
-                if ids:
-                    ids, to = np.concatenate(ids), np.concatenate(to)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(to[:, 0]), pa.array(to[:, 1])], names=["rep", "parent", "leaf"])
-
-        places = cut(rows.mapInArrow(mapped(send), "rep long, parent long, leaf long").select("rep", F.xxhash64("parent", "leaf").alias("node")), "place")
+        # A node's classes and its model meet in parts of about PART classes.
+        parts = F.ceil(F.col("n") / F.lit(PART)).cast("int")
+        rows = open_.join(stuck, open_.node == stuck.tree, "left_anti").withColumnRenamed("rep", "id")
+        rows = rows.join(r, rows.id == r.rep).select("rep", "node", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "emb")
+        dealt = model.where("not whole").select(F.col("tree").alias("node"), "model", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
+        def send(t: pa.Table, m: pa.Table) -> pa.Table:
+            got = []
+            if len(t) and len(m):
+                nodes = pickle.loads(m.column("model")[0].as_py())
+                got = list(leaves_of(nodes, _matrix(t.column("emb"))))
+            rep, node = t.column("rep").to_numpy(), t.column("node").to_numpy()
+            rows = np.concatenate([k for _, k in got]) if got else np.zeros(0, np.int64)
+            leaf = np.repeat(np.array([k for k, _ in got], np.int64), [len(k) for _, k in got]) if got else rows
+            return pa.table({"rep": rep[rows], "parent": node[rows], "leaf": leaf})
+
+        sent = rows.groupBy("node", "part").cogroup(dealt.groupBy("node", "part")).applyInArrow(tidied(send), "rep long, parent long, leaf long")
+        places = cut(sent.select("rep", F.xxhash64("parent", "leaf").alias("node")), "place")
         drop(size)
     out = done[0]
     for d in done[1:]:

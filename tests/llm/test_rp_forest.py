@@ -31,6 +31,7 @@ def brute(rows, limit=0.93):
 def test_odd_vectors_and_copies(spark, monkeypatch):
     monkeypatch.setattr(rf, "LEAF", 20)
     monkeypatch.setattr(rf, "SQUARE", 16)
+    monkeypatch.setattr(rf, "PART", 30)
     r = np.random.default_rng(0)
     rows = [(i, int(i % 2), [float(x) for x in np.float32(r.normal(size=8))]) for i in range(150)]
     rows += [(200 + i, 0, rows[0][2]) for i in range(30)]  # copies

@@ -8,8 +8,9 @@ one stream; every STEP rounds a checkpoint keeps all coder states and the place
 in the stream, with a checksum of the ids up to the next one, so parts of a
 block decode on their own and in parallel.
 
-A table is a Parquet folder: part, block, start (ids before the block in its
-part), n_ids, doc_ids, counts, payload. Parts are ranges of doc_id, in order.
+A store is two Parquet folders. table: id, freq. blocks: part, block, start
+(ids before the block in its part), n_ids, doc_ids, counts, null_docs, payload;
+parts are ranges of doc_id, in order.
 
 payload, little-endian: magic "PFA1", n, lanes, step (uint32 each), number of
 checkpoints, number of words (uint32); for each checkpoint: word index, crc32
@@ -287,8 +288,8 @@ _SCHEMA = "part int, block int, start long, n_ids long, doc_ids binary, counts b
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, part_bytes: int = 24 << 20) -> np.ndarray:
-    """Encode the documents and write the store at path; the frequency table
-    is its result and lies beside the blocks, too (path + "/_table" rows)."""
+    """Encode the documents and write the store at path: the blocks, and beside
+    them the frequency table, which is also returned."""
     spark = docs.sparkSession
     tokens = cut(tokenize(docs, tokenizer_path, end_id), "ids")
     freq = frequencies(tokens)

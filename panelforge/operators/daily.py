@@ -219,23 +219,25 @@ def week_node(df: DataFrame, bins: int = 50) -> DataFrame:
 
 def alphas(df: DataFrame) -> DataFrame:
     """Sixteen formula alphas. r() is the expanding rank from 60 values on; one
-    grouped call for the first ranks, one for the ranks of what they make."""
+    grouped call for the first ranks, one for the ranks of what they make and
+    one for a29's third rank, which has its first value at bar 183."""
     o, h, low, c, v = (C(k) for k in ("open", "high", "low", "close", "volume"))
     ret = w.pct_change(c)
-    d = df.withColumns({"_ret": ret, "_d5": -w.delta(c, 5), "_oc": -1 + div(o, c), "_co": div(c, o), "_o1": o - w.delay(h, 1), "_o2": o - w.delay(c, 1), "_o3": o - w.delay(low, 1),
+    d = df.withColumns({"_ret": ret, "_d5": w.delta(c, 5), "_oc": -1 + div(o, c), "_co": div(c, o), "_o1": o - w.delay(h, 1), "_o2": o - w.delay(c, 1), "_o3": o - w.delay(low, 1),
                         "_sd": w.std(h, 10, 5), "_d7": w.delta(c, 7)})
     d = d.withColumns({"_tr10": w.ts_rank(c, 10), "_y250": 1 + w.total(C("_ret"), 250, 50)})
     first = ["open", "high", "close", "volume", "_d5", "_oc", "_co", "_o1", "_o2", "_o3", "_sd", "_y250", "_tr10"]
     d = w.recursive(d, {f"r_{k}": ("rank", k, 60) for k in first})
     d = d.withColumns({"_c13": w.cov(C("r_close"), C("r_volume"), 5, 3), "_c16": w.cov(C("r_high"), C("r_volume"), 5, 3),
-                       "_rv5": w.ts_rank(v, 5), "_rh5": w.ts_rank(h, 5)})
+                       "_rv5": w.ts_rank(v, 5), "_rh5": w.ts_rank(h, 5), "_n29": -C("r__d5")})
     d = d.withColumn("_c26", w.corr(C("_rv5"), C("_rh5"), 5))
-    d = w.recursive(d, {"r2_c13": ("rank", "_c13", 60), "r2_c16": ("rank", "_c16", 60), "r2_d5": ("rank", "r__d5", 60)})
+    d = w.recursive(d, {"r2_c13": ("rank", "_c13", 60), "r2_c16": ("rank", "_c16", 60), "r2_d5": ("rank", "_n29", 60)})
+    d = w.recursive(d, {"r3_d5": ("rank", "r2_d5", 60)})
     return d.withColumns({
         "a3": -w.corr(C("r_open"), C("r_volume"), 10), "a6": -w.corr(o, v, 10), "a12": F.signum(w.delta(v)) * -w.delta(c), "a13": -C("r2_c13"), "a16": -C("r2_c16"),
         "a19": -F.signum(w.delta(C("_d7"), 5) + w.delta(c, 5)) * (1 + C("r__y250")),
         "a20": -C("r__o1") * C("r__o2") * C("r__o3"), "a23": F.when(w.mean(h, 20, 10) < h, -w.delta(h, 2)).otherwise(0.0),
-        "a26": -w.high(C("_c26"), 3, 3), "a29": C("r2_d5"), "a33": C("r__oc"), "a35": w.ts_rank(v, 32) * (1 - w.ts_rank(c + h - low, 16)) * (1 - w.ts_rank(C("_ret"), 32)),
+        "a26": -w.high(C("_c26"), 3, 3), "a29": C("r3_d5"), "a33": C("r__oc"), "a35": w.ts_rank(v, 32) * (1 - w.ts_rank(c + h - low, 16)) * (1 - w.ts_rank(C("_ret"), 32)),
         "a38": -C("r__tr10") * C("r__co"), "a40": -C("r__sd") * w.corr(h, v, 10), "a41": F.sqrt(h * low) - (h + low + c) / 3, "a44": -w.corr(h, C("r_volume"), 5),
     }).select(*df.columns, *[f"a{i}" for i in (3, 6, 12, 13, 16, 19, 20, 23, 26, 29, 33, 35, 38, 40, 41, 44)])
 

@@ -166,7 +166,7 @@ SELECT a.symbol, a.ts, round(CASE WHEN n >= 5 THEN x1 END, 4) AS w_ret4, round(C
 
 
 def d28_alphas(spark, sf):
-    return _named(d.alphas(bars.supplier_months(spark, sf)), "", " ".join(f"a{i}" for i in (3, 6, 12, 13, 16, 19, 20, 23, 26, 29, 33, 35, 38, 40, 41, 44)))
+    return _named(d.alphas(bars.supplier_days(spark, sf)), "", " ".join(f"a{i}" for i in (3, 6, 12, 13, 16, 19, 20, 23, 26, 29, 33, 35, 38, 40, 41, 44)))
 
 
 def d28_alphas_plain(spark, sf):

@@ -3,6 +3,7 @@ Fitting is MLlib's; what is computed here around it stays in DataFrames."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from panelforge.functions.exprs import corr
 from panelforge.operators import windows as w
+from panelforge.operators.labels import purged_folds
 
 C = F.col
 
@@ -123,19 +125,38 @@ def recommend(drop: float, ic: float, flips: float) -> str:
     return "REVIEW" if drop >= 0.0005 or abs(ic) >= 0.01 else "DROP"
 
 
-def forward_selection(train: DataFrame, test: DataFrame, features: list[str], label: str, limit: int) -> list[str]:
-    """Features added one by one while they raise the test area by 0.001."""
+def in_folds(df: DataFrame, label: str, folds: int = 3, embargo: int = 5) -> list[tuple[DataFrame, DataFrame]]:
+    """(train, test) of each purged fold whose two sides have both classes."""
+    d = df.where(C(label).isNotNull()).withColumn(label, C(label).cast("double"))
+    d = d.join(F.broadcast(purged_folds(df, folds, embargo).select("ts", "fold", C("part").alias("_part"))), "ts")
+    pairs = [tuple(d.where((C("fold") == k) & (C("_part") == p)).drop("fold", "_part") for p in ("train", "test")) for k in range(folds)]
+    return [x for x in pairs if all(has_two_classes(y, label) for y in x)]
+
+
+def cv_permutation_importance(df: DataFrame, features: list[str], label: str, folds: int = 3, embargo: int = 5, shuffles: int = 2, seed: int = 7, rounds: int = 20, depth: int = 3) -> list[tuple[str, float, float, int]]:
+    """(feature, mean and deviation of its fall over purged folds, folds used),
+    greatest first; each fold has a member of its own."""
+    falls: dict[str, list[float]] = {f: [] for f in features}
+    for k, (train, test) in enumerate(in_folds(df, label, folds, embargo)):
+        for f, x in permutation_importance(member(train, features, label, 1, rounds, depth), test, features, label, shuffles, seed + 100 * k):
+            falls[f].append(x)
+    return sorted([(f, float(np.mean(x)), float(np.std(x)), len(x)) for f, x in falls.items() if x], key=lambda x: -x[1])
+
+
+def forward_selection(df: DataFrame, features: list[str], label: str, limit: int, folds: int = 3, embargo: int = 5, rounds: int = 20, depth: int = 3) -> list[str]:
+    """Features added one by one while they raise the mean test area of the
+    purged folds by 0.001."""
     area = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    pairs = in_folds(df, label, folds, embargo)
     chosen: list[str] = []
     best = 0.5
-    t = test.where(C(label).isNotNull()).withColumn(label, C(label).cast("double"))
-    while len(chosen) < limit:
+    while len(chosen) < limit and pairs:
         tried = []
         for f in features:
             if f not in chosen:
-                m = member(train, [*chosen, f], label, 1, 5, 2)
-                if m is not None:
-                    tried.append((area.evaluate(m.transform(assembled(t, [*chosen, f]))), f))
+                use = [*chosen, f]
+                areas = [area.evaluate(member(train, use, label, 1, rounds, depth).transform(assembled(test, use))) for train, test in pairs]
+                tried.append((sum(areas) / len(areas), f))
         if not tried or max(tried)[0] < best + 0.001:
             break
         best, f = max(tried)

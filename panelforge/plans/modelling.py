@@ -30,15 +30,15 @@ def g01_g05_members(spark, sf):
     pooled score and one regime's own, routed, with their quality."""
     d = panel(spark, sf)
     train, test = d.where("part = 'train'"), d.where("part = 'test'")
-    pooled = g.score([m for s in (1, 2) if (m := g.member(train, FEATURES, "label", s, 3, 2)) is not None], test, FEATURES)
-    even = g.score([m for s in (3,) if (m := g.member(train.where("regime = 'even'"), FEATURES, "label", s, 3, 2)) is not None], test, FEATURES)
+    pooled = g.score([m for s in (1, 2) if (m := g.member(train, FEATURES, "label", s)) is not None], test, FEATURES)
+    even = g.score([m for s in (3,) if (m := g.member(train.where("regime = 'even'"), FEATURES, "label", s)) is not None], test, FEATURES)
     return g.routed(pooled, {"even": even}, ["symbol", "ts"]).select("symbol", "ts", "regime", *rd(prob=C("prob_mean"), spread=C("prob_std"), routed=C("routed")))
 
 
 def g02_g12_calibration(spark, sf):
     """A calibrated probability and the expected change it maps to."""
     d = panel(spark, sf)
-    s = g.score([g.member(d.where("part = 'train'"), FEATURES, "label", 1, 3, 2)], d.where("part = 'cal'"), FEATURES)
+    s = g.score([g.member(d.where("part = 'train'"), FEATURES, "label", 1)], d.where("part = 'cal'"), FEATURES)
     kind, cal = g.calibrate(s, "prob_mean", "label")
     ev = g.expected_value(s, "prob_mean", "y")
     return ev.transform(s).select("symbol", "ts", F.lit(kind).alias("kind"), *rd(prob=C("prob_mean"), expected=C("prediction")))
@@ -65,16 +65,22 @@ SELECT regime, count(*) AS n, round(avg((prob - label) * (prob - label)), 4) AS
 
 
 def g08_g10_importance(spark, sf):
-    """Fall of the area under the curve by shuffled feature, and the advice."""
-    d = panel(spark, sf)
-    m = g.member(d.where("part = 'train'"), FEATURES, "label", 1, 3, 2)
-    rows = [(f, float(x), g.recommend(x, 0.0, 0.0)) for f, x in g.permutation_importance(m, d.where("part = 'test'"), FEATURES, "label", 1)]
-    return spark.createDataFrame(rows, "feature string, fall double, advice string")
+    """Fall of the area under the curve by shuffled feature on the test days,
+    the advice, and mean and spread of the fall over purged folds."""
+    d = panel(spark, sf).persist()
+    m = g.member(d.where("part = 'train'"), FEATURES, "label", 1)
+    cv = {f: x for f, *x in g.cv_permutation_importance(d.where("part = 'train'"), FEATURES, "label", embargo=1)}
+    rows = [(f, float(x), g.recommend(x, 0.0, 0.0), *cv.get(f, (None, None, 0))) for f, x in g.permutation_importance(m, d.where("part = 'test'"), FEATURES, "label")]
+    d.unpersist()
+    return spark.createDataFrame(rows, "feature string, fall double, advice string, cv_fall double, cv_spread double, cv_folds int")
 
 
 def g09_selection(spark, sf):
-    d = panel(spark, sf)
-    got = g.forward_selection(d.where("part = 'train'"), d.where("part = 'test'"), FEATURES[:3], "label", 1)
+    """Features in the order in which they raise the area over purged folds of
+    the training days; any number of them."""
+    d = panel(spark, sf).where("part = 'train'").persist()
+    got = g.forward_selection(d, FEATURES, "label", len(FEATURES), embargo=1)
+    d.unpersist()
     return spark.createDataFrame([(k, f) for k, f in enumerate(got)], "place int, feature string")
 
 

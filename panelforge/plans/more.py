@@ -139,7 +139,7 @@ def g03_g04_rank_ensembles(spark, sf):
     parts = {"pooled": train} | {k: t for k in ("even", "odd") if (t := train.where(C("regime") == k)).where("rank is not null").limit(200).count() >= 200}
     out = None
     for name, rows in parts.items():
-        m = model.rank_member(rows, FEATURES, "rank", 5, 3, 2)
+        m = model.rank_member(rows, FEATURES, "rank", 5)
         p = m.transform(model.assembled(test, FEATURES)).select("symbol", "ts", F.lit(name).alias("model"), "prediction")
         out = p if out is None else out.unionByName(p)
     return out.withColumn("prob", w.xs_rank(C("prediction"), "model", "ts")).select("symbol", "ts", "model", *rd(prob=C("prob")))

@@ -210,8 +210,9 @@ SELECT feature, CAST(rank() OVER (ORDER BY b DESC) - rank() OVER (ORDER BY a DES
 
 
 def m24_candidates(spark, sf):
-    """Lags, differences, rolling means, spreads and ranks of base columns, in
-    long form, for symbols with 30 bars at least; counts and means of each."""
+    """Lags, differences, rolling means and spreads of close and volume, in long
+    form, for symbols with 30 bars at least; counts and means of each. A part
+    of M24 only, see the README."""
     d = bars.supplier_months(spark, sf).withColumn("_n", F.count("*").over(w.Window.partitionBy("symbol"))).where("_n >= 30")
     cols = {}
     for c in ("close", "volume"):

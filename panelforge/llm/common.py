@@ -25,10 +25,13 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # --- the shared folder -------------------------------------------------------
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one is
-    set only where the session has none (tests on one machine)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where the session
+    has none, a temporary one is set on a local master; a cluster has to name
+    one, since its machines share no temporary folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -57,6 +60,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     restart from the table, so a lost executor costs only its own tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     with _shuffle_cleanup(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,14 +69,45 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables made by cut() that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_pf_path", None)
         if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+#: Tables made inside each open scratch(), innermost last.
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Every table that cut() makes inside goes when the block ends, in an error
+    too: an operator's result must be written before that."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def settled(spark: SparkSession, make, name: str) -> DataFrame:
+    """make()'s rows as one table in the shared folder; all tables it needed on
+    the way are gone."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        out = make()
+        with _shuffle_cleanup(spark):
+            out.write.option("compression", "zstd").parquet(path)
+        schema = out.schema
+    return spark.read.schema(schema).parquet(path)
 
 
 # --- columns and blocks ------------------------------------------------------
@@ -249,18 +285,25 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bytes of a group from which on its memory is given back.
+TIDY_BYTES = 1 << 20
+
+
 def tidied(run):
-    """run, a function of one or two Arrow tables, with tidy() after it."""
+    """run, a function of one or two Arrow tables, with tidy() after it unless
+    they are small."""
     if run.__code__.co_argcount == 2:
         def both(t: pa.Table, s: pa.Table) -> pa.Table:
             out = run(t, s)
-            tidy()
+            if t.nbytes + s.nbytes > TIDY_BYTES:
+                tidy()
             return out
         return both
 
     def one(t: pa.Table) -> pa.Table:
         out = run(t)
-        tidy()
+        if t.nbytes > TIDY_BYTES:
+            tidy()
         return out
     return one
 
@@ -281,7 +324,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): smallest node reachable, for every node of an edge
     list. Minimum labels spread over the edges, then over labels (pointer
     jumping), each round cut to a table; only a count of changes reaches the
-    driver. No edge: an empty table."""
+    driver. A giant component is one join key in its last rounds: that join is
+    sort-merge, whose oversized partitions AQE splits on the node side. No edge:
+    an empty table."""
     both = edges.select(F.col(a).alias("s"), F.col(b).alias("d"))
     both = cut(both.unionByName(both.select(F.col("d").alias("s"), F.col("s").alias("d")))
                .where("s != d").distinct(), "edges")

@@ -3,11 +3,14 @@ their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_matrix, count_transducer, ecoc_langid, importance, minhash, oracle, positional_index, ppm_score, rp_forest, suffix_dedup, token_store
+from .common import settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +59,17 @@ def op10_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
-QUERIES = {
+def _tidy(name: str, query):
+    """The query, its rows written once and its intermediate tables deleted."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return settled(spark, lambda: query(spark, sf_dir), name)
+
+    return run
+
+
+_QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_ppm_score": op2_ppm_score,
     "op3_rp_forest": op3_rp_forest,
@@ -68,6 +81,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_count_transducer": op10_count_transducer,
 }
+QUERIES = {name: _tidy(name, query) for name, query in _QUERIES.items()}
 
 #: The others hold models or tokenizers, which SQL can't express; their tests
 #: compare them with brute-force versions and the tokenizers' libraries.

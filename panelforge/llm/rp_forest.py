@@ -12,14 +12,19 @@ meets in several leaves counts in the first of them (by leaf number), so links
 are counted without listing pairs: a leaf returns, for each class, how many
 vectors it links to and the smallest class it is connected with.
 
-Measured recall is 0.99 and more of brute force links on the test data (see the
-tests); links found are exact.
+Rows are scaled by their largest component before their norm is taken, so no
+norm under- or overflows; a row goes left, right or both at every split. Labels
+and lengths are compared as they are (`grp` is the smallest class of a label and
+length), only nodes go by hashes, within their group.
+
+Recall is measured against brute force in the tests and in the README; links
+found are exact.
 
 Defined results: vectors compare only with vectors of the same label and
 length; null label, null, empty or zero vectors, and those with null or
 non-finite components link with nothing. Rows of one vec_id count as one vector
 (its smallest label and embedding); a null vec_id links with nothing and has a
-null component and is kept.
+null component and is kept. Extra columns don't come through.
 """
 
 from __future__ import annotations
@@ -33,15 +38,23 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, drop, pick, tidied
 
-TREES, SPILL = 4, 0.03
-LEAF, FIT, DEPTH, SQUARE, PART = 800, 4096, 8, 1024, 20_000
+TREES, SPILL = 12, 0.015
+LEAF, FIT, DEPTH, SQUARE, PART = 48, 4096, 8, 1024, 20_000
 
 
-def _matrix(col) -> np.ndarray:
+def unit_rows(col) -> np.ndarray:
     """Unit rows, in double precision, of an Arrow list column."""
     a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    if not len(a):
+        return np.zeros((0, 1))
     x = a.flatten().to_numpy().astype(np.float64).reshape(len(a), -1)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    big = np.abs(x).max(1, keepdims=True)
+    # Two steps: the inverse of a tiny number may itself be infinite.
+    x = x / big
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    if not np.isfinite(x).all():
+        raise ValueError("a vector has no direction")
+    return x
 
 
 def fit_tree(x: np.ndarray, total: int, seed: int) -> list:
@@ -79,110 +92,156 @@ def leaves_of(nodes: list, x: np.ndarray):
             continue
         d, t, left, right = nodes[k]
         p = x[rows] @ d.astype(np.float64)
-        todo += [(left, rows[p <= t + SPILL]), (right, rows[p >= t - SPILL])]
+        goes = p <= t + SPILL
+        todo += [(left, rows[goes]), (right, rows[~goes | (p >= t - SPILL)])]
 
 
 def _grow(places: DataFrame, reps: DataFrame, seed: int) -> DataFrame:
-    """rep, node: every class's leaves in all trees. A node is a number of its
-    own, unlike those of other labels and trees."""
+    """rep, grp, node: every class's leaves in all trees. A node is a number of
+    its own within its group."""
     done, r = [], reps.select("rep", "emb")
+    key = ["grp", "node"]
     while True:
-        size = cut(places.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > LEAF).select(F.col("node").alias("big"), "n"), "size")
+        size = cut(places.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > LEAF), "size")
         if not size.limit(1).count():
+            drop(size)
             done.append(places)
             break
         seed += 1
-        done.append(cut(places.join(size, places.node == size.big, "left_anti"), "leaf"))
-        open_ = cut(places.join(size, places.node == size.big).select("rep", "node", "n"), "open")
+        done.append(cut(places.join(size, key, "left_anti").select("rep", *key), "leaf"))
+        open_ = cut(places.join(size, key).select("rep", *key, "n"), "open")
+        drop(places)
         point = F.pmod(F.xxhash64("rep", "node", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        sample = open_.where(point < F.least(F.lit(1.0), F.lit(float(FIT)) / F.col("n"))).withColumnRenamed("rep", "id")
-        sample = sample.join(r, sample.id == r.rep).select("node", "n", "emb")
+        sample = open_.where(point < F.least(F.lit(1.0), F.lit(float(FIT)) / F.col("n"))).join(r, "rep").select(*key, "n", "emb")
 
         salt = seed
 
         def fit(t: pa.Table) -> pa.Table:
-            node, n = t.column("node")[0].as_py(), t.column("n")[0].as_py()
-            nodes = fit_tree(_matrix(t.column("emb")), n, (node ^ salt) & (2**63 - 1))
-            return pa.table({"tree": pa.array([node], pa.int64()), "model": pa.array([pickle.dumps(nodes)], pa.binary()), "whole": pa.array([len(nodes) == 1]), "n": pa.array([n], pa.int64())})
+            grp, node, n = (t.column(c)[0].as_py() for c in ("grp", "node", "n"))
+            nodes = fit_tree(unit_rows(t.column("emb")), n, (node ^ salt) & (2**63 - 1))
+            return pa.table({"grp": pa.array([grp], pa.int64()), "node": pa.array([node], pa.int64()), "model": pa.array([pickle.dumps(nodes)], pa.binary()),
+                             "whole": pa.array([len(nodes) == 1]), "n": pa.array([n], pa.int64())})
 
-        model = cut(sample.groupBy("node").applyInArrow(tidied(fit), "tree long, model binary, whole boolean, n long"), "model")
+        model = cut(sample.groupBy(*key).applyInArrow(tidied(fit), "grp long, node long, model binary, whole boolean, n long"), "model")
         # Nodes no direction can split are leaves of their own.
-        stuck = model.where("whole").select("tree")
-        done.append(open_.join(stuck, open_.node == stuck.tree, "left_semi").select("rep", "node"))
+        stuck = model.where("whole").select(*key)
+        done.append(cut(open_.join(stuck, key, "left_semi").select("rep", *key), "leaf"))
         # A node's classes and its model meet in parts of about PART classes.
         parts = F.ceil(F.col("n") / F.lit(PART)).cast("int")
-        rows = open_.join(stuck, open_.node == stuck.tree, "left_anti").withColumnRenamed("rep", "id")
-        rows = rows.join(r, rows.id == r.rep).select("rep", "node", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "emb")
-        dealt = model.where("not whole").select(F.col("tree").alias("node"), "model", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        rows = open_.join(stuck, key, "left_anti").join(r, "rep").select(
+            "rep", *key, F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "emb")
+        dealt = model.where("not whole").select(*key, "model", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
 
         def send(t: pa.Table, m: pa.Table) -> pa.Table:
             got = []
             if len(t) and len(m):
                 nodes = pickle.loads(m.column("model")[0].as_py())
-                got = list(leaves_of(nodes, _matrix(t.column("emb"))))
-            rep, node = t.column("rep").to_numpy(), t.column("node").to_numpy()
+                got = list(leaves_of(nodes, unit_rows(t.column("emb"))))
+            rep, grp, node = (t.column(c).to_numpy() for c in ("rep", "grp", "node"))
             rows = np.concatenate([k for _, k in got]) if got else np.zeros(0, np.int64)
             leaf = np.repeat(np.array([k for k, _ in got], np.int64), [len(k) for _, k in got]) if got else rows
-            return pa.table({"rep": rep[rows], "parent": node[rows], "leaf": leaf})
+            return pa.table({"rep": rep[rows], "grp": grp[rows], "parent": node[rows], "leaf": leaf})
 
-        sent = rows.groupBy("node", "part").cogroup(dealt.groupBy("node", "part")).applyInArrow(tidied(send), "rep long, parent long, leaf long")
-        places = cut(sent.select("rep", F.xxhash64("parent", "leaf").alias("node")), "place")
-        drop(size)
+        sent = rows.groupBy(*key, "part").cogroup(dealt.groupBy(*key, "part")).applyInArrow(
+            tidied(send), "rep long, grp long, parent long, leaf long")
+        places = cut(sent.select("rep", "grp", F.xxhash64("parent", "leaf").alias("node")), "place")
+        drop(size, open_, model)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return cut(out, "forest")
+    out = cut(out, "forest")
+    drop(*done)
+    return out
+
+
+class _Union:
+    """Connected rows of one leaf; the root is that of smallest rep."""
+
+    def __init__(self, rep: np.ndarray):
+        self.rep, self.root = rep, list(range(len(rep)))
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            a, b = (a, b) if self.rep[a] < self.rep[b] else (b, a)
+            self.root[b] = a
+
+
+def _leaf_links(x, rep, w, keys, real, leaf, left, right, same_part, limit):
+    """(rows with links, vectors linked, smallest row connected) of one leaf or
+    one square part of it; pairs that met in an earlier leaf don't count."""
+    links, union = np.zeros(len(rep), np.int64), _Union(rep)
+    for k in range(0, len(left), 256):
+        r = left[k:k + 256]
+        ordered = rep[r][:, None] < rep[right][None, :] if same_part else True
+        a, b = np.nonzero((x[r] @ x[right].T >= limit) & ordered)
+        a, b = r[a], right[b]
+        for s in range(0, len(a), 2048):
+            p, q = a[s:s + 2048], b[s:s + 2048]
+            both = np.zeros((len(p), keys.shape[1]), bool)
+            for c in range(keys.shape[1]):
+                both |= (keys[p] == keys[q][:, c:c + 1]) & real[q][:, c:c + 1]
+            both &= real[p]
+            first = keys[p][np.arange(len(p)), both.argmax(1)]
+            p, q = p[first == leaf], q[first == leaf]
+            np.add.at(links, p, w[q])
+            np.add.at(links, q, w[p])
+            for u, z in zip(p.tolist(), q.tolist(), strict=True):
+                union.join(u, z)
+    got = np.flatnonzero(links)
+    return got, links[got], np.array([union.find(i) for i in got.tolist()], np.int64)
 
 
 def _compare(forest: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
-    """rep, links (vectors linked, other than its own class), root."""
-    mine = forest.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("nodes")).withColumnRenamed("rep", "id")
-    v = cut(reps.join(mine, reps.rep == mine.id).drop("id"), "vector")
-    size = forest.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("node", "leaf")
-    size = cut(size, "leafsize")
-    side = F.ceil(F.col("n") / F.lit(SQUARE)).cast("int")
-    rows = forest.join(size, forest.node == size.leaf).select(F.col("rep").alias("id"), "node", F.pmod(F.xxhash64("rep"), side).cast("int").alias("part"),
-                                                             F.explode(F.sequence(F.lit(0), side - 1)).alias("other"))
-    rows = rows.select("id", "node", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = rows.join(v, rows.id == v.rep).drop("id")
+    """rep, links (vectors linked, other than its own class), root. Leaves are
+    packed into Python groups of about PART rows."""
+    mine = forest.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    v = cut(reps.join(mine, "rep"), "vector")
+    size = cut(forest.groupBy("grp", "node").agg(F.count("*").alias("n")).where("n > 1"), "leafsize")
+    side = F.ceil(F.col("n") / F.lit(SQUARE))
+    total = size.agg(F.sum(F.col("n") * side)).first()[0] or 0
+    side, packs = side.cast("int"), max(total // PART, 1)
+    rows = forest.join(size, ["grp", "node"]).select(
+        "rep", "grp", "node", F.pmod(F.xxhash64("rep"), side).cast("int").alias("part"),
+        F.explode(F.sequence(F.lit(0), side - 1)).alias("other"))
+    rows = rows.select("rep", "grp", "node", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    rows = rows.withColumn("pack", F.pmod(F.xxhash64("grp", "node", "i", "j"), F.lit(packs))).join(v, "rep")
+    dim = F.size("emb").alias("dim")
 
     def run(t: pa.Table) -> pa.Table:
-        leaf, lo, hi = (t.column(c)[0].as_py() for c in ("node", "i", "j"))
-        part, rep, w = (t.column(c).to_numpy() for c in ("part", "rep", "w"))
-        x = _matrix(t.column("emb"))
-        lists = t.column("nodes").to_pylist()
-        most = max(map(len, lists))
-        keys = np.array([a + [-i - 1] * (most - len(a)) for i, a in enumerate(lists)], np.int64)
-        real = np.array([[True] * len(a) + [False] * (most - len(a)) for a in lists])
-        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for k in range(0, len(left), 256):
-            r = left[k:k + 256]
-            a, b = np.nonzero((x[r] @ x[right].T >= limit) & ((rep[r][:, None] < rep[right][None, :]) if lo == hi else True))
-            a, b = r[a], right[b]
-            for s in range(0, len(a), 8192):
-                p, q = a[s:s + 8192], b[s:s + 8192]
-                same = (keys[p][:, :, None] == keys[q][:, None, :]) & real[p][:, :, None] & real[q][:, None, :]
-                first = keys[p][np.arange(len(p)), same.any(2).argmax(1)]
-                p, q = p[first == leaf], q[first == leaf]
-                np.add.at(links, p, w[q])
-                np.add.at(links, q, w[p])
-                for u, z in zip(p.tolist(), q.tolist(), strict=True):
-                    u, z = find(u), find(z)
-                    if u != z:
-                        u, z = (u, z) if rep[u] < rep[z] else (z, u)
-                        root[z] = u
-        got = np.flatnonzero(links)
-        return pa.table({"rep": rep[got], "links": links[got], "root": np.array([rep[find(i)] for i in got], np.int64)})
-
-    return rows.groupBy("node", "i", "j").applyInArrow(tidied(run), "rep long, links long, root long")
+        names = ("grp", "node", "i", "j")
+        col = {c: t.column(c).to_numpy() for c in (*names, "part", "rep", "w")}
+        x = unit_rows(t.column("emb"))
+        lists = t.column("nodes").combine_chunks()
+        count = np.diff(lists.offsets.to_numpy())
+        real = np.arange(count.max())[None, :] < count[:, None]
+        keys = np.zeros(real.shape, np.int64)
+        keys[real] = lists.flatten().to_numpy()
+        order = np.lexsort([col[c] for c in names])
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for c in names:
+            new[1:] |= col[c][order][1:] != col[c][order][:-1]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for rows in np.split(order, np.flatnonzero(new)[1:]):
+            part, lo, hi = col["part"][rows], col["i"][rows[0]], col["j"][rows[0]]
+            rep = col["rep"][rows]
+            got, links, root = _leaf_links(x[rows], rep, col["w"][rows], keys[rows], real[rows], col["node"][rows[0]],
+                                           np.flatnonzero(part == lo), np.flatnonzero(part == hi), lo == hi, limit)
+            for a, b in zip(out, (rep[got], links, rep[root]), strict=True):
+                a.append(b)
+        return pa.table({c: np.concatenate(a) for c, a in zip(("rep", "links", "root"), out, strict=True)})
+
+    # Vectors of one length in a Python group, so that they make a matrix.
+    found = cut(rows.select("*", dim).groupBy("pack", "dim").applyInArrow(tidied(run), "rep long, links long, root long"), "found")
+    drop(v, size)
+    return found
 
 
 def near_vectors(vectors: DataFrame, limit: float = 0.93, trees: int = TREES, seed: int = 3) -> DataFrame:
@@ -194,11 +253,15 @@ def near_vectors(vectors: DataFrame, limit: float = 0.93, trees: int = TREES, se
     cls = cut(one.groupBy("label", "emb").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")), "class")
     c = cls.select(F.col("label").alias("l2"), F.col("emb").alias("e2"), "rep", "w")
     own = cut(one.join(c, (one.label == c.l2) & (one.emb == c.e2)).select("vec_id", "rep", "w"), "own")
-    start = cls.select("rep", F.xxhash64("label", F.size("emb")).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    places = cut(start.select("rep", F.xxhash64("g", "tree").alias("node")), "place")
+    same = ["label", "dim"]
+    dims = cls.select("rep", "label", F.size("emb").alias("dim"))
+    start = dims.join(dims.groupBy(*same).agg(F.min("rep").alias("grp")), same).select(
+        "rep", "grp", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    places = cut(start.select("rep", "grp", F.xxhash64("grp", "tree").alias("node")), "place")
     reps = cls.select("rep", "w", "emb")
     forest = _grow(places, reps, seed)
-    found = cut(_compare(forest, reps, limit), "found")
+    found = _compare(forest, reps, limit)
+    drop(forest)
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "id")
     known = own.join(links, own.rep == links.id, "left").join(comp, own.rep == comp.node, "left").select(

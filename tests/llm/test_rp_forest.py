@@ -69,6 +69,41 @@ def test_recall_at_the_threshold(spark, monkeypatch):
     assert sum(got.values()) >= 0.95 * sum(w[0] for w in want.values())
 
 
+def test_recall_of_deep_trees(spark):
+    """One label of over 30 times a leaf: every tree is split several times."""
+    r = np.random.default_rng(9)
+    centre = r.normal(size=(400, 64))
+    x = np.concatenate([centre + s * r.normal(size=centre.shape) for s in (0.05, 0.15, 0.2, 0.25)])
+    rows = [(i, 7, v.tolist()) for i, v in enumerate(x)]
+    assert len(rows) >= 30 * rf.LEAF
+    want = brute(rows)
+    got = {v.vec_id: (v.n_links, v.component_id) for v in rf.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert all(got[i][0] <= want[i][0] for i in got)
+    assert sum(g[0] for g in got.values()) >= 0.99 * sum(w[0] for w in want.values())
+    assert sum(w[0] for w in want.values()) > 1000
+
+
+def test_tiny_and_huge_components(spark):
+    """A norm that under- or overflows costs no other vector its links."""
+    r = np.random.default_rng(2)
+    rows = [(i, 1, r.normal(size=8).tolist()) for i in range(600)]
+    want = brute(rows)
+    odd = [(1000, 1, [1e-170] * 8), (1001, 1, [1e200] * 8), (1002, 1, [5e-324] + [0.0] * 7), (1003, 1, [1.7e308] * 8)]
+    got = {v.vec_id: v.n_links for v in rf.near_vectors(spark.createDataFrame(rows + odd, "vec_id long, label int, embedding array<double>")).collect()}
+    ones = {i for i, _, v in rows if np.sum(v) / np.linalg.norm(v) / np.sqrt(8) >= 0.93}
+    assert got[1000] == got[1001] == got[1003] == 2 + len(ones)
+    along = {i for i, _, v in rows if v[0] / np.linalg.norm(v) >= 0.93}
+    assert got[1002] == len(along)
+    assert all(got[i] == want[i][0] + 3 * (i in ones) + (i in along) for i, _, _ in rows)
+
+
+def test_rows_reach_a_side():
+    nodes = rf.fit_tree(np.random.default_rng(0).normal(size=(500, 4)), 500, 1)
+    assert len(nodes) > 5
+    x = np.random.default_rng(1).normal(size=(300, 4))
+    assert set(np.concatenate([k for _, k in rf.leaves_of(nodes, x)])) == set(range(300))
+
+
 def test_empty_null_and_repeated(spark):
     assert rf.near_vectors(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).collect() == []
     df = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (2, 1, [2.0, 0.0]), (None, 1, [1.0, 0.0])], "vec_id long, label int, embedding array<float>")

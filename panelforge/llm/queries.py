@@ -35,7 +35,7 @@ def op4_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return importance.resample(table(spark, sf_dir, "documents"), target, share=0.86)
+    return importance.resample(table(spark, sf_dir, "documents"), target, share=0.8)
 
 
 def op6_ecoc_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

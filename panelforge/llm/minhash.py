@@ -6,15 +6,20 @@ one of a fixed random sequence of its own). Four bins make a band, 32 bands a
 document. Documents with the same shingle set are one class and only its
 smallest id goes on. A bucket gives star edges (its smallest id to the others);
 each edge is confirmed on the full shingle sets. Buckets that still hold
-several components get a second, random star and then a comparison of what is
-left, in square blocks of bounded size, by signature; pairs that may reach the
-threshold are confirmed on full sets too. So pair counts stay near linear while
-no link within a bucket is passed over.
+several components get two more, random stars and then an exact comparison of
+what is left, document against document within a block: set sizes and bitmaps of
+the sets bound the intersection from above, and every pair that the bound leaves
+is confirmed on full sets too. So pair counts stay near linear while no link
+within a bucket is passed over.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z;
 fewer words than a shingle make one shingle; null, empty or blank text has no
 shingle, links with nothing and is kept. A null doc_id never links (component
-null, kept). Rows of one doc_id count as one document with several texts.
+null, kept). Rows of one doc_id count as one document with several texts; of a
+document that stays, one_of_each keeps every different text once. Repeated rows
+that differ in other columns only are one row there, that of least row hash.
+Texts of any length count whole. Extra columns come through one_of_each as they
+are, whatever their names, and don't reach near_duplicates.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from .common import (LOWER, block_of, components, cut, drop, mapped, mix, n_bloc
                      span_hashes, text_buffer, text_bytes, tidied, word_spans)
 
 BINS, ROWS = 128, 4
+#: Bits of a set's bitmap.
+BITS = 1024
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
@@ -102,6 +109,24 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
         mapped(run), "doc_id long, n_shingles long, f1 long, f2 long, sig array<long>")
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BITS bits for each set: those its hashes fall on."""
+    out = np.zeros((len(sets), BITS // 64), np.uint64)
+    for row, u in zip(out, sets, strict=True):
+        bit = np.zeros(BITS, bool)
+        bit[((u >> np.uint64(17)) & np.uint64(BITS - 1)).astype(np.int64)] = True
+        row[:] = np.packbits(bit).view(np.uint64)
+    return out
+
+
+def may_reach(size_x: int, bits_x: np.ndarray, sizes: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Where a set can have the similarity with set x. Exact: a bit that only
+    one of two sets has stands for a member that the other doesn't hold."""
+    both = np.minimum(size_x - np.bitwise_count(bits_x & ~bits).sum(1, dtype=np.int64),
+                      sizes - np.bitwise_count(bits & ~bits_x).sum(1, dtype=np.int64))
+    return 100 * both >= percent * (size_x + sizes - both)
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, blocks: int, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity. A block
     holds the texts of its b documents and of the a documents they need, so a
@@ -139,8 +164,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, blocks: int, k: int, percent: i
 def _left_over(members: DataFrame, sizes: DataFrame, texts: DataFrame, sigs: DataFrame, blocks: int, k: int, percent: int) -> DataFrame:
     """Links between the components that still meet in a bucket. Documents
     outside the largest component of a bucket are sent to every block that
-    holds a document of that bucket, and compared there with those documents:
-    first by signature, then on full sets. A block returns one link at most for
+    holds a document of that bucket, and compared there with those documents on
+    full sets, but for pairs that sizes and bitmaps rule out. A block returns one link at most for
     a document and a component, never the pairs it looked at."""
     m = members.join(sizes, members.component == sizes.root).drop("root")
     big = cut(m.groupBy("bk").agg(F.max(F.struct("size", "component")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -157,10 +182,9 @@ def _left_over(members: DataFrame, sizes: DataFrame, texts: DataFrame, sigs: Dat
     def run(t: pa.Table) -> pa.Table:
         asks, rep, comp = (t.column(c).to_numpy() for c in ("asks", "rep", "component"))
         sig = np.array(t.column("sig").to_pylist(), np.int64).reshape(len(rep), -1)
-        half = sig.view(np.uint16).reshape(len(rep), -1)
         buf, off = text_buffer(t.column("text"))
         sets = [u for i, j in slices(off) for u in shingle_sets(buf[off[i]:off[j]], off[i:j + 1] - off[i], k)]
-        size = np.array([len(u) for u in sets], np.int64)
+        size, bits = np.array([len(u) for u in sets], np.int64), bitmaps(sets)
         x_all, y_all = np.flatnonzero(asks), np.flatnonzero(~asks)
         found: dict[tuple[int, int], int] = {}
         for band in range(sig.shape[1]):
@@ -172,9 +196,8 @@ def _left_over(members: DataFrame, sizes: DataFrame, texts: DataFrame, sigs: Dat
                     x, ys = x_all[q], y[at:min(at + 4096, hi[q])]
                     ys = ys[comp[ys] != comp[x]]
                     ys = ys[~(sig[ys, :band] == sig[x, :band]).any(1)]
-                    # Four standard errors below the threshold.
-                    n = np.minimum(np.minimum(size[ys], size[x]), BINS)
-                    ys = ys[(half[ys] == half[x]).mean(1) >= percent / 100 - 4 * np.sqrt(0.1875 / np.maximum(n, 1))]
+                    ys = ys[100 * np.minimum(size[ys], size[x]) >= percent * np.maximum(size[ys], size[x])]
+                    ys = ys[may_reach(size[x], bits[x], size[ys], bits[ys], percent)]
                     ys = ys[[(x, c) not in found for c in comp[ys].tolist()]] if len(ys) else ys
                     if not len(ys):
                         continue
@@ -245,13 +268,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """The documents, all columns, one of each group of near-duplicates (that
-    of smallest doc_id) and of rows with one doc_id; those without a doc_id
-    stay."""
+    of smallest doc_id); those without a doc_id stay. Rows of one doc_id and
+    text are one row; different texts of one doc_id all stay with it."""
     names = docs.columns
     ids = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_pf_id")).distinct()
     own = docs.where("doc_id is not null")
-    own = own.join(ids, own.doc_id == ids._pf_id, "left_semi").dropDuplicates(["doc_id"])
-    return own.select(*[F.col(f"`{c}`") for c in names]).unionByName(docs.where("doc_id is null"))
+    own = own.join(ids, own.doc_id == ids._pf_id, "left_semi")
+    # Types that can't be hashed don't order rows.
+    order = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    own = own.groupBy("doc_id", "text").agg(F.min_by(row, F.xxhash64(*order)).alias("_pf_row"))
+    own = own.select(*[F.col(f"_pf_row.c{i}").alias(c) for i, c in enumerate(names)])
+    return own.unionByName(docs.where("doc_id is null"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from panelforge.llm import minhash
 
 
@@ -71,6 +73,35 @@ def test_group_near_the_threshold(spark):
     assert got == brute(rows)
 
 
+def test_bound_is_never_too_low():
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    for n in (1, 7, 100, 3000, 30_000):
+        sets = []
+        for _ in range(20):
+            keep = r.random() ** 0.2
+            sets.append(np.unique(np.concatenate([pool[:n][r.random(n) < keep], r.choice(pool, max(1, int(n * (1 - keep))))])))
+        bits, size = minhash.bitmaps(sets), np.array([len(u) for u in sets])
+        for i, u in enumerate(sets):
+            both = np.array([len(np.intersect1d(u, v)) for v in sets])
+            near = 100 * both >= 75 * (len(u) + size - both)
+            assert near[i] and not (near & ~minhash.may_reach(len(u), bits[i], size, bits, 75)).any()
+
+
+def test_one_of_each_keeps_texts(spark):
+    """Different texts of one doc_id stay; the survivor of repeated rows doesn't
+    depend on their order."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, a, "z"), (None, a, "n"), (None, a, "n"), (3, None, "e"), (3, None, "f"), (4, "", "g")]
+    seen = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+        seen.add(tuple(sorted(map(str, got))))
+    assert len(seen) == 1
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, a), (0, a), (1, a), (1, b), (3, ""), (4, "")])
+
+
 def test_empty_null_and_repeated(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).collect() == []

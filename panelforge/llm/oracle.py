@@ -16,14 +16,14 @@ n AS (SELECT a, count(DISTINCT b) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept FROM embeddings LEFT JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id"""
 
 OP4 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ANY}') AS w FROM documents),
-i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_ANY}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '{_ANY}') AS w FROM benchmark),
 s AS (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0),
 win AS (SELECT DISTINCT item, len(w[s:s + 9]) AS n, array_to_string(w[s:s + 9], ' ') AS k FROM s),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d),
 k AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM p, (SELECT DISTINCT n FROM win) WHERE s + n - 1 <= len(w)),
 m AS (SELECT DISTINCT doc_id, s, n, item FROM k JOIN win USING (n, k)),
 h AS (SELECT doc_id, count(DISTINCT x) AS hits FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM m WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(hits, 0) AS n_hit, coalesce(items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(hits, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 OP7 = rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -17,8 +17,8 @@ def brute(docs, items, width=10):
     wins = []
     for i, t in items:
         w = words(t)
-        if i is not None and w:
-            wins += [(str(i), w[k:k + width]) for k in range(max(1, len(w) - width + 1))]
+        if w:
+            wins += [(None if i is None else str(i), w[k:k + width]) for k in range(max(1, len(w) - width + 1))]
     out = []
     for i, t in docs:
         w, hit, found = words(t), set(), set()
@@ -26,7 +26,7 @@ def brute(docs, items, width=10):
             for p in range(len(w) - len(x) + 1):
                 if w[p:p + len(x)] == x:
                     hit |= set(range(p, p + len(x)))
-                    found.add(item)
+                    found |= {item} - {None}
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
@@ -47,23 +47,29 @@ def tables():
     return docs, items
 
 
-def test_same_as_brute_force(spark):
+def test_same_as_brute_force(spark, monkeypatch):
     docs, items = tables()
     d = spark.createDataFrame([(i, t, "z") for i, t in docs], "doc_id long, text string, term string").repartition(3)
     b = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, pos int")
     want = brute(docs, items)
     assert sum(w[5] for w in want) > 20
     for limit in (500_000, 0):  # broadcast, and the shuffled way beyond
-        pi.BROADCAST, old = limit, pi.BROADCAST
-        pi._small.__defaults__ = (limit,)
+        monkeypatch.setattr(pi, "BROADCAST", limit)
+        monkeypatch.setattr(pi._small, "__defaults__", (limit,))
         got = pi.contamination(d, b).drop("k2").collect()
-        pi.BROADCAST = old
-        pi._small.__defaults__ = (old,)
         assert sorted(map(tuple, got), key=str) == want
     clean = sorted((r.doc_id, r.text, r.term) for r in pi.remove_contaminated(d, b).where("doc_id is not null").collect())
     assert [c[0] for c in clean] == sorted(w[0] for w in want if not w[5] and w[0] is not None)
 
 
+def test_items_without_id_count_for_hits(spark):
+    d = spark.createDataFrame([(1, "x red fox y"), (2, "blue"), (3, "none")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "red fox"), (None, "blue"), (7, "blue")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in pi.contamination(d, b).collect()}
+    assert got == {1: (2, 0, True), 2: (1, 1, True), 3: (0, 0, False)}
+    assert [r.doc_id for r in pi.remove_contaminated(d, b).collect()] == [3]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red q q blue"), (2, "red q q q q blue"), (3, "blue red"), (4, "red")], "doc_id long, text string")
     q = spark.createDataFrame([("rb", "red"), ("rb", "blue"), ("b", "blue"), ("none", "green"), ("none", "red")], "query string, word string")

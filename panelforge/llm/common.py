@@ -141,6 +141,13 @@ def block_of(n: int, *keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
 
+def dealt(df: DataFrame, n: int, *keys: str):
+    """df grouped by the keys in n tasks. n counts blocks or buckets of bounded
+    size, so what a task reads doesn't grow with the data, as it would with a
+    fixed number of shuffle partitions."""
+    return df.repartition(n, *keys).groupBy(*keys)
+
+
 # --- text as NumPy -----------------------------------------------------------
 
 def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (LOWER, block_of, components, cut, drop, mapped, mix, n_blocks, pick, slices,
+from .common import (LOWER, block_of, components, cut, dealt, drop, mapped, mix, n_blocks, pick, slices,
                      span_hashes, text_buffer, text_bytes, tidied, word_spans)
 
 BINS, ROWS = 128, 4
@@ -158,7 +158,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, blocks: int, k: int, percent: i
         ok = np.unique(np.array(ok, np.int64))
         return pa.table({"a": a[ok].astype(np.int64), "b": b[ok].astype(np.int64)})
 
-    return rows.groupBy("blk").applyInArrow(tidied(run), "a long, b long")
+    return dealt(rows, blocks, "blk").applyInArrow(tidied(run), "a long, b long")
 
 
 def _left_over(members: DataFrame, sizes: DataFrame, texts: DataFrame, sigs: DataFrame, blocks: int, k: int, percent: int) -> DataFrame:
@@ -210,7 +210,7 @@ def _left_over(members: DataFrame, sizes: DataFrame, texts: DataFrame, sigs: Dat
         b = np.array(list(found.values()), np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    out = cut(rows.groupBy("blk").applyInArrow(tidied(run), "a long, b long"), "link")
+    out = cut(dealt(rows, blocks, "blk").applyInArrow(tidied(run), "a long, b long"), "link")
     drop(big, m, where)
     return out
 

@@ -10,12 +10,14 @@ without the symbols the longer one has excluded, and at last to a uniform
 choice of what remains.
 
 The trie is never in one place. Each block of documents counts its own strings
-of ORDER + 1 symbols; strings meet in buckets by the two latest context bytes,
-where all their contexts of two or more bytes are, so a bucket counts them at
-every order and works out the code length of each string. Contexts of one and
-no byte are one table of 258 x 257 counts at most, which every task gets. The
-code lengths go back to the blocks that asked, and blocks add them up for each
-document. What is shuffled grows with the corpus.
+of ORDER + 1 symbols; strings meet in buckets by the three latest context bytes,
+where all their contexts of three or more bytes are, so a bucket counts them at
+every order and works out the code length of each string. Contexts of two and
+fewer bytes are one table, which every task gets: 258 x 258 x 257 counts at most,
+whatever the corpus, and only those that occur. The code lengths go back to the
+blocks that asked, and blocks add them up for each document. What is shuffled
+grows with the corpus; what a task reads does not, as there are as many tasks as
+blocks.
 
 base_score is the add-one unigram score of the words, by the same exchange;
 words are matched by 64-bit hashes.
@@ -23,7 +25,8 @@ words are matched by 64-bit hashes.
 Defined results: null text is empty (one end symbol, one end token); a
 document whose training flag is null is scored and not learnt from; no training
 document leaves a uniform model (and a base score of 0); repeated rows count
-each time.
+each time. A text of any length is scored whole (it is a slice of its own in its
+block). Extra columns, clashing names included, don't reach the operator.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (LOWER, HashIndex, block_of, cut, drop, mapped, mix, n_blocks, pick, slices,
+from .common import (LOWER, HashIndex, block_of, cut, dealt, drop, mapped, mix, n_blocks, pick, slices,
                      span_hashes, text_buffer, text_bytes, tidied, word_spans)
 
 ORDER = 5
@@ -89,15 +92,47 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return u, c
 
 
-def code_lengths(key: np.ndarray, count: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
+class Low:
+    """Training counts of the contexts of two bytes, and with them of one and
+    none: sorted codes (c1, c2, symbol) and their counts."""
+
+    def __init__(self, key: np.ndarray, count: np.ndarray):
+        o = np.argsort(key)
+        self.key, self.count = key[o].astype(np.int64), count[o].astype(np.int64)
+        self.one = np.zeros((258, 257), np.int64)
+        np.add.at(self.one, (self.key >> 18, self.key & 511), self.count)
+        self.ctx, head = np.unique(self.key >> 9, return_index=True)
+        sums = (lambda x: np.add.reduceat(x, head)) if len(head) else (lambda x: x)
+        #: Of each context: its total, different symbols, and what those count
+        #: in the context of one byte.
+        self.facts = np.stack([sums(self.count), sums((self.count > 0).astype(np.int64)), sums(self.one[self.key >> 18, self.key & 511])])
+
+    @staticmethod
+    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return at, table[at] == keys
+
+    def counts(self, code: np.ndarray) -> np.ndarray:
+        at, ok = self._find(self.key, code)
+        return np.where(ok, self.count[at], 0) if len(self.key) else np.zeros(len(code), np.int64)
+
+    def context(self, ctx: np.ndarray) -> np.ndarray:
+        at, ok = self._find(self.ctx, ctx)
+        return np.where(ok, self.facts[:, at], 0) if len(self.ctx) else np.zeros((3, len(ctx)), np.int64)
+
+
+def code_lengths(key: np.ndarray, count: np.ndarray, low: Low, order: int) -> np.ndarray:
     """log10 probability of each string's symbol after its context, for all
-    different strings (with training counts) of whole contexts of two symbols;
-    low[c1, s] are the counts of the contexts of one symbol."""
+    different strings (with training counts) of whole contexts of three symbols
+    (two where order is 2)."""
     s = (key & np.uint64(511)).astype(np.int64)
-    c1 = (key >> np.uint64(9 * order)).astype(np.int64) & 511
+    two = (key >> np.uint64(9 * (order - 1))).astype(np.int64)  # c1, c2
+    c1 = two >> 9
     # For every order, of each string: count, context total, different symbols.
     cnt, tot, dif, parts = {}, {}, {}, {}
-    for j in range(order, 1, -1):
+    for j in range(order, 2, -1):
         ctx = key >> np.uint64(9 * (order - j) + 9)
         u, c, inv = _sum_by((ctx << np.uint64(9)) | s.astype(np.uint64), count)
         uc, head, cinv = np.unique(u >> np.uint64(9), return_index=True, return_inverse=True)
@@ -105,24 +140,22 @@ def code_lengths(key: np.ndarray, count: np.ndarray, low: np.ndarray, order: int
         kinds = np.add.reduceat((c > 0).astype(np.int64), head) if len(u) else c
         parts[j] = (u, c, inv, cinv, total, kinds)
         cnt[j], tot[j], dif[j] = c[inv], total[cinv[inv]], kinds[cinv[inv]]
-    total1, kinds1 = low.sum(1), (low > 0).sum(1)
-    zero = low.sum(0)
-    cnt[1], tot[1], dif[1] = low[c1, s], total1[c1], kinds1[c1]
+    total1, kinds1 = low.one.sum(1), (low.one > 0).sum(1)
+    zero = low.one.sum(0)
+    cnt[2] = low.counts((two << 9) | s)
+    tot[2], dif[2], mass2 = low.context(two)
+    cnt[1], tot[1], dif[1] = low.one[c1, s], total1[c1], kinds1[c1]
     cnt[0], tot[0], dif[0] = zero[s], np.full(len(s), zero.sum()), np.full(len(s), int((zero > 0).sum()))
     # Of each string at order j: what the symbols seen at order j + 1 count at j.
     out_mass = {order: np.zeros(len(s), np.int64)}
-    for j in range(order - 1, 0, -1):
+    for j in range(order - 1, 1, -1):
         u, c, inv, cinv, _, kinds = parts[j + 1]
-        sym = (u & np.uint64(511)).astype(np.int64)
-        if j >= 2:
-            v, d = parts[j][0], parts[j][1]
-            shorter = ((u >> np.uint64(18)) << np.uint64(9)) | (u & np.uint64(511))
-            at_j = d[np.searchsorted(v, shorter)]
-        else:
-            at_j = low[(u >> np.uint64(18)).astype(np.int64) & 511, sym]
+        shorter = ((u >> np.uint64(18)) << np.uint64(9)) | (u & np.uint64(511))
+        at_j = parts[j][1][np.searchsorted(parts[j][0], shorter)] if j > 2 else low.counts(shorter.astype(np.int64))
         mass = np.bincount(cinv, np.where(c > 0, at_j, 0), len(kinds)).astype(np.int64)
         out_mass[j] = mass[cinv[inv]]
-    out_mass[0] = np.where(low > 0, zero[None, :], 0).sum(1)[c1]
+    out_mass[1] = mass2
+    out_mass[0] = np.where(low.one > 0, zero[None, :], 0).sum(1)[c1]
     out = np.zeros(len(s))
     found = np.zeros(len(s), bool)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -150,7 +183,7 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
 
 _SENT = "bucket int, blk int, kind int, keys binary, counts binary"
 _SENT_PA = pa.schema([("bucket", pa.int32()), ("blk", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-#: kind: strings, words, contexts of one symbol.
+#: kind: strings, words, contexts of two symbols.
 STRING, WORD, LOW = 0, 1, 2
 
 
@@ -179,10 +212,10 @@ def _sent(docs: DataFrame, buckets: int, order: int) -> DataFrame:
                 out[f].append(x)
 
         key, n = _merged(grams)
-        k, c, _ = _sum_by(((key >> np.uint64(9 * order)) << np.uint64(9)) | (key & np.uint64(511)), n)
+        k, c, _ = _sum_by(((key >> np.uint64(9 * (order - 1))) << np.uint64(9)) | (key & np.uint64(511)), n)
         put(-1, LOW, k[c > 0], c[c > 0])
         word, m = _merged(words)
-        for kind, key, n, by in ((STRING, key, n, key >> np.uint64(9 * (order - 1))), (WORD, word, m, word)):
+        for kind, key, n, by in ((STRING, key, n, key >> np.uint64(9 * (order - min(order, 3) + 1))), (WORD, word, m, word)):
             b = (mix(by) % np.uint64(buckets)).astype(np.int64)
             o = np.argsort(b, kind="stable")
             for rows in np.split(o, np.flatnonzero(np.diff(b[o])) + 1):
@@ -190,20 +223,20 @@ def _sent(docs: DataFrame, buckets: int, order: int) -> DataFrame:
                     put(int(b[rows[0]]), kind, key[rows], n[rows])
         return pa.table(out, schema=_SENT_PA)
 
-    return docs.groupBy("blk").applyInArrow(tidied(send), _SENT)
+    return dealt(docs, buckets, "blk").applyInArrow(tidied(send), _SENT)
 
 
 def _lists(t: pa.Table, c: str, kind: str) -> list[np.ndarray]:
     return [_unpack(x, kind) for x in t.column(c).to_pylist()]
 
 
-def _answers(sent: DataFrame, blocks: int, low: np.ndarray, order: int) -> DataFrame:
+def _answers(sent: DataFrame, blocks: int, low: Low, order: int) -> DataFrame:
     """grp (a block), kind, keys, vals (code lengths or counts), and once for a
     bucket its number of different training words and of training words. What
     blocks sent for a bucket is merged up a tree of FAN children a node, so the
     latest bytes that every block has don't meet in one task, and the answers
     go down the same way."""
-    names = "kind int, bucket int, grp int, keys binary"
+    names, tasks = "kind int, bucket int, grp int, keys binary", blocks
 
     def merge(t: pa.Table) -> pa.Table:
         u, c, _ = _sum_by(np.concatenate(_lists(t, "keys", "<u8")), np.concatenate(_lists(t, "counts", "<i8")))
@@ -230,18 +263,19 @@ def _answers(sent: DataFrame, blocks: int, low: np.ndarray, order: int) -> DataF
     levels = [sent.where("bucket >= 0").withColumnRenamed("blk", "grp")]
     up = F.floor(F.col("grp") / FAN).cast("int")
     while blocks > FAN:
-        levels.append(cut(levels[-1].withColumn("up", up).groupBy("kind", "bucket", "up").applyInArrow(tidied(merge), names + ", counts binary"), "merged"))
+        levels.append(cut(dealt(levels[-1].withColumn("up", up), tasks, "kind", "bucket", "up").applyInArrow(tidied(merge), names + ", counts binary"), "merged"))
         blocks = -(-blocks // FAN)
     schema = names + ", vals binary, known long, tokens long"
-    got = levels[-1].groupBy("kind", "bucket").applyInArrow(tidied(top), schema)
+    got = dealt(levels[-1], tasks, "kind", "bucket").applyInArrow(tidied(top), schema)
     for below in reversed(levels[:-1]):
         upper = cut(got, "lengths").withColumnRenamed("grp", "up")
-        got = below.withColumn("up", up).groupBy("kind", "bucket", "up").cogroup(upper.groupBy("kind", "bucket", "up")).applyInArrow(tidied(down), schema)
+        got = dealt(below.withColumn("up", up), tasks, "kind", "bucket", "up").cogroup(dealt(upper, tasks, "kind", "bucket", "up")).applyInArrow(tidied(down), schema)
     return got
 
 
-def _low_table(sent: DataFrame) -> np.ndarray:
-    """Counts of the contexts of one symbol: 258 x 257 cells at most."""
+def _low_table(sent: DataFrame) -> Low:
+    """Counts of the contexts of two symbols: 258 x 258 x 257 at most, fewer
+    than 17 million numbers whatever the corpus."""
 
     def rows(batches):
         for b in batches:
@@ -249,10 +283,7 @@ def _low_table(sent: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(_unpack(k, "<i8")), pa.array(_unpack(c, "<i8"))], names=["k", "c"])
 
     got = sent.where(F.col("kind") == LOW).select("keys", "counts").mapInArrow(mapped(rows), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
-    low = np.zeros((258, 257), np.int64)
-    k = got.column("k").to_numpy()
-    low[k >> 9, k & 511] = got.column("c").to_numpy()
-    return low
+    return Low(got.column("k").to_numpy(), got.column("c").to_numpy())
 
 
 def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
@@ -267,7 +298,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
     d = d.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"), block_of(n, "doc_id").alias("blk"))
     sent = cut(_sent(d, n, order), "sent")
     low = _low_table(sent)
-    ends = int(low[:, END].sum())
+    ends = int(low.one[:, END].sum())
     answers = cut(_answers(sent, n, low, order).drop("bucket").withColumnRenamed("grp", "blk"), "lengths")
     drop(sent)
     totals = answers.where(F.col("kind") == WORD).agg(F.sum("known"), F.sum("tokens")).first()
@@ -303,7 +334,7 @@ def scores(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame:
         return pa.table({"doc_id": t.column("doc_id"), "train": t.column("train"), "n_tokens": toks, "n_known": known,
                          "base": base, "score": score, "n_symbols": syms})
 
-    got = d.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(
+    got = dealt(d, n, "blk").cogroup(dealt(answers, n, "blk")).applyInArrow(
         tidied(run), "doc_id long, train boolean, n_tokens long, n_known long, base double, score double, n_symbols long")
     return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                       (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total + v + 1)))).alias("base_score"), "score", "n_symbols")

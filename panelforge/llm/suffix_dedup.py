@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, cut, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes, tidied
+from .common import block_of, cut, dealt, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes, tidied
 
 MER = 28
 #: Windows of one string at most.
@@ -233,7 +233,7 @@ def _docs_of(t: pa.Table):
         yield buf[off[i]:off[j]], off[i:j + 1] - off[i], ids[i:j], null[i:j], i
 
 
-def _shared_minimisers(docs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _shared_minimisers(docs: DataFrame, blocks: int, buckets: int, length: int) -> DataFrame:
     """_pf_blk, values: the minimisers of a block that several documents hold."""
 
     def send(t: pa.Table) -> pa.Table:
@@ -278,11 +278,11 @@ def _shared_minimisers(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         out = [(int(_pf_blk[i]), _pack(v[cuts[i]:cuts[i + 1]])) for i in range(len(vals)) if cuts[i] < cuts[i + 1]]
         return pa.table({"_pf_blk": pa.array([x[0] for x in out], pa.int32()), "vals": pa.array([x[1] for x in out], pa.binary())})
 
-    sent = docs.groupBy("_pf_blk").applyInArrow(tidied(send), "bucket int, _pf_blk int, vals binary, many binary")
-    return sent.groupBy("bucket").applyInArrow(tidied(meet), "_pf_blk int, vals binary")
+    sent = dealt(docs, blocks, "_pf_blk").applyInArrow(tidied(send), "bucket int, _pf_blk int, vals binary, many binary")
+    return dealt(sent, buckets, "bucket").applyInArrow(tidied(meet), "_pf_blk int, vals binary")
 
 
-def _strings(docs: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
+def _strings(docs: DataFrame, shared: DataFrame, blocks: int, buckets: int, length: int) -> DataFrame:
     """The strings of shared minimisers, packed for each bucket and block."""
 
     def send(t: pa.Table, s: pa.Table) -> pa.Table:
@@ -325,11 +325,11 @@ def _strings(docs: DataFrame, shared: DataFrame, buckets: int, length: int) -> D
                         out[name].append(x)
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("_pf_blk", pa.int32())] + [(c, pa.binary()) for c in ("vals", "docs", "lens", "data")]))
 
-    return docs.groupBy("_pf_blk").cogroup(shared.groupBy("_pf_blk")).applyInArrow(
+    return dealt(docs, blocks, "_pf_blk").cogroup(dealt(shared, blocks, "_pf_blk")).applyInArrow(
         tidied(send), "bucket int, _pf_blk int, vals binary, docs binary, lens binary, data binary")
 
 
-def _answers(strings: DataFrame, length: int) -> DataFrame:
+def _answers(strings: DataFrame, buckets: int, length: int) -> DataFrame:
     """_pf_blk and packed (string hash, first window, last window + 1, document)."""
 
     def meet(t: pa.Table) -> pa.Table:
@@ -385,7 +385,7 @@ def _answers(strings: DataFrame, length: int) -> DataFrame:
                     out[name].append(x)
         return pa.table(out, schema=pa.schema([("_pf_blk", pa.int32())] + [(c, pa.binary()) for c in ("key", "lo", "hi", "doc")]))
 
-    return strings.groupBy("bucket").applyInArrow(tidied(meet), "_pf_blk int, key binary, lo binary, hi binary, doc binary")
+    return dealt(strings, buckets, "bucket").applyInArrow(tidied(meet), "_pf_blk int, key binary, lo binary, hi binary, doc binary")
 
 
 def _marks(t: pa.Table, s: pa.Table, length: int):
@@ -413,8 +413,9 @@ def _marks(t: pa.Table, s: pa.Table, length: int):
             yield row + i, buf[off[i]:off[i + 1]], gone[off[i]:off[i + 1]]
 
 
-def _tables(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with their block, and the answers for each block."""
+def _tables(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, int]:
+    """The documents with their block, the answers for each block, and the
+    number of blocks."""
     if not 16 <= length <= 128 - RUN:
         raise ValueError(f"length must be 16 to {128 - RUN} bytes")
     spark = docs.sparkSession
@@ -422,17 +423,17 @@ def _tables(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     few = max(n // 8, spark.sparkContext.defaultParallelism)
     d = docs.withColumn("_pf_blk", block_of(n, "doc_id"))
     small = d.select("_pf_blk", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = cut(_shared_minimisers(small, few, length), "minimiser")
-    strings = cut(_strings(small, shared, 2 * n, length), "string")
+    shared = cut(_shared_minimisers(small, n, few, length), "minimiser")
+    strings = cut(_strings(small, shared, n, 2 * n, length), "string")
     drop(shared)
-    answers = cut(_answers(strings, length), "answer")
+    answers = cut(_answers(strings, 2 * n, length), "answer")
     drop(strings)
-    return d, answers
+    return d, answers, n
 
 
 def digests(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    d, answers = _tables(pick(docs, "doc_id", "text"), length)
+    d, answers, n = _tables(pick(docs, "doc_id", "text"), length)
 
     def run(t: pa.Table, s: pa.Table) -> pa.Table:
         out = [[], [], [], []]
@@ -443,7 +444,8 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
         return pa.table({"doc_id": t.column("doc_id")} | {c: pa.array(x, pa.string() if "sha" in c else pa.int64()) for c, x in
                                                          zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), out, strict=True)})
 
-    return d.select("_pf_blk", F.col("doc_id").cast("long").alias("doc_id"), "text").groupBy("_pf_blk").cogroup(answers.groupBy("_pf_blk")).applyInArrow(
+    d = d.select("_pf_blk", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return dealt(d, n, "_pf_blk").cogroup(dealt(answers, n, "_pf_blk")).applyInArrow(
         tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -453,7 +455,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     longer make up whole characters (a cut within one) are dropped with it. A
     text that loses nothing stays as it is, null included."""
     names = docs.columns
-    d, answers = _tables(docs.select(*[F.col(f"`{c}`") for c in names]), length)
+    d, answers, n = _tables(docs.select(*[F.col(f"`{c}`") for c in names]), length)
     schema = docs.schema
 
     def run(t: pa.Table, s: pa.Table) -> pa.Table:
@@ -470,4 +472,4 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             t = t.set_column(k, "n_chars", pa.array(chars, t.schema.field(k).type))
         return t.select(names)
 
-    return d.groupBy("_pf_blk").cogroup(answers.groupBy("_pf_blk")).applyInArrow(tidied(run), schema)
+    return dealt(d, n, "_pf_blk").cogroup(dealt(answers, n, "_pf_blk")).applyInArrow(tidied(run), schema)

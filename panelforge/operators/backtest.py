@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,43 +50,88 @@ def bucket(p: Column, width: float = 0.05) -> Column:
     return F.floor(F.round(p / width, 9)).cast("int")
 
 
-def slots(trades: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """keys, ts, taken, open, equity: each day the best new trades by score fill
-    free slots (a slot freed today takes a trade tomorrow), each with 1/k of
-    the equity of its day; a trade pays its whole return when it exits. What a
-    day does depends on the day before, so a key's trades are one group."""
-    schema = ", ".join(f"{c} {dict(trades.dtypes)[c]}" for c in keys) + ", ts date, taken int, open int, equity double"
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["ts", "score", "symbol"], ascending=[True, False, True], kind="stable")
-        rows, held, equity = [], [], 1.0
-        by = dict(list(p.groupby("ts")))
-        for day in sorted(set(p["ts"]) | set(p["exit_ts"])):
-            # Slots still occupied this morning; the day's exits free theirs tomorrow.
-            free = k - len(held)
-            equity += sum(size * r / 100 for out, size, r in held if out == day)
-            taken = 0
-            if day in by and free > 0:
-                now = by[day].head(free)
-                taken = len(now)
-                held += [(o, equity / k, r) for o, r in zip(now["exit_ts"], now["ret"], strict=True)]
-            held = [h for h in held if h[0] > day]
-            rows.append((day, taken, len(held), equity))
-        out = pd.DataFrame(rows, columns=["ts", "taken", "open", "equity"])
+class Sleeves:
+    """The book of one portfolio: each sleeve is either cash or one trade."""
+
+    def __init__(self, k: int):
+        self.cash = [1.0 / k] * k
+        self.trade: list = [None] * k
+
+    def free(self) -> list[int]:
+        return [i for i, t in enumerate(self.trade) if t is None]
+
+    def worth(self, day: int) -> float:
+        return sum(c if t is None else c * t.mark(day) for c, t in zip(self.cash, self.trade, strict=True))
+
+    def close(self, day: int) -> None:
+        for i, t in enumerate(self.trade):
+            if t is not None and t.days[-1] == day:
+                self.cash[i] *= 1 + t.net
+                self.trade[i] = None
+
+
+class Trade:
+    """A taken trade: the days of its path and its worth on each, the last one
+    what it realises before costs."""
+
+    def __init__(self, days: list[int], ratios: list[float], gross: float, net: float):
+        self.days, self.worth, self.net = days, [*ratios[:-1], 1 + gross], net
+
+    def mark(self, day: int) -> float:
+        at = bisect.bisect_right(self.days, day) - 1
+        return self.worth[at] if at >= 0 else 1.0
+
+
+def slots(trades: DataFrame, dates: DataFrame, k: int, keys: list[str], per_day: int | None = None, cost: float = 0.0) -> DataFrame:
+    """keys, ts, taken, won, held, equity for every date from a key's first entry
+    to its last exit: capital lies in k sleeves that compound on their own; each
+    day the best new trades by score (per_day at most) fill free sleeves, open
+    trades are marked to their path, and exits free their sleeve for the next
+    day. Trades are what barrier() makes; they enter on the first date of their
+    path and pay `cost` per cent. dates: ts of all trading days. A day depends
+    on the day before, so a key's trades are one group."""
+    kinds = dict(trades.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", ts date, taken int, won int, held int, equity double"
+    most = per_day or k
+
+    def run(p: pd.DataFrame, cal: pd.DataFrame) -> pd.DataFrame:
+        days = sorted(cal["ts"])
+        at = {d: i for i, d in enumerate(days)}
+        todo: dict[int, list] = {}
+        last = -1
+        for r in p.sort_values(["score", "symbol"], ascending=[False, True], kind="stable").itertuples():
+            path = [at[d] for d in r.ahead[:r.exit_bar]]
+            todo.setdefault(path[0], []).append(Trade(path, list(r.cr[:r.exit_bar]), r.ret / 100, (r.ret - cost) / 100))
+            last = max(last, path[-1])
+        book, rows = Sleeves(k), []
+        for day in range(min(todo, default=0), last + 1):
+            new = list(zip(book.free()[:most], todo.get(day, []), strict=False))
+            for i, t in new:
+                book.trade[i] = t
+            rows.append((days[day], len(new), sum(t.net > 0 for _, t in new), k - len(book.free()), book.worth(day)))
+            book.close(day)
+        out = pd.DataFrame(rows, columns=["ts", "taken", "won", "held", "equity"])
         for i, c in enumerate(keys):
-            out.insert(i, c, p[c].iloc[0])
-        return out
+            out.insert(i, c, p[c].iloc[0] if len(p) else None)
+        return out if len(p) else out.iloc[:0]
 
-    return trades.select(*keys, "ts", "symbol", "score", "ret", "exit_ts").groupBy(*keys).applyInPandas(run, schema)
+    need = trades.select(*keys, "symbol", "score", "ret", "exit_bar", "cr", "ahead")
+    names = [f"_k{i}" for i in range(len(keys))]
+    each = trades.select(*[C(c).alias(n) for c, n in zip(keys, names, strict=True)]).distinct().crossJoin(F.broadcast(dates.select("ts").distinct()))
+    return need.groupBy(*keys).cogroup(each.groupBy(*names)).applyInPandas(run, schema)
 
 
-def equity_stats(eq: DataFrame, keys: list[str], per_year: float = 252.0) -> DataFrame:
-    """Growth a year, Sharpe a year, largest drawdown and share of days in a
-    trade, of daily equity."""
+def equity_stats(eq: DataFrame, keys: list[str], k: int, per_year: float = 252.0) -> DataFrame:
+    """trades, win_rate, days, final, growth a year, Sharpe a year (population
+    deviation), largest drawdown and mean share of sleeves in a trade, of daily
+    equity that starts from a capital of 1 the day before."""
     p = Window.partitionBy(*keys).orderBy("ts")
-    d = eq.withColumns({"_r": div(C("equity"), F.lag("equity").over(p)) - 1, "_top": F.greatest(F.max("equity").over(p), F.lit(1.0))})
-    d = d.groupBy(*keys).agg(F.count("*").alias("days"), F.max_by("equity", "ts").alias("final"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"), F.min(C("equity") / C("_top") - 1).alias("max_drawdown"), F.avg((C("open") > 0).cast("double")).alias("exposure"))
-    return d.select(*keys, "days", "final", (F.pow(C("final"), per_year / C("days")) - 1).alias("growth"), (div(C("_m"), C("_s")) * per_year ** 0.5).alias("sharpe"), "max_drawdown", "exposure")
+    top = F.greatest(F.max("equity").over(p), F.lit(1.0))
+    d = eq.withColumns({"_r": div(C("equity"), F.coalesce(F.lag("equity").over(p), F.lit(1.0))) - 1, "_fall": C("equity") / top - 1})
+    d = d.groupBy(*keys).agg(F.sum("taken").alias("trades"), F.sum("won").alias("_won"), F.count("*").alias("days"), F.max_by("equity", "ts").alias("final"), F.avg("_r").alias("_m"),
+                             F.stddev_pop("_r").alias("_s"), F.min("_fall").alias("_dd"), F.avg(C("held") / k).alias("exposure"))
+    return d.select(*keys, "trades", div(C("_won"), C("trades")).alias("win_rate"), "days", "final", (F.pow(C("final"), per_year / C("days")) - 1).alias("growth"),
+                    (C("_m") / (C("_s") + 1e-12) * per_year ** 0.5).alias("sharpe"), F.least(C("_dd"), F.lit(0.0)).alias("max_drawdown"), "exposure")
 
 
 def top_k(df: DataFrame, score: str, y: str, k: int) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql.window import Window
 
 from panelforge.functions.exprs import gate, num, roll, so_far
 
-DATE_FORMATS = ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "yyyyMMdd")
+#: Date formats in the order in which they are tried, and words
+#: of a symbol list that are headings.
+DATE_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "d.M.yyyy")
+HEADINGS = ("symbol", "symbols", "ticker", "tickers", "scrip", "scrips", "name")
 
 
 def liquid(df: DataFrame, floor: float, volume: float, bars: int = 20) -> DataFrame:
@@ -64,16 +67,26 @@ def one_hot(c: Column, values: list, prefix: str) -> dict[str, Column]:
 
 
 def clean_symbol(c: Column) -> Column:
-    """Upper case, exchange prefix and series suffix off, safe characters."""
-    s = F.upper(F.trim(c))
-    s = F.regexp_replace(s, r"^[A-Z]+:", "")
-    s = F.regexp_replace(s, r"-(EQ|BE)$", "")
-    return F.regexp_replace(s, r"[^A-Z0-9_&-]", "_")
+    """The name with a byte-order mark and characters that files can't have
+    taken out and white space as single spaces, its case as it is; NULL where
+    nothing is left or it is a heading."""
+    s = F.regexp_replace(F.regexp_replace(c.cast("string"), "\x00", ""), "^\uFEFF+", "")
+    s = F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
+    s = F.regexp_replace(s, r'[<>:"/?*]', "")
+    return F.when((s != "") & ~F.lower(F.trim(s)).isin(*HEADINGS), s)
 
 
 def parse_date(c: Column) -> Column:
     """The first of five formats that fits."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in DATE_FORMATS])
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(F.trim(c), F.lit(f))) for f in DATE_FORMATS])
+
+
+def date_range(start: Column, end: Column, today: Column) -> dict[str, Column]:
+    """first and last of a range given as text in either order, neither after
+    today."""
+    a, b = parse_date(start), parse_date(end)
+    known = a.isNotNull() & b.isNotNull()
+    return {"first": F.when(known, F.least(a, b, today)), "last": F.when(known, F.least(F.greatest(a, b), today))}
 
 
 def discover(df: DataFrame, prefixes: tuple[str, ...], deny: tuple[str, ...], known: float = 0.3, distinct: int = 5) -> list[str]:
@@ -104,7 +117,7 @@ def unique_names(columns: list[str]) -> list[str]:
     return out
 
 
-def no_labels(features: list[str], patterns: tuple[str, ...] = (r"^ret_\d+d", r"^fwd_", r"_fwd$", r"^label", r"^mfe_", r"^mae_")) -> None:
+def no_labels(features: list[str], patterns: tuple[str, ...] = (r"^ret_\d+d", r"^fwd_", r"_fwd$", r"^label", r"^mfe_", r"^mae_", r"^rank_\d+d", r"^top\d+_")) -> None:
     """Raises if a label is among the features."""
     bad = [f for f in features if any(re.search(p, f) for p in patterns)]
     if bad:
@@ -136,6 +149,13 @@ def merged(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(*[F.col(c) for c in reversed(columns)])).drop(*[c for c in columns if c != name])
 
 
+def without(df: DataFrame, names: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> DataFrame:
+    """df without the named columns and those that fit a pattern; names that
+    aren't there don't matter."""
+    gone = [c for c in df.columns if c in names or any(re.search(p, c) for p in patterns)]
+    return df.drop(*gone)
+
+
 def narrowed(df: DataFrame) -> DataFrame:
     """Doubles as floats, for storage that may lose the last digits."""
     return df.select(*[F.col(c).cast("float").alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])

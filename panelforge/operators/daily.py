@@ -136,6 +136,36 @@ def averages(df: DataFrame) -> DataFrame:
     return d.withColumn("golden", flag((c > C("sma200")) & (C("sma50") > C("sma200"))))
 
 
+def momentum_flags(df: DataFrame) -> DataFrame:
+    """Whether the exponential means are stacked (20 over 50 over 100) and RSI 7
+    is over RSI 14; needs oscillators()."""
+    return df.withColumns({"ema_stack": flag((C("ema20") > C("ema50")) & (C("ema50") > C("ema100"))), "rsi7_over_14": flag(C("rsi7") > C("rsi14"))})
+
+
+def structural(df: DataFrame) -> DataFrame:
+    """Rank of the band's width among 50 bars, distances from the highs and lows
+    before in ATRs, runs of higher lows and lower highs, and the midpoint's slope
+    in ATRs; needs oscillators(), pivots(), structure() and bands()."""
+    atr, h = C("atr14"), C("high")
+    year = series().rowsBetween(-252, -1)
+    top = F.when(F.count(h).over(year) >= 50, F.max(h).over(year))
+    d = df.withColumns({"compress_state": w.ts_rank(C("bb_width"), 50, 10), "from_20h": div(C("close") - C("hi20"), atr), "from_20l": div(C("close") - C("lo20"), atr),
+                        "from_52wh": div(C("close") - top, atr), "mid_slope_atr": div(w.slope((h + C("low")) / 2, 10), atr)})
+    for k in ("hl", "lh"):
+        d = w.with_streak(d, C(k) == 1, f"{k}_run")
+    return d
+
+
+def year_scores(df: DataFrame) -> DataFrame:
+    """Scores over 252 bars of RSI, ATR in per cent, volume, EMA angle and
+    turnover, and RSI by OBV slope; needs oscillators() and balance_volume()."""
+    d = df.withColumns({"atr_pct": div(C("atr14"), C("close")) * 100, "_t": C("close") * C("volume"),
+                        "_a": F.degrees(F.atan(div(w.delta(C("ema20")), w.delay(C("ema20"), 1))))})
+    cols = {"rsi14": "rsi14", "atr_pct": "atr_pct", "volume": "volume", "ema20_angle": "_a", "turnover": "_t"}
+    d = d.withColumns({f"{k}_z252": w.zscore(C(v), 252) for k, v in cols.items()})
+    return d.withColumns({"rsi14_obv_x": C("rsi14") * C("obv_slope"), "rsi7_obv_x": C("rsi7") * C("obv_slope")}).drop("_t", "_a")
+
+
 def balance_volume(df: DataFrame) -> DataFrame:
     d = df.withColumn("_m", F.coalesce(F.signum(w.delta(C("close"))), F.lit(0.0)) * C("volume"))
     d = d.withColumn("obv", F.sum("_m").over(so_far("symbol"))).drop("_m")
@@ -166,7 +196,7 @@ def activity(df: DataFrame) -> DataFrame:
     c, v = C("close"), C("volume")
     d = df.withColumns({"turnover": c * v, "range_pct": div(C("high") - C("low"), c) * 100, "gap_pct": div(C("open") - w.delay(c, 1), w.delay(c, 1)) * 100,
                         "ret_5d": (div(w.lead(c, 5), c) - 1) * 100, "_back": (div(c, w.delay(c, 5)) - 1) * 100})
-    d = d.withColumns({f"turnover_z{n}": w.zscore(C("turnover"), n) for n in (20, 50)})
+    d = d.withColumns({f"turnover_z{n}": w.zscore(C("turnover"), n) for n in (20, 50, 252)})
     for n, least in ((20, 5), (50, 10)):
         d = d.withColumn(f"surge{n}", flag(v > w.mean(v, n, least) + 2 * w.std(v, n, least)))
     return d.withColumn("ret_5d_spread", w.std(C("_back"), 50, 10)).drop("_back")
@@ -177,7 +207,7 @@ def candles(df: DataFrame) -> DataFrame:
     o, h, low, c = C("open"), C("high"), C("low"), C("close")
     rng = h - low
     d = df.withColumns({"body": clip(div(c - o, rng), -1, 1), "wick_skew": clip(div((h - F.greatest(c, o)) - (F.least(c, o) - low), rng), -1, 1),
-                        "expand": flag(rng > w.delay(rng, 1)), "slope20": w.slope(c, 20), "mid_slope10": w.slope((h + low) / 2, 10), "_s5": w.slope(c, 5)})
+                        "expand": flag(rng > w.delay(rng, 1)), "slope20": w.slope(c, 20), "slope50": w.slope(c, 50), "mid_slope10": w.slope((h + low) / 2, 10), "_s5": w.slope(c, 5)})
     return d.withColumn("slope_spread", w.std(C("_s5"), 20, 5)).drop("_s5")
 
 

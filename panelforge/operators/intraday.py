@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.functions.exprs import div, flag, series, so_far
+from panelforge.functions.exprs import clip, div, flag, series, so_far
 from panelforge.operators import windows as w
 from panelforge.operators.daily import volume_node
 
@@ -36,14 +36,31 @@ def session_node(df: DataFrame, bins: int = 30) -> DataFrame:
     return d.withColumn("session_node", volume_node(C("_p"), C("_v"), bins)).drop("_p", "_v")
 
 
-def opening_range(df: DataFrame, bars: int) -> DataFrame:
-    """High and low of the first bars, known only after them, with width and
-    breakouts."""
+def opening_range(df: DataFrame, minutes: int, opens: int = 0) -> DataFrame:
+    """High and low of the session's first minutes (from minute `opens` of the
+    day), known only after them, with width, breakouts and the distances of the
+    close in per cent."""
     s = Window.partitionBy("symbol", "session")
-    early, known = C("bar") < bars, C("bar") >= bars
-    hi, lo = f"or{bars}_high", f"or{bars}_low"
+    cutoff = opens + minutes
+    early, known = (C("minute") >= opens) & (C("minute") < cutoff), C("minute") >= cutoff
+    hi, lo = f"or{minutes}_high", f"or{minutes}_low"
     d = df.withColumns({hi: F.when(known, F.max(F.when(early, C("high"))).over(s)), lo: F.when(known, F.min(F.when(early, C("low"))).over(s))})
-    return d.withColumns({f"or{bars}_width": div(C(hi) - C(lo), C("close")) * 100, f"or{bars}_up": flag(C("close") > C(hi)), f"or{bars}_down": flag(C("close") < C(lo))})
+    return d.withColumns({f"or{minutes}_width": div(C(hi) - C(lo), C("close")) * 100, f"or{minutes}_up": flag(C("close") > C(hi)), f"or{minutes}_down": flag(C("close") < C(lo)),
+                          f"or{minutes}_from_high": div(C("close") - C(hi), C(hi)) * 100, f"or{minutes}_from_low": div(C("close") - C(lo), C(lo)) * 100})
+
+
+def volatility(df: DataFrame) -> DataFrame:
+    """ATR in per cent of the close, and width and place in the Bollinger bands
+    of 20 bars; needs atr14 of oscillators()."""
+    c, mid, sd = C("close"), w.mean(C("close"), 20), w.std(C("close"), 20)
+    return df.withColumns({"atr_pct": F.when(c > 0, div(C("atr14"), c) * 100), "bb_bw": F.when(mid > 0, div(4 * sd, mid)), "bb_pctb": div(c - (mid - 2 * sd), 4 * sd)})
+
+
+def flow(df: DataFrame) -> DataFrame:
+    """Running on-balance volume and its least-squares slope over 20 bars."""
+    d = df.withColumn("_m", F.coalesce(F.signum(w.delta(C("close"))), F.lit(0.0)) * C("volume"))
+    d = d.withColumn("obv", F.sum("_m").over(so_far("symbol"))).drop("_m")
+    return d.withColumn("obv_slope20", w.slope(C("obv"), 20))
 
 
 def returns(df: DataFrame) -> DataFrame:
@@ -70,12 +87,23 @@ def oscillate(df: DataFrame) -> DataFrame:
     return d.withColumns({"stoch_d": w.mean(C("stoch_k"), 3), "cci20": div(C("_tp") - C("_m"), 0.015 * w.mean(C("_dev"), 20))}).drop("_tp", "_mv", "_hi", "_lo", "_m", "_dev")
 
 
-def second_set(df: DataFrame, wide: int = 75) -> DataFrame:
-    """The other engine's set: fractions, not per cent, and a score of volume
-    over the last bars whatever the time of day."""
+def second_set(df: DataFrame, wide: int = 75, opens: int = 0) -> DataFrame:
+    """The other engine's set: fractions, not per cent; a score of volume over
+    the last `wide` bars whatever the time of day, known from ten values on; the
+    place in the channel of the bars before, clipped to -1 and 2. Needs
+    oscillators() and sessions()."""
+    c, v = C("close"), F.coalesce(C("volume"), F.lit(0.0))
     first = F.first("close").over(Window.partitionBy("symbol", "session").orderBy("ts"))
     before = series().rowsBetween(-wide, -1)
-    hi, lo = F.max("high").over(before), F.min("low").over(before)
-    d = df.withColumns({f"frac{n}": w.pct_change(C("close"), n) for n in (1, 3, 6)})
-    return d.withColumns({"since_open": div(C("close"), first) - 1, "minutes_open": C("minute") - F.min("minute").over(Window.partitionBy("symbol", "session")),
-                          "volume_z": w.zscore(C("volume"), wide), "wide_pos": div(C("close") - lo, hi - lo)})
+    edge = lambda agg, x: F.when(F.count(x).over(before) >= 10, agg(x).over(before))
+    hi, lo = edge(F.max, "high"), edge(F.min, "low")
+    mean, sd = w.mean(v, wide, 10), w.std(v, wide, 10)
+    band, mid = 4 * w.std(c, 20, 1), w.mean(c, 20, 1)
+    d = df.withColumns({f"frac{n}": w.pct_change(c, n) for n in (1, 5, 15)})
+    d = d.withColumn("_m", F.coalesce(F.signum(w.delta(c)), F.lit(0.0)) * v)
+    d = d.withColumns({
+        "frac_std15": w.std(C("frac1"), 15, 5), "ema20_angle": F.degrees(F.atan(div(w.delta(C("ema20")), w.delay(C("ema20"), 1)))), "macd_hist": C("macd") - C("macd_signal"),
+        "atr_pct": div(C("atr14"), c) * 100, "band_pos": clip(div(c - (mid - band / 2), band), -5, 5), "band_width": div(band, mid),
+        "volume_z": div(v - mean, sd), "volume_surge": flag(v > mean + 2 * sd), "obv": F.sum("_m").over(so_far("symbol")), "wide_pos": clip(div(c - lo, hi - lo), -1, 2),
+        "minutes_open": F.greatest(C("minute") - opens, F.lit(0)), "since_open": div(c, first) - 1})
+    return d.withColumn("obv_step", w.delta(C("obv"))).drop("_m")

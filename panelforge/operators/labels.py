@@ -24,36 +24,41 @@ def forward(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     return d
 
 
-def bias(df: DataFrame) -> Column:
-    """A score of trend agreement from -3 to 3."""
-    c = C("close")
-    parts = [F.signum(c - w.mean(c, n)) for n in (5, 20, 50)]
-    return F.coalesce(parts[0], F.lit(0.0)) + F.coalesce(parts[1], F.lit(0.0)) + F.coalesce(parts[2], F.lit(0.0))
-
-
-def market_regime(df: DataFrame, wide: int = 200, narrow: int = 50, least: int = 10) -> DataFrame:
-    """One row a date: mean return and dispersion of the cross-section, whether
-    its trend is up (known a day later) and its spread above its median. The
-    dates are one small series."""
-    d = df.withColumn("_r", w.pct_change(C("close"))).groupBy("ts").agg(F.avg("_r").alias("m"), F.stddev_samp("_r").alias("s"))
+def bias(df: DataFrame) -> DataFrame:
+    """Adds long_score and short_score: a band of RSI 14 (50 to 70 long, under
+    45 short) less penalties for a wide ATR (over 4 % of the close, 0.5) and a
+    wide pivot range (over 1 %, 0.3). Unknown values neither score nor cost."""
+    wide = flag(div(C("atr14"), C("close")) * 100 > 4) * 0.5 + flag(F.abs("cpr_width_pct") > 1) * 0.3
+    return df.withColumns({"long_score": flag(C("rsi14").between(50, 70)) - wide, "short_score": flag(C("rsi14") < 45) - wide})
+
+
+def market_regime(df: DataFrame, wide: int = 200, spread: int = 250, least: int = 50) -> DataFrame:
+    """One row a date: trend (mean over `wide` dates of the cross-section's mean
+    return in per cent), high_vol (whether its deviation is over the median of
+    `spread` dates) and dispersion (that deviation), all as they stood the date
+    before: a date's own returns change nothing in its row. The dates are one
+    small series."""
+    r = df.withColumn("_r", w.pct_change(C("close")) * 100)
+    d = r.groupBy("ts").agg(F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"))
     o = Window.partitionBy(F.lit("market")).orderBy("ts")
-    f = lambda n: o.rowsBetween(-(n - 1), 0)
-    mean = lambda n: F.when(F.count("m").over(f(n)) >= least, F.avg("m").over(f(n)))
-    med = F.when(F.count("s").over(f(250)) >= least, F.percentile("s", 0.5).over(f(250)))
-    d = d.withColumns({"_t": flag((mean(narrow) > mean(wide)) & (mean(wide) > 0)), "high_vol": flag(C("s") > med)})
-    return d.select("ts", "m", "s", F.lag("_t").over(o).alias("up_trend"), "high_vol")
-
-
-def stock_regime(df: DataFrame, short: int = 20, long: int = 50) -> DataFrame:
-    """Four regimes by place and strength of trend; unknown strength counts as
-    trending, unknown place as bear, as comparisons with nothing are false."""
-    c = C("close")
-    d = df.withColumns({"_a": w.mean(c, short), "_b": w.mean(c, long), "_n": w.zscore(c, short)})
-    bull = F.coalesce((C("_a") > C("_b")), F.lit(False))
-    quiet = F.coalesce(F.abs(C("_n")) < 1, F.lit(False))
-    d = d.withColumn("regime", F.concat(F.when(bull, "bull").otherwise("bear"), F.when(quiet, "_range").otherwise("_trend")))
-    d = d.withColumn("trend_strength", 1 / (1 + F.exp(-F.coalesce(div(C("_a"), C("_b")) - 1, F.lit(0.0)) * 10)))
-    return d.withColumn("regime_lag", F.coalesce(F.lag("regime").over(series()), F.lit("bull_trend"))).drop("_a", "_b", "_n")
+    known = lambda x, n, agg: F.when(F.count(x).over(o.rowsBetween(-n, -1)) >= least, agg.over(o.rowsBetween(-n, -1)))
+    d = d.withColumns({"trend": known("_m", wide, F.avg("_m")), "dispersion": F.lag("_s").over(o), "_med": known("_s", spread, F.percentile("_s", 0.5))})
+    return d.select("ts", "trend", flag(C("dispersion") > C("_med")).alias("high_vol"), "dispersion")
+
+
+def stock_regime(df: DataFrame, lag: int = 1) -> DataFrame:
+    """Adds regime: bull over the mean of 200 closes, else bear; _range under an
+    ADX of 20, else _trend (unknown place is bear, unknown strength trend), and
+    regime_lag, that of `lag` bars before (bull_trend at a series' start). With
+    it the continuous measures: dist_sma200, adx, their product and two soft
+    memberships. Needs sma200 and adx14."""
+    place = div(C("close"), C("sma200")) - 1
+    side = F.when(C("close") > C("sma200"), "bull").otherwise("bear")
+    d = df.withColumn("regime", F.concat(side, F.when(C("adx14") < 20, "_range").otherwise("_trend")))
+    soft = lambda x: 1 / (1 + F.exp(-x))
+    return d.withColumns({
+        "regime_lag": F.coalesce(F.lag("regime", lag).over(series()), F.lit("bull_trend")), "regime_dist_sma200": place, "regime_adx": C("adx14"),
+        "regime_dist_x_adx": place * C("adx14"), "regime_bull_soft": soft(place * 20), "regime_trend_soft": soft((C("adx14") - 22.5) / 5)})
 
 
 def scaled_target(df: DataFrame, ret: str, bars: int = 20, floor: float = 0.05) -> DataFrame:
@@ -84,10 +89,38 @@ def features(df: DataFrame, base: list[str], lags: tuple[int, ...] = (1, 2)) ->
 
 
 def strict_label(df: DataFrame, n: int = 5, drawdown: float = 3.0) -> Column:
-    """1 where the label is top, the end isn't below the entry and the way down
-    stays within the drawdown."""
-    entry, end, worst = w.lead(C("open"), 1), w.lead(C("close"), n), w.forward_low(C("low"), n)
-    return F.when(end.isNotNull(), flag((C("label") == 1) & (end >= entry) & (div(entry - worst, entry) * 100 < drawdown)))
+    """1 where the label is top, the close n bars on isn't under this close and
+    the lows between stay within the drawdown (per cent of this close); 0 where
+    the label is bottom; NULL elsewhere, a top that fails included."""
+    worst = div(C("close") - w.forward_low(C("low"), n), C("close")) * 100
+    good = (C("label") == 1) & (w.lead(C("close"), n) >= C("close")) & (worst < drawdown)
+    return F.when(good, 1).when(C("label") == 0, 0)
+
+
+#: The families of one-hot columns that a panel always has.
+FAMILIES = {"cpr_vs_prev": ("CPR_Yday", ("Above", "Below", "Inside", "Overlap")), "cpr_next": ("CPR_Tmr", ("Above", "Below", "Inside", "Overlap")),
+            "structure": ("Struct", ("uptrend", "downtrend", "range")), "day_type": ("DayType", ("bullish", "bearish", "inside"))}
+
+
+def featurised(df: DataFrame) -> DataFrame:
+    """The panel's engineered columns: lags 1 and 2 of RSI, ADX, EMA angle and
+    OBV slope; complete one-hot families of FAMILIES; products and squares of
+    indicators (x_*); slopes of the close and the spread of five-bar returns.
+    Needs oscillators(), pivots(), structure(), balance_volume() and combos()."""
+    from panelforge.operators.cleaning import one_hot
+
+    d = df if "cpr_next" in df.columns else df.withColumn("cpr_next", C("cpr_vs_prev"))
+    d = d.withColumns({f"{c}_lag{n}": w.delay(C(c), n) for c in ("rsi14", "adx14", "ema20_angle", "obv_slope") for n in (1, 2)})
+    d = d.withColumns({k: v for c, (prefix, values) in FAMILIES.items() for k, v in one_hot(C(c), list(values), prefix).items()})
+    past = w.pct_change(C("close")) * 100
+    d = d.withColumns({"atr14_to_close_pct": div(C("atr14"), C("close")) * 100, "_one": past})
+    d = d.withColumns({"_past5": w.total(C("_one"), 5), "rsi14_obv_x": C("rsi14") * C("obv_slope"), "rsi7_obv_x": C("rsi7") * C("obv_slope")})
+    return d.withColumns({
+        "x_rsi14_adx14": C("rsi14") * C("adx14"), "x_cprw_atr_pct": F.abs("cpr_width_pct") * C("atr14_to_close_pct"),
+        "x_trend_atr_pct": F.when(C("structure") == "uptrend", 1).when(C("structure") == "downtrend", -1).otherwise(0) * C("atr14_to_close_pct"),
+        "x_rsi_cross_strength": (C("rsi7") - C("rsi14")) * C("adx14"), "x_macd_nonlin": (C("macd") - C("macd_signal")) * C("rsi14") / 50,
+        "x_adx_sqr": C("adx14") * C("adx14") / 100, "close_slope20": w.slope(C("close"), 20), "close_slope50": w.slope(C("close"), 50),
+        "past5_spread": w.std(C("_past5"), 50, 10)}).drop("_one", "_past5")
 
 
 def follow_through(ret: Column, band: float = 0.1) -> Column:

@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,13 +116,22 @@ def permutation_importance(model, df: DataFrame, features: list[str], label: str
     return sorted(out, key=lambda x: -x[1])
 
 
-def recommend(drop: float, ic: float, flips: float) -> str:
-    """KEEP, REVIEW, DROP or HARMFUL, by fall of AUC, mean IC and sign flips."""
-    if drop < -0.0005:
-        return "HARMFUL"
-    if drop >= 0.0005 and flips <= 0.4:
-        return "KEEP"
-    return "REVIEW" if drop >= 0.0005 or abs(ic) >= 0.01 else "DROP"
+#: Fixed values of recommend(): fall of the area that is useful, that hurts and
+#: that is exceptional in one regime; rank correlation that is weak.
+USEFUL, HURTS, EXCEPTIONAL, WEAK_IC = 0.0010, -0.0005, 0.0030, 0.02
+
+
+def recommend(overall: Column, by_regime: Column, regime_ics: Column, mean_abs_ic: Column) -> Column:
+    """DROP_HARMFUL, KEEP, DROP or REVIEW by the fall of the area over all rows,
+    the falls and rank correlations within regimes (arrays, NULL where unknown)
+    and the mean |IC|. Harm in any regime goes first; one sign of worth keeps a
+    feature; only one that is weak everywhere is dropped."""
+    falls = F.filter(by_regime, lambda x: x.isNotNull())
+    ics = F.filter(regime_ics, lambda x: x.isNotNull())
+    fall, ic = F.coalesce(overall, F.lit(0.0)), F.coalesce(mean_abs_ic, F.lit(0.0))
+    keep = (F.exists(falls, lambda x: x >= EXCEPTIONAL) | F.exists(ics, lambda x: F.abs(x) >= 2 * WEAK_IC) | (fall >= 3 * USEFUL) | (ic >= 2 * WEAK_IC))
+    dead = (F.size(falls) > 0) & F.forall(falls, lambda x: x < USEFUL) & (fall < USEFUL) & (ic < WEAK_IC)
+    return F.when(F.exists(falls, lambda x: x < HURTS), "DROP_HARMFUL").when(keep, "KEEP").when(dead, "DROP").otherwise("REVIEW")
 
 
 def in_folds(df: DataFrame, label: str, folds: int = 3, embargo: int = 5) -> list[tuple[DataFrame, DataFrame]]:

@@ -131,8 +131,40 @@ def generate(df: DataFrame, features: list[str], gate: Column) -> DataFrame:
     return z.withColumn("_r", rows).select("_r.strategy", "ts", "symbol", "_r.x")
 
 
-def verdict(n: Column, ir: Column, t: Column, agree: Column, floor: float) -> Column:
-    return F.when(n < 20, "THIN").when((F.abs(t) >= floor) & (agree >= 0.75), F.when(ir > 0, "EDGE").otherwise("INVERSE")).when(F.abs(t) >= 2, "WEAK").otherwise("NO_EDGE")
+#: Fixed values of the two sets of rules.
+STABLE, STRONG, PROMISING, YEARS, LEAK_IR, LEAK_SHARPE = 0.6, (0.90, 1.0), (0.50, 0.40), 0.60, 0.50, 6.0
+
+
+def feature_verdict(t: Column, floor: float | Column, net_sharpe: Column, stable: Column, test_ic: Column, mean_ic: Column) -> Column:
+    """What a single feature's scan says: the first rule that fails. Unknown
+    Sharpe, stability or test IC fail nothing."""
+    turns = F.signum(test_ic) != F.signum(mean_ic)
+    return (F.when(t.isNull(), "insufficient_data").when(F.abs(t) < floor, "noise (fails multiple-testing)").when(net_sharpe <= 0, "fails net-of-cost")
+            .when(stable < STABLE, "unstable across folds").when(turns, "decays out-of-sample").otherwise("CANDIDATE"))
+
+
+def strategy_verdict(t: Column, floor: float | Column, ir: Column, gross_sharpe: Column, net_sharpe: Column, dsr: Column, year_hit: Column, test_ic: Column, mean_ic: Column) -> Column:
+    """What a strategy's score says: too good is a leak, under the floor no
+    edge; strong and promising need the deflated ratio, the net Sharpe, good
+    years and a test IC that doesn't turn."""
+    lasting = (F.coalesce(year_hit, F.lit(0.0)) >= YEARS) & F.coalesce(F.signum(test_ic) == F.signum(mean_ic), test_ic.isNull())
+    passes = lambda lim: (F.coalesce(dsr, F.lit(0.0)) >= lim[0]) & F.coalesce(net_sharpe >= lim[1], F.lit(False)) & lasting
+    return (F.when((F.abs(ir) > LEAK_IR) | F.coalesce(gross_sharpe > LEAK_SHARPE, F.lit(False)), "AVOID (too good - check leakage)")
+            .when(F.coalesce(F.abs(t), F.lit(0.0)) < floor, "NO_EDGE").when(passes(STRONG), "STRONG").when(passes(PROMISING), "PROMISING").otherwise("MARGINAL"))
+
+
+def day_states(df: DataFrame, wide: int = 20, least: int = 5) -> DataFrame:
+    """ts, vol_state, trend_state, dispersion_state of the market, each HIGH/LOW
+    or UP/DOWN against its own mean over the dates before, as known the date
+    before; UNKNOWN at the start."""
+    d = df.withColumn("_r", w.pct_change(C("close"))).groupBy("ts").agg(F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"))
+    o = Window.partitionBy(F.lit("dates")).orderBy("ts")
+    past = o.rowsBetween(-wide, -1)
+    d = d.withColumns({"_v": F.when(F.count("_m").over(past) >= least, F.stddev_samp("_m").over(past)), "_t": F.when(F.count("_m").over(past) >= least, F.avg("_m").over(past)), "_d": F.lag("_s").over(o)})
+    far = o.rowsBetween(Window.unboundedPreceding, -1)
+    state = lambda x, base, up, down: F.when(x > base, up).when(x <= base, down).otherwise("UNKNOWN")
+    return d.select("ts", state(C("_v"), F.avg("_v").over(far), "HIGH", "LOW").alias("vol_state"), state(C("_t"), F.lit(0.0), "UP", "DOWN").alias("trend_state"),
+                    state(C("_d"), F.avg("_d").over(far), "HIGH", "LOW").alias("dispersion_state"))
 
 
 def screen(scores: DataFrame, ic: float, positive: float, t: float) -> DataFrame:

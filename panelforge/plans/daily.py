@@ -128,29 +128,25 @@ SELECT symbol, ts, obv, obv - lag(obv) OVER {P} AS obv_slope, {_fl(f'close > pc
 
 
 def d21_d23_activity(spark, sf):
-    return _named(d.activity(bars.supplier_days(spark, sf)), "surge20 surge50", "turnover_z20 turnover_z50 range_pct gap_pct ret_5d ret_5d_spread")
+    return _named(d.activity(bars.supplier_days(spark, sf)), "surge20 surge50", "turnover_z20 turnover_z50 turnover_z252 range_pct gap_pct ret_5d ret_5d_spread")
 
 
 _zz = lambda n: f"(t - {roll('avg(t)', 't', n, max(10, n // 4))}) / nullif({roll('stddev_samp(t)', 't', n, max(10, n // 4))}, 0)"
 _su = lambda n, k: _fl(f"volume > ({roll('avg(volume)', 'volume', n, k)}) + 2 * ({roll('stddev_samp(volume)', 'volume', n, k)})")
 D21 = f"""WITH {BARS}, a AS (SELECT *, close * volume AS t, (close / nullif(lag(close, 5) OVER {P}, 0) - 1) * 100 AS bk FROM bars)
-SELECT symbol, ts, {_su(20, 5)} AS surge20, {_su(50, 10)} AS surge50, round({_zz(20)}, 4) AS turnover_z20, round({_zz(50)}, 4) AS turnover_z50, round((high - low) / nullif(close, 0) * 100, 4) AS range_pct,
+SELECT symbol, ts, {_su(20, 5)} AS surge20, {_su(50, 10)} AS surge50, round({_zz(20)}, 4) AS turnover_z20, round({_zz(50)}, 4) AS turnover_z50, round({_zz(252)}, 4) AS turnover_z252, round((high - low) / nullif(close, 0) * 100, 4) AS range_pct,
  round((open - lag(close) OVER {P}) / nullif(lag(close) OVER {P}, 0) * 100, 4) AS gap_pct, round((lead(close, 5) OVER {P} / nullif(close, 0) - 1) * 100, 4) AS ret_5d, round({roll('stddev_samp(bk)', 'bk', 50, 10)}, 4) AS ret_5d_spread FROM a"""
 
 
 def d24_d26_candles(spark, sf):
-    return _named(d.candles(bars.supplier_days(spark, sf)), "expand", "body wick_skew slope20 mid_slope10 slope_spread")
+    return _named(d.candles(bars.supplier_days(spark, sf)), "expand", "body wick_skew slope20 slope50 mid_slope10 slope_spread")
 
 
 _rs = lambda y, n: roll(f"regr_slope({y}, n)", y, n, n)
 D24 = f"""WITH {BARS}, a AS (SELECT *, high - low AS g, (high + low) / 2 AS mid, CAST(row_number() OVER {P} AS DOUBLE) AS n FROM bars), b AS (SELECT *, {_rs('close', 5)} AS s5 FROM a)
 SELECT symbol, ts, {_fl(f'g > lag(g) OVER {P}')} AS expand, round({_cl('(close - open) / nullif(g, 0)', '-1.0', '1.0')}, 4) AS body,
  round({_cl('((high - greatest(close, open)) - (least(close, open) - low)) / nullif(g, 0)', '-1.0', '1.0')}, 4) AS wick_skew,
- round({_rs('close', 20)}, 4) AS slope20, round({_rs('mid', 10)}, 4) AS mid_slope10, round({roll('stddev_samp(s5)', 's5', 20, 5)}, 4) AS slope_spread FROM b"""
-
-
-def d25_combos(spark, sf):
-    return _named(d.combos(d.pivots(d.oscillators(bars.supplier_months(spark, sf)))), "rsi_up_adx_mid gap_up_above gap_down_below calm_up wild_down", "ema20_angle")
+ round({_rs('close', 20)}, 4) AS slope20, round({_rs('close', 50)}, 4) AS slope50, round({_rs('mid', 10)}, 4) AS mid_slope10, round({roll('stddev_samp(s5)', 's5', 20, 5)}, 4) AS slope_spread FROM b"""
 
 
 def d27_weekly(spark, sf):
@@ -196,6 +192,6 @@ SELECT symbol, ts, lag(close) OVER {P} AS close_lag1, lag(close, 3) OVER {P} AS
 QUERIES = {
     "d01_d04_oscillators": (d01_d04_oscillators, D01), "d05_d08_pivots": (d05_d08_pivots, D05), "d09_week_node": (d09_week_node, D09),
     "d10_d11_narrow_averages": (d10_d11_narrow_averages, D10), "d13_d15_structure": (d13_d15_structure, D13), "d16_d20_obv_bands": (d16_d20_obv_bands, D16),
-    "d21_d23_activity": (d21_d23_activity, D21), "d24_d26_candles": (d24_d26_candles, D24), "d25_combos": (d25_combos, None), "d27_weekly": (d27_weekly, D27),
+    "d21_d23_activity": (d21_d23_activity, D21), "d24_d26_candles": (d24_d26_candles, D24), "d27_weekly": (d27_weekly, D27),
     "d28_alphas": (d28_alphas, None), "d28_alphas_plain": (d28_alphas_plain, D28), "d29_transforms_dow": (d29_transforms_d12_d17, D29),
 }

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import intraday as i
 from panelforge.operators.daily import oscillators
-from panelforge.plans.sql import HOURS, P, ewm, rd, roll
+from panelforge.plans.sql import CUM, HOURS, P, rd, roll
+from panelforge.plans.sql import oscillators as oscillator_ctes
 from panelforge.sources import bars
 
 C = F.col
@@ -41,64 +42,76 @@ m AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY v DESC, bin)
 SELECT symbol, ts, round(CASE WHEN hi <= lo THEN lo ELSE lo + (hi - lo) * (2 * bin + 1) / 60 END, 4) AS session_node FROM m WHERE k = 1"""
 
 
+_OR = ("high", "low", "up", "down")
+
+
 def i05_opening_range(spark, sf):
-    d = i.opening_range(i.opening_range(_b(spark, sf), 1), 6)
-    return _out(d, "or1_high or1_low or1_up or1_down or6_high or6_low or6_up or6_down", "or1_width or6_width")
+    d = i.opening_range(i.opening_range(_b(spark, sf), 60), 360, 60)
+    return _out(d, " ".join(f"or{n}_{k}" for n in (60, 360) for k in _OR), " ".join(f"or{n}_{k}" for n in (60, 360) for k in ("width", "from_high", "from_low")))
 
 
-def _or(n):
-    return (f"CASE WHEN bar >= {n} THEN max(CASE WHEN bar < {n} THEN high END) OVER {_W} END AS or{n}_high, CASE WHEN bar >= {n} THEN min(CASE WHEN bar < {n} THEN low END) OVER {_W} END AS or{n}_low")
+def _or(n, opens):
+    early = f"CASE WHEN minute >= {opens} AND minute < {opens + n} THEN"
+    return f"CASE WHEN minute >= {opens + n} THEN max({early} high END) OVER {_W} END AS or{n}_high, CASE WHEN minute >= {opens + n} THEN min({early} low END) OVER {_W} END AS or{n}_low"
 
 
 def _or2(n):
-    return (f"or{n}_high, or{n}_low, CASE WHEN coalesce(close > or{n}_high, false) THEN 1 ELSE 0 END AS or{n}_up, CASE WHEN coalesce(close < or{n}_low, false) THEN 1 ELSE 0 END AS or{n}_down, round((or{n}_high - or{n}_low) / nullif(close, 0) * 100, 4) AS or{n}_width")
+    hi, lo = f"or{n}_high", f"or{n}_low"
+    return (f"{hi}, {lo}, CASE WHEN coalesce(close > {hi}, false) THEN 1 ELSE 0 END AS or{n}_up, CASE WHEN coalesce(close < {lo}, false) THEN 1 ELSE 0 END AS or{n}_down, "
+            f"round(({hi} - {lo}) / nullif(close, 0) * 100, 4) AS or{n}_width, round((close - {hi}) / nullif({hi}, 0) * 100, 4) AS or{n}_from_high, round((close - {lo}) / nullif({lo}, 0) * 100, 4) AS or{n}_from_low")
 
 
-I05 = f"WITH {_BASE}, o AS (SELECT *, {_or(1)}, {_or(6)} FROM s) SELECT symbol, ts, {_or2(1)}, {_or2(6)} FROM o"
+I05 = f"WITH {_BASE}, o AS (SELECT *, {_or(60, 0)}, {_or(360, 60)} FROM s) SELECT symbol, ts, {_or2(60)}, {_or2(360)} FROM o"
 
 
 def i06_oscillators(spark, sf):
-    return _out(oscillators(bars.event_hours(spark, sf)), "", "ema20 ema50 atr14")
+    return _out(oscillators(bars.event_hours(spark, sf)), "", "ema20 ema50 ema100 macd macd_signal rsi7 rsi14 atr14 adx14")
 
 
-_e20, _n20 = ewm("close", 2 / 21, 1)
-_e50, _n50 = ewm("close", 2 / 51, 1)
-_TR = f"tr AS (SELECT symbol, ts, greatest(high - low, abs(high - lag(close) OVER {P}), abs(low - lag(close) OVER {P})) AS v FROM bars)"
-_et, _nt = ewm("v", 1 / 14, 14, "tr")
-I06 = f"""WITH RECURSIVE {HOURS}, {_e20}, {_e50}, {_TR}, {_et} SELECT symbol, ts, round(a.y, 4) AS ema20, round(b.y, 4) AS ema50, round(CASE WHEN t.k >= 14 THEN t.y END, 4) AS atr14
-FROM {_n20} a JOIN {_n50} b USING (symbol, ts) JOIN {_nt} t USING (symbol, ts)"""
+I06 = f"""WITH {HOURS}, {oscillator_ctes()} SELECT symbol, ts, {', '.join(f'round({k}, 4) AS {k}' for k in 'ema20 ema50 ema100 macd macd_signal rsi7 rsi14 atr14 adx14'.split())} FROM osc"""
 
 
 def i07_i09_returns_volume(spark, sf):
-    return _out(i.relative_volume(i.returns(_b(spark, sf))), "", "ret1 range_pct session_gap rvol slot_z")
+    d = i.volatility(i.sessions(oscillators(bars.event_hours(spark, sf))))
+    return _out(i.relative_volume(i.returns(d)), "", "ret1 range_pct session_gap rvol slot_z atr_pct bb_bw bb_pctb")
 
 
 _Q = "(PARTITION BY symbol, slot ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 _LC = f"lag(close) OVER {P}"
-I07 = f"""WITH {_BASE}, m AS (SELECT *, CASE WHEN count(volume) OVER {_Q} >= 3 THEN avg(volume) OVER {_Q} END AS mv, CASE WHEN count(volume) OVER {_Q} >= 3 THEN stddev_samp(volume) OVER {_Q} END AS sv FROM s)
-SELECT symbol, ts, round((close / nullif({_LC}, 0) - 1) * 100, 4) AS ret1, round((high - low) / nullif(close, 0) * 100, 4) AS range_pct, round(CASE WHEN bar = 0 THEN (open - {_LC}) / nullif({_LC}, 0) * 100 END, 4) AS session_gap,
- round(volume / nullif(mv, 0), 4) AS rvol, round((volume - mv) / nullif(sv, 0), 4) AS slot_z FROM m"""
+I07 = f"""WITH {_BASE}, {oscillator_ctes()}, m AS (SELECT s.*, atr14, {roll('avg(close)', 'close', 20, 20).replace('symbol', 's.symbol').replace('ts R', 's.ts R').replace('(close)', '(s.close)')} AS mid, {roll('stddev_samp(close)', 'close', 20, 20).replace('symbol', 's.symbol').replace('ts R', 's.ts R').replace('(close)', '(s.close)')} AS sd FROM s JOIN (SELECT symbol, ts, atr14 FROM osc) o USING (symbol, ts)), m2 AS (SELECT *, CASE WHEN count(volume) OVER {_Q} >= 3 THEN avg(volume) OVER {_Q} END AS mv, CASE WHEN count(volume) OVER {_Q} >= 3 THEN stddev_samp(volume) OVER {_Q} END AS sv FROM m)
+SELECT symbol, ts, round(CASE WHEN close > 0 THEN atr14 / close * 100 END, 4) AS atr_pct, round(CASE WHEN mid > 0 THEN 4 * sd / mid END, 4) AS bb_bw, round((close - (mid - 2 * sd)) / nullif(4 * sd, 0), 4) AS bb_pctb, round((close / nullif({_LC}, 0) - 1) * 100, 4) AS ret1, round((high - low) / nullif(close, 0) * 100, 4) AS range_pct, round(CASE WHEN bar = 0 THEN (open - {_LC}) / nullif({_LC}, 0) * 100 END, 4) AS session_gap,
+ round(volume / nullif(mv, 0), 4) AS rvol, round((volume - mv) / nullif(sv, 0), 4) AS slot_z FROM m2"""
 
 
 def i10_i11_oscillate(spark, sf):
-    return _out(i.oscillate(_b(spark, sf)), "", "mfi14 stoch_k stoch_d will_r cci20")
+    return _out(i.flow(i.oscillate(_b(spark, sf))), "obv", "mfi14 stoch_k stoch_d will_r cci20 obv_slope20")
 
 
 _tot = lambda c: roll(f"sum(CASE WHEN {c} THEN tp * volume ELSE 0.0 END)", "tp", 14, 14)
 I10 = f"""WITH {_BASE}, a AS (SELECT *, tp - lag(tp) OVER {P} AS mv, {roll('max(high)', 'high', 14, 14)} AS hi, {roll('min(low)', 'low', 14, 14)} AS lo, {roll('avg(tp)', 'tp', 20, 20)} AS m FROM s),
-b AS (SELECT *, (close - lo) / nullif(hi - lo, 0) * 100 AS sk, abs(tp - m) AS dev, {_tot('mv > 0')} AS up, {_tot('mv < 0')} AS dn FROM a)
-SELECT symbol, ts, round(100 - 100 / nullif(1 + up / nullif(dn, 0), 0), 4) AS mfi14, round(sk, 4) AS stoch_k, round({roll('avg(sk)', 'sk', 3, 3)}, 4) AS stoch_d, round((hi - close) / nullif(hi - lo, 0) * -100, 4) AS will_r,
- round((tp - m) / nullif(0.015 * ({roll('avg(dev)', 'dev', 20, 20)}), 0), 4) AS cci20 FROM b"""
+b AS (SELECT *, (close - lo) / nullif(hi - lo, 0) * 100 AS sk, abs(tp - m) AS dev, {_tot('mv > 0')} AS up, {_tot('mv < 0')} AS dn, coalesce(sign(close - lag(close) OVER {P}), 0) * volume AS om, CAST(row_number() OVER {P} AS DOUBLE) AS rn FROM a), c AS (SELECT *, sum(om) OVER {CUM} AS obv FROM b)
+SELECT symbol, ts, obv, round({roll('regr_slope(obv, rn)', 'obv', 20, 20)}, 4) AS obv_slope20, round(100 - 100 / nullif(1 + up / nullif(dn, 0), 0), 4) AS mfi14, round(sk, 4) AS stoch_k, round({roll('avg(sk)', 'sk', 3, 3)}, 4) AS stoch_d, round((hi - close) / nullif(hi - lo, 0) * -100, 4) AS will_r,
+ round((tp - m) / nullif(0.015 * ({roll('avg(dev)', 'dev', 20, 20)}), 0), 4) AS cci20 FROM c"""
+
+
+_SECOND = ("frac1", "frac5", "frac15", "frac_std15", "ema20_angle", "macd_hist", "atr_pct", "band_pos", "band_width", "volume_z", "wide_pos", "since_open")
 
 
 def i12_second_set(spark, sf):
-    return _out(i.second_set(_b(spark, sf)), "minutes_open", "frac1 frac3 frac6 since_open volume_z wide_pos")
+    d = i.second_set(i.sessions(oscillators(bars.event_hours(spark, sf))), opens=120)
+    return _out(d, "minutes_open volume_surge obv obv_step", " ".join(_SECOND))
 
 
 _B = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN 75 PRECEDING AND 1 PRECEDING)"
-_fr = lambda n: f"round(close / nullif(lag(close, {n}) OVER {P}, 0) - 1, 4) AS frac{n}"
-I12 = f"""WITH {_BASE} SELECT symbol, ts, minute - min(minute) OVER {_W} AS minutes_open, {_fr(1)}, {_fr(3)}, {_fr(6)}, round(close / nullif(first(close) OVER {_S}, 0) - 1, 4) AS since_open,
- round((volume - {roll('avg(volume)', 'volume', 75, 18)}) / nullif({roll('stddev_samp(volume)', 'volume', 75, 18)}, 0), 4) AS volume_z, round((close - min(low) OVER {_B}) / nullif(max(high) OVER {_B} - min(low) OVER {_B}, 0), 4) AS wide_pos FROM s"""
+_fr = lambda n: f"close / nullif(lag(close, {n}) OVER {P}, 0) - 1 AS frac{n}"
+I12 = f"""WITH {_BASE}, {oscillator_ctes()}, a AS (SELECT s.minute, s.session, o.*, CASE WHEN count(o.high) OVER w >= 10 THEN max(o.high) OVER w END AS hi, CASE WHEN count(o.low) OVER w >= 10 THEN min(o.low) OVER w END AS lo,
+ coalesce(sign(o.close - lag(o.close) OVER q), 0) * o.volume AS om FROM s JOIN osc o ON s.symbol = o.symbol AND s.ts = o.ts WINDOW w AS (PARTITION BY o.symbol ORDER BY o.ts ROWS BETWEEN 75 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY o.symbol ORDER BY o.ts)),
+b AS (SELECT *, {_fr(1)}, {_fr(5)}, {_fr(15)}, sum(om) OVER {CUM} AS obv, {roll('avg(close)', 'close', 20, 1)} AS mid, {roll('stddev_samp(close)', 'close', 20, 2)} AS sd, {roll('avg(volume)', 'volume', 75, 10)} AS vm, {roll('stddev_samp(volume)', 'volume', 75, 10)} AS vs FROM a)
+SELECT symbol, ts, greatest(minute - 120, 0) AS minutes_open, CASE WHEN coalesce(volume > vm + 2 * vs, false) THEN 1 ELSE 0 END AS volume_surge, obv, obv - lag(obv) OVER {P} AS obv_step,
+ round(frac1, 4) AS frac1, round(frac5, 4) AS frac5, round(frac15, 4) AS frac15, round({roll('stddev_samp(frac1)', 'frac1', 15, 5)}, 4) AS frac_std15,
+ round(degrees(atan((ema20 - lag(ema20) OVER {P}) / nullif(lag(ema20) OVER {P}, 0))), 4) AS ema20_angle, round(macd - macd_signal, 4) AS macd_hist, round(atr14 / nullif(close, 0) * 100, 4) AS atr_pct,
+ round(greatest(-5.0, least(5.0, (close - (mid - 2 * sd)) / nullif(4 * sd, 0))) + CASE WHEN sd > 0 THEN 0 END, 4) AS band_pos, round(4 * sd / nullif(mid, 0), 4) AS band_width, round((volume - vm) / nullif(vs, 0), 4) AS volume_z,
+ round(greatest(-1.0, least(2.0, (close - lo) / nullif(hi - lo, 0))) + CASE WHEN hi > lo THEN 0 END, 4) AS wide_pos, round(close / nullif(first(close) OVER {_S}, 0) - 1, 4) AS since_open FROM b"""
 
 QUERIES = {
     "i01_i03_vwap": (i01_i03_vwap, I01), "i04_session_node": (i04_session_node, I04), "i05_opening_range": (i05_opening_range, I05), "i06_oscillators": (i06_oscillators, I06),

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from panelforge.operators import labels as la
 from panelforge.operators import model as g
+from panelforge.operators import scoring as s
 from panelforge.operators import windows as w
 from panelforge.plans.sql import BARS, HOURS, P, USERS, rd
 from panelforge.sources import bars, files
@@ -66,13 +67,22 @@ SELECT regime, count(*) AS n, round(avg((prob - label) * (prob - label)), 4) AS
 
 def g08_g10_importance(spark, sf):
     """Fall of the area under the curve by shuffled feature on the test days,
-    the advice, and mean and spread of the fall over purged folds."""
+    over all and within regimes, rank correlations within regimes, the advice of
+    all these, and mean and spread of the fall over purged folds."""
     d = panel(spark, sf).persist()
-    m = g.member(d.where("part = 'train'"), FEATURES, "label", 1)
-    cv = {f: x for f, *x in g.cv_permutation_importance(d.where("part = 'train'"), FEATURES, "label", embargo=1)}
-    rows = [(f, float(x), g.recommend(x, 0.0, 0.0), *cv.get(f, (None, None, 0))) for f, x in g.permutation_importance(m, d.where("part = 'test'"), FEATURES, "label")]
-    d.unpersist()
-    return spark.createDataFrame(rows, "feature string, fall double, advice string, cv_fall double, cv_spread double, cv_folds int")
+    train, test = d.where("part = 'train'"), d.where("part = 'test'")
+    m = g.member(train, FEATURES, "label", 1)
+    cv = {f: x for f, *x in g.cv_permutation_importance(train, FEATURES, "label", embargo=1)}
+    fall = dict(g.permutation_importance(m, test, FEATURES, "label"))
+    regimes = {r: t for r in ("even", "odd") if g.has_two_classes(t := test.where(C("regime") == r), "label")}
+    within = {r: dict(g.permutation_importance(m, t, FEATURES, "label")) for r, t in regimes.items()}
+    rows = [(f, float(fall[f]), [float(within[r][f]) for r in within], *cv.get(f, (None, None, 0))) for f in FEATURES]
+    falls = spark.createDataFrame(rows, "feature string, fall double, by_regime array<double>, cv_fall double, cv_spread double, cv_folds int")
+    long = s.long_form(d.withColumns({f: C(f).cast("double") for f in FEATURES}), FEATURES, ["symbol", "ts", "y", "regime"])
+    ic = s.by_group(long, "y", "regime", 20).groupBy("feature").agg(
+        F.collect_list(F.when(C("group") != "ALL", C("mean"))).alias("ics"), F.abs(F.max(F.when(C("group") == "ALL", C("mean")))).alias("mean_abs_ic"))
+    out = falls.join(ic, "feature", "left").withColumn("ics", F.coalesce("ics", F.array().cast("array<double>")))
+    return out.select("feature", "fall", g.recommend(C("fall"), C("by_regime"), C("ics"), C("mean_abs_ic")).alias("advice"), "cv_fall", "cv_spread", "cv_folds")
 
 
 def g09_selection(spark, sf):

@@ -3,9 +3,11 @@ and deflation (M), rank ensembles (G), wide scores (D)."""
 
 from __future__ import annotations
 
+import math
+import statistics
+
 from pyspark.sql import functions as F
 
-from panelforge.functions import stats
 from panelforge.operators import cleaning as c
 from panelforge.operators import daily, model
 from panelforge.operators import labels as la
@@ -13,7 +15,7 @@ from panelforge.operators import scoring as s
 from panelforge.operators import windows as w
 from panelforge.plans.modelling import FEATURES, panel
 from panelforge.plans.research import _LONG, _features, _ic, _long
-from panelforge.plans.sql import BARS, MONTHS, P, USERS, ewm, rd, roll
+from panelforge.plans.sql import BARS, CUM, MONTHS, P, USERS, ewm, normal_cdf, oscillators, rd, roll
 from panelforge.sources import bars
 
 C = F.col
@@ -40,10 +42,10 @@ F07 = """SELECT s_suppkey, coalesce(b, a) AS b, greatest(s_acctbal, coalesce(b,
 
 def f10_range_anomalies(spark, sf):
     d = daily.oscillators(bars.supplier_months(spark, sf)).withColumn("far", C("rsi14") * 2)
-    return c.out_of_range(d, {"rsi14": (0.0, 100.0), "far": (0.0, 100.0)}).select(C("rsi14").alias("outside"), (C("far") > 0).alias("sees_some"))
+    return c.out_of_range(d, {"rsi14": (0.0, 100.0), "far": (0.0, 100.0)}).select(C("rsi14").alias("outside"), "far")
 
 
-F10 = "SELECT 0::BIGINT AS outside, true AS sees_some"
+F10 = f"WITH {MONTHS}, {oscillators()} SELECT count(*) FILTER (NOT (rsi14 BETWEEN 0 AND 100)) AS outside, count(*) FILTER (NOT (rsi14 * 2 BETWEEN 0 AND 100)) AS far FROM osc"
 
 
 def l02_features_l17_by_time(spark, sf):
@@ -102,7 +104,11 @@ def m16_m17_redundancy(spark, sf):
     return spark.createDataFrame([(f, f in kept, groups.get(f, -1)) for f in ("level", "twice", "busy")], "feature string, kept boolean, cluster int")
 
 
-M16 = "SELECT * FROM (VALUES ('level', true, 0), ('twice', false, 0), ('busy', true, -1)) t(feature, kept, cluster)"
+M16 = f"""WITH {USERS}, x AS (SELECT close AS level, close * 2 + volume * 0.01 AS twice, volume AS busy FROM bars), r AS (SELECT abs(corr(level, twice)) AS lt, abs(corr(level, busy)) AS lb, abs(corr(twice, busy)) AS tb FROM x),
+k AS (SELECT *, lt < 0.92 AS kt FROM r)
+SELECT 'level' AS feature, true AS kept, CASE WHEN lt >= 0.85 OR lb >= 0.85 THEN 0 ELSE -1 END AS cluster FROM k UNION ALL
+SELECT 'twice', kt, CASE WHEN lt >= 0.85 OR tb >= 0.85 THEN 0 ELSE -1 END FROM k UNION ALL
+SELECT 'busy', lb < 0.92 AND (NOT kt OR tb < 0.92), CASE WHEN lb >= 0.85 OR tb >= 0.85 THEN 0 ELSE -1 END FROM k"""
 
 
 def m22_horizons_m23_trailing(spark, sf):
@@ -124,11 +130,15 @@ def m08_deflated(spark, sf):
     return s.deflated(d, 50).select("feature", "n", *rd(sr=C("sr"), benchmark=C("benchmark"), deflated=C("deflated")))
 
 
+#: The expected best of 50 normal draws (Bailey and Lopez de Prado), from the
+#: standard library's quantiles.
+_N = statistics.NormalDist()
+_BEST_OF_50 = (1 - 0.5772156649015329) * _N.inv_cdf(1 - 1 / 50) + 0.5772156649015329 * _N.inv_cdf(1 - 1 / (50 * math.e))
 M08 = f"""WITH {_LONG}, {_ic('feature, ts')}, a AS (SELECT feature, ic, ic - avg(ic) OVER (PARTITION BY feature) AS e FROM ic WHERE ic IS NOT NULL),
 g AS (SELECT feature, count(*) AS n, avg(ic) / stddev_samp(ic) AS sr, avg(e * e * e) / pow(avg(e * e), 1.5) AS sk, avg(e * e * e * e) / pow(avg(e * e), 2) AS ku FROM a GROUP BY 1),
-m AS (SELECT *, sqrt(greatest(pow(1.4826 * (SELECT median(abs(sr - (SELECT median(sr) FROM g))) FROM g), 2), 1 / n)) * {stats.expected_max_t(50)!r} AS bm FROM g),
-z AS (SELECT *, (sr - bm) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM m), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z)
-SELECT feature, n, round(sr, 4) AS sr, round(bm, 4) AS benchmark, round(CASE WHEN z >= 0 THEN 1 - q ELSE q END, 4) AS deflated FROM (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS q FROM t)"""
+m AS (SELECT *, sqrt(greatest(pow(1.4826 * (SELECT median(abs(sr - (SELECT median(sr) FROM g))) FROM g), 2), 1 / n)) * {_BEST_OF_50!r} AS bm FROM g),
+z AS (SELECT *, (sr - bm) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM m)
+SELECT feature, n, round(sr, 4) AS sr, round(bm, 4) AS benchmark, round({normal_cdf('z')}, 4) AS deflated FROM z"""
 
 
 def g03_g04_rank_ensembles(spark, sf):
@@ -145,7 +155,70 @@ def g03_g04_rank_ensembles(spark, sf):
     return out.withColumn("prob", w.xs_rank(C("prediction"), "model", "ts")).select("symbol", "ts", "model", *rd(prob=C("prob")))
 
 
+def _osc(spark, sf):
+    return daily.combos(daily.structure(daily.pivots(daily.balance_volume(daily.oscillators(bars.supplier_months(spark, sf))))))
+
+
+_XCOLS = ("x_rsi14_adx14", "x_cprw_atr_pct", "x_trend_atr_pct", "x_rsi_cross_strength", "x_macd_nonlin", "x_adx_sqr", "atr14_to_close_pct", "rsi14_obv_x", "rsi7_obv_x", "close_slope20", "close_slope50", "past5_spread",
+          "rsi14_lag1", "adx14_lag2", "ema20_angle_lag1", "obv_slope_lag2")
+_HOTS = [f"{p}_{v}" for p, values in la.FAMILIES.values() for v in values]
+
+
+def l02_panel_features(spark, sf):
+    return la.featurised(_osc(spark, sf)).select("symbol", "ts", *_HOTS, *rd(**{k: C(k) for k in _XCOLS}))
+
+
+_hot = lambda c, p, values: ", ".join(f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS {p}_{v}" for v in values)
+_SRC = {"cpr_vs_prev": "rel", "cpr_next": "rel", "structure": "st", "day_type": "dt"}
+#: The oscillators' bars with pivots' relation, structure, day type and volume.
+_PANEL = f"""{oscillators()}, pa AS (SELECT *, (high + low) / 2 AS bc, 2 * (high + low + close) / 3 - (high + low) / 2 AS tc, lag(high) OVER {P} AS ph, lag(low) OVER {P} AS pl, lag(close) OVER {P} AS pc,
+ coalesce(sign(close - lag(close) OVER {P}), 0) * volume AS om, CAST(row_number() OVER {P} AS DOUBLE) AS rn, (close / nullif(lag(close) OVER {P}, 0) - 1) * 100 AS one FROM osc),
+pb AS (SELECT *, lag(bc) OVER {P} AS lb, lag(tc) OVER {P} AS lt, sum(om) OVER {CUM} AS obv, (tc - bc) / nullif(close, 0) * 100 AS cprw, atr14 / nullif(close, 0) * 100 AS ap,
+ (ema20 - lag(ema20) OVER {P}) / nullif(lag(ema20) OVER {P}, 0) AS sl, {roll('sum(one)', 'one', 5, 5)} AS p5 FROM pa),
+pp AS (SELECT *, CASE WHEN lb IS NOT NULL THEN CASE WHEN bc <= lt AND tc >= lb THEN 'Inside' WHEN tc < lb THEN 'Below' WHEN bc > lt THEN 'Above' ELSE 'Overlap' END END AS rel,
+ CASE WHEN high > ph AND low > pl THEN 'uptrend' WHEN high < ph AND low < pl THEN 'downtrend' ELSE 'range' END AS st, CASE WHEN open > tc THEN 'bullish' WHEN open < bc THEN 'bearish' ELSE 'inside' END AS dt,
+ obv - lag(obv) OVER {P} AS os, degrees(atan(sl)) AS angle FROM pb)"""
+L02P = f"""WITH {MONTHS}, {_PANEL} SELECT symbol, ts, {', '.join(_hot(_SRC[c], p, v) for c, (p, v) in la.FAMILIES.items())}, round(rsi14 * adx14, 4) AS x_rsi14_adx14, round(abs(cprw) * ap, 4) AS x_cprw_atr_pct,
+ round(CASE st WHEN 'uptrend' THEN 1 WHEN 'downtrend' THEN -1 ELSE 0 END * ap, 4) AS x_trend_atr_pct, round((rsi7 - rsi14) * adx14, 4) AS x_rsi_cross_strength, round((macd - macd_signal) * rsi14 / 50, 4) AS x_macd_nonlin,
+ round(adx14 * adx14 / 100, 4) AS x_adx_sqr, round(ap, 4) AS atr14_to_close_pct, round(rsi14 * os, 4) AS rsi14_obv_x, round(rsi7 * os, 4) AS rsi7_obv_x, round({roll('regr_slope(close, rn)', 'close', 20, 20)}, 4) AS close_slope20,
+ round({roll('regr_slope(close, rn)', 'close', 50, 50)}, 4) AS close_slope50, round({roll('stddev_samp(p5)', 'p5', 50, 10)}, 4) AS past5_spread, round(lag(rsi14) OVER {P}, 4) AS rsi14_lag1, round(lag(adx14, 2) OVER {P}, 4) AS adx14_lag2,
+ round(lag(angle) OVER {P}, 4) AS ema20_angle_lag1, round(lag(os, 2) OVER {P}, 4) AS obv_slope_lag2 FROM pp"""
+
+
+def d11_d22_momentum(spark, sf):
+    d = daily.year_scores(daily.momentum_flags(daily.balance_volume(daily.oscillators(bars.supplier_days(spark, sf)))))
+    return d.select("symbol", "ts", "ema_stack", "rsi7_over_14", *rd(**{k: C(k) for k in ("rsi14_z252", "atr_pct_z252", "volume_z252", "ema20_angle_z252", "turnover_z252", "rsi14_obv_x", "rsi7_obv_x")}))
+
+
+_zw = lambda x: f"round(({x} - {roll(f'avg({x})', x, 252, 63)}) / nullif({roll(f'stddev_samp({x})', x, 252, 63)}, 0), 4)"
+D11M = f"""WITH {BARS}, {_PANEL}, q AS (SELECT *, close * volume AS tv FROM pp) SELECT symbol, ts, CASE WHEN ema20 > ema50 AND ema50 > ema100 THEN 1 ELSE 0 END AS ema_stack, CASE WHEN rsi7 > rsi14 THEN 1 ELSE 0 END AS rsi7_over_14,
+ {_zw('rsi14')} AS rsi14_z252, {_zw('ap')} AS atr_pct_z252, {_zw('volume')} AS volume_z252, {_zw('angle')} AS ema20_angle_z252, {_zw('tv')} AS turnover_z252, round(rsi14 * os, 4) AS rsi14_obv_x, round(rsi7 * os, 4) AS rsi7_obv_x FROM q"""
+
+
+def d26_structural(spark, sf):
+    d = daily.structural(daily.bands(daily.structure(daily.pivots(daily.oscillators(bars.supplier_days(spark, sf))))))
+    return d.select("symbol", "ts", "hl_run", "lh_run", *rd(**{k: C(k) for k in ("compress_state", "from_20h", "from_20l", "from_52wh", "mid_slope_atr")}))
+
+
+_run = lambda c: f"CAST(n - coalesce(max(CASE WHEN NOT coalesce({c}, false) THEN n END) OVER {CUM}, 0) AS INTEGER)"
+_pre = lambda n: f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+D26 = f"""WITH {BARS}, {_PANEL}, a AS (SELECT *, CAST(rn AS BIGINT) AS n, (high + low) / 2 AS mid, 4 * ({roll('stddev_samp(close)', 'close', 20, 2)}) / nullif({roll('avg(close)', 'close', 20, 20)}, 0) AS bw,
+ CASE WHEN count(high) OVER {_pre(252)} >= 50 THEN max(high) OVER {_pre(252)} END AS top, max(high) OVER {_pre(20)} AS h20, min(low) OVER {_pre(20)} AS l20 FROM pp),
+b AS (SELECT *, list(bw) FILTER (bw IS NOT NULL) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS l FROM a)
+SELECT symbol, ts, {_run('low > pl')} AS hl_run, {_run('high < ph')} AS lh_run, round(CASE WHEN bw IS NOT NULL AND len(l) >= 10 THEN (len(list_filter(l, lambda y: y < bw)) + (len(list_filter(l, lambda y: y = bw)) + 1) / 2) / len(l) END, 4) AS compress_state,
+ round((close - h20) / nullif(atr14, 0), 4) AS from_20h, round((close - l20) / nullif(atr14, 0), 4) AS from_20l, round((close - top) / nullif(atr14, 0), 4) AS from_52wh, round({roll('regr_slope(mid, rn)', 'mid', 10, 10)} / nullif(atr14, 0), 4) AS mid_slope_atr FROM b"""
+
+
+def d25_combos(spark, sf):
+    return _osc(spark, sf).select("symbol", "ts", "rsi_up_adx_mid", "gap_up_above", "gap_down_below", "calm_up", "wild_down", *rd(ema20_angle=C("ema20_angle")))
+
+
+_yes = lambda c: f"CASE WHEN coalesce({c}, false) THEN 1 ELSE 0 END"
+D25 = f"""WITH {MONTHS}, {_PANEL} SELECT symbol, ts, {_yes(f'rsi14 > lag(rsi14) OVER {P} AND adx14 BETWEEN 15 AND 25')} AS rsi_up_adx_mid, {_yes("open > pc AND rel = 'Above'")} AS gap_up_above,
+ {_yes("open < pc AND rel = 'Below'")} AS gap_down_below, {_yes('ap <= 2 AND sl > 0')} AS calm_up, {_yes('ap >= 4 AND sl < 0')} AS wild_down, round(angle, 4) AS ema20_angle FROM pp"""
+
 QUERIES = {
+    "l02_panel_features": (l02_panel_features, L02P), "d11_d22_momentum": (d11_d22_momentum, D11M), "d26_structural": (d26_structural, D26), "d25_combos": (d25_combos, D25),
     "f02_f03_local_time": (f02_f03_local_time, F02), "f07_f13_filters": (f07_f13_filters, F07), "f10_range_anomalies": (f10_range_anomalies, F10), "l02_features_l17_by_time": (l02_features_l17_by_time, L02),
     "l07_l09_targets": (l07_l09_targets, L07), "d22_wide_scores": (d22_wide_scores, D22), "m12_m19_periods": (m12_m19_periods, M12), "m18_screen": (m18_screen, M18), "m16_m17_redundancy": (m16_m17_redundancy, M16),
     "m22_horizons_m23_trailing": (m22_horizons_m23_trailing, M22), "m08_deflated": (m08_deflated, M08), "g03_g04_rank_ensembles": (g03_g04_rank_ensembles, None),

@@ -232,11 +232,13 @@ SELECT symbol, ts, coalesce(t >= 20000.0 AND close >= 500.0, false) AS tradeable
 def f04_f08_checks(spark, sf):
     d = bars.supplier_days(spark, sf)
     rsi = C("close").between(0, 100)
-    return c.monotonic_errors(d).agg(F.count("*").alias("not_rising")).crossJoin(c.fresh(d, 7).agg(F.count("*").alias("fresh_rows"), F.countDistinct("symbol").alias("fresh_symbols"), F.count_if(~rsi).alias("out_of_range")))
+    # The bars of some days twice, so that there are times that don't rise.
+    bad = d.unionByName(d.where((C("symbol") % 3 == 0) & (F.dayofmonth("ts") <= 10)))
+    return c.monotonic_errors(bad).agg(F.count("*").alias("not_rising")).crossJoin(c.fresh(d, 7).agg(F.count("*").alias("fresh_rows"), F.countDistinct("symbol").alias("fresh_symbols"), F.count_if(~rsi).alias("out_of_range")))
 
 
 F04 = f"""WITH {BARS}, l AS (SELECT symbol, max(ts) AS last FROM bars GROUP BY 1), k AS (SELECT * FROM bars WHERE symbol IN (SELECT symbol FROM l WHERE (SELECT max(last) FROM l) - last <= 7))
-SELECT 0::BIGINT AS not_rising, count(*) AS fresh_rows, count(DISTINCT symbol) AS fresh_symbols, count(*) FILTER (NOT (close BETWEEN 0 AND 100)) AS out_of_range FROM k"""
+SELECT (SELECT count(*) FROM (SELECT ts <= lag(ts) OVER {P} AS bad FROM (SELECT symbol, ts FROM bars UNION ALL SELECT symbol, ts FROM bars WHERE symbol % 3 = 0 AND day(ts) <= 10)) WHERE bad) AS not_rising, count(*) AS fresh_rows, count(DISTINCT symbol) AS fresh_symbols, count(*) FILTER (NOT (close BETWEEN 0 AND 100)) AS out_of_range FROM k"""
 
 
 def f14_f16_impute_fill(spark, sf):
@@ -251,14 +253,22 @@ F14 = f"""WITH {BARS}, a AS (SELECT *, CASE WHEN volume > 10 THEN volume END AS
 
 def f01_f20_text(spark, sf):
     d = bars.table(spark, sf, "customer")
-    s = F.concat(F.lit("nse:"), C("c_name"), F.lit("-eq"))
-    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (C("c_custkey") % 900).cast("int")), "dd/MM/yyyy")
-    return d.select("c_custkey", c.clean_symbol(s).alias("symbol"), c.parse_date(day).alias("day"), c.num(C("c_name")).alias("bad"), c.num(C("c_custkey").cast("string")).alias("good"),
+    s = F.when(C("c_custkey") % 10 == 0, F.lit(" Ticker ")).when(C("c_custkey") % 10 == 1, F.lit(" <?> ")).otherwise(F.concat(F.lit("\ufeff nse: "), C("c_name"), F.lit("/\t -eq")))
+    when = F.date_add(F.lit("2020-01-01").cast("date"), (C("c_custkey") % 900).cast("int"))
+    formats = ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyyMMdd")
+    day = F.lit(None).cast("string")
+    for k, f in enumerate(formats):
+        day = F.when(C("c_custkey") % 6 == k, F.date_format(when, f)).otherwise(day)
+    span = c.date_range(day, F.lit("2020-10-15"), F.lit("2021-06-30").cast("date"))
+    return d.select("c_custkey", c.clean_symbol(s).alias("symbol"), c.parse_date(day).alias("day"), *[v.alias(k) for k, v in span.items()], c.num(C("c_name")).alias("bad"), c.num(C("c_custkey").cast("string")).alias("good"),
                     c.bool_text(F.when(C("c_custkey") % 2 == 0, "TRUE").otherwise(" false")).alias("flag"))
 
 
-F01 = """SELECT c_custkey, regexp_replace(upper(trim(c_name)), '[^A-Z0-9_&-]', '_', 'g') AS symbol, CAST(DATE '2020-01-01' + CAST(c_custkey % 900 AS INTEGER) AS DATE) AS day, CAST(NULL AS DOUBLE) AS bad, CAST(c_custkey AS DOUBLE) AS good,
- CASE WHEN c_custkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flag FROM customer"""
+F01 = """WITH w AS (SELECT *, CAST(DATE '2020-01-01' + CAST(c_custkey % 900 AS INTEGER) AS DATE) AS dy FROM customer),
+d AS (SELECT *, CASE WHEN c_custkey % 6 = 5 THEN NULL WHEN c_custkey % 6 = 3 AND day(dy) <= 12 THEN make_date(year(dy), day(dy), month(dy)) ELSE dy END AS d FROM w)
+SELECT c_custkey, CASE WHEN c_custkey % 10 < 2 THEN NULL ELSE 'nse ' || c_name || ' -eq' END AS symbol, d AS day, least(d, DATE '2020-10-15') + CASE WHEN d IS NOT NULL THEN 0 END AS first,
+ least(greatest(d, DATE '2020-10-15'), DATE '2021-06-30') + CASE WHEN d IS NOT NULL THEN 0 END AS last, CAST(NULL AS DOUBLE) AS bad, CAST(c_custkey AS DOUBLE) AS good,
+ CASE WHEN c_custkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flag FROM d"""
 
 QUERIES = {
     "j01_context": (j01_context, J01), "j02_asof": (j02_asof, J02), "j03_j06_keyed": (j03_j06_keyed, J03), "j07_semi_j08_anti": (j07_semi_j08_anti, J07), "j09_pairs_j10_grid": (j09_pairs_j10_grid, J09),

@@ -7,47 +7,60 @@ from pyspark.sql import functions as F
 from panelforge.functions import stats
 from panelforge.functions.exprs import div
 from panelforge.operators import backtest as b
+from panelforge.operators import daily
 from panelforge.operators import labels as la
 from panelforge.operators import scoring as s
 from panelforge.operators import windows as w
-from panelforge.plans.sql import BARS, MONTHS, P, USERS, rank_bucket, rd, roll, xs_rank
+from panelforge.plans.sql import BARS, MONTHS, P, USERS, normal_cdf, oscillators, rank_bucket, rd, roll, xs_rank
 from panelforge.sources import bars
 
 C = F.col
 
 
-def l01_l03_forward(spark, sf):
+def l01_forward(spark, sf):
     d = la.forward(bars.supplier_days(spark, sf))
-    return d.withColumn("bias", la.bias(d)).select("symbol", "ts", "bias", *rd(**{k: C(k) for k in ("ret_1d_cc", "ret_5d_cc", "ret_3d_oc", "fwd_mfe5", "fwd_mae5")}))
+    return d.select("symbol", "ts", *rd(**{k: C(k) for k in ("ret_1d_cc", "ret_5d_cc", "ret_3d_oc", "fwd_mfe5", "fwd_mae5")}))
 
 
 _ld = lambda c, n: f"lead({c}, {n}) OVER {P}"
 _fw = lambda a, c, n: f"{a}({c}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
-L01 = f"""WITH {BARS} SELECT symbol, ts, {' + '.join(f"coalesce(sign(close - {roll('avg(close)', 'close', n, n)}), 0)" for n in (5, 20, 50))}::DOUBLE AS bias,
+L01 = f"""WITH {BARS} SELECT symbol, ts,
  round(({_ld('close', 1)} / nullif(close, 0) - 1) * 100, 4) AS ret_1d_cc, round(({_ld('close', 5)} / nullif(close, 0) - 1) * 100, 4) AS ret_5d_cc, round(({_ld('close', 3)} / nullif({_ld('open', 1)}, 0) - 1) * 100, 4) AS ret_3d_oc,
  round(({_fw('max', 'high', 5)} / nullif(close, 0) - 1) * 100, 4) AS fwd_mfe5, round(({_fw('min', 'low', 5)} / nullif(close, 0) - 1) * 100, 4) AS fwd_mae5 FROM bars"""
 
 
+def l03_bias(spark, sf):
+    d = la.bias(daily.pivots(daily.oscillators(bars.supplier_months(spark, sf))))
+    return d.select("symbol", "ts", *rd(long_score=C("long_score"), short_score=C("short_score")))
+
+
+L03 = f"""WITH {MONTHS}, {oscillators()}, p AS (SELECT *, CASE WHEN atr14 / nullif(close, 0) * 100 > 4 THEN 0.5 ELSE 0 END
+ + CASE WHEN abs((2 * (high + low + close) / 3 - (high + low)) / nullif(close, 0) * 100) > 1 THEN 0.3 ELSE 0 END AS pen FROM osc)
+SELECT symbol, ts, round(CASE WHEN rsi14 BETWEEN 50 AND 70 THEN 1.0 ELSE 0.0 END - pen, 4) AS long_score, round(CASE WHEN rsi14 < 45 THEN 1.0 ELSE 0.0 END - pen, 4) AS short_score FROM p"""
+
+
 def l04_market_regime(spark, sf):
-    d = la.market_regime(bars.supplier_days(spark, sf))
-    return d.select("ts", "up_trend", "high_vol", *rd(mean=C("m"), spread=C("s")))
+    return la.market_regime(bars.supplier_days(spark, sf)).select("ts", "high_vol", *rd(trend=C("trend"), dispersion=C("dispersion")))
 
 
-_f = lambda n: f"(ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-_mm = lambda n: f"CASE WHEN count(m) OVER {_f(n)} >= 10 THEN avg(m) OVER {_f(n)} END"
-L04 = f"""WITH {BARS}, r AS (SELECT ts, close / nullif(lag(close) OVER {P}, 0) - 1 AS r FROM bars), d AS (SELECT ts, avg(r) AS m, stddev_samp(r) AS s FROM r GROUP BY ts),
-e AS (SELECT *, {_mm(50)} AS a, {_mm(200)} AS b, CASE WHEN count(s) OVER {_f(250)} >= 10 THEN quantile_cont(s, 0.5) OVER {_f(250)} END AS md FROM d),
-g AS (SELECT *, CASE WHEN coalesce(a > b AND b > 0, false) THEN 1 ELSE 0 END AS t FROM e)
-SELECT ts, lag(t) OVER (ORDER BY ts) AS up_trend, CASE WHEN coalesce(s > md, false) THEN 1 ELSE 0 END AS high_vol, round(m, 4) AS mean, round(s, 4) AS spread FROM g"""
+_before = lambda n: f"(ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+L04 = f"""WITH {BARS}, r AS (SELECT ts, (close / nullif(lag(close) OVER {P}, 0) - 1) * 100 AS r FROM bars), d AS (SELECT ts, avg(r) AS m, stddev_samp(r) AS s FROM r GROUP BY ts),
+e AS (SELECT ts, CASE WHEN count(m) OVER {_before(200)} >= 50 THEN avg(m) OVER {_before(200)} END AS trend, lag(s) OVER (ORDER BY ts) AS dispersion,
+ CASE WHEN count(s) OVER {_before(250)} >= 50 THEN quantile_cont(s, 0.5) OVER {_before(250)} END AS md FROM d)
+SELECT ts, CASE WHEN coalesce(dispersion > md, false) THEN 1 ELSE 0 END AS high_vol, round(trend, 4) AS trend, round(dispersion, 4) AS dispersion FROM e"""
+
+_REGIME = ("regime_dist_sma200", "regime_adx", "regime_dist_x_adx", "regime_bull_soft", "regime_trend_soft")
 
 
 def l05_stock_regime(spark, sf):
-    return la.stock_regime(bars.supplier_days(spark, sf)).select("symbol", "ts", "regime", "regime_lag", *rd(trend_strength=C("trend_strength")))
+    d = la.stock_regime(daily.averages(daily.oscillators(bars.supplier_days(spark, sf))))
+    return d.select("symbol", "ts", "regime", "regime_lag", *rd(**{k: C(k) for k in _REGIME}))
 
 
-_REG = f"""ra AS (SELECT *, {roll('avg(close)', 'close', 20, 20)} AS a, {roll('avg(close)', 'close', 50, 50)} AS b, (close - {roll('avg(close)', 'close', 20, 10)}) / nullif({roll('stddev_samp(close)', 'close', 20, 10)}, 0) AS n FROM bars),
-rb AS (SELECT *, CASE WHEN coalesce(a > b, false) THEN 'bull' ELSE 'bear' END || CASE WHEN coalesce(abs(n) < 1, false) THEN '_range' ELSE '_trend' END AS regime FROM ra)"""
-L05 = f"""WITH {BARS}, {_REG} SELECT symbol, ts, regime, coalesce(lag(regime) OVER {P}, 'bull_trend') AS regime_lag, round(1 / (1 + exp(-coalesce(a / nullif(b, 0) - 1, 0) * 10)), 4) AS trend_strength FROM rb"""
+L05 = f"""WITH {BARS}, {oscillators()}, a AS (SELECT *, {roll('avg(close)', 'close', 200, 200)} AS sma FROM osc),
+b AS (SELECT *, close / nullif(sma, 0) - 1 AS d, CASE WHEN close > sma THEN 'bull' ELSE 'bear' END || CASE WHEN adx14 < 20 THEN '_range' ELSE '_trend' END AS regime FROM a)
+SELECT symbol, ts, regime, coalesce(lag(regime) OVER {P}, 'bull_trend') AS regime_lag, round(d, 4) AS regime_dist_sma200, round(adx14, 4) AS regime_adx, round(d * adx14, 4) AS regime_dist_x_adx,
+ round(1 / (1 + exp(-20 * d)), 4) AS regime_bull_soft, round(1 / (1 + exp((22.5 - adx14) / 5)), 4) AS regime_trend_soft FROM b"""
 
 
 def l06_l10_target(spark, sf):
@@ -60,7 +73,7 @@ _TG = f"""t0 AS (SELECT *, ({_ld('close', 3)} / nullif({_ld('open', 1)}, 0) - 1)
 t1 AS (SELECT *, coalesce({roll('stddev_samp(one)', 'one', 6, 3)}, (high - low) / nullif(close, 0) * 100) AS v0 FROM t0), t2 AS (SELECT *, CASE WHEN v0 > 0 THEN v0 END AS v1 FROM t1),
 t3 AS (SELECT *, greatest(v1, quantile_cont(v1, 0.05) OVER (PARTITION BY ts)) AS v FROM t2), t4 AS (SELECT *, CASE WHEN v1 IS NOT NULL THEN ret / nullif(v, 0) END AS sc FROM t3),
 t5 AS (SELECT *, {xs_rank('sc', 'ts')} AS rk FROM t4), t6 AS (SELECT *, CASE WHEN rk >= 0.8 THEN 1 WHEN rk <= 0.2 THEN 0 END AS label FROM t5)"""
-L06 = f"""WITH {MONTHS}, {_TG} SELECT symbol, ts, label, CASE WHEN {_ld('close', 3)} IS NOT NULL THEN CASE WHEN coalesce(label = 1 AND {_ld('close', 3)} >= {_ld('open', 1)} AND ({_ld('open', 1)} - {_fw('min', 'low', 3)}) / nullif({_ld('open', 1)}, 0) * 100 < 30.0, false) THEN 1 ELSE 0 END END AS strict,
+L06 = f"""WITH {MONTHS}, {_TG} SELECT symbol, ts, label, CASE WHEN label = 1 AND {_ld('close', 3)} >= close AND (close - {_fw('min', 'low', 3)}) / nullif(close, 0) * 100 < 30.0 THEN 1 WHEN label = 0 THEN 0 END AS strict,
  CASE WHEN ret > 0.1 THEN 1 WHEN ret < -0.1 THEN 0 END AS follow, round(sc, 4) AS scaled, round(rk, 4) AS rank FROM t6"""
 
 
@@ -176,14 +189,90 @@ M22 = f"""WITH {_LONG}, l2 AS (SELECT feature, 'ALL' AS grp, symbol, ts, x, y FR
 SELECT feature, grp AS "group", count(*) AS dates, round(avg(ic), 4) AS mean FROM ic WHERE ic IS NOT NULL GROUP BY 1, 2"""
 
 
-def m13_strategies_m14_verdict(spark, sf):
+def m13_strategies(spark, sf):
     d = _features(spark, sf)
     g = s.generate(d.withColumns({c: C(c).cast("double") for c in ("level", "busy", "spread")}), ["level", "busy", "spread"], C("day") == "even")
     lg = g.join(d.select("symbol", "ts", "y"), ["symbol", "ts"]).withColumnRenamed("strategy", "feature")
     ic = s.daily_ic(lg, "y", 30)
-    nw = s.newey_west(ic, "ic", 3, "feature").join(s.fold_signs(ic, 4, 1), "feature").join(s.summary(ic).select("feature", (C("mean") / C("std")).alias("ir")), "feature")
-    floor = stats.expected_max_t(13)
-    return nw.select(C("feature").alias("strategy"), "n", s.verdict(C("n"), C("ir"), C("t"), C("agree"), floor).alias("verdict"), *rd(mean=C("mean"), t=C("t")))
+    nw = s.newey_west(ic, "ic", 3, "feature").join(s.fold_signs(ic, 4, 1), "feature")
+    return nw.select(C("feature").alias("strategy"), "n", *rd(mean=C("mean"), t=C("t"), agree=C("agree")))
+
+
+_GEN = [(f"single:{a}", a) for a in ("level", "busy", "spread")]
+_GEN += [x for a, c in (("level", "busy"), ("level", "spread"), ("busy", "spread")) for x in
+         ((f"product:{a}*{c}", f"{a} * {c}"), (f"agree:{a}&{c}", f"CASE WHEN sign({a}) = sign({c}) THEN {a} + {c} ELSE 0.0 END"))]
+_GEN += [(f"gate:{a}", f"CASE WHEN day = 'even' THEN {a} END") for a in ("level", "busy", "spread")] + [("mean:all", "(level + busy + spread) / 3")]
+_zs = lambda x: f"coalesce(({x} - avg({x}) OVER (PARTITION BY ts)) / nullif(stddev_samp({x}) OVER (PARTITION BY ts), 0), 0)"
+_gl = lambda k: f"sum(e * lag_{k})"
+
+
+def _newey(source: str) -> str:
+    """CTEs up to nw (feature, n, m, t) and ag (feature, agree) of ic."""
+    return f"""e0 AS (SELECT feature, ts, ic, ic - avg(ic) OVER (PARTITION BY feature) AS e FROM {source} WHERE ic IS NOT NULL),
+e1 AS (SELECT *, {', '.join(f'lag(e, {k}) OVER (PARTITION BY feature ORDER BY ts) AS lag_{k}' for k in (1, 2, 3))} FROM e0),
+nv AS (SELECT feature, count(*) AS n, avg(ic) AS m, sum(e * e) / count(*) + {' + '.join(f'2 * (1 - {k} / 4) * coalesce(sum(e * lag_{k}), 0) / count(*)' for k in (1, 2, 3))} AS v FROM e1 GROUP BY 1),
+nw AS (SELECT feature, n, m, CASE WHEN v > 0 THEN m / sqrt(v / n) END AS t FROM nv),
+fa AS (SELECT feature, ts, ic, row_number() OVER (PARTITION BY feature ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY feature) AS n, avg(ic) OVER (PARTITION BY feature) AS m FROM {source} WHERE ic IS NOT NULL),
+ff AS (SELECT *, CAST(CASE WHEN k < (n % 4) * (floor(n / 4) + 1) THEN floor(k / (floor(n / 4) + 1)) ELSE n % 4 + floor((k - (n % 4) * (floor(n / 4) + 1)) / greatest(floor(n / 4), 1)) END AS INTEGER) AS f FROM fa),
+fh AS (SELECT *, row_number() OVER (PARTITION BY feature, f ORDER BY ts) AS i FROM ff), fm AS (SELECT feature, f, avg(ic) AS c, any_value(m) AS m FROM fh WHERE f = 0 OR i > 1 GROUP BY 1, 2),
+ag AS (SELECT feature, avg(CASE WHEN sign(c) = sign(m) THEN 1.0 ELSE 0.0 END) AS agree FROM fm GROUP BY 1)"""
+
+
+M13 = f"""WITH {_LONG}, z AS (SELECT ts, symbol, y, day, {_zs('close')} AS level, {_zs('volume')} AS busy, {_zs('spread')} AS spread FROM fe),
+l2 AS ({' UNION ALL '.join(f"SELECT '{k}' AS feature, ts, symbol, y, {e} AS x FROM z" for k, e in _GEN)}), {_ic('feature, ts', 'l2')}, {_newey('ic')}
+SELECT feature AS strategy, n, round(m, 4) AS mean, round(t, 4) AS t, round(agree, 4) AS agree FROM nw JOIN ag USING (feature)"""
+
+
+def m14_verdicts(spark, sf):
+    """Both sets of rules over the statistics of three features; the last third
+    of the dates is the test."""
+    f = _features(spark, sf).withColumn("y", C("y") / 1000)
+    ic = s.daily_ic(_long(spark, sf), "y", 30)
+    p = w.Window.partitionBy("feature")
+    late = ic.where("ic is not null").withColumn("_late", F.row_number().over(p.orderBy("ts")) > F.floor(F.count("*").over(p) * 2 / 3))
+    test = late.groupBy("feature").agg(F.avg(F.when(C("_late"), C("ic"))).alias("test_ic"), div(F.avg("ic"), F.stddev_samp("ic")).alias("ir"))
+    trades = None
+    for x in ("level", "busy", "spread"):
+        t = s.long_short(f, x, "y", 1, 5, 50, 0.001).select(F.lit(x).alias("feature"), "gross", "net")
+        trades = t if trades is None else trades.unionByName(t)
+    sharpe = lambda c: div(F.avg(c), F.stddev_samp(c)) * 252 ** 0.5
+    d = s.newey_west(ic, "ic", 3, "feature").join(s.fold_signs(ic, 4, 1), "feature").join(test, "feature")
+    d = d.join(trades.groupBy("feature").agg(sharpe("gross").alias("gross"), sharpe("net").alias("net")), "feature")
+    moments = ic.where("ic is not null").groupBy("feature").agg(F.skewness("ic").alias("sk"), (F.kurtosis("ic") + 3).alias("ku"))
+    d = d.join(moments, "feature").withColumn("dsr", stats.probabilistic_sharpe(C("ir"), F.lit(0.0), C("n"), C("sk"), C("ku")))
+    return d.select("feature", s.feature_verdict(C("t"), 1.5, C("net"), C("agree"), C("test_ic"), C("mean")).alias("scan"),
+                    s.strategy_verdict(C("t"), 1.5, C("ir"), C("gross"), C("net"), C("dsr"), C("agree"), C("test_ic"), C("mean")).alias("verdict"), *rd(net=C("net"), test_ic=C("test_ic")))
+
+
+def _legs(x: str, k: str) -> str:
+    """CTE: gross and net of the long-short portfolio of a column."""
+    return f"""leg_{k} AS (SELECT ts, symbol, y / 1000 AS y, row_number() OVER (PARTITION BY ts ORDER BY {x}, symbol) AS r, count(*) OVER (PARTITION BY ts) AS n FROM fe WHERE y IS NOT NULL),
+cut_{k} AS (SELECT *, {rank_bucket(5, 'n', 'r')} AS b FROM leg_{k} WHERE n >= 50),
+pair_{k} AS (SELECT ts, avg(CASE WHEN b = 5 THEN y END) - avg(CASE WHEN b = 1 THEN y END) AS gross, list(symbol) FILTER (b = 5) AS up, list(symbol) FILTER (b = 1) AS dn FROM cut_{k} GROUP BY 1),
+trade_{k} AS (SELECT ts, gross, gross - 0.001 * coalesce(((1 - len(list_intersect(up, lag(up) OVER (ORDER BY ts))) / len(up)) + (1 - len(list_intersect(dn, lag(dn) OVER (ORDER BY ts))) / len(dn))) / 2, 1.0) AS net FROM pair_{k})"""
+
+
+M14 = f"""WITH {_LONG}, {_ic('feature, ts')}, {_newey('ic')}, {_legs('close', 'a')}, {_legs('volume', 'b')}, {_legs('spread', 'c')},
+tr AS (SELECT 'level' AS feature, * FROM trade_a UNION ALL SELECT 'busy', * FROM trade_b UNION ALL SELECT 'spread', * FROM trade_c),
+sh AS (SELECT feature, avg(gross) / stddev_samp(gross) * sqrt(252) AS gross, avg(net) / stddev_samp(net) * sqrt(252) AS net FROM tr GROUP BY 1),
+te AS (SELECT feature, avg(CASE WHEN k >= floor(n * 2 / 3) THEN ic END) AS test_ic, avg(ic) / stddev_samp(ic) AS ir, avg(pow(ic - m, 3)) / pow(avg(pow(ic - m, 2)), 1.5) AS sk, avg(pow(ic - m, 4)) / pow(avg(pow(ic - m, 2)), 2) AS ku FROM fa GROUP BY 1),
+j AS (SELECT *, ir * sqrt(n - 1) / sqrt(1 - sk * ir + (ku - 1) / 4 * ir * ir) AS z FROM nw JOIN ag USING (feature) JOIN sh USING (feature) JOIN te USING (feature)),
+q AS (SELECT *, {normal_cdf('z')} AS dsr, (agree >= 0.6 AND sign(test_ic) = sign(m)) AS lasting FROM j)
+SELECT feature, CASE WHEN t IS NULL THEN 'insufficient_data' WHEN abs(t) < 1.5 THEN 'noise (fails multiple-testing)' WHEN net <= 0 THEN 'fails net-of-cost' WHEN agree < 0.6 THEN 'unstable across folds'
+ WHEN sign(test_ic) <> sign(m) THEN 'decays out-of-sample' ELSE 'CANDIDATE' END AS scan,
+ CASE WHEN abs(ir) > 0.5 OR gross > 6 THEN 'AVOID (too good - check leakage)' WHEN coalesce(abs(t), 0) < 1.5 THEN 'NO_EDGE' WHEN dsr >= 0.9 AND net >= 1 AND lasting THEN 'STRONG'
+ WHEN dsr >= 0.5 AND net >= 0.4 AND lasting THEN 'PROMISING' ELSE 'MARGINAL' END AS verdict, round(net, 4) AS net, round(test_ic, 4) AS test_ic FROM q"""
+
+
+def m12_day_states(spark, sf):
+    return s.day_states(bars.user_days(spark, sf))
+
+
+M12D = f"""WITH {USERS}, r AS (SELECT ts, close / nullif(lag(close) OVER {P}, 0) - 1 AS r FROM bars), d AS (SELECT ts, avg(r) AS m, stddev_samp(r) AS s FROM r GROUP BY ts),
+e AS (SELECT ts, CASE WHEN count(m) OVER {_before(20)} >= 5 THEN stddev_samp(m) OVER {_before(20)} END AS v, CASE WHEN count(m) OVER {_before(20)} >= 5 THEN avg(m) OVER {_before(20)} END AS t, lag(s) OVER (ORDER BY ts) AS d FROM d),
+f AS (SELECT *, avg(v) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS av, avg(d) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ad FROM e)
+SELECT ts, CASE WHEN v > av THEN 'HIGH' WHEN v <= av THEN 'LOW' ELSE 'UNKNOWN' END AS vol_state, CASE WHEN t > 0 THEN 'UP' WHEN t <= 0 THEN 'DOWN' ELSE 'UNKNOWN' END AS trend_state,
+ CASE WHEN d > ad THEN 'HIGH' WHEN d <= ad THEN 'LOW' ELSE 'UNKNOWN' END AS dispersion_state FROM f"""
 
 
 def m07_m08_sharpe(spark, sf):
@@ -194,8 +283,8 @@ def m07_m08_sharpe(spark, sf):
 
 M07 = f"""WITH {_LONG}, {_ic('feature, ts')}, a AS (SELECT feature, ic, ic - avg(ic) OVER (PARTITION BY feature) AS e FROM ic WHERE ic IS NOT NULL),
 g AS (SELECT feature, count(*) AS n, avg(ic) / stddev_samp(ic) AS sr, avg(e * e * e) / pow(avg(e * e), 1.5) AS sk, avg(e * e * e * e) / pow(avg(e * e), 2) AS ku FROM a GROUP BY 1),
-z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM g), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z)
-SELECT feature, n, round(sr, 4) AS sr, round(sk, 4) AS skew, round(ku, 4) AS kurt, round(CASE WHEN z >= 0 THEN 1 - q ELSE q END, 4) AS psr FROM (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS q FROM t)"""
+z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM g)
+SELECT feature, n, round(sr, 4) AS sr, round(sk, 4) AS skew, round(ku, 4) AS kurt, round({normal_cdf('z')}, 4) AS psr FROM z"""
 
 
 def m20_rank_stability(spark, sf):
@@ -240,12 +329,12 @@ def m25_cross_alphas(spark, sf):
     d = bars.supplier_months(spark, sf)
     d = d.withColumns({"ro": w.xs_rank(C("open"), "ts"), "rv": w.xs_rank(C("volume"), "ts")})
     return d.select("symbol", "ts", *rd(x3=-w.corr(C("ro"), C("rv"), 10), x6=-w.corr(C("open"), C("volume"), 10), x33=w.xs_rank(div(C("open"), C("close")), "ts"), x44=-w.corr(C("high"), C("rv"), 5),
-                                        x101=(C("close") - C("open")) / (C("high") - C("low") + 0.001)))
+                                        x12=F.signum(w.delta(C("volume"))) * -w.delta(C("close")), x101=w.xs_rank((C("close") - C("open")) / (C("high") - C("low") + 1e-9), "ts")))
 
 
 _cr = lambda a, c, n: f"CASE WHEN isnan({roll(f'corr({a}, {c})', a, n, max(5, n // 2))}) THEN NULL ELSE -({roll(f'corr({a}, {c})', a, n, max(5, n // 2))}) END"
-M25 = f"""WITH {MONTHS}, k AS (SELECT *, {xs_rank('open', 'ts')} AS ro, {xs_rank('volume', 'ts')} AS rv, open / nullif(close, 0) AS oc FROM bars)
-SELECT symbol, ts, round({_cr('ro', 'rv', 10)}, 4) AS x3, round({_cr('open', 'volume', 10)}, 4) AS x6, round({xs_rank('oc', 'ts')}, 4) AS x33, round({_cr('high', 'rv', 5)}, 4) AS x44, round((close - open) / (high - low + 0.001), 4) AS x101 FROM k"""
+M25 = f"""WITH {MONTHS}, k AS (SELECT *, {xs_rank('open', 'ts')} AS ro, {xs_rank('volume', 'ts')} AS rv, open / nullif(close, 0) AS oc, (close - open) / (high - low + 1e-9) AS body FROM bars)
+SELECT symbol, ts, round({_cr('ro', 'rv', 10)}, 4) AS x3, round({_cr('open', 'volume', 10)}, 4) AS x6, round({xs_rank('oc', 'ts')}, 4) AS x33, round({_cr('high', 'rv', 5)}, 4) AS x44, round(sign(volume - lag(volume) OVER {P}) * -(close - lag(close) OVER {P}), 4) AS x12, round({xs_rank('body', 'ts')}, 4) AS x101 FROM k"""
 
 
 def _trades(spark, sf, n=6):
@@ -278,8 +367,10 @@ A08 = f"""WITH {MONTHS}, {_TB} SELECT tp, CAST(floor(round((symbol % 100) / 100
 
 
 def b04_b05_slots(spark, sf):
+    m = bars.supplier_months(spark, sf)
     t = _trades(spark, sf).withColumn("score", C("volume"))
-    return b.equity_stats(b.slots(t, 5, ["tp"]), ["tp"], 12.0).select("tp", "days", *rd(**{k: C(k) for k in ("growth", "sharpe", "max_drawdown", "exposure")}))
+    d = b.equity_stats(b.slots(t, m.select("ts"), 5, ["tp"], 2, 0.1), ["tp"], 5, 12.0)
+    return d.select("tp", "trades", "days", *rd(**{k: C(k) for k in ("win_rate", "final", "growth", "sharpe", "max_drawdown", "exposure")}))
 
 
 def b06_top_k(spark, sf):
@@ -291,8 +382,8 @@ B06 = f"""WITH {_LONG}, k AS (SELECT ts, y / 1000 AS y, row_number() OVER (PARTI
 SELECT ts, n, round(ret, 4) AS ret, round(exp(sum(ln(1 + ret)) OVER (ORDER BY ts)), 4) AS equity FROM d"""
 
 QUERIES = {
-    "l01_l03_forward": (l01_l03_forward, L01), "l04_market_regime": (l04_market_regime, L04), "l05_stock_regime": (l05_stock_regime, L05), "l06_l11_target": (l06_l10_target, L06), "l12_l17_splits": (l12_l17_splits, L12),
+    "l01_forward": (l01_forward, L01), "l03_bias": (l03_bias, L03), "l04_market_regime": (l04_market_regime, L04), "l05_stock_regime": (l05_stock_regime, L05), "l06_l11_target": (l06_l10_target, L06), "l12_l17_splits": (l12_l17_splits, L12),
     "m01_daily_ic": (m01_daily_ic, M01), "m02_pooled_m04_summary": (m02_pooled_m04_summary, M02), "m03_newey_west": (m03_newey_west, M03), "m10_fold_signs_m15_walk": (m10_fold_signs_m15_walk, M10), "m11_long_short_m09_drawdown": (m11_long_short_m09_drawdown, M11),
-    "m21_profile": (m21_profile, M21), "m22_by_group": (m22_by_group_m23_trailing, M22), "m13_strategies_m14_verdict": (m13_strategies_m14_verdict, None), "m07_m08_sharpe": (m07_m08_sharpe, M07), "m20_rank_stability": (m20_rank_stability, M20),
+    "m21_profile": (m21_profile, M21), "m22_by_group": (m22_by_group_m23_trailing, M22), "m13_strategies": (m13_strategies, M13), "m14_verdicts": (m14_verdicts, M14), "m12_day_states": (m12_day_states, M12D), "m07_m08_sharpe": (m07_m08_sharpe, M07), "m20_rank_stability": (m20_rank_stability, M20),
     "m24_candidates": (m24_candidates, M24), "m25_cross_alphas": (m25_cross_alphas, M25), "b01_b02_barrier": (b01_b02_barrier, B01), "a08_b03_summary": (a08_b03_summary, A08), "b04_b05_slots": (b04_b05_slots, None), "b06_top_k": (b06_top_k, B06),
 }

@@ -69,6 +69,55 @@ def ewm(x: str, alpha: float, least: int, source: str = "bars") -> tuple[str, st
  UNION ALL SELECT b.symbol, b.ts, b.rn, b.k, CASE WHEN b.x IS NULL THEN e.y ELSE {1 - alpha!r} * e.y + {alpha!r} * b.x END FROM {name} e JOIN {name}_b b ON b.symbol = e.symbol AND b.rn = e.rn + 1)""", name)
 
 
+def smooth(x: str, alpha: float, source: str = "bars") -> tuple[str, str]:
+    """(CTE, name): the exponential mean y of x (NULL at the head only) and the
+    number k of values so far, as a weighted sum instead of a recursion."""
+    name = "s" + format(zlib.crc32(f"{x}|{alpha}|{source}".encode()), "x")
+    return (f"""{name}_b AS (SELECT symbol, ts, {x} AS x, count({x}) OVER {CUM} AS k FROM {source}),
+{name} AS (SELECT symbol, ts, k, CASE WHEN k > 0 THEN pow({1 - alpha!r}, k) * sum(CASE WHEN x IS NULL THEN 0 WHEN k = 1 THEN x / {1 - alpha!r} ELSE {alpha!r} * x * pow({1 - alpha!r}, -k) END)
+ OVER {CUM} END AS y FROM {name}_b)""", name)
+
+
+def oscillators() -> str:
+    """CTEs up to osc: the bars with ema20, ema50, ema100, macd, macd_signal,
+    rsi7, rsi14, atr14 and adx14."""
+    ctes = [f"""mv AS (SELECT symbol, ts, close - lag(close) OVER {P} AS st, high - lag(high) OVER {P} AS up, lag(low) OVER {P} - low AS dn,
+ greatest(high - low, abs(high - lag(close) OVER {P}), abs(low - lag(close) OVER {P})) AS tr FROM bars)"""]
+    names = {}
+
+    def add(key, x, alpha, source="bars"):
+        cte, names[key] = smooth(x, alpha, source)
+        ctes.append(cte)
+
+    for n in (20, 50, 100, 12, 26):
+        add(f"e{n}", "close", 2 / (n + 1))
+    ctes.append(f"mc AS (SELECT a.symbol, a.ts, a.y - b.y AS v FROM {names['e12']} a JOIN {names['e26']} b USING (symbol, ts))")
+    add("signal", "v", 0.2, "mc")
+    for n in (7, 14):
+        add(f"gain{n}", "greatest(st, CASE WHEN st IS NULL THEN NULL ELSE 0 END)", 1 / n, "mv")
+        add(f"loss{n}", "CASE WHEN st IS NULL THEN NULL ELSE -least(st, 0) END", 1 / n, "mv")
+    add("tr", "tr", 1 / 14, "mv")
+    add("plus", "CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END", 1 / 14, "mv")
+    add("minus", "CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END", 1 / 14, "mv")
+    ctes.append(f"""di AS (SELECT t.symbol, t.ts, t.k, 100 * p.y / nullif(t.y, 0) AS pdi, 100 * m.y / nullif(t.y, 0) AS mdi
+ FROM {names['tr']} t JOIN {names['plus']} p USING (symbol, ts) JOIN {names['minus']} m USING (symbol, ts)),
+dx AS (SELECT symbol, ts, CASE WHEN k >= 14 THEN 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) END AS v FROM di)""")
+    add("adx", "v", 1 / 14, "dx")
+    rsi = lambda n: f"CASE WHEN g{n}.k >= {n} THEN 100 - 100 / (1 + g{n}.y / nullif(l{n}.y, 0)) END AS rsi{n}"
+    ctes.append(f"""osc AS (SELECT bars.*, a.y AS ema20, b.y AS ema50, c.y AS ema100, mc.v AS macd, s.y AS macd_signal, {rsi(7)}, {rsi(14)},
+ CASE WHEN t.k >= 14 THEN t.y END AS atr14, CASE WHEN x.k >= 14 THEN x.y END AS adx14 FROM bars
+ JOIN {names['e20']} a USING (symbol, ts) JOIN {names['e50']} b USING (symbol, ts) JOIN {names['e100']} c USING (symbol, ts) JOIN mc USING (symbol, ts) JOIN {names['signal']} s USING (symbol, ts)
+ JOIN {names['gain7']} g7 USING (symbol, ts) JOIN {names['loss7']} l7 USING (symbol, ts) JOIN {names['gain14']} g14 USING (symbol, ts) JOIN {names['loss14']} l14 USING (symbol, ts)
+ JOIN {names['tr']} t USING (symbol, ts) JOIN {names['adx']} x USING (symbol, ts))""")
+    return ", ".join(ctes)
+
+
+def normal_cdf(z: str) -> str:
+    """The normal distribution function by its power series (for |z| < 8)."""
+    term = f"exp((2 * i + 1) * ln(greatest(abs({z}), 1e-200)) - (i + 1) * ln(2) - lgamma(i + 1.5) + 0.5 * ln(pi()))"
+    return f"CASE WHEN {z} > 8 THEN 1.0 WHEN {z} < -8 THEN 0.0 ELSE 0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda i: {term})) END"
+
+
 def rank_bucket(q: int, n: str, r: str) -> str:
     points = ", ".join(repr(p) for p in quantile_points(q))
     return f"CAST(greatest(len(list_filter(CAST([{points}] AS DOUBLE[]), lambda q: 1 + ({n} - 1) * q < {r})), 1) AS INTEGER)"

@@ -89,7 +89,7 @@ def symbol_list(spark: SparkSession, path: str) -> DataFrame:
     once whatever their case."""
     words = F.split("value", r"[,;\t]")
     d = spark.read.text(path).select(F.explode(words).alias("raw")).select(clean_symbol(F.col("raw")).alias("symbol"))
-    return d.where(~F.col("symbol").isin("", "SYMBOL", "SYMBOLS", "TICKER", "NAME")).distinct()
+    return d.where("symbol is not null").groupBy(F.upper("symbol").alias("_s")).agg(F.min("symbol").alias("symbol")).drop("_s")
 
 
 def resolve(symbols: DataFrame, instruments: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

@@ -129,8 +129,13 @@ def test_long_short_and_folds(spark):
 
 
 def test_drawdown(spark):
-    eq = spark.createDataFrame([(1, D0 + dt.timedelta(days=i), v, 1) for i, v in enumerate([1.0, 1.2, 0.6, 0.9, 1.3])], "k int, ts date, equity double, open int")
-    assert bt.equity_stats(eq, ["k"]).first().max_drawdown == pytest.approx(-0.5)
+    eq = spark.createDataFrame([(1, D0 + dt.timedelta(days=i), v, 1, 1, 1) for i, v in enumerate([1.0, 1.2, 0.6, 0.9, 1.3])], "k int, ts date, equity double, held int, taken int, won int")
+    got = bt.equity_stats(eq, ["k"], 2).first()
+    r = np.diff([1.0, 1.0, 1.2, 0.6, 0.9, 1.3]) / [1.0, 1.0, 1.2, 0.6, 0.9]
+    assert got.max_drawdown == pytest.approx(-0.5) and got.exposure == 0.5 and got.win_rate == 1
+    assert got.sharpe == pytest.approx(r.mean() / r.std() * 252 ** 0.5) and got.growth == pytest.approx(1.3 ** (252 / 5) - 1)
+    fall = spark.createDataFrame([(1, D0, 0.8, 1, 1, 0)], "k int, ts date, equity double, held int, taken int, won int")
+    assert bt.equity_stats(fall, ["k"], 1).first().max_drawdown == pytest.approx(-0.2)
 
 
 def test_clusters_and_redundancy():
@@ -151,11 +156,103 @@ def test_barrier_by_hand(spark):
     assert trade([1.01, 1.02, 1.01], [0.99, 0.98, 0.99], [1.0, 1.0, 1.007]) == ("TIME", 3, 0.7, 2.0, -2.0)
 
 
+DAYS = [D0 + dt.timedelta(days=k) for k in range(30)]
+TRADE = "k int, symbol int, score double, ret double, exit_bar int, cr array<double>, ahead array<date>"
+
+
 def test_slots_are_free_a_day_later(spark):
-    day = lambda k: D0 + dt.timedelta(days=k)
-    t = spark.createDataFrame([(1, day(0), 1, 9.0, 10.0, day(1)), (1, day(0), 2, 8.0, 50.0, day(1)), (1, day(1), 3, 7.0, 50.0, day(2)), (1, day(2), 4, 7.0, 10.0, day(3))], "k int, ts date, symbol int, score double, ret double, exit_ts date")
-    got = bt.slots(t, 1, ["k"]).orderBy("ts").collect()
-    assert [(r.taken, round(r.equity, 6)) for r in got] == [(1, 1.0), (0, 1.1), (1, 1.1), (0, 1.21)]
+    path = lambda first, n: [DAYS[first + i] for i in range(n)]
+    rows = [(1, 1, 9.0, 10.0, 2, [1.05, 1.2, 1.0], path(1, 3)), (1, 2, 8.0, 50.0, 1, [1.5], path(1, 1)), (1, 3, 7.0, 50.0, 1, [1.5], path(2, 1)), (1, 4, 7.0, 20.0, 1, [1.1], path(4, 1))]
+    dates = spark.createDataFrame([(d,) for d in DAYS], "ts date")
+    got = bt.slots(spark.createDataFrame(rows, TRADE), dates, 1, ["k"], cost=1.0).orderBy("ts").collect()
+    assert [(r.ts, r.taken, r.held, round(r.equity, 6)) for r in got] == [(DAYS[1], 1, 1, 1.05), (DAYS[2], 0, 1, 1.1), (DAYS[3], 0, 0, 1.09), (DAYS[4], 1, 1, round(1.09 * 1.2, 6))]
+
+
+def test_slots_as_a_plain_book(spark):
+    """Day by day with dictionaries, no classes: sleeves, marks, costs, gaps."""
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        first, n = int(r.integers(0, 20)), int(r.integers(1, 6))
+        ahead = sorted(r.choice(np.arange(first, first + 9), n, replace=False).tolist())
+        rows.append((i % 2, i, float(r.integers(0, 9)), float(r.normal(0, 5)), n, r.uniform(0.9, 1.1, n).tolist(), [DAYS[x] for x in ahead]))
+    dates = spark.createDataFrame([(d,) for d in DAYS], "ts date")
+    got = {(x.k, x.ts): (x.taken, x.won, x.held, x.equity) for x in bt.slots(spark.createDataFrame(rows, TRADE), dates, 3, ["k"], 2, 0.5).collect()}
+    want = {}
+    for key in (0, 1):
+        mine = sorted((x for x in rows if x[0] == key), key=lambda x: (-x[2], x[1]))
+        cash, held = {i: 1 / 3 for i in range(3)}, {}
+        first = min(x[6][0] for x in mine)
+        for day in [d for d in DAYS if first <= d <= max(x[6][-1] for x in mine)]:
+            room = [i for i in range(3) if i not in held][:2]
+            new = [x for x in mine if x[6][0] == day][:len(room)]
+            held |= dict(zip(room, new))
+            worth = 0
+            for i in range(3):
+                m = 1.0
+                if i in held:
+                    seen = [k for k, d in enumerate(held[i][6]) if d <= day]
+                    m = 1 + held[i][3] / 100 if seen[-1] == len(held[i][6]) - 1 else held[i][5][seen[-1]]
+                worth += cash[i] * m
+            want[key, day] = (len(new), sum(x[3] > 0.5 for x in new), len(held), worth)
+            for i in [i for i in held if held[i][6][-1] == day]:
+                cash[i] *= 1 + (held.pop(i)[3] - 0.5) / 100
+    assert got.keys() == want.keys()
+    assert all(got[k][:3] == want[k][:3] and got[k][3] == pytest.approx(want[k][3]) for k in want)
+
+
+def test_market_regime_is_known_the_day_before(spark):
+    """A date's own prices change nothing in its row."""
+    b = bars(spark, 80, 6)
+    last = D0 + dt.timedelta(days=79)
+    wild = b.withColumn("close", F.when(F.col("ts") == last, F.col("close") * (1 + F.col("symbol"))).otherwise(F.col("close")))
+    rows = [{r.ts: r for r in labels.market_regime(x).collect()} for x in (b, wild)]
+    assert rows[0] == rows[1] and rows[0][last].trend is not None
+    later = [{r.ts: r for r in labels.market_regime(x.unionByName(x.where(F.col("ts") == last).withColumn("ts", F.date_add("ts", 1)))).collect()}[last + dt.timedelta(days=1)] for x in (b, wild)]
+    assert later[0].dispersion != later[1].dispersion
+
+
+def test_regime_bias_and_strict_by_hand(spark):
+    d = spark.createDataFrame([(1, DAYS[0], 11.0, 10.0, 19.9), (1, DAYS[1], 9.0, 10.0, 20.0), (1, DAYS[2], 11.0, None, None)], "symbol int, ts date, close double, sma200 double, adx14 double")
+    got = labels.stock_regime(d).orderBy("ts").collect()
+    assert [(r.regime, r.regime_lag) for r in got] == [("bull_range", "bull_trend"), ("bear_trend", "bull_range"), ("bear_trend", "bear_trend")]
+    assert got[0].regime_dist_sma200 == pytest.approx(0.1) and got[2].regime_bull_soft is None
+    d = spark.createDataFrame([(60.0, 5.0, 100.0, -1.5), (40.0, 1.0, 100.0, 0.1), (None, None, 100.0, None)], "rsi14 double, atr14 double, close double, cpr_width_pct double")
+    assert [(round(r.long_score, 6), round(r.short_score, 6)) for r in labels.bias(d).collect()] == [(0.2, -0.8), (0.0, 1.0), (0.0, 0.0)]
+    rows = [(1, DAYS[i], c, low, label) for i, (c, low, label) in enumerate([(100.0, 99.0, 1), (100.0, 98.0, 1), (90.0, 96.0, 0), (101.0, 99.0, None), (100.0, 99.0, 1)])]
+    d = spark.createDataFrame(rows, "symbol int, ts date, close double, low double, label int")
+    assert [r.x for r in d.select("ts", labels.strict_label(d, 3, 5.0).alias("x")).orderBy("ts").collect()] == [1, 1, 0, None, None]
+
+
+def test_verdicts_and_advice(spark):
+    f = lambda *v: spark.range(1).select(scoring.feature_verdict(*[F.lit(x).cast("double") for x in v]).alias("x")).first().x
+    assert f(None, 3, 1, 1, 1, 1) == "insufficient_data" and f(2, 3, 1, 1, 1, 1).startswith("noise") and f(4, 3, 0, 1, 1, 1) == "fails net-of-cost"
+    assert f(4, 3, None, 0.5, 1, 1) == "unstable across folds" and f(-4, 3, 1, None, 0.1, -0.1) == "decays out-of-sample" and f(4, 3, 1, 0.6, None, 1) == "CANDIDATE"
+    g = lambda *v: spark.range(1).select(scoring.strategy_verdict(*[F.lit(x).cast("double") for x in v]).alias("x")).first().x
+    assert g(9, 3, 0.6, 1, 1, 1, 1, 1, 1).startswith("AVOID") and g(9, 3, 0.1, 7, 1, 1, 1, 1, 1).startswith("AVOID") and g(None, 3, 0.1, 1, 1, 1, 1, 1, 1) == "NO_EDGE"
+    assert g(4, 3, 0.1, 1, 1.0, 0.9, 0.6, None, 1) == "STRONG" and g(4, 3, 0.1, 1, 0.4, 0.9, 0.6, 1, 1) == "PROMISING" and g(4, 3, 0.1, None, None, 0.9, 0.6, 1, 1) == "MARGINAL"
+    assert g(4, 3, 0.1, 1, 2, 0.95, 0.9, -1, 1) == "MARGINAL" and g(4, 3, 0.1, 1, 2, 0.95, 0.5, 1, 1) == "MARGINAL"
+    rows = [("harm", 0.5, [0.1, -0.001], [0.5], 0.5), ("one", 0.0, [0.003, None], [], 0.0), ("ic", None, [None], [-0.04], 0.0), ("all", 0.003, [], [], 0.0), ("dead", 0.0, [0.0, 0.0005], [0.01], 0.01), ("unsure", 0.0, [], [None], 0.0), ("weak", 0.0015, [0.0], [0.0], 0.0)]
+    d = spark.createDataFrame(rows, "f string, a double, b array<double>, c array<double>, d double")
+    assert {r.f: r.x for r in d.select("f", model.recommend(*map(F.col, "abcd")).alias("x")).collect()} == {
+        "harm": "DROP_HARMFUL", "one": "KEEP", "ic": "KEEP", "all": "KEEP", "dead": "DROP", "unsure": "REVIEW", "weak": "REVIEW"}
+
+
+def test_names_and_dates(spark):
+    raw = ["\ufeff ab c\t d\n", "Symbol", " <>: ", None, "x/y?*z", " Nse-EQ "]
+    d = spark.createDataFrame([(x,) for x in raw], "s string")
+    assert [r.x for r in d.select(cl.clean_symbol(F.col("s")).alias("x")).collect()] == ["ab c d", None, None, None, "xyz", "Nse-EQ"]
+    text = ["2020-01-02", "2-1-2020", "02/01/2020", "12/25/2020", "02.01.2020", "20200102", "", None]
+    d = spark.createDataFrame([(x,) for x in text], "s string")
+    jan = dt.date(2020, 1, 2)
+    assert [r.x for r in d.select(cl.parse_date(F.col("s")).alias("x")).collect()] == [jan, jan, jan, dt.date(2020, 12, 25), jan, None, None, None]
+    r = spark.range(1).select(*[v.alias(k) for k, v in cl.date_range(F.lit("2030-01-01"), F.lit("2020-01-02"), F.lit(dt.date(2025, 5, 5))).items()]).first()
+    assert (r["first"], r["last"]) == (jan, dt.date(2025, 5, 5))
+
+
+def test_columns_left_out(spark):
+    d = spark.createDataFrame([(1, 2, 3)], "a int, ret_5d int, c int")
+    assert cl.without(d, ("a", "z"), ("^ret_",)).columns == ["c"] and cl.narrowed(d.select(F.col("a").cast("double"))).dtypes == [("a", "float")]
 
 
 def test_splits_are_ordered_and_embargoed(spark):
@@ -180,7 +277,9 @@ def test_one_class_is_not_fitted(spark):
 
 
 @pytest.mark.parametrize("build", [daily.oscillators, daily.money_flow, daily.narrow_range, daily.averages, daily.balance_volume, daily.bands, daily.candles, daily.weekly, daily.week_node,
-                                   lambda d: daily.structure(daily.pivots(d)), lambda d: daily.alphas(d), lambda d: daily.transforms(d, "close"), labels.stock_regime])
+                                   lambda d: daily.structure(daily.pivots(d)), lambda d: daily.alphas(d), lambda d: daily.transforms(d, "close"), lambda d: labels.stock_regime(daily.averages(daily.oscillators(d))),
+                                   lambda d: labels.featurised(daily.combos(daily.structure(daily.pivots(daily.balance_volume(daily.oscillators(d)))))),
+                                   lambda d: daily.structural(daily.bands(daily.structure(daily.pivots(daily.oscillators(d)))))])
 def test_the_past_does_not_know_the_future(spark, build):
     assert lint.leaks(build, bars(spark, 110), D0 + dt.timedelta(days=95)) == []
 

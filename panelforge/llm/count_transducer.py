@@ -1,27 +1,35 @@
 """Token counts by a compiled finite-state transducer (operator 10).
 
 The tokenizer is sentencepiece BPE with byte fallback whose pieces hold the
-space mark only at their start, so it never joins a symbol with a space mark
-after it. A text is a sequence of units, each a run of spaces and the symbols
-up to the next space, and its tokens are those of its units.
-
-For every slice of text the units that occur are compiled to a deterministic
-transducer over bytes. Its states are the prefixes of units; the transition out
-of a unit (the first space after symbols, or the end of the document) goes to
-one state from everywhere and is annotated with the number of tokens the unit
-emits; all other transitions emit none. A worker merges each unit once, in
-padded matrices.
-
-A slice is cut in chunks of CHUNK bytes, wherever that falls. The state map of
-a chunk is either a reset (it leaves the same state whatever the entry: the
-prefix since its last unit start) or, without a unit start, it appends its
-bytes to the prefix it meets. Both are kept as (last unit start, prefix hash);
-such maps compose associatively, and a prefix scan gives every chunk its entry
-state. Then all chunks run in lockstep, one byte a step, and add up what their
-transitions emit.
-
-Defined results: null text is empty and has no tokens; repeated rows give
-repeated results; a null doc_id stays null.
+space mark only at their start, so no token reaches over the start of a unit: a
+run of spaces and the symbols up to the next space.
+
+The transducer is compiled from the model's pieces and scores alone. BPE has a
+property that makes it finite-state: of all pieces that end a prefix of a text,
+the last token of that prefix is the one whose left neighbour, the last token of
+the prefix before it, stays itself beside it (the pair, tokenized, is the pair).
+So a state is what later pieces can still reach: the longest suffix that begins
+some piece, with the last token and the tokens counted at each of its places,
+counts relative to the present one. A transition is annotated with the change
+that its symbol makes to the number of tokens; it may be negative, where a
+longer piece takes the place of several. The count of a text is the sum of its
+annotations. Determinisation is lazy, as usual where the whole automaton would
+be large: a state's transition is worked out from the model when a symbol first
+takes it, and stays in the worker's tables for all texts (STATES at most, then
+they start anew). What a pair of pieces makes is a table of its own.
+
+A stretch of symbols is cut in chunks of CHUNK, wherever that falls, which run
+in lockstep. A chunk's state map is constant if a unit starts in it or shortly
+before it (WARM symbols); else it is evaluated at the state that those symbols
+lead to. The scan passes from chunk to chunk: where a chunk's entry is the exit
+of the one before, its map is composed as it is; where not, its path is walked
+from the right entry until it meets the path already known, so results are exact
+for any text. Long texts go through in segments that hand on their state.
+
+Defined results: null text is empty and has no tokens; texts of any length
+count whole, in bounded memory; repeated rows give repeated results; a null
+doc_id stays null. Extra columns, clashing names included, don't come through;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,11 +38,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe_matrix import MatrixBPE, PairTable
-from .common import mapped, pick, slices, span_hashes, text_buffer
+from .common import HashIndex, mapped, mix, pick, slices, text_buffer
 
-CHUNK = 128
-CACHE = 400_000
+#: Symbols of a chunk, and of the stretch before it that guesses its entry.
+CHUNK, WARM = 128, 32
+#: Bytes of a long text that are decoded at one time.
+SEGMENT = 1 << 19
+#: States compiled at most; beyond it a worker's tables start anew.
+STATES = 400_000
 SPACE = 0x20
 MARK = "▁"
 
@@ -79,9 +90,8 @@ def read_model(path: str) -> list[tuple[str, float, int]]:
     return pieces
 
 
-class UnitCounts(MatrixBPE):
-    """Numbers of tokens of single units. Symbols are Unicode characters;
-    those without a piece count one token a byte."""
+class Model:
+    """Pieces and merges, and which pieces can stand beside each other."""
 
     def __init__(self, path: str):
         pieces = read_model(path)
@@ -89,168 +99,219 @@ class UnitCounts(MatrixBPE):
             raise ValueError("a piece holds a space mark after other symbols")
         if any(t in (4, 5) for _, _, t in pieces):
             raise ValueError("user-defined and unused pieces are not supported")
-        normal = {p: s for p, s, t in pieces if t == 1}
-        # Ids in the order of merging: best score first, earlier piece first.
-        order = sorted(normal, key=lambda p: -normal[p])
-        ids = {p: i for i, p in enumerate(order)}
-        self.char = {p: i for p, i in ids.items() if len(p) == 1}
-        pairs = {(ids[p[:k]] << 32) | ids[p[k:]]: i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
-        self.ranks = {p.encode(): i for p, i in ids.items()}
-        self.vocab = {i: p for p, i in self.ranks.items()}
-        self.table = PairTable(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
-        self.pairs = pairs
-        self.far = len(ids) + 1  # ids of characters without a piece: they pair with nothing
-
-    def count(self, units: list[str]) -> np.ndarray:
-        ids, extra = [], np.zeros(len(units), np.int64)
-        for i in range(len(units)):
-            row = []
-            for c in units[i]:
-                k = self.char.get(c)
-                if k is None:
-                    k = self.far
-                    extra[i] += len(c.encode()) - 1
-                row.append(k)
-            ids.append(row)
-        return self._lengths(ids) + extra
-
-    def _lengths(self, ids: list[list[int]]) -> np.ndarray:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        out = size.copy()
-        order = np.argsort(size, kind="stable")
-        order = order[size[order] > 1]
-        short = order[size[order] <= 256]
-        for part in np.split(short, np.flatnonzero(np.diff((size[short] + 3) // 4)) + 1):
-            for k in range(0, len(part), 16384):
-                self._rows([ids[i] for i in part[k:k + 16384]], part[k:k + 16384], size, out)
-        for i in order[size[order] > 256]:
-            out[i] = self._long(ids[i])
-        return out
-
-    def _rows(self, lists, rows, size, out) -> None:
-        width = max(map(len, lists), default=0)
-        m = np.full((len(lists), width), -1, np.int32)
-        m[np.arange(width)[None, :] < size[rows][:, None]] = np.concatenate(lists) if lists else []
-        got: list = [None] * len(lists)
-        self.merge(m, size[rows].copy(), np.arange(len(lists)), got)
-        out[rows] = [len(x) for x in got]
-
-    def _pair(self, a: int, b: int):
-        return self.pairs.get((a << 32) | b)
-
-    def _long(self, ids: list[int]) -> int:
-        return len(self.queue(list(ids)))
+        self.rank = {p: -s for p, s, t in pieces if t == 1}
+        self.symbols = {p for p in self.rank if len(p) == 1}
+        if any(c not in self.symbols for p in self.rank for c in p):
+            raise ValueError("a piece holds a symbol that is no piece")
+        self.begins = {p[:k] for p in self.rank for k in range(1, len(p))}
+        self._whole: dict[str, bool] = {}
+        self._beside: dict[tuple[str, str], bool] = {}
+
+    def merge(self, parts: list[str]) -> list[str]:
+        """The tokens of few symbols: the best pair first, the leftmost of
+        equals."""
+        parts = list(parts)
+        while True:
+            ranks = [self.rank.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+            best = min(ranks, default=np.inf)
+            if best == np.inf:
+                return parts
+            k = ranks.index(best)
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+
+    def whole(self, piece: str) -> bool:
+        """Whether a string is a piece that its own symbols make."""
+        got = self._whole.get(piece)
+        if got is None:
+            got = self._whole[piece] = piece in self.rank and self.merge(list(piece)) == [piece]
+        return got
+
+    def forget(self) -> None:
+        self._whole.clear()
+        self._beside.clear()
+
+    def beside(self, a: str, b: str) -> bool:
+        """Whether the tokens a and b stay what they are next to each other."""
+        got = self._beside.get((a, b))
+        if got is None:
+            got = self._beside[a, b] = self.merge(list(a + b)) == [a, b]
+        return got
 
 
 class Transducer:
-    """The compiled units of one slice: next state by state and byte class,
-    emitted tokens by the state that a unit is left from. State 0 is before
-    the first unit."""
-
-    def __init__(self, units: list[bytes], counts: np.ndarray):
-        flat = np.frombuffer(b"".join(units), np.uint8)
-        used = np.flatnonzero(np.bincount(flat, minlength=256))
-        self.width = max(1, len(used))
-        self.byte_class = np.zeros(256, np.int64)
-        self.byte_class[used] = np.arange(len(used))
-        size = np.fromiter(map(len, units), np.int64, len(units))
-        off = np.cumsum(size) - size
-        order = np.argsort(-size, kind="stable")
-        state = np.zeros(len(units), np.int64)
-        edges, starts, ends, states = [], [], [], 1
-        for d in range(int(size.max(initial=0))):
-            order = order[:np.searchsorted(-size[order], -d, "left")]
-            u, one, inv = np.unique(state[order] * self.width + self.byte_class[flat[off[order] + d]], return_index=True, return_inverse=True)
-            edges.append(u)
-            starts.append(off[order[one]])
-            ends.append(off[order[one]] + d + 1)
-            state[order] = states + inv
-            states += len(u)
-        self.next = np.zeros(states * self.width, np.int32)
-        if edges:
-            self.next[np.concatenate(edges)] = np.arange(1, states)
-            h = span_hashes(flat, np.concatenate(starts), np.concatenate(ends))
-            self.of = np.argsort(h) + 1
-            self.hashes = h[self.of - 1]
-        self.emit = np.zeros(states, np.int32)
-        self.emit[state] = counts
-
-    def state(self, hashes: np.ndarray) -> np.ndarray:
-        return self.of[np.searchsorted(self.hashes, hashes)]
-
-    def run(self, data: np.ndarray, reset: np.ndarray) -> np.ndarray:
-        """Tokens emitted at each byte; one more place for the end."""
-        n = len(data)
-        k = (n + CHUNK - 1) // CHUNK
-        first = np.arange(k) * CHUNK
-        # The scan: last unit start before each chunk and the prefix since then.
-        last = np.maximum.accumulate(np.where(reset, np.arange(n), -1))[first[1:] - 1]
-        state = np.zeros(k, np.int64)
-        state[1:] = self.state(span_hashes(data, last, first[1:]))
-        wide = k * CHUNK
-        cls = np.zeros(wide, np.int64)
-        cls[:n] = self.byte_class[data]
-        cls = cls.reshape(k, CHUNK).T.copy()
-        cut = np.zeros(wide, bool)
-        cut[:n] = reset
-        cut = cut.reshape(k, CHUNK).T.copy()
-        out = np.zeros((CHUNK, k), np.int32)
-        begin = self.next[self.byte_class[SPACE]]
-        tail = n - 1 - (k - 1) * CHUNK
-        for j in range(CHUNK):
-            r = np.flatnonzero(cut[j])
-            out[j, r] = self.emit[state[r]]
-            state = self.next[state * self.width + cls[j]]
-            state[r] = begin
-            if j == tail:
-                end = int(state[-1])
-        return np.append(out.T.ravel()[:n], self.emit[end])
+    """States and transitions over symbols (code points). State 0 is before a
+    unit and behind a symbol without a piece, which joins with nothing."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        known = np.zeros(0x110000, bool)
+        known[[ord(c) for c in model.symbols]] = True
+        self.known = known
+        self.clear()
+
+    def clear(self) -> None:
+        # (suffix, last token before each of its symbols and at its end, tokens
+        # counted since then).
+        self.states: list[tuple] = [("", ("",), (0,))]
+        self.numbers: dict[tuple, int] = {self.states[0]: 0}
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.model.forget()
+        self.table = HashIndex()
+        self.next = np.zeros(1 << 10, np.int32)
+        self.change = np.zeros(1 << 10, np.int32)
+
+    def _compile(self, state: int, symbol: int) -> tuple[int, int]:
+        """(next state, change of the count) of a transition, from the model."""
+        suffix, tokens, since = self.states[state]
+        text, m = suffix + chr(symbol), self.model
+        for k in range(len(text)):
+            piece = text[k:]
+            if m.whole(piece) and (not tokens[k] or m.beside(tokens[k], piece)):
+                break
+        else:
+            raise AssertionError("no token ends here")
+        change = 1 - since[k]
+        keep = next((j for j in range(len(text)) if text[j:] in m.begins), len(text))
+        new = (text[keep:], (*tokens[keep:], piece), (*[x + change for x in since[keep:]], 0))
+        number = self.numbers.get(new)
+        if number is None:
+            number = self.numbers[new] = len(self.states)
+            self.states.append(new)
+        return number, change
+
+    def _learn(self, keys: np.ndarray) -> None:
+        """Compile the transitions of new keys (state, symbol)."""
+        first, last = self.table.n, self.table.n + len(keys)
+        if last > len(self.next):
+            size = 1 << int(last).bit_length()
+            self.next, self.change = (np.concatenate([x, np.zeros(size - len(x), np.int32)]) for x in (self.next, self.change))
+        for i, k in enumerate(keys.tolist()):
+            self.next[first + i], self.change[first + i] = self._compile(k >> 21, k & 0x1FFFFF)
+        self.table.add(mix(keys.astype(np.uint64)))
+
+    def move(self, state: np.ndarray, symbol: np.ndarray, known: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and changes of many states at once."""
+        key = (state.astype(np.int64) << 21) | symbol
+        at = self.table.get(mix(key.astype(np.uint64)))
+        new = np.flatnonzero((at < 0) & known)
+        if len(new):
+            self._learn(np.unique(key[new]))
+            at[new] = self.table.get(mix(key[new].astype(np.uint64)))
+        at[~known] = 0
+        return np.where(known, self.next[at], 0), np.where(known, self.change[at], alone)
+
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        """One move; those made one by one are kept in a dictionary, too."""
+        key = (state << 21) | symbol
+        got = self.moves.get(key)
+        if got is None:
+            one, yes = np.array([state]), np.array([True])
+            new, change = self.move(one, np.array([symbol]), yes, one)
+            got = self.moves[key] = int(new[0]), int(change[0])
+        return got
+
+    def run(self, symbols: np.ndarray, starts: np.ndarray, alone: np.ndarray, entry: int) -> tuple[np.ndarray, int]:
+        """(change of the count at each symbol, last state) of a stretch that
+        is entered in a state. starts: where units start; alone: tokens that a
+        symbol without a piece is."""
+        n = len(symbols)
+        if not n:
+            return np.zeros(0, np.int64), entry
+        rows = -(-n // CHUNK)
+        place = np.arange(rows)[None, :] * CHUNK + np.arange(-WARM, CHUNK)[:, None]
+        real = (place >= 0) & (place < n)
+        place = np.clip(place, 0, n - 1)
+        sym, begin, one = symbols[place].astype(np.int64), starts[place] & real, alone[place]
+        known = self.known[sym]
+        state = np.zeros(rows, np.int64)
+        path = np.zeros((CHUNK + 1, rows), np.int32)
+        change = np.zeros((CHUNK, rows), np.int32)
+        for j in range(WARM + CHUNK):
+            if j == WARM:
+                state[0] = entry
+                path[0] = state
+            live = real[j]
+            new, got = self.move(np.where(begin[j], 0, state), sym[j], known[j] & live, one[j])
+            state = np.where(live, new, state)
+            if j >= WARM:
+                path[j - WARM + 1] = state
+                change[j - WARM] = np.where(live, got, 0)
+        # The scan over the chunks' maps.
+        leaves = path[CHUNK].copy()
+        c = 1
+        while c < rows:
+            wrong = np.flatnonzero(path[0, c:] != leaves[c - 1:-1])
+            if not len(wrong):
+                break
+            c += int(wrong[0])
+            now = int(leaves[c - 1])
+            path[0, c] = now
+            for j in range(min(CHUNK, n - c * CHUNK)):
+                if starts[c * CHUNK + j]:
+                    now = 0
+                x = int(symbols[c * CHUNK + j])
+                now, change[j, c] = self.step(now, x) if self.known[x] else (0, int(alone[c * CHUNK + j]))
+                if now == path[j + 1, c]:
+                    break
+                path[j + 1, c] = now
+            else:
+                path[min(CHUNK, n - c * CHUNK):, c] = now
+                leaves[c] = now
+            c += 1
+        return change.T.ravel()[:n].astype(np.int64), int(leaves[-1])
 
 
 class TextCounts:
     """Numbers of tokens of whole texts."""
 
     def __init__(self, path: str):
-        self.units = UnitCounts(path)
-        self.seen: dict[bytes, int] = {}
-
-    def _counts(self, units: list[bytes]) -> np.ndarray:
-        if len(self.seen) > CACHE:
-            self.seen = {}
-        new = [u for u in units if u not in self.seen]
-        got = self.units.count([u.decode().replace(" ", MARK) for u in new])
-        self.seen.update(zip(new, got.tolist(), strict=True))
-        return np.fromiter(map(self.seen.__getitem__, units), np.int64, len(units))
+        self.machine = Transducer(Model(path))
+
+    def _stretch(self, data: bytes, entry: int, last_space: bool, at: np.ndarray) -> tuple[np.ndarray, int, bool]:
+        """(tokens of each text, last state, whether it ends in a space) of
+        bytes that texts begin in at the places `at` (a first piece without a
+        beginning comes before them)."""
+        symbols = np.frombuffer(data.decode().encode("utf-32-le"), "<u4").astype(np.int32)
+        symbols[symbols == ord(MARK)] = SPACE  # the mark itself is a space to the model
+        lead = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+        chars = np.concatenate([[0], np.cumsum(lead)])[at]
+        # Each text has a space put before it, where its first unit starts.
+        put = chars + np.arange(len(at))
+        own = np.ones(len(symbols) + len(at), bool)
+        own[put] = False
+        wide = np.full(len(own), SPACE, np.int32)
+        wide[own] = symbols
+        space = wide == SPACE
+        starts = space.copy()
+        starts[1:] &= ~space[:-1]
+        starts[:1] &= not last_space
+        starts[put] = True
+        alone = 1 + (wide > 0x7F).astype(np.int32) + (wide > 0x7FF) + (wide > 0xFFFF)
+        wide[space] = ord(MARK)
+        change, state = self.machine.run(wide, starts, alone, entry)
+        total = np.concatenate([[0], np.cumsum(change)])
+        return np.diff(total[np.concatenate([[0], put, [len(wide)]])]), state, bool(len(space) and space[-1])
 
     def count(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """For each document of a slice."""
-        mark = MARK.encode()
-        if mark in buf.tobytes():  # the mark itself is a space to the model
-            texts = [buf[off[i]:off[i + 1]].tobytes().replace(mark, b" ") for i in range(len(off) - 1)]
-            buf = np.frombuffer(b"".join(texts), np.uint8)
-            off = np.concatenate([[0], np.cumsum(list(map(len, texts)))])
-        full = np.flatnonzero(np.diff(off))
+        if len(self.machine.states) + len(self.machine.moves) > STATES:
+            self.machine.clear()
         out = np.zeros(len(off) - 1, np.int64)
+        full = np.flatnonzero(np.diff(off))
         if not len(full):
             return out
-        # Each text has a space put before it, where its first unit starts.
-        at = off[full] + np.arange(len(full))
-        keep = np.ones(len(buf) + len(full), bool)
-        keep[at] = False
-        data = np.full(len(keep), SPACE, np.uint8)
-        data[keep] = buf
-        space = data == SPACE
-        reset = space.copy()
-        reset[1:] &= ~space[:-1]
-        reset[at] = True
-        start = np.flatnonzero(reset)
-        end = np.append(start[1:], len(data))
-        _, one = np.unique(span_hashes(data, start, end), return_index=True)
-        units = [data[start[i]:end[i]].tobytes() for i in one]
-        emitted = Transducer(units, self._counts(units)).run(data, reset)
-        total = np.concatenate([[0], np.cumsum(emitted)])
-        bound = np.append(at, len(data)) + 1  # what is emitted at a start belongs to the text before
-        out[full] = total[bound[1:]] - total[bound[:-1]]
+        if len(buf) <= 2 * SEGMENT:
+            out[full] = self._stretch(buf.tobytes(), 0, False, off[full] - off[0])[0][1:]
+            return out
+        for d in full:
+            at, end, state, space, begin = int(off[d]), int(off[d + 1]), 0, False, np.zeros(1, np.int64)
+            while at < end:
+                to = min(at + SEGMENT, end)
+                while to < end and buf[to] & 0xC0 == 0x80:
+                    to -= 1
+                got, state, space = self._stretch(buf[at:to].tobytes(), state, space, begin)
+                out[d] += got.sum()
+                at, begin = to, np.zeros(0, np.int64)
         return out
 
 

@@ -3,9 +3,14 @@
 The suffix structure is the one of a string collection, built column by column:
 every round puts one more symbol of each string in front of its last suffix,
 so the collection's Burrows-Wheeler transform and the common prefixes of its
-sorted suffixes grow by one entry per string (class ColumnBWT; the columns live
-in sequential temporary files once they are large). Rounds are as many as the
-longest string, so whole documents, of any length, never enter it as they are.
+sorted suffixes grow by one entry per string (class ColumnBWT). The columns are
+sequential files: a round reads them CHUNK entries at a time to find where the
+new suffixes go, and reads them again while it writes the next ones, so a build
+holds a chunk and a few numbers a string, never a column. The files are scratch
+of the task that builds (kept in its memory up to SPOOL bytes, beyond that on
+its disk); nothing else reads them, and a task that is lost starts anew. Rounds
+are as many as the longest string, so whole documents, of any length, never
+enter it as they are.
 Each 50-byte window belongs to its minimiser (the least hash of its 28-byte
 substrings), and windows that follow each other with one minimiser make a short
 string of at most 113 bytes. Equal windows have equal minimisers, so the
@@ -22,10 +27,14 @@ strings of one minimiser are a collection of their own:
 4. the block marks the bytes of windows whose smallest document is smaller.
 
 A hot passage is one string per block at most, wherever it stands. Matching of
-strings inside a block uses 64-bit hashes.
+strings inside a block uses 64-bit hashes; where blocks meet, strings are one
+member of a collection only if their bytes are equal.
 
 Defined results: null text is empty; a null doc_id neither loses bytes nor
-takes them from others; rows of one doc_id don't take bytes from each other.
+takes them from others; rows of one doc_id don't take bytes from each other;
+repeated rows lose the same bytes; texts of any length count whole, in slices of
+their block. Extra columns, clashing names included, don't reach digests and come
+through remove_repeats as they are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -43,8 +52,8 @@ from .common import block_of, cut, dealt, drop, mix, n_blocks, pick, slices, spa
 MER = 28
 #: Windows of one string at most.
 RUN = 64
-#: Column entries above which a round's columns go through temporary files.
-SPOOL = 1 << 20
+#: Bytes of a column's file that stay in memory, and entries read at a time.
+SPOOL, CHUNK = 1 << 22, 1 << 19
 #: Strings of one collection build, about.
 STRINGS = 4096
 
@@ -102,101 +111,194 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return start, n, mix(v[start]), np.searchsorted(off, start, "right") - 1
 
 
+class Column:
+    """Values in sequence in a scratch file: written in order, read in order."""
+
+    def __init__(self, dtype):
+        self.dtype = np.dtype(dtype)
+        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL)
+
+    def write(self, values: np.ndarray) -> None:
+        self.file.write(values.tobytes())
+
+    def chunks(self):
+        self.file.seek(0)
+        while b := self.file.read(CHUNK * self.dtype.itemsize):
+            yield np.frombuffer(b, self.dtype)
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, self.dtype), *self.chunks()])
+
+
 class ColumnBWT:
     """The sorted suffixes of a string collection, one symbol of every string
-    per round: bwt (symbol before the suffix: 0 at a string's start, else its
-    number in `alphabet` + 1), lcp (common prefix with the entry before), sid
-    and length. Strings have 127 bytes at most, the collection 2^24 strings."""
+    per round, as three columns: bwt (symbol before the suffix: 0 at a string's
+    start, else its number in `alphabet` + 1), lcp (common prefix with the entry
+    before) and tag (string and length of the suffix). Strings have 127 bytes at
+    most, the collection 2^24 strings."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.m = m = len(off) - 1
         self.off, self.size = off, np.diff(off)
-        self.alphabet = np.flatnonzero(np.bincount(data, minlength=256))
+        self.alphabet = np.unique(data)
         code = np.zeros(256, np.uint8 if len(self.alphabet) < 256 else np.uint16)
         code[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
         self.code = np.append(code[data], code[:1] * 0)
         live = np.arange(m)
-        cols = [self._before(live, 0), np.zeros(m, np.uint8), live.astype(np.uint32) << np.uint32(7)]
+        first = self._before(live, 0)
+        self.counts = np.bincount(first, minlength=len(self.alphabet) + 1)
+        self.columns = self._empty()
+        for c, x in zip(self.columns, (first, np.zeros(m, np.uint8), live.astype(np.uint32) << np.uint32(7)), strict=True):
+            c.write(x)
         at = live  # places of the last suffixes, in order, of the strings `live`
         for t in range(1, int(self.size.max(initial=0)) + 1):
             ok = self.size[live] >= t
-            cols, at, live = self._round(self._reread(cols), at[ok], live[ok], t)
-        self.bwt, self.lcp = cols[0], cols[1]
-        self.sid, self.length = (cols[2] >> np.uint32(7)).astype(np.int64), (cols[2] & np.uint32(127)).astype(np.int64)
+            at, live = self._round(at[ok], live[ok], t)
+
+    def _empty(self) -> list[Column]:
+        return [Column(self.code.dtype), Column(np.uint8), Column(np.uint32)]
+
+    bwt = property(lambda self: self.columns[0].whole())
+    lcp = property(lambda self: self.columns[1].whole())
+    sid = property(lambda self: (self.columns[2].whole() >> np.uint32(7)).astype(np.int64))
+    length = property(lambda self: (self.columns[2].whole() & np.uint32(127)).astype(np.int64))
 
     def _before(self, s: np.ndarray, t: int) -> np.ndarray:
         """The symbols before the suffixes of length t of the strings s."""
         return np.where(self.size[s] > t, self.code[np.where(self.size[s] > t, self.off[s + 1] - t - 1, -1)], 0).astype(self.code.dtype)
 
-    @staticmethod
-    def _reread(cols):
-        """Large columns are written out and read again in sequence."""
-        if len(cols[0]) < SPOOL:
-            return cols
-        with tempfile.TemporaryFile() as f:
-            for c in cols:
-                c.tofile(f)
-            f.seek(0)
-            return [np.fromfile(f, c.dtype, len(c)) for c in cols]
-
-    def _round(self, cols, q, live, t):
+    def _places(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First reading. An entry's symbol in front of its suffix is a suffix
+        of the next column, whose place is how many smaller symbols there are
+        and how often this one came before. Returns these places for the
+        entries q, the common prefix of each with what comes before it, and the
+        places and values of the common prefixes that the new ones change."""
+        total = int(self.counts.sum())
+        base = self.m + np.concatenate([[0, 0], np.cumsum(self.counts[1:-1])]) if len(self.counts) > 1 else np.zeros(1, np.int64)
+        seen = np.zeros(len(self.counts), np.int64)
+        # Of each symbol's last entry so far: the least common prefix since then
+        # (255: there is none), and whether it is one of q.
+        least, fresh = np.full(len(self.counts), 255, np.int64), np.zeros(len(self.counts), bool)
+        at, up = np.zeros(len(q), np.int64), np.zeros(len(q), np.uint8)
+        where, value = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+        done = 0
+        for bwt, lcp in zip(self.columns[0].chunks(), self.columns[1].chunks(), strict=True):
+            n = len(bwt)
+            here = slice(*np.searchsorted(q, [done, done + n]))
+            own = np.zeros(n, bool)
+            own[q[here] - done] = True
+            many = np.bincount(bwt, minlength=len(seen))
+            order = np.argsort(bwt, kind="stable")[many[0]:]
+            start = np.cumsum(many) - many - many[0]  # of each symbol in that order
+            there = np.flatnonzero(many[1:]) + 1
+            new = own[order]
+            after = np.zeros(len(order), bool)  # comes after one of q
+            after[1:] = new[:-1]
+            after[start[there]] = fresh[there]
+            k = np.flatnonzero(new | after)
+            sym = bwt[order[k]].astype(np.int64)
+            place = base[sym] + seen[sym] + k - start[sym]
+            head = k == start[sym]
+            low = np.full(len(k), 255, np.int64)
+            inner = k[~head]
+            if len(inner):
+                ends = np.empty(2 * len(inner), np.int64)
+                ends[::2], ends[1::2] = order[inner - 1] + 1, order[inner] + 1
+                low[~head] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), ends)[::2]
+            if done:
+                edge = np.minimum.accumulate(lcp)[order[k[head]]]
+                low[head] = np.where(least[sym[head]] < 255, np.minimum(least[sym[head]], edge), 255)
+            common = np.where(low < 255, low + 1, 0).astype(np.uint8)
+            mine = new[k]
+            i = np.searchsorted(q, order[k[mine]] + done)
+            at[i], up[i] = place[mine], common[mine]
+            where.append(place[~mine])
+            value.append(common[~mine])
+            seen += many
+            done += n
+            if done < total:  # what the next chunk has to know
+                since = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(254)).astype(np.int64)
+                least = np.where(least < 255, np.minimum(least, since[0]), 255)
+                last = start[there] + many[there] - 1
+                least[there], fresh[there] = since[order[last] + 1], new[last]
+        return at, up, np.concatenate(where), np.concatenate(value)
+
+    def _round(self, q: np.ndarray, live: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """Put the suffixes of length t of `live` in, found from the places q
-        of their suffixes of length t - 1."""
-        bwt, lcp, tag = cols
-        n = len(bwt)
-        owner = np.zeros(n, np.int32)
-        owner[q] = live + 1
-        order = np.argsort(bwt, kind="stable")[n - np.count_nonzero(bwt):]  # suffixes that start with a symbol, sorted
-        k = np.flatnonzero(owner[order])
-        place = self.m + k - np.arange(len(k))  # entries that stay before each new one
-        s = owner[order[k]].astype(np.int64) - 1
-
-        def reach(i, j):
-            """Common prefix of the suffixes i and j, next to each other."""
-            at = np.empty(2 * len(i), np.int64)
-            at[::2], at[1::2] = order[i] + 1, order[j] + 1
-            return np.minimum.reduceat(pad, at)[::2] + 1 if len(i) else np.zeros(0, np.uint8)
-
-        pad = np.append(lcp, np.uint8(0))
-        sym = bwt[order[k]]
-        up, down = np.zeros(len(k), np.uint8), np.zeros(len(k), np.uint8)
-        a = np.flatnonzero((k > 0) & (bwt[order[k - 1]] == sym))
-        up[a] = reach(k[a] - 1, k[a])
-        nxt = np.minimum(k + 1, len(order) - 1)
-        stays = (k + 1 < len(order)) & (owner[order[nxt]] == 0)
-        b = np.flatnonzero(stays & (bwt[order[nxt]] == sym))
-        down[b] = reach(k[b], nxt[b])
-        pad[place[stays]] = down[stays]
-        at = place + np.arange(len(k))
-        old = np.ones(n + len(k), bool)
-        old[at] = False
-        out = []
-        for c, new in ((bwt, self._before(s, t)), (pad[:n], up), (tag, (s.astype(np.uint32) << np.uint32(7)) | np.uint32(t))):
-            x = np.empty(len(old), c.dtype)
-            x[old] = c
-            x[at] = new
-            out.append(x)
-        return out, at, s
+        of their suffixes of length t - 1; returns their places and strings."""
+        at, up, where, value = self._places(q)
+        o = np.argsort(at)
+        at, up, s = at[o], up[o], live[o]
+        o = np.argsort(where)
+        where, value = where[o], value[o]
+        place = at - np.arange(len(at))  # entries that stay before each new one
+        fresh = (self._before(s, t), up, (s.astype(np.uint32) << np.uint32(7)) | np.uint32(t))
+        out, done, total = self._empty(), 0, int(self.counts.sum())
+        for old in zip(*(c.chunks() for c in self.columns), strict=True):
+            n = len(old[0])
+            a = int(np.searchsorted(place, done)) if done else 0
+            b = int(np.searchsorted(place, done + n)) if done + n < total else len(place)
+            begin = done + a
+            stays = np.ones(n + b - a, bool)
+            stays[at[a:b] - begin] = False
+            fix = slice(*np.searchsorted(where, [begin, begin + len(stays)]))
+            for i, (c, x) in enumerate(zip(out, old, strict=True)):
+                y = np.empty(len(stays), x.dtype)
+                y[stays] = x
+                y[~stays] = fresh[i][a:b]
+                if i == 1:
+                    y[where[fix] - begin] = value[fix]
+                c.write(y)
+            done += n
+        for c in self.columns:
+            c.file.close()
+        self.columns = out
+        self.counts = self.counts + np.bincount(fresh[0], minlength=len(self.counts))
+        return at, s
 
 
 def first_documents(data: np.ndarray, off: np.ndarray, doc: np.ndarray, length: int):
     """(string, first window, last window + 1, smallest document) of a
-    collection of different strings with their smallest documents."""
+    collection of different strings with their smallest documents. Suffixes
+    next to each other with `length` common bytes begin with one window."""
     c = ColumnBWT(data, off)
-    i = np.flatnonzero(c.length >= length)
-    head = (c.lcp[i] < length)
-    head[:1] = True
-    head[1:] |= np.diff(i) > 1
-    cls = np.cumsum(head) - 1
-    best = np.minimum.reduceat(doc[c.sid[i]], np.flatnonzero(head)) if len(i) else np.zeros(0, np.int64)
-    sid, at, first = c.sid[i], np.diff(off)[c.sid[i]] - c.length[i], best[cls]
-    o = np.lexsort((at, sid))
-    sid, at, first = sid[o], at[o], first[o]
-    new = np.ones(len(sid), bool)
-    new[1:] = (sid[1:] != sid[:-1]) | (first[1:] != first[:-1])
+    size = np.diff(off)
+    windows = np.maximum(size - length + 1, 0)
+    base = np.cumsum(windows) - windows
+    best = np.zeros(int(windows.sum()), np.int64)
+    held, low = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the class that may go on in the next chunk
+    for lcp, tag in zip(c.columns[1].chunks(), c.columns[2].chunks(), strict=True):
+        sid, n = (tag >> np.uint32(7)).astype(np.int64), (tag & np.uint32(127)).astype(np.int64)
+        long = n >= length
+        cls = np.concatenate([np.zeros(len(held), np.int64), np.cumsum(lcp < length)[long]])
+        slot = np.concatenate([held, (base[sid] + size[sid] - n)[long]])
+        who = np.concatenate([low, doc[sid[long]]])
+        head = np.flatnonzero(np.diff(cls, prepend=-1))
+        if len(head):
+            least = np.minimum.reduceat(who, head)
+            last = int(head[-1])
+            best[slot[:last]] = np.repeat(least[:-1], np.diff(head))
+            held, low = slot[last:], who[last:]
+    if len(held):
+        best[held] = low.min()
+    sid = np.repeat(np.arange(len(windows)), windows)
+    at = np.arange(len(best)) - np.repeat(base, windows)
+    new = np.ones(len(best), bool)
+    new[1:] = (sid[1:] != sid[:-1]) | (best[1:] != best[:-1])
     s = np.flatnonzero(new)
     e = np.append(s[1:], len(sid)) - 1
-    return sid[s], at[s], at[e] + 1, first[s]
+    return sid[s], at[s], at[e] + 1, best[s]
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] agree, for many pairs."""
+    out = np.ones(len(a), bool)
+    for k in range(0, len(a), 1 << 15):
+        x, y, n = a[k:k + (1 << 15)], b[k:k + (1 << 15)], size[k:k + (1 << 15)]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = data[np.repeat(x, n) + step] != data[np.repeat(y, n) + step]
+        out[k + np.repeat(np.arange(len(n)), n)[differ]] = False
+    return out
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -339,10 +441,11 @@ def _answers(strings: DataFrame, buckets: int, length: int) -> DataFrame:
         off = np.concatenate([[0], np.cumsum(lens)])
         row = np.repeat(np.arange(len(t)), [len(x) for x in t.column("lens").to_pylist()])
         key = span_hashes(data, off[:-1], off[1:]) ^ v
-        # Equal strings are one member of the collection, with its smallest document.
-        o = np.lexsort((doc, key, v))
-        kk = key[o]
-        head = np.concatenate([[True], (kk[1:] != kk[:-1]) | (v[o][1:] != v[o][:-1])])
+        # Equal strings are one member of the collection, with its smallest
+        # document: neighbours in the order of their hashes whose bytes agree.
+        o = np.lexsort((doc, lens, key, v))
+        head = np.concatenate([[True], (key[o][1:] != key[o][:-1]) | (v[o][1:] != v[o][:-1]) | (lens[o][1:] != lens[o][:-1])])
+        head[1:] |= ~_same_bytes(data, off[o[:-1]], off[o[1:]], np.where(head[1:], 0, lens[o[1:]]))
         member = np.empty(len(o), np.int64)
         member[o] = np.cumsum(head) - 1
         first = o[head]

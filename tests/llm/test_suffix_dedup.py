@@ -54,9 +54,10 @@ def test_same_as_brute_force(spark):
     assert all(len((back[i] or "").encode()) == want[i][0] - want[i][1] for i in back if (rows[i][1] or "").isascii())
 
 
-@pytest.mark.parametrize("spool", [1 << 20, 10])
-def test_column_bwt(monkeypatch, spool):
+@pytest.mark.parametrize(("spool", "chunk"), [(1 << 20, 1 << 18), (10, 1 << 18), (10, 1), (100, 7), (1 << 20, 64)])
+def test_column_bwt(monkeypatch, spool, chunk):
     monkeypatch.setattr(sd, "SPOOL", spool)
+    monkeypatch.setattr(sd, "CHUNK", chunk)
     r = random.Random(2)
     strings = sorted({bytes(r.choice(b"ab\0") for _ in range(r.randint(1, 30))) for _ in range(80)}, key=lambda _: r.random())
     data = np.frombuffer(b"".join(strings), np.uint8)
@@ -73,6 +74,50 @@ def test_column_bwt(monkeypatch, spool):
     assert all(c.bwt[k] == (0 if n == len(strings[i]) else c.alphabet.tolist().index(strings[i][-n - 1]) + 1) for k, (_, n, i) in enumerate(want))
 
 
+@pytest.mark.parametrize("chunk", [1 << 18, 3, 50])
+def test_first_documents(monkeypatch, chunk):
+    monkeypatch.setattr(sd, "CHUNK", chunk)
+    r = random.Random(8)
+    strings = sorted({bytes(r.choice(b"ab") for _ in range(r.randint(1, 25))) for _ in range(120)}, key=lambda _: r.random())
+    doc = [r.randrange(1000) for _ in strings]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+    got = {}
+    for s, a, b, d in zip(*sd.first_documents(np.frombuffer(b"".join(strings), np.uint8), off, np.array(doc), 6), strict=True):
+        got |= {(s, p): d for p in range(a, b)}
+    first = {}
+    for x, d in zip(strings, doc, strict=True):
+        for p in range(len(x) - 5):
+            first[x[p:p + 6]] = min(d, first.get(x[p:p + 6], d))
+    assert got == {(i, p): first[x[p:p + 6]] for i, x in enumerate(strings) for p in range(len(x) - 5)}
+
+
+def test_columns_are_never_in_memory(monkeypatch):
+    """Read in chunks from files, a build takes a small part of the memory that
+    it takes with whole columns; the rest is the strings and a few numbers for
+    each."""
+    import tracemalloc
+
+    data = np.random.default_rng(1).integers(97, 100, 300_000).astype(np.uint8)
+    off = np.arange(0, 300_001, 100)
+
+    def peak(spool, chunk):
+        monkeypatch.setattr(sd, "SPOOL", spool)
+        monkeypatch.setattr(sd, "CHUNK", chunk)
+        tracemalloc.start()
+        sd.ColumnBWT(data, off)
+        got = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got
+
+    few = peak(1, 2000)
+    assert few < 2_000_000 and few < 0.3 * peak(1 << 30, 1 << 30)
+
+
+def test_equal_hashes_are_not_equal_strings():
+    data = np.frombuffer(b"abcdabcxabcd", np.uint8)
+    assert sd._same_bytes(data, np.array([0, 0, 4]), np.array([4, 8, 8]), np.array([4, 4, 3])).tolist() == [False, True, True]
+
+
 @pytest.mark.parametrize("length", [16, 20, 33, 64])
 def test_other_lengths(spark, length):
     rows = texts()[:40]

@@ -76,7 +76,8 @@ def g08_g10_importance(spark, sf):
     fall = dict(g.permutation_importance(m, test, FEATURES, "label"))
     regimes = {r: t for r in ("even", "odd") if g.has_two_classes(t := test.where(C("regime") == r), "label")}
     within = {r: dict(g.permutation_importance(m, t, FEATURES, "label")) for r, t in regimes.items()}
-    rows = [(f, float(fall[f]), [float(within[r][f]) for r in within], *cv.get(f, (None, None, 0))) for f in FEATURES]
+    known = lambda x: None if x is None else float(x)
+    rows = [(f, known(fall.get(f)), [known(within[r].get(f)) for r in within], *cv.get(f, (None, None, 0))) for f in FEATURES]
     falls = spark.createDataFrame(rows, "feature string, fall double, by_regime array<double>, cv_fall double, cv_spread double, cv_folds int")
     long = s.long_form(d.withColumns({f: C(f).cast("double") for f in FEATURES}), FEATURES, ["symbol", "ts", "y", "regime"])
     ic = s.by_group(long, "y", "regime", 20).groupBy("feature").agg(

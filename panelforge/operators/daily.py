@@ -17,7 +17,7 @@ C = F.col
 
 
 def _oscillate(p: pd.DataFrame) -> dict[str, pd.Series]:
-    c, h, low = (p[k].astype("float64") for k in ("close", "high", "low"))
+    c, h, low = (p[k] for k in ("close", "high", "low"))
     wilder = lambda x, n: x.ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
     ema = lambda x, n: x.ewm(span=n, adjust=False, min_periods=1).mean()
     none = lambda x: x.where(x != 0)
@@ -46,15 +46,7 @@ OSCILLATORS = ("ema20", "ema50", "ema100", "macd", "macd_signal", "rsi7", "rsi14
 def oscillators(df: DataFrame) -> DataFrame:
     """Adds the exponential means, MACD, RSI, ATR and ADX family: one exchange
     on the symbol, one grouped call for all of them."""
-    kinds = dict(df.dtypes)
-    schema = f"_s {kinds['symbol']}, _t {kinds['ts']}, " + ", ".join(f"{k} double" for k in OSCILLATORS)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("_t", kind="stable")
-        return pd.DataFrame({"_s": p["_s"], "_t": p["_t"], **_oscillate(p)})
-
-    got = df.select(C("symbol").alias("_s"), C("ts").alias("_t"), "high", "low", "close").groupBy("_s").applyInPandas(run, schema)
-    return df.join(got, (df.symbol == got._s) & (df.ts == got._t)).drop("_s", "_t")
+    return w.grouped(df, list(OSCILLATORS), ["high", "low", "close"], _oscillate)
 
 
 def money_flow(df: DataFrame) -> DataFrame:

@@ -10,8 +10,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window, WindowSpec
 
 from panelforge.functions.exprs import corr as pair_corr
@@ -178,28 +181,41 @@ def prefix_std(df: DataFrame, x: str, n: int, name: str, least: int | None = Non
 
 # --- recursion: one grouped kernel for all such columns ----------------------
 
+def grouped(df: DataFrame, names: list[str], need: list[str], kernel, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
+    """df with double columns that a kernel makes of a symbol's rows in time
+    order. Rows go through the one grouped call and come back with the columns
+    put on: one exchange, nothing is joined and df is computed once. The kernel
+    gets the needed columns as doubles (NULL is NaN) and returns the new ones by
+    name; NaN becomes NULL."""
+    fields = [StructField(f.name, f.dataType) for f in df.schema if f.name not in names]
+    schema = StructType([*fields, *[StructField(k, DoubleType()) for k in names]])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [(ts, "ascending")])).select([f.name for f in fields])
+        made = kernel(pd.DataFrame({k: t[k].cast(pa.float64()).to_numpy() for k in need}))
+        for k in names:
+            t = t.append_column(k, pa.array(np.asarray(made[k], dtype="float64"), from_pandas=True))
+        return t
+
+    return df.groupBy(symbol).applyInArrow(run, schema)
+
+
 def recursive(df: DataFrame, specs: dict[str, tuple], symbol: str = "symbol", ts: str = "ts") -> DataFrame:
     """df with columns that need the row before them. specs: name ->
     ("ewm", column, alpha, least values) or ("rank", column, least values), the
     expanding average-tie percentile rank. All columns of a symbol in one
     grouped call; a group is one symbol's history."""
-    need = sorted({s[1] for s in specs.values()})
-    schema = f"_s {dict(df.dtypes)[symbol]}, _t {dict(df.dtypes)[ts]}, " + ", ".join(f"{k} double" for k in specs)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("_t", kind="stable")
-        out = {"_s": p["_s"], "_t": p["_t"]}
+    def kernel(p: pd.DataFrame) -> dict:
+        out = {}
         for name, spec in specs.items():
-            x = p[spec[1]].astype("float64")
+            x = p[spec[1]]
             if spec[0] == "ewm":
                 out[name] = x.ewm(alpha=spec[2], adjust=False, min_periods=spec[3]).mean()
             else:
                 out[name] = expanding_rank(x.to_numpy(), spec[2])
-        return pd.DataFrame(out)
+        return out
 
-    small = df.select(F.col(symbol).alias("_s"), F.col(ts).alias("_t"), *need)
-    got = small.groupBy("_s").applyInPandas(run, schema)
-    return df.join(got, (df[symbol] == got._s) & (df[ts] == got._t)).drop("_s", "_t")
+    return grouped(df, list(specs), sorted({s[1] for s in specs.values()}), kernel, symbol, ts)
 
 
 def expanding_rank(x: np.ndarray, least: int) -> np.ndarray:

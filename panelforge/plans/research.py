@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from panelforge.functions import stats
 from panelforge.functions.exprs import div
 from panelforge.operators import backtest as b
+from panelforge.operators import candidates as cand
 from panelforge.operators import daily
 from panelforge.operators import labels as la
 from panelforge.operators import scoring as s
 from panelforge.operators import windows as w
-from panelforge.plans.sql import BARS, MONTHS, P, USERS, normal_cdf, oscillators, rank_bucket, rd, roll, xs_rank
+from panelforge.plans.sql import BARS, MONTHS, P, USERS, normal_cdf, oscillators, r, rank_bucket, rd, roll, xs_rank
 from panelforge.sources import bars
 
 C = F.col
@@ -298,30 +299,44 @@ M20 = f"""WITH {_LONG}, {_ic('feature, ts')}, p AS (SELECT feature, avg(ic) FILT
 SELECT feature, CAST(rank() OVER (ORDER BY b DESC) - rank() OVER (ORDER BY a DESC) AS INTEGER) AS drift, round(a, 4) AS early, round(b, 4) AS late FROM p"""
 
 
+def _summary(d, names):
+    """feature, n, mean of every column."""
+    return s.long_form(d, names, ["symbol", "ts"]).where("x is not null").groupBy("feature").agg(F.count("*").alias("n"), F.avg("x").alias("m")).select("feature", "n", *rd(mean=C("m")))
+
+
 def m24_candidates(spark, sf):
-    """Lags, differences, rolling means and spreads of close and volume, in long
-    form, for symbols with 30 bars at least; counts and means of each. A part
-    of M24 only, see the README."""
-    d = bars.supplier_months(spark, sf).withColumn("_n", F.count("*").over(w.Window.partitionBy("symbol"))).where("_n >= 30")
-    cols = {}
-    for c in ("close", "volume"):
-        x = C(c)
-        cols |= {f"{c}_lag{n}": w.delay(x, n) for n in (1, 3, 5)} | {f"{c}_diff{n}": w.delta(x, n) for n in (1, 5)}
-        cols |= {f"{c}_{k}{n}": f(x, n, max(3, n // 2)) for n in (10, 20) for k, f in (("mean", w.mean), ("std", w.std))}
-    d = d.withColumns(cols)
-    return s.long_form(d, list(cols), ["symbol", "ts"]).where("x is not null").groupBy("feature").agg(F.count("*").alias("n"), F.avg("x").alias("m")).select("feature", "n", *rd(mean=C("m")))
+    """All 14 transforms of eight columns of a bar, for symbols with 30 bars at
+    least; count and mean of each."""
+    d = bars.supplier_months(spark, sf)
+    rng = C("high") - C("low")
+    d = d.withColumns({"range_pct": div(rng, C("close")) * 100, "body": div(C("close") - C("open"), rng), "gap_pct": (div(C("open"), w.delay(C("close"), 1)) - 1) * 100})
+    return _summary(*cand.generate(d, _PLAIN))
+
+
+_PLAIN = ["open", "high", "low", "close", "volume", "range_pct", "body", "gap_pct"]
+
+
+def m24_factory(spark, sf):
+    """All 14 transforms of the 32 base columns and the 17 alphas of the factory
+    over daily bars; count and mean of each of the 465."""
+    d, made = cand.generate(cand.base(cand.alphas(bars.supplier_days(spark, sf))), list(cand.BASE))
+    return _summary(d, [*made, *[f"f{i}" for i in cand.ALPHAS]])
 
 
 def _cand():
     out = []
-    for c in ("close", "volume"):
+    for c in _PLAIN:
         out += [(f"{c}_lag{n}", f"lag({c}, {n}) OVER {P}") for n in (1, 3, 5)] + [(f"{c}_diff{n}", f"{c} - lag({c}, {n}) OVER {P}") for n in (1, 5)]
-        out += [(f"{c}_{k}{n}", roll(f"{a}({c})", c, n, max(3, n // 2))) for n in (10, 20) for k, a in (("mean", "avg"), ("std", "stddev_samp"))]
+        for n in (10, 20, 50):
+            known = f"list({c}) FILTER ({c} IS NOT NULL) OVER {r(n)}"
+            out += [(f"{c}_r{k}{n}", roll(f"{f}({c})", c, n, max(3, n // 4))) for k, f in (("mean", "avg"), ("std", "stddev_samp"))]
+            out += [(f"{c}_rrank{n}", f"CASE WHEN {c} IS NOT NULL AND count({c}) OVER {r(n)} >= {max(3, n // 4)} THEN (len(list_filter({known}, lambda q: q < {c})) + (len(list_filter({known}, lambda q: q = {c})) + 1) / 2) / count({c}) OVER {r(n)} END")]
     return out
 
 
-M24 = f"""WITH {MONTHS}, g AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS nn FROM bars) WHERE nn >= 30), c AS (SELECT {', '.join(f'{e} AS {k}' for k, e in _cand())} FROM g),
-u AS ({' UNION ALL '.join(f"SELECT '{k}' AS feature, {k} AS x FROM c" for k, _ in _cand())}) SELECT feature, count(*) AS n, round(avg(x), 4) AS mean FROM u WHERE x IS NOT NULL GROUP BY 1"""
+M24 = f"""WITH {MONTHS}, b AS (SELECT *, (high - low) / nullif(close, 0) * 100 AS range_pct, (close - open) / nullif(high - low, 0) AS body, (open / nullif(lag(close) OVER {P}, 0) - 1) * 100 AS gap_pct, count(*) OVER (PARTITION BY symbol) AS nn FROM bars), g AS (SELECT * FROM b WHERE nn >= 30),
+c AS (SELECT {', '.join(f'{e} AS {k}' for k, e in _cand())} FROM g),
+u AS ({' UNION ALL '.join(f"SELECT '{k}' AS feature, CAST({k} AS DOUBLE) AS x FROM c" for k, _ in _cand())}) SELECT feature, count(*) AS n, round(avg(x), 4) AS mean FROM u WHERE x IS NOT NULL GROUP BY 1"""
 
 
 def m25_cross_alphas(spark, sf):
@@ -385,5 +400,5 @@ QUERIES = {
     "l01_forward": (l01_forward, L01), "l03_bias": (l03_bias, L03), "l04_market_regime": (l04_market_regime, L04), "l05_stock_regime": (l05_stock_regime, L05), "l06_l11_target": (l06_l10_target, L06), "l12_l17_splits": (l12_l17_splits, L12),
     "m01_daily_ic": (m01_daily_ic, M01), "m02_pooled_m04_summary": (m02_pooled_m04_summary, M02), "m03_newey_west": (m03_newey_west, M03), "m10_fold_signs_m15_walk": (m10_fold_signs_m15_walk, M10), "m11_long_short_m09_drawdown": (m11_long_short_m09_drawdown, M11),
     "m21_profile": (m21_profile, M21), "m22_by_group": (m22_by_group_m23_trailing, M22), "m13_strategies": (m13_strategies, M13), "m14_verdicts": (m14_verdicts, M14), "m12_day_states": (m12_day_states, M12D), "m07_m08_sharpe": (m07_m08_sharpe, M07), "m20_rank_stability": (m20_rank_stability, M20),
-    "m24_candidates": (m24_candidates, M24), "m25_cross_alphas": (m25_cross_alphas, M25), "b01_b02_barrier": (b01_b02_barrier, B01), "a08_b03_summary": (a08_b03_summary, A08), "b04_b05_slots": (b04_b05_slots, None), "b06_top_k": (b06_top_k, B06),
+    "m24_candidates": (m24_candidates, M24), "m24_factory": (m24_factory, None), "m25_cross_alphas": (m25_cross_alphas, M25), "b01_b02_barrier": (b01_b02_barrier, B01), "a08_b03_summary": (a08_b03_summary, A08), "b04_b05_slots": (b04_b05_slots, None), "b06_top_k": (b06_top_k, B06),
 }

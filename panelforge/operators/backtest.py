@@ -39,11 +39,27 @@ def barrier(df: DataFrame, tp: Column, sl: Column, n: int) -> DataFrame:
     return d.drop("_t", "_k", "_o")
 
 
+def _outcomes() -> list[Column]:
+    rate = lambda k: F.avg((C("outcome") == k).cast("double"))
+    return [F.count("*").alias("n"), rate("TP").alias("tp_rate"), rate("SL").alias("sl_rate"), rate("TIME").alias("time_rate"), F.avg((C("ret") > 0).cast("double")).alias("win_rate"),
+            F.avg("ret").alias("expectancy"), F.avg("mfe").alias("mean_mfe"), F.avg("mae").alias("mean_mae"), F.avg("exit_bar").alias("hold")]
+
+
 def summary(df: DataFrame, *keys: str) -> DataFrame:
     """Rates of the outcomes, win rate, expectancy, excursions and holding."""
-    rate = lambda k: F.avg((C("outcome") == k).cast("double"))
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), rate("TP").alias("tp_rate"), rate("SL").alias("sl_rate"), rate("TIME").alias("time_rate"), F.avg((C("ret") > 0).cast("double")).alias("win_rate"),
-                                 F.avg("ret").alias("expectancy"), F.avg("mfe").alias("mean_mfe"), F.avg("mae").alias("mean_mae"), F.avg("exit_bar").alias("hold"))
+    return df.groupBy(*keys).agg(*_outcomes())
+
+
+def summary_sets(df: DataFrame, keys: list[str], sides: list[str]) -> DataFrame:
+    """The summary of each of the keys' values, over all of its rows and again by
+    each of the sides, by grouping sets: one pass. `level` names the side ('all'
+    for none), the other sides are NULL. Adds median, worst and best excursion,
+    bars to each barrier and the Sharpe of a trade (population deviation)."""
+    bars_to = lambda k: F.avg(F.when(C("outcome") == k, C("exit_bar")))
+    more = [F.percentile("ret", 0.5).alias("median"), F.min("mae").alias("worst_mae"), F.max("mfe").alias("best_mfe"), bars_to("TP").alias("time_to_tp"),
+            bars_to("SL").alias("time_to_sl"), (F.avg("ret") / (F.stddev_pop("ret") + 1e-12)).alias("sharpe")]
+    d = df.groupingSets([keys, *[[*keys, x] for x in sides]], *keys, *sides).agg(*_outcomes(), *more, *[F.grouping(x).alias(f"_g_{x}") for x in sides])
+    return d.withColumn("level", F.coalesce(*[F.when(C(f"_g_{x}") == 0, x) for x in sides], F.lit("all"))).drop(*[f"_g_{x}" for x in sides])
 
 
 def bucket(p: Column, width: float = 0.05) -> Column:
@@ -140,3 +156,26 @@ def top_k(df: DataFrame, score: str, y: str, k: int) -> DataFrame:
     d = df.where(C(y).isNotNull()).withColumn("_k", best).where(C("_k") <= k).groupBy("ts").agg(F.count("*").alias("n"), F.avg(y).alias("ret"))
     run = Window.partitionBy(F.lit("dates")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return d.withColumn("equity", F.exp(F.sum(F.log(1 + C("ret"))).over(run)))
+
+
+def held_top_k(df: DataFrame, score: str, horizon: int, k: int, cost: float) -> DataFrame:
+    """ts, n, added, turnover, pnl, equity of a book that holds each date's k
+    best by score: the mean return from the next bar's open to the close
+    `horizon` bars after that, over the names that have both (0 if none has),
+    less `cost` for turnover, the names that weren't held on the date before as
+    a share of those that were. Dates without a score are no dates. Equity
+    starts from 1 and ends with the book: NULL from a loss of all on."""
+    d = df.withColumn("_r", div(w.lead(C("close"), 1 + horizon), w.lead(C("open"), 1)) - 1)
+    best = F.row_number().over(Window.partitionBy("ts").orderBy(C(score).desc(), "symbol"))
+    d = d.where(C(score).isNotNull()).withColumn("_k", best).where(C("_k") <= k)
+    dates = Window.partitionBy(F.lit("dates")).orderBy("ts")
+    places = d.select("ts").distinct().withColumn("_i", F.row_number().over(dates))
+    d = d.join(places, "ts")
+    was = F.lag("_i").over(Window.partitionBy("symbol").orderBy("_i"))
+    d = d.withColumn("_new", F.coalesce(was != C("_i") - 1, F.lit(True)).cast("int"))
+    d = d.groupBy("ts").agg(F.count("*").alias("n"), F.sum("_new").alias("added"), F.avg("_r").alias("_m"))
+    d = d.withColumn("turnover", C("added") / F.coalesce(F.lag("n").over(dates), F.lit(1)))
+    d = d.withColumn("pnl", F.coalesce("_m", F.lit(0.0)) - C("turnover") * cost)
+    run = dates.rowsBetween(Window.unboundedPreceding, 0)
+    alive = F.min(1 + C("pnl")).over(run) > 0
+    return d.withColumn("equity", F.when(alive, F.exp(F.sum(F.when(C("pnl") > -1, F.log1p("pnl"))).over(run)))).drop("_m")

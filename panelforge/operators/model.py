@@ -4,6 +4,7 @@ Fitting is MLlib's; what is computed here around it stays in DataFrames."""
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -58,6 +59,18 @@ def score(models: list, df: DataFrame, features: list[str]) -> DataFrame:
     return d.withColumn("prob_std", F.sqrt(var)).drop("features", *names)
 
 
+def save_members(members: list, path: str) -> None:
+    """Fitted models, in their order, in one folder that every executor's store
+    can hold. No member is an error: there is nothing to load later."""
+    if not members:
+        raise ValueError("no fitted member to save")
+    PipelineModel(stages=members).write().overwrite().save(path)
+
+
+def load_members(path: str) -> list:
+    return PipelineModel.load(path).stages
+
+
 def calibrate(df: DataFrame, prob: str, label: str):
     """('isotonic' or 'sigmoid', model): whichever has the lower Brier score."""
     d = df.where(C(label).isNotNull()).select(C(prob).alias("p"), C(label).cast("double").alias("label"))

@@ -9,7 +9,7 @@ from panelforge.operators import labels as la
 from panelforge.operators import model as g
 from panelforge.operators import scoring as s
 from panelforge.operators import windows as w
-from panelforge.plans.sql import BARS, HOURS, P, USERS, rd
+from panelforge.plans.sql import BARS, HOURS, MACRO, P, USERS, rd
 from panelforge.sources import bars, files
 from panelforge.streaming.bars import stream_bars
 
@@ -104,7 +104,7 @@ G11 = f"""WITH {USERS}, a AS (SELECT *, lag(close) OVER {P} AS pc FROM bars), b
 o AS (SELECT * FROM k WHERE k = 1 ORDER BY prob DESC, symbol LIMIT 25) SELECT symbol, ts, round(prob, 4) AS prob, round(-1.0 + prob * 2, 4) AS expected FROM o"""
 
 
-def s01_projection_s14_panel(spark, sf):
+def s01_projection(spark, sf):
     d = files.read_columns(spark, f"{sf}/lineitem.parquet", ["l_suppkey", "l_shipdate", "l_quantity"])
     return d.where("l_quantity >= 49").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max(F.to_date("l_shipdate")).alias("last"))
 
@@ -112,6 +112,16 @@ def s01_projection_s14_panel(spark, sf):
 S01 = "SELECT l_suppkey, count(*) AS n, CAST(max(l_shipdate) AS DATE) AS last FROM lineitem WHERE l_quantity >= 49 GROUP BY 1"
 
 
+def s14_panel(spark, sf):
+    """The line items as a panel by day with the orders' daily macro row."""
+    m = bars.macro(spark, sf).withColumnRenamed("ts", "date")
+    d = files.load_panel(spark, f"{sf}/lineitem.parquet", ts="l_shipdate", symbol="l_suppkey", macro=m)
+    return d.groupBy("symbol", "date").agg(F.count("*").alias("n"), F.max("m_orders").alias("m_orders"), F.max("m_value").alias("v")).select("symbol", "date", "n", "m_orders", *rd(m_value=C("v")))
+
+
+S14 = f"""WITH {MACRO} SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, count(*) AS n, max(m_orders) AS m_orders, round(max(m_value), 4) AS m_value FROM lineitem LEFT JOIN macro ON macro.ts = CAST(l_shipdate AS DATE) WHERE l_shipdate IS NOT NULL GROUP BY 1, 2"""
+
+
 def s04_manifest(spark, sf):
     d = bars.supplier_days(spark, sf).withColumn("gap", w.delta(C("close"), 5))
     return files.manifest(d.select("ts", "close", "gap"), "ts").select("rows", "first", "last", *rd(null_close=C("null_close"), null_gap=C("null_gap")))
@@ -168,6 +178,6 @@ TV = f"WITH {BARS}, g AS (SELECT symbol, sum(volume) AS volume, count(*) AS days
 
 QUERIES = {
     "g01_g05_members": (g01_g05_members, None), "g02_g12_calibration": (g02_g12_calibration, None), "g06_interpolate": (g06_interpolate, G06), "g07_quality": (g07_quality, G07), "g08_g10_importance": (g08_g10_importance, None),
-    "g09_selection": (g09_selection, None), "g11_watchlist": (g11_watchlist, G11), "s01_projection_s14_panel": (s01_projection_s14_panel, S01), "s04_manifest": (s04_manifest, S04), "s12_fetch_plan": (s12_fetch_plan, S12), "s13_resolve": (s13_resolve, S13),
+    "g09_selection": (g09_selection, None), "g11_watchlist": (g11_watchlist, G11), "s01_projection": (s01_projection, S01), "s14_panel": (s14_panel, S14), "s04_manifest": (s04_manifest, S04), "s12_fetch_plan": (s12_fetch_plan, S12), "s13_resolve": (s13_resolve, S13),
     "s18_rejects": (s18_rejects, S18), "stream_hours": (stream_hours, SH), "s09_report": (top_volume_s09, TV),
 }

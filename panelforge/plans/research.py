@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import stats
 from panelforge.functions.exprs import div
+from panelforge.operators import aggregates as agg
 from panelforge.operators import backtest as b
 from panelforge.operators import candidates as cand
 from panelforge.operators import daily
@@ -396,9 +397,39 @@ def b06_top_k(spark, sf):
 B06 = f"""WITH {_LONG}, k AS (SELECT ts, y / 1000 AS y, row_number() OVER (PARTITION BY ts ORDER BY close DESC, symbol) AS k FROM fe WHERE y IS NOT NULL), d AS (SELECT ts, count(*) AS n, avg(y) AS ret FROM k WHERE k <= 10 GROUP BY 1)
 SELECT ts, n, round(ret, 4) AS ret, round(exp(sum(ln(1 + ret)) OVER (ORDER BY ts)), 4) AS equity FROM d"""
 
+
+
+def a08_scopes(spark, sf):
+    """Trade summaries by grouping sets over (target, scope[, bucket | regime])."""
+    d = _trades(spark, sf).withColumns({"bucket": b.bucket((C("symbol") % 100) / 100, 0.2), "regime": F.when(F.month("ts") <= 6, "early").otherwise("late")})
+    d = b.summary_sets(agg.scopes(d, F.year("ts") >= 2000), ["tp", "scope"], ["bucket", "regime"])
+    return d.select("tp", "scope", "level", "bucket", "regime", "n", *rd(**{k: C(k) for k in _SUM}))
+
+
+_SUM = ["tp_rate", "sl_rate", "time_rate", "win_rate", "expectancy", "mean_mfe", "mean_mae", "hold", "median", "worst_mae", "best_mfe", "time_to_tp", "time_to_sl", "sharpe"]
+A08S = f"""WITH {MONTHS}, {_TB}, z AS (SELECT *, CAST(floor(round((symbol % 100) / 100 / 0.2, 9)) AS INTEGER) AS bucket, CASE WHEN month(ts) <= 6 THEN 'early' ELSE 'late' END AS regime FROM tr),
+sc AS (SELECT *, 'Full' AS scope FROM z UNION ALL SELECT *, 'OOS' FROM z WHERE year(ts) >= 2000)
+SELECT tp, scope, CASE WHEN grouping(bucket) = 0 THEN 'bucket' WHEN grouping(regime) = 0 THEN 'regime' ELSE 'all' END AS level, bucket, regime, count(*) AS n, {_ra('TP')}, {_ra('SL')}, {_ra('TIME')},
+ round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 4) AS win_rate, round(avg(ret), 4) AS expectancy, round(avg(mfe), 4) AS mean_mfe, round(avg(mae), 4) AS mean_mae, round(avg(x), 4) AS hold, round(median(ret), 4) AS median,
+ round(min(mae), 4) AS worst_mae, round(max(mfe), 4) AS best_mfe, round(avg(x) FILTER (outcome = 'TP'), 4) AS time_to_tp, round(avg(x) FILTER (outcome = 'SL'), 4) AS time_to_sl, round(avg(ret) / (stddev_pop(ret) + 1e-12), 4) AS sharpe
+FROM sc GROUP BY GROUPING SETS ((tp, scope), (tp, scope, bucket), (tp, scope, regime))"""
+
+
+def b06_held(spark, sf):
+    d = bars.supplier_months(spark, sf).withColumn("score", F.when(C("volume") > 100, C("volume") - C("close") / 1000))
+    return b.held_top_k(d, "score", 5, 10, 0.002).select("ts", "n", "added", *rd(turnover=C("turnover"), pnl=C("pnl"), log_equity=F.log("equity")))
+
+
+B06H = f"""WITH {MONTHS}, q AS (SELECT *, {_ld('close', 6)} / nullif({_ld('open', 1)}, 0) - 1 AS rr, CASE WHEN volume > 100 THEN volume - close / 1000 END AS score FROM bars),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, symbol) AS k FROM q WHERE score IS NOT NULL) WHERE k <= 10), o AS (SELECT *, dense_rank() OVER (ORDER BY ts) AS i FROM k),
+h AS (SELECT a.ts, a.rr, CASE WHEN p.symbol IS NULL THEN 1 ELSE 0 END AS fresh FROM o a LEFT JOIN o p ON p.symbol = a.symbol AND p.i = a.i - 1),
+g AS (SELECT ts, count(*) AS n, CAST(sum(fresh) AS BIGINT) AS added, avg(rr) AS m FROM h GROUP BY 1), t AS (SELECT *, added / coalesce(lag(n) OVER (ORDER BY ts), 1) AS turnover FROM g),
+u AS (SELECT *, coalesce(m, 0) - turnover * 0.002 AS pnl FROM t)
+SELECT ts, n, added, round(turnover, 4) AS turnover, round(pnl, 4) AS pnl, round(sum(ln(1 + pnl)) OVER (ORDER BY ts), 4) AS log_equity FROM u"""
+
 QUERIES = {
     "l01_forward": (l01_forward, L01), "l03_bias": (l03_bias, L03), "l04_market_regime": (l04_market_regime, L04), "l05_stock_regime": (l05_stock_regime, L05), "l06_l11_target": (l06_l10_target, L06), "l12_l17_splits": (l12_l17_splits, L12),
     "m01_daily_ic": (m01_daily_ic, M01), "m02_pooled_m04_summary": (m02_pooled_m04_summary, M02), "m03_newey_west": (m03_newey_west, M03), "m10_fold_signs_m15_walk": (m10_fold_signs_m15_walk, M10), "m11_long_short_m09_drawdown": (m11_long_short_m09_drawdown, M11),
     "m21_profile": (m21_profile, M21), "m22_by_group": (m22_by_group_m23_trailing, M22), "m13_strategies": (m13_strategies, M13), "m14_verdicts": (m14_verdicts, M14), "m12_day_states": (m12_day_states, M12D), "m07_m08_sharpe": (m07_m08_sharpe, M07), "m20_rank_stability": (m20_rank_stability, M20),
-    "m24_candidates": (m24_candidates, M24), "m24_factory": (m24_factory, None), "m25_cross_alphas": (m25_cross_alphas, M25), "b01_b02_barrier": (b01_b02_barrier, B01), "a08_b03_summary": (a08_b03_summary, A08), "b04_b05_slots": (b04_b05_slots, None), "b06_top_k": (b06_top_k, B06),
+    "m24_candidates": (m24_candidates, M24), "m24_factory": (m24_factory, None), "m25_cross_alphas": (m25_cross_alphas, M25), "b01_b02_barrier": (b01_b02_barrier, B01), "a08_b03_summary": (a08_b03_summary, A08), "b04_b05_slots": (b04_b05_slots, None), "b06_top_k": (b06_top_k, B06), "a08_scopes": (a08_scopes, A08S), "b06_held": (b06_held, B06H),
 }

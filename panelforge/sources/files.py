@@ -38,10 +38,10 @@ def append_frozen(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
     return out
 
 
-def symbol_files(spark: SparkSession, path: str, pattern: str = r"(.+)_(?:daily|5min)\.parquet$", like: str | None = None, glob: str = "*.parquet") -> DataFrame:
+def symbol_files(spark: SparkSession, path: str, pattern: str = r"(.+)_(?:daily|5min)\.parquet$", like: str | None = None, glob: str = "*.parquet", merge: bool = False) -> DataFrame:
     """Per-symbol files as one table; the symbol is in the file's name. A
     filter that fits no file gives no rows."""
-    d = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(path)
+    d = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("mergeSchema", merge).parquet(path)
     d = d.withColumn("symbol", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)).where("symbol != ''")
     return d.where(F.col("symbol").rlike(like)) if like else d
 
@@ -72,6 +72,54 @@ def normalize(df: DataFrame, ts: str = "timestamp", keys: tuple[str, ...] = ())
     return d.select(*first, *[c for c in d.columns if c not in first])
 
 
+def load_panel(spark: SparkSession, path: str, per_symbol: bool = False, ts: str | None = None, symbol: str = "symbol", macro: DataFrame | None = None) -> DataFrame:
+    """The panel with `symbol` and `date`, from one table (a column of symbols
+    and one of time, `timestamp` before `date`) or from a folder of SYMBOL_daily
+    files (`date` before `timestamp`; their columns may differ). Rows without a
+    date go. macro: one row for each `date`, left-joined; its columns must have
+    names of their own."""
+    order = ("date", "timestamp") if per_symbol else ("timestamp", "date")
+    if per_symbol:
+        d = symbol_files(spark, path, glob="*_daily.parquet", merge=True)
+    else:
+        d = spark.read.parquet(path)
+        if symbol not in d.columns:
+            raise ValueError(f"no column {symbol!r} in {path}")
+        d = d.withColumnRenamed(symbol, "symbol")
+    at = ts or next((c for c in order if c in d.columns), None)
+    if at is None:
+        raise ValueError(f"no timestamp or date in {path}")
+    d = d.withColumn("date", F.to_date(F.col(at).try_cast("timestamp"))).where("date is not null")
+    d = d.drop(at) if per_symbol and at != "date" else d
+    if macro is None:
+        return d
+    both = (set(d.columns) & set(macro.columns)) - {"date"}
+    if both:
+        raise ValueError(f"macro columns that the panel has, too: {sorted(both)}")
+    return d.join(macro.withColumn("date", F.to_date("date")), "date", "left")
+
+
+def recompute(spark: SparkSession, source: str, target: str, transform, by: list[str] | None = None) -> DataFrame:
+    """The stored bars' key and OHLCV columns (indicators that were stored with
+    them are left out) with the transform applied anew, written to another
+    folder and read back."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("the target is the source")
+    d = spark.read.parquet(source)
+    write_panel(transform(d.select(*[c for c in d.columns if c in ("symbol", "ts", *BAR)])), target, by)
+    return spark.read.parquet(target)
+
+
+def write_scored(df: DataFrame, path: str, prob: str, regime: str = "stock_regime", ts: str = "ts") -> DataFrame:
+    """symbol, ts, close (if there), stock_regime (`bull_trend` where the panel
+    has none) and prob_5d_mean of every row, written as Parquet and read back.
+    Rows are scored where they lie, so no batch has to fit in memory."""
+    keep = [c for c in ("symbol", ts, "close") if c in df.columns]
+    how = F.col(regime) if regime in df.columns else F.lit("bull_trend")
+    write_panel(df.select(*keep, how.alias("stock_regime"), F.col(prob).cast("double").alias("prob_5d_mean")), path)
+    return df.sparkSession.read.parquet(path)
+
+
 def manifest(df: DataFrame, ts: str) -> DataFrame:
     """One row: count, first and last time, share of NULLs of each column."""
     rest = [c for c in df.columns if c != ts]

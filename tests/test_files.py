@@ -66,3 +66,39 @@ def test_stream_to_upserted_bars(spark, tmp_path):
     feed([(4, t(2), "x", 9.0), (5, t(3), "y", 2.0)])
     got = sorted((r.symbol, r.ts.minute, r.open, r.high, r.close, r.volume) for r in sb.current(spark, out).collect())
     assert got == [("x", 0, 5.0, 9.0, 9.0, 3.0), ("x", 5, 1.0, 1.0, 1.0, 1.0), ("y", 0, 2.0, 2.0, 2.0, 1.0)]
+
+
+def test_panel_of_one_table_or_of_files(spark, tmp_path):
+    import pandas as pd
+    import pytest
+
+    (tmp_path / "f").mkdir()
+    pd.DataFrame({"timestamp": ["2024-01-02 09:15", "bad"], "close": [1.0, 2.0]}).to_parquet(tmp_path / "f" / "AB_daily.parquet")
+    pd.DataFrame({"timestamp": ["2024-01-03 00:00"], "close": [3.0], "extra": [7]}).to_parquet(tmp_path / "f" / "CD_daily.parquet")
+    pd.DataFrame({"x": [1]}).to_parquet(tmp_path / "f" / "other.parquet")
+    macro = spark.createDataFrame([(dt.date(2024, 1, 2), 5.0)], "date date, m double")
+    d = files.load_panel(spark, str(tmp_path / "f"), per_symbol=True, macro=macro)
+    assert sorted((r.symbol, str(r.date), r.close, r.m, r.extra) for r in d.collect()) == [("AB", "2024-01-02", 1.0, 5.0, None), ("CD", "2024-01-03", 3.0, None, 7)]
+    one = str(tmp_path / "one.parquet")
+    pd.DataFrame({"symbol": ["a", "b"], "timestamp": [None, "2024-02-01"], "date": ["2020-01-01", "2020-01-01"]}).to_parquet(one)
+    assert [(r.symbol, str(r.date)) for r in files.load_panel(spark, one).collect()] == [("b", "2024-02-01")]
+    with pytest.raises(ValueError, match="no column"):
+        files.load_panel(spark, one, symbol="name")
+    with pytest.raises(ValueError, match="panel has, too"):
+        files.load_panel(spark, one, macro=macro.withColumn("symbol", F.lit(1)))
+
+
+def test_recomputed_and_scored_panels(spark, tmp_path):
+    import pytest
+
+    d = spark.createDataFrame([("a", dt.date(2024, 1, 1), 2.0, 9.0), ("a", dt.date(2024, 1, 2), 4.0, 9.0)], "symbol string, ts date, close double, stale double")
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    files.write_panel(d, src)
+    got = files.recompute(spark, src, out, lambda x: x.withColumn("twice", F.col("close") * 2))
+    assert got.columns == ["symbol", "ts", "close", "twice"] and sorted(r.twice for r in got.collect()) == [4.0, 8.0]
+    with pytest.raises(ValueError, match="source"):
+        files.recompute(spark, src, src + "/", lambda x: x)
+    scored = files.write_scored(d.withColumn("p", F.lit(0.25)), str(tmp_path / "scored"), "p")
+    assert sorted(map(tuple, scored.collect()))[0] == ("a", dt.date(2024, 1, 1), 2.0, "bull_trend", 0.25)
+    kept = files.write_scored(d.withColumns({"p": F.lit(1), "stock_regime": F.lit("bear_range")}), str(tmp_path / "s2"), "p")
+    assert {r.stock_regime for r in kept.collect()} == {"bear_range"}

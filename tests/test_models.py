@@ -5,6 +5,7 @@ import datetime as dt
 import inspect
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import model
@@ -51,3 +52,15 @@ def test_queries_use_the_operators_rounds_and_shuffles(spark, monkeypatch):
     modelling.g01_g05_members(spark, "")
     modelling.g08_g10_importance(spark, "")
     assert len(used) == 5 and not any(set(u) & {"rounds", "depth", "shuffles"} for u in used)
+
+
+def test_saved_members_score_alike(spark, tmp_path):
+    rows = [(i, float(i % 7), float(i % 3), float(i % 7 > 3)) for i in range(80)]
+    d = spark.createDataFrame(rows, "symbol int, a double, b double, label double")
+    m = [model.member(d, ["a", "b"], "label", s, rounds=2) for s in (1, 2)]
+    model.save_members(m, str(tmp_path / "m"))
+    back = model.load_members(str(tmp_path / "m"))
+    one, two = (model.score(x, d, ["a", "b"]).orderBy("symbol").select("prob_mean", "prob_std").collect() for x in (m, back))
+    assert len(back) == 2 and one == two
+    with pytest.raises(ValueError):
+        model.save_members([], str(tmp_path / "n"))

@@ -305,3 +305,22 @@ def test_cleaning(spark):
     cl.no_labels(["D_a"])
     twice = bars(spark, 5, 1).unionByName(bars(spark, 1, 1))
     assert cl.monotonic_errors(twice).count() == 1
+
+
+def test_held_book_by_hand(spark):
+    """Two names, one place: costs of a change, unknown returns, a day off."""
+    day = [D0 + dt.timedelta(days=i) for i in range(5)]
+    rows = [("a", day[0], 10.0, 10.0, 2.0), ("a", day[1], 10.0, 12.0, 1.0), ("a", day[2], 12.0, 15.0, 1.0), ("a", day[3], 15.0, 15.0, 1.0), ("a", day[4], 15.0, 15.0, None)]
+    rows += [("b", d, 20.0, 20.0, 1.5 if i == 1 else None) for i, d in enumerate(day)]
+    got = bt.held_top_k(spark.createDataFrame(rows, "symbol string, ts date, open double, close double, score double"), "score", 1, 1, 0.01).orderBy("ts").collect()
+    assert [(r.ts, r.n, r.added, r.turnover) for r in got] == [(day[0], 1, 1, 1.0), (day[1], 1, 1, 1.0), (day[2], 1, 1, 1.0), (day[3], 1, 0, 0.0)]
+    want = [15 / 10 - 1 - 0.01, 0.0 - 0.01, 15 / 15 - 1 - 0.01, 0.0]
+    np.testing.assert_allclose([r.pnl for r in got], want, atol=1e-12)
+    np.testing.assert_allclose([r.equity for r in got], np.cumprod(1 + np.array(want)))
+
+
+def test_a_book_that_loses_all_ends(spark):
+    rows = [("a", D0 + dt.timedelta(days=i), 10.0, 10.0 if i < 2 else 0.0, 1.0) for i in range(5)]
+    got = bt.held_top_k(spark.createDataFrame(rows, "symbol string, ts date, open double, close double, score double"), "score", 1, 1, 0.0).orderBy("ts").collect()
+    assert got[0].equity is None and all(r.equity is None for r in got)
+    assert bt.held_top_k(spark.createDataFrame(rows, "symbol string, ts date, open double, close double, score double").where("false"), "score", 1, 1, 0.0).count() == 0

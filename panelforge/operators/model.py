@@ -3,7 +3,11 @@ Fitting is MLlib's; what is computed here around it stays in DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -20,6 +24,21 @@ from panelforge.operators.labels import purged_folds
 
 C = F.col
 
+#: Independent fits and evaluations that the driver has running at once: each is
+#: a chain of short jobs that leaves most of a cluster idle by itself.
+AT_ONCE = 8
+#: Rows that one task of shuffled() orders, about.
+SHUFFLE_ROWS = 250_000
+
+
+def at_once(f: Callable, items: Iterable) -> list:
+    """f of every item, in order; the driver only waits, jobs run side by side."""
+    todo = list(items)
+    if len(todo) < 2:
+        return [f(x) for x in todo]
+    with ThreadPool(min(AT_ONCE, len(todo))) as pool:
+        return pool.map(inheritable_thread_target(f), todo, chunksize=1)
+
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     """A features vector; rows with a missing feature are left out (impute
@@ -103,11 +122,11 @@ def quality(df: DataFrame, prob: str, label: str, ret: str, *keys: str) -> DataF
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((C(prob) - C(label)) ** 2).alias("brier"), corr(C("_a"), C("_b")).alias("ic"))
 
 
-def shuffled(df: DataFrame, column: str, seed: int) -> DataFrame:
+def shuffled(df: DataFrame, column: str, seed: int, parts: int = 64) -> DataFrame:
     """df with one column's values dealt out anew: rows are numbered in a fixed
-    and in a random order within partitions of a hash, and met by number, so
-    no task orders the whole table."""
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(64))
+    and in a random order within parts of a hash, and met by number, so no task
+    orders the whole table. The caller raises parts with the rows."""
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
     d = df.withColumn("_b", part)
     o = Window.partitionBy("_b")
     a = d.withColumn("_i", F.row_number().over(o.orderBy(*df.columns))).drop(column)
@@ -120,13 +139,13 @@ def permutation_importance(model, df: DataFrame, features: list[str], label: str
     Features the model doesn't use are 0 without scoring."""
     area = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     d = df.where(C(label).isNotNull()).withColumn(label, C(label).cast("double"))
-    base = area.evaluate(model.transform(assembled(d, features)))
-    used = {features[i] for i in model.featureImportances.indices}
-    out = []
-    for f in features:
-        falls = [base - area.evaluate(model.transform(assembled(shuffled(d, f, seed + k), features))) for k in range(shuffles)] if f in used else [0.0]
-        out.append((f, sum(falls) / len(falls)))
-    return sorted(out, key=lambda x: -x[1])
+    parts = max(64, d.count() // SHUFFLE_ROWS)
+    used = [features[i] for i in model.featureImportances.indices]
+    runs = [(f, k) for f in used for k in range(shuffles)]
+    scored = lambda x: area.evaluate(model.transform(assembled(x, features)))
+    base, *areas = at_once(lambda x: scored(shuffled(d, x[0], seed + x[1], parts) if x else d), [None, *runs])
+    falls = {f: [base - a for (g, _), a in zip(runs, areas, strict=True) if g == f] or [0.0] for f in features}
+    return sorted([(f, sum(x) / len(x)) for f, x in falls.items()], key=lambda x: -x[1])
 
 
 #: Fixed values of recommend(): fall of the area that is useful, that hurts and
@@ -152,15 +171,18 @@ def in_folds(df: DataFrame, label: str, folds: int = 3, embargo: int = 5) -> lis
     d = df.where(C(label).isNotNull()).withColumn(label, C(label).cast("double"))
     d = d.join(F.broadcast(purged_folds(df, folds, embargo).select("ts", "fold", C("part").alias("_part"))), "ts")
     pairs = [tuple(d.where((C("fold") == k) & (C("_part") == p)).drop("fold", "_part") for p in ("train", "test")) for k in range(folds)]
-    return [x for x in pairs if all(has_two_classes(y, label) for y in x)]
+    both = at_once(lambda x: has_two_classes(x, label), [y for x in pairs for y in x])
+    return [x for x, a, b in zip(pairs, both[::2], both[1::2], strict=True) if a and b]
 
 
 def cv_permutation_importance(df: DataFrame, features: list[str], label: str, folds: int = 3, embargo: int = 5, shuffles: int = 2, seed: int = 7, rounds: int = 20, depth: int = 3) -> list[tuple[str, float, float, int]]:
     """(feature, mean and deviation of its fall over purged folds, folds used),
     greatest first; each fold has a member of its own."""
+    pairs = in_folds(df, label, folds, embargo)
+    models = at_once(lambda x: member(x[0], features, label, 1, rounds, depth), pairs)
     falls: dict[str, list[float]] = {f: [] for f in features}
-    for k, (train, test) in enumerate(in_folds(df, label, folds, embargo)):
-        for f, x in permutation_importance(member(train, features, label, 1, rounds, depth), test, features, label, shuffles, seed + 100 * k):
+    for k, (m, (_, test)) in enumerate(zip(models, pairs, strict=True)):
+        for f, x in permutation_importance(m, test, features, label, shuffles, seed + 100 * k):
             falls[f].append(x)
     return sorted([(f, float(np.mean(x)), float(np.std(x)), len(x)) for f, x in falls.items() if x], key=lambda x: -x[1])
 
@@ -172,13 +194,15 @@ def forward_selection(df: DataFrame, features: list[str], label: str, limit: int
     pairs = in_folds(df, label, folds, embargo)
     chosen: list[str] = []
     best = 0.5
+
+    def held_out(x):
+        use, (train, test) = x
+        return area.evaluate(member(train, use, label, 1, rounds, depth).transform(assembled(test, use)))
+
     while len(chosen) < limit and pairs:
-        tried = []
-        for f in features:
-            if f not in chosen:
-                use = [*chosen, f]
-                areas = [area.evaluate(member(train, use, label, 1, rounds, depth).transform(assembled(test, use))) for train, test in pairs]
-                tried.append((sum(areas) / len(areas), f))
+        left = [f for f in features if f not in chosen]
+        areas = at_once(held_out, [([*chosen, f], x) for f in left for x in pairs])
+        tried = [(sum(areas[i * len(pairs):(i + 1) * len(pairs)]) / len(pairs), f) for i, f in enumerate(left)]
         if not tried or max(tried)[0] < best + 0.001:
             break
         best, f = max(tried)

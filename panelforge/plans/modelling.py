@@ -29,16 +29,17 @@ def panel(spark, sf):
 def g01_g05_members(spark, sf):
     """Two seeds' members fitted on the training days score the test days; the
     pooled score and one regime's own, routed, with their quality."""
-    d = panel(spark, sf)
+    d = panel(spark, sf).persist()
     train, test = d.where("part = 'train'"), d.where("part = 'test'")
-    pooled = g.score([m for s in (1, 2) if (m := g.member(train, FEATURES, "label", s)) is not None], test, FEATURES)
-    even = g.score([m for s in (3,) if (m := g.member(train.where("regime = 'even'"), FEATURES, "label", s)) is not None], test, FEATURES)
+    fits = [(train, 1), (train, 2), (train.where("regime = 'even'"), 3)]
+    *two, one = g.at_once(lambda x: g.member(x[0], FEATURES, "label", x[1]), fits)
+    pooled, even = (g.score([m for m in ms if m is not None], test, FEATURES) for ms in (two, [one]))
     return g.routed(pooled, {"even": even}, ["symbol", "ts"]).select("symbol", "ts", "regime", *rd(prob=C("prob_mean"), spread=C("prob_std"), routed=C("routed")))
 
 
 def g02_g12_calibration(spark, sf):
     """A calibrated probability and the expected change it maps to."""
-    d = panel(spark, sf)
+    d = panel(spark, sf).persist()
     s = g.score([g.member(d.where("part = 'train'"), FEATURES, "label", 1)], d.where("part = 'cal'"), FEATURES)
     kind, cal = g.calibrate(s, "prob_mean", "label")
     ev = g.expected_value(s, "prob_mean", "y")

@@ -7,8 +7,11 @@ rank, compacts the row, and drops rows that have no pair left. Rows longer than
 `LONG` symbols keep the same rule with a priority queue, since a matrix would
 need a round for every merge of one row.
 
-Null text counts as empty: no tokens and the digests of no bytes. Repeated rows
-give repeated results. Null ids stay null.
+Defined results: null text counts as empty (no tokens and the digests of no
+bytes); repeated rows give repeated results; a null doc_id stays null; of pairs
+of one rank the leftmost goes first. Texts of any length are encoded whole, a
+long piece in time n log n. Extra columns, clashing names included, don't reach
+the result; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -14,8 +14,13 @@ The models are fitted on at most SAMPLE texts of each language, those with the
 smallest hash of doc_id; texts are used whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0
-and not flagged; without any learnt language all are `und`. Rows are
-independent of each other, repeated ones get the same result.
+and not flagged; without any learnt language all are `und`. Where losses tie,
+the first language in the order of names is chosen, and the text is flagged. A
+text of any length is read whole (it is a slice of its own). Rows are
+independent of each other: repeated ones get the same result, rows of one doc_id
+each their own, a null doc_id stays null. An empty table gives an empty table.
+Extra columns, clashing names included, are no input; identified() passes them
+on as they are.
 """
 
 from __future__ import annotations

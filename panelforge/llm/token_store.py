@@ -17,8 +17,9 @@ checkpoints, number of words (uint32); for each checkpoint: word index, crc32
 of its ids (uint32), lane states (uint64); then the words (uint32).
 
 Defined results: null text is empty (only the end id); rows of one doc_id keep
-all their texts, next to each other; a null doc_id sorts first; an empty table
-gives an empty store.
+all their texts, next to each other; a null doc_id sorts first; a text of any length
+is stored whole, in one block; extra columns, clashing names included, don't
+reach the store; an empty table gives an empty store.
 """
 
 from __future__ import annotations

@@ -42,3 +42,13 @@ def test_one_merge_a_round_equals_the_queue():
 
 def test_empty(spark):
     assert bm.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).collect() == []
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bm.load_ranks(PATH), special_tokens={})
+    r = random.Random(5)
+    long = ["".join(r.choice("aehinorstdlu") for _ in range(40_000)), "the old sea was calm. " * 40_000, "\n" * 20_000]
+    df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in enumerate(long)], "doc_id int, text string, n_tokens string, ids_sha256 int, decoded string")
+    got = sorted(bm.encode(df, PATH, P.PATTERN).collect())
+    assert [list(g.ids) for g in got] == [enc.encode_ordinary(t) for t in long]
+    assert [g.decoded_sha256 for g in got] == [hashlib.sha256(t.encode()).hexdigest() for t in long]

@@ -85,3 +85,23 @@ def test_clashing_columns_come_through(spark):
         rows = out.collect()
         assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in odd)
         docs = spark.createDataFrame(rows, out.schema)
+
+
+def test_rows_of_one_doc_id_in_every_stage(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    a, b = (r.text for r in docs.where("text is not null and length(text) > 200").orderBy("doc_id").limit(2).collect())
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    extra = [(10**6, a + " one end", "en"), (10**6, a + " one end", "en"), (10**6, b + " other end", "en"), (10**6 + 1, item, "en"), (10**6 + 1, "clean words of one", "en")]
+    d = docs.unionByName(spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in extra], docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
+    texts = lambda x, i: sorted(r.text for r in x.where(F.col("doc_id") == i).collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert texts(stages["language_id"](spark, d, sf), 10**6) == texts(d, 10**6)
+    # The id stands for all its texts: they stay or go together, equal ones as one.
+    alone = spark.createDataFrame([r for r in d.collect() if r.doc_id >= 10**6], d.schema)
+    assert texts(stages["near_duplicates"](spark, alone, sf), 10**6) == sorted({t for i, t, _ in extra if i == 10**6})
+    # Rows of one id take no bytes from each other.
+    assert texts(stages["repeated_bytes"](spark, alone, sf), 10**6) == texts(alone, 10**6)
+    # Here each row is judged by its own text.
+    assert texts(stages["decontaminate"](spark, d, sf), 10**6 + 1) == ["clean words of one"]
+    assert stages["byte_bpe"](spark, d, sf).where(F.col("doc_id") == 10**6).count() == 3

@@ -3,7 +3,7 @@ upsert of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators.joins import upsert
@@ -20,23 +20,50 @@ def stream_bars(events: DataFrame, width: str = "5 minutes", late: str = "1 day"
 
 def upsert_batch(path: str):
     """For foreachBatch: the batch's bars replace stored ones of the same symbol
-    and time. A batch run again gives the same table: it is written under its
-    number, and the newest whole one counts."""
+    and time. Only the days a batch touches (few, as the watermark bounds them)
+    are read and written anew, under the batch's number, so a batch costs its
+    days and not the table; of each day the newest whole version counts. A batch
+    run again gives the same table. Days that an earlier batch has superseded
+    are deleted when the next one starts: a reader has the time of a whole batch
+    to end. Bars without a time are left out."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = current(spark, path, number)
-        (batch if old is None else upsert(old, batch, ["symbol", "ts"])).write.mode("overwrite").parquet(f"{path}/v{number:010d}")
+        days = _days(spark, path, number, sweep=True)
+        new = batch.where("ts is not null").withColumn("day", F.to_date("ts")).persist()
+        try:
+            touched = [days[d] for r in new.select("day").distinct().collect() if (d := str(r.day)) in days]
+            out = upsert(spark.read.schema(batch.schema).parquet(*touched), new.drop("day"), ["symbol", "ts"]).withColumn("day", F.to_date("ts")) if touched else new
+            out.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/v{number:010d}")
+        finally:
+            new.unpersist()
 
     return run
 
 
-def current(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest whole table under path (before a batch number)."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    done = sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    done = [n for n in done if before is None or n < f"v{before:010d}"]
-    return spark.read.parquet(f"{path}/{done[-1]}") if done else None
+def _days(spark: SparkSession, path: str, before: int | None = None, sweep: bool = False) -> dict[str, str]:
+    """The folder of each day's newest whole version (before a batch number);
+    with sweep the older ones go."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at(path)):
+        return {}
+    found: dict[str, str] = {}
+    for v in sorted((s.getPath() for s in fs.listStatus(at(path))), key=lambda v: v.getName(), reverse=True):
+        if not fs.exists(at(v, "_SUCCESS")) or (before is not None and v.getName() >= f"v{before:010d}"):
+            continue
+        held = [s.getPath() for s in fs.listStatus(v) if s.getPath().getName().startswith("day=")]
+        old = [d for d in held if d.getName()[4:] in found]
+        found.update({d.getName()[4:]: d.toString() for d in held if d not in old})
+        if sweep:
+            for d in old:
+                fs.delete(d, True)
+            if len(old) == len(held):
+                fs.delete(v, True)
+    return found
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table as it stands: every day's newest whole version."""
+    days = _days(spark, path)
+    return spark.read.parquet(*days.values()) if days else None

@@ -68,6 +68,30 @@ def test_stream_to_upserted_bars(spark, tmp_path):
     assert got == [("x", 0, 5.0, 9.0, 9.0, 3.0), ("x", 5, 1.0, 1.0, 1.0, 1.0), ("y", 0, 2.0, 2.0, 2.0, 1.0)]
 
 
+def test_a_batch_rewrites_its_days_only(spark, tmp_path):
+    out = f"file://{tmp_path}/t"
+    run = sb.upsert_batch(out)
+    t = lambda d, m: dt.datetime(2024, 1, d, 9, m)
+    bars = lambda rows: spark.createDataFrame(rows, "symbol string, ts timestamp, close double")
+    table = lambda: sorted((r.symbol, r.ts.day, r.ts.minute, r.close) for r in sb.current(spark, out).collect())
+    assert sb.current(spark, out) is None
+    run(bars([("x", t(1, 0), 1.0), ("x", t(2, 0), 2.0), ("x", t(3, 0), 3.0), ("x", None, 9.0)]), 0)
+    run(bars([("x", t(2, 0), 5.0), ("y", t(2, 1), 6.0)]), 1)
+    want = [("x", 1, 0, 1.0), ("x", 2, 0, 5.0), ("x", 3, 0, 3.0), ("y", 2, 1, 6.0)]
+    days = lambda v: sorted(p.name for p in (tmp_path / "t" / f"v{v:010d}").glob("day=*"))
+    assert table() == want and days(1) == ["day=2024-01-02"]
+    run(bars([("x", t(2, 0), 5.0), ("y", t(2, 1), 6.0)]), 1)  # again
+    assert table() == want
+    run(bars([]), 2)
+    assert table() == want and days(0) == ["day=2024-01-01", "day=2024-01-03"]
+    # A version that wasn't written to its end doesn't count.
+    run(bars([("x", t(1, 0), 7.0)]), 3)
+    (tmp_path / "t" / "v0000000003" / "_SUCCESS").unlink()
+    assert table() == want
+    run(bars([("x", t(1, 0), 8.0)]), 3)
+    assert table() == [("x", 1, 0, 8.0), *want[1:]]
+
+
 def test_panel_of_one_table_or_of_files(spark, tmp_path):
     import pandas as pd
     import pytest

@@ -9,6 +9,17 @@ first four return the columns of documents, the last the token ids.
 - decontaminate: documents that hold ten consecutive words of a benchmark item
   (or the whole of a shorter one) go;
 - byte_bpe: doc_id, n_tokens, digests and ids of every text that is left.
+
+Defined results: null and empty texts, and texts without a letter, are `und` and
+go in the first stage; a null lang isn't learnt from. Rows without a doc_id are
+judged by language and benchmark like any other, have no group and neither lose
+bytes nor take them from others. Rows of one doc_id: near_duplicates keeps or
+drops the id with all its texts, equal ones as one row; they take no bytes from
+each other; the other stages look at each row. Texts of any length count whole.
+Extra columns, clashing names included, come through the first four stages as
+they are (n_chars is counted anew where text changes). An empty table gives an
+empty table. Where no document has a lang, none is learnt and all are `und`; an
+empty benchmark takes nothing out.
 """
 
 from __future__ import annotations

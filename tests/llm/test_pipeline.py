@@ -105,3 +105,13 @@ def test_rows_of_one_doc_id_in_every_stage(spark):
     # Here each row is judged by its own text.
     assert texts(stages["decontaminate"](spark, d, sf), 10**6 + 1) == ["clean words of one"]
     assert stages["byte_bpe"](spark, d, sf).where(F.col("doc_id") == 10**6).count() == 3
+
+
+def test_nothing_to_learn_from(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, none, sf).collect() == []
+    spark.read.parquet(f"{sf}/benchmark.parquet").where("false").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in docs.collect())

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -187,26 +188,145 @@ def cv_permutation_importance(df: DataFrame, features: list[str], label: str, fo
     return sorted([(f, float(np.mean(x)), float(np.std(x)), len(x)) for f, x in falls.items() if x], key=lambda x: -x[1])
 
 
+#: Bins of a feature and greatest number of features of a cells() table, which
+#: then has 2 * BINS ** CELL_FEATURES rows a side at most, however many it counts.
+BINS, CELL_FEATURES = 32, 4
+
+
+def _real(f: str) -> Column:
+    x = C(f).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def bin_edges(df: DataFrame, features: list[str]) -> list[list[float]]:
+    """Upper ends of all bins but the last by feature: every value where there
+    are BINS at most, else quantiles of all rows."""
+    few = at_once(lambda f: df.select(_real(f).alias("x")).where("x is not null").distinct().limit(BINS + 1).toPandas()["x"], features)
+    points = [k / BINS for k in range(1, BINS)]
+    cuts = df.agg(*[F.percentile_approx(_real(f), points, 10_000).alias(f"c{i}") for i, f in enumerate(features)]).first()
+    return [sorted(map(float, set(cuts[i] or [])) if len(x) > BINS else map(float, sorted(x)[:-1])) for i, x in enumerate(few)]
+
+
+def binned(train: DataFrame, test: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Both sides' rows as bin numbers of the training side's bins (NULL where a
+    value is missing), with the class and the side."""
+    edges = bin_edges(train, features)
+    at = {f: F.when(_real(f).isNotNull(), sum((F.when(_real(f) > F.lit(e), 1).otherwise(0) for e in es), F.lit(0))).cast("tinyint") for f, es in zip(features, edges, strict=True)}
+    sides = [d.select(*[c.alias(f) for f, c in at.items()], (C(label) > 0).alias("_y"), F.lit(k).alias("_train")) for d, k in ((train, True), (test, False))]
+    return sides[0].unionByName(sides[1])
+
+
+def cells(df: DataFrame, use: list[str]) -> DataFrame:
+    """Rows of binned() counted by what a tree over these features can tell
+    apart; rows with a missing one are left out."""
+    return df.dropna(subset=use).groupBy(*use, "_y", "_train").agg(F.count("*").alias("_n"))
+
+
+def boost(codes: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int, depth: int, shrink: float, rng: np.random.Generator) -> Callable:
+    """Boosted trees over bin numbers (a row of codes a feature) of n equal rows
+    each with class y, as GBTClassifier fits them: the first tree has full
+    weight, the others shrink; each sees a share of 0.8 of all rows, drawn one
+    by one. Returns the score of other codes."""
+    side = np.where(y, 1.0, -1.0)
+    f = np.zeros(len(y))
+    trees = []
+
+    def walk(tree: list, codes: np.ndarray) -> np.ndarray:
+        node = np.zeros(codes.shape[1], dtype=np.int64)
+        for of, cut, _ in tree[:-1]:
+            k = of[node]
+            right = (k >= 0) & (codes[np.maximum(k, 0), np.arange(codes.shape[1])] > cut[node])
+            node = 2 * node + right
+        return tree[-1][2][node]
+
+    for t in range(rounds):
+        r = side if t == 0 else 4 * side / (1 + np.exp(2 * side * f))
+        w = rng.binomial(n, 0.8).astype(float)
+        node, tree, open_ = np.zeros(len(y), dtype=np.int64), [], np.array([True])
+        value = np.array([(w * r).sum() / max(w.sum(), 1.0)])
+        for _ in range(depth):
+            size = len(open_)
+            best, of, cut = np.zeros(size), np.full(size, -1), np.zeros(size, dtype=np.int64)
+            kids = np.repeat(value, 2)
+            for k, c in enumerate(codes):
+                place = node * BINS + c
+                a, b = (np.bincount(place, x, size * BINS).reshape(size, BINS).cumsum(1) for x in (w, w * r))
+                na, sa, nb, sb = a, b, a[:, -1:] - a, b[:, -1:] - b
+                ok = (na > 0.5) & (nb > 0.5) & open_[:, None]
+                m = np.maximum
+                gain = np.where(ok, sa * sa / m(na, 1) + sb * sb / m(nb, 1) - (b[:, -1:] ** 2) / m(a[:, -1:], 1), 0.0)
+                j = gain.argmax(1)
+                i = np.arange(size)
+                won = gain[i, j] > best + 1e-9
+                best, of, cut = np.where(won, gain[i, j], best), np.where(won, k, of), np.where(won, j, cut)
+                kids[0::2] = np.where(won, sa[i, j] / m(na[i, j], 1), kids[0::2])
+                kids[1::2] = np.where(won, sb[i, j] / m(nb[i, j], 1), kids[1::2])
+            tree.append((of, cut, value))
+            k = of[node]
+            node = 2 * node + ((k >= 0) & (codes[np.maximum(k, 0), np.arange(len(y))] > cut[node]))
+            # A node that isn't split goes on as its left child, closed.
+            value, open_ = kids, np.repeat(of >= 0, 2)
+        tree.append((None, None, value))
+        trees.append(tree)
+        f = f + (1.0 if t == 0 else shrink) * value[node]
+    return lambda codes: sum(((1.0 if t == 0 else shrink) * walk(x, codes) for t, x in enumerate(trees)), np.zeros(codes.shape[1]))
+
+
+def area_of(f: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Area under the curve of scores that n rows of class y have each."""
+    _, at = np.unique(f, return_inverse=True)
+    up, down = (np.bincount(at, np.where(y == k, n, 0)) for k in (True, False))
+    if not up.sum() or not down.sum():
+        return 0.5
+    return float((up * (down.cumsum() - down / 2)).sum() / (up.sum() * down.sum()))
+
+
+def cell_area(df: DataFrame, use: list[str], rounds: int = 20, depth: int = 3, shrink: float = 0.1, seed: int = 1) -> float:
+    """Test area of one boosted classifier fitted on the training side's cells().
+    Rows are counted where they lie; only the cells meet, in one task."""
+    def fit(batches):
+        got = list(batches)
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        x = np.array([t[c].to_numpy() for c in [*use, "_y", "_train", "_n"]], dtype=np.int64).reshape(len(use) + 3, -1)
+        x = x[:, np.lexsort(x)]
+        codes, y, train, n = x[:len(use)], x[-3] > 0, x[-2] > 0, x[-1]
+        known = len(np.unique(y[train])) == 2
+        area = area_of(boost(codes[:, train], y[train], n[train], rounds, depth, shrink, np.random.default_rng(seed))(codes[:, ~train]), y[~train], n[~train]) if known else 0.5
+        yield pa.RecordBatch.from_pydict({"area": [area]})
+
+    found = cells(df, use).repartition(1).mapInArrow(fit, "area double").collect()
+    return found[0]["area"] if found else 0.5
+
+
 def forward_selection(df: DataFrame, features: list[str], label: str, limit: int, folds: int = 3, embargo: int = 5, rounds: int = 20, depth: int = 3) -> list[str]:
     """Features added one by one while they raise the mean test area of the
-    purged folds by 0.001."""
+    purged folds by 0.001. Trees tell rows apart by their bins only, so they are
+    fitted on counts of equal rows; sets of more than CELL_FEATURES features,
+    which have too many cells, on the rows themselves."""
     area = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     pairs = in_folds(df, label, folds, embargo)
+    small = at_once(lambda x: binned(*x, features, label).persist(), pairs)
     chosen: list[str] = []
     best = 0.5
 
     def held_out(x):
-        use, (train, test) = x
+        use, (train, test), bins = x
+        if len(use) <= CELL_FEATURES:
+            return cell_area(bins, use, rounds, depth)
         return area.evaluate(member(train, use, label, 1, rounds, depth).transform(assembled(test, use)))
 
     while len(chosen) < limit and pairs:
         left = [f for f in features if f not in chosen]
-        areas = at_once(held_out, [([*chosen, f], x) for f in left for x in pairs])
+        areas = at_once(held_out, [([*chosen, f], x, b) for f in left for x, b in zip(pairs, small, strict=True)])
         tried = [(sum(areas[i * len(pairs):(i + 1) * len(pairs)]) / len(pairs), f) for i, f in enumerate(left)]
         if not tried or max(tried)[0] < best + 0.001:
             break
         best, f = max(tried)
         chosen.append(f)
+    for x in small:
+        x.unpersist()
     return chosen
 
 

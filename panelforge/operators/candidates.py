@@ -3,6 +3,9 @@ alphas of the factory that the daily set doesn't have. Every column is causal.""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,6 +63,58 @@ def generate(df: DataFrame, columns: list[str], least: int = 30) -> tuple[DataFr
     return enough(df, least).withColumns(made), list(made)
 
 
+def _made(x: np.ndarray) -> dict[str, np.ndarray]:
+    """transforms() of every column of a symbol's rows in time order, by the end
+    of their names; missing is NaN. Windows are walked row offset by row offset
+    for all columns at once."""
+    rows, most = len(x), max(*ROLLS, *LAGS, *STEPS)
+    far = np.vstack([np.full((most, x.shape[1]), np.nan), x])
+    back = lambda n: far[most - n:most - n + rows]
+    out = {f"lag{n}": back(n) for n in LAGS} | {f"diff{n}": x - back(n) for n in STEPS}
+    # Windows hold 255 rows at most, so counts fit a byte; mean and squares are
+    # carried on value by value, without cancellation.
+    known, below, same = (np.zeros(x.shape, dtype=np.uint8) for _ in range(3))
+    mean, squares = np.zeros(x.shape), np.zeros(x.shape)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for j in range(max(ROLLS)):
+            v, n = back(j), j + 1
+            is_known = v == v
+            known += is_known.view(np.uint8)
+            below += (v < x).view(np.uint8)
+            same += (v == x).view(np.uint8)
+            d = v - mean
+            np.copyto(d, 0.0, where=~is_known)
+            step = d / np.maximum(known, 1)
+            mean += step
+            squares += d * (d - step)
+            if n in ROLLS:
+                ok = known >= max(3, n // 4)
+                out |= {f"rmean{n}": np.where(ok, mean, np.nan), f"rstd{n}": np.where(ok, np.sqrt(squares / (known - 1.0)), np.nan),
+                        f"rrank{n}": np.where(ok & (x == x), (below + (same + 1.0) / 2) / known, np.nan)}
+    return out
+
+
+def summaries(df: DataFrame, columns: list[str], plain: list[str] = (), least: int = 30) -> DataFrame:
+    """feature, n, total: number and sum of the known values of every transform
+    of the columns, and of the plain columns, over the rows that generate()
+    keeps. A symbol's transforms are made and summed in one grouped call, so the
+    wide rows are nowhere written out."""
+    names, plain = list(columns), list(plain)
+
+    def run(t: pa.Table) -> pa.Table:
+        if t.num_rows < least:
+            return pa.table({"feature": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
+        t = t.take(pc.sort_indices(t, [("ts", "ascending")]))
+        x = np.column_stack([t[c].to_numpy() for c in [*names, *plain]])
+        parts = {k: v for k, v in _made(x[:, :len(names)]).items()}
+        found = [([f"{c}_{k}" for c in names], v) for k, v in parts.items()] + [(plain, x[:, len(names):])]
+        return pa.table({"feature": [f for fs, _ in found for f in fs], "n": np.concatenate([(v == v).sum(0) for _, v in found]),
+                         "total": np.concatenate([np.nansum(v, 0) for _, v in found])})
+
+    wide = df.select("symbol", "ts", *[C(c).cast("double").alias(c) for c in [*names, *plain]])
+    return wide.groupBy("symbol").applyInArrow(run, "feature string, n long, total double").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
+
+
 def _running_scale(x):
     """x over the sum of its absolute values so far: the scale over the whole
     series would know the future."""
@@ -77,10 +132,11 @@ def alphas(df: DataFrame) -> DataFrame:
     d = df.withColumns({"_vol": F.coalesce(C("volume").cast("double"), F.lit(0.0)), "_ret": w.pct_change(c), "_under": (h + low + c) / 3 - c,
                         "_d7": w.delta(c, 7), "_fall7": -w.delta(c, 7), "_low5": w.low(low, 5, 3), "_ratio": 1 - div(h - c, c - low)})
     d = d.withColumns({"_pow": F.signum(ret) * ret * ret, "_adv": w.mean(v, 20, 5), "_top3": w.high(C("_under"), 3, 3), "_least3": w.low(C("_under"), 3, 3), "_vol3": w.delta(v, 3),
-                       "_ret3": w.delta(ret, 3), "_sd2": w.std(ret, 2, 2), "_co5": w.corr(c, o, 5), "_y": w.total(ret, 240, 50), "_m": w.total(ret, 20, 5), "_t10": w.total(ret, 10, 3),
+                       "_ret3": w.delta(ret, 3), "_sd2": w.std(ret, 2, 2), "_co5": w.corr(c, o, 5), "_m": w.total(ret, 20, 5), "_t10": w.total(ret, 10, 3),
                        "_t2": w.total(ret, 2, 1), "_flow": ret * c * v, "_abs7": F.abs(C("_d7"))})
-    d = d.withColumns({"_t23": w.total(C("_t2"), 3, 1), "_busy": div(v, C("_adv")), "_gain": div(C("_y") - C("_m"), C("_m")), "_al5": w.corr(C("_adv"), low, 5)})
-    d = d.withColumn("_burst", div(C("_t10"), C("_t23")))
+    d = d.withColumns({"_t23": w.total(C("_t2"), 3, 1), "_busy": div(v, C("_adv")), "_al5": w.corr(C("_adv"), low, 5)})
+    d = w.recursive(d, {"_y": ("total", "_ret", 240, 50), "_c100": ("mean", "close", 100, 50), "_rank7": ("ts_rank", "_abs7", 60, 30), "_rbusy": ("ts_rank", "_busy", 20, 10), "_rfall": ("ts_rank", "_fall7", 8, 4)})
+    d = d.withColumns({"_burst": div(C("_t10"), C("_t23")), "_gain": div(C("_y") - C("_m"), C("_m"))})
     d = w.recursive(d, {f"r_{k}": ("rank", k, 60) for k in ("high", "_vol", "_top3", "_least3", "_vol3", "_ret3", "_sd2", "_co5", "_gain", "_burst", "_flow")})
     d = d.withColumns({"_c15": w.corr(C("r_high"), C("r__vol"), 3, 3), "_x34": (1 - C("r__sd2")) + (1 - C("r__co5"))})
     d = w.recursive(d, {"r2_c15": ("rank", "_c15", 60), "r2_x34": ("rank", "_x34", 60)})
@@ -89,9 +145,9 @@ def alphas(df: DataFrame) -> DataFrame:
     back = (w.delay(c, 20) - w.delay(c, 30)) / 10
     return d.withColumns({
         "f1": F.when(F.count("_pow").over(w.roll(5)) >= 3, (F.array_position(place, F.array_max(place)) - 1) / (F.size(place) - 1) - 0.5),
-        "f7": F.when(C("_adv") < v, -w.ts_rank(C("_abs7"), 60) * F.signum(C("_d7"))).otherwise(-1.0), "f11": C("r__top3") + C("r__least3") * C("r__vol3"),
-        "f14": -C("r__ret3") * w.corr(o, v, 10), "f15": -w.total(C("r2_c15"), 3, 1), "f24": div(w.mean(c, 100, 50), w.delay(c, 100)) - 1,
-        "f28": _running_scale(C("_al5")) + _running_scale(c - o), "f34": C("r2_x34"), "f43": w.ts_rank(C("_busy"), 20) * w.ts_rank(C("_fall7"), 8, 4),
+        "f7": F.when(C("_adv") < v, -C("_rank7") * F.signum(C("_d7"))).otherwise(-1.0), "f11": C("r__top3") + C("r__least3") * C("r__vol3"),
+        "f14": -C("r__ret3") * w.corr(o, v, 10), "f15": -w.total(C("r2_c15"), 3, 1), "f24": div(C("_c100"), w.delay(c, 100)) - 1,
+        "f28": _running_scale(C("_al5")) + _running_scale(c - o), "f34": C("r2_x34"), "f43": C("_rbusy") * C("_rfall"),
         "f46": F.when(bend > 0.25, -1.0).otherwise(1.0), "f49": F.when(back > 0.1, -1.0).otherwise(-w.delta(c)), "f51": F.when(back > 0.05, -1.0).otherwise(-w.delta(c)),
         "f52": (w.delay(C("_low5"), 5) - C("_low5")) * C("r__gain"), "f53": -w.delta(C("_ratio"), 9), "f54": div(-(low - c) * o ** 5, (low - h) * c ** 5),
         "f56": -(C("r__burst") * C("r__flow")), "f101": (c - o) / (h - low + 0.001),

@@ -202,8 +202,10 @@ def grouped(df: DataFrame, names: list[str], need: list[str], kernel, symbol: st
 
 def recursive(df: DataFrame, specs: dict[str, tuple], symbol: str = "symbol", ts: str = "ts") -> DataFrame:
     """df with columns that need the row before them. specs: name ->
-    ("ewm", column, alpha, least values) or ("rank", column, least values), the
-    expanding average-tie percentile rank. All columns of a symbol in one
+    ("ewm", column, alpha, least values), ("rank", column, least values), the
+    expanding average-tie percentile rank, or a rolling ("total" | "mean" |
+    "ts_rank", column, rows, least values), for wide windows, in which the
+    built-in frames cost many times as much. All columns of a symbol in one
     grouped call; a group is one symbol's history."""
     def kernel(p: pd.DataFrame) -> dict:
         out = {}
@@ -211,6 +213,8 @@ def recursive(df: DataFrame, specs: dict[str, tuple], symbol: str = "symbol", ts
             x = p[spec[1]]
             if spec[0] == "ewm":
                 out[name] = x.ewm(alpha=spec[2], adjust=False, min_periods=spec[3]).mean()
+            elif spec[0] in ("total", "mean", "ts_rank"):
+                out[name] = rolled(x.to_numpy(), *spec[2:], spec[0])
             else:
                 out[name] = expanding_rank(x.to_numpy(), spec[2])
         return out
@@ -218,28 +222,47 @@ def recursive(df: DataFrame, specs: dict[str, tuple], symbol: str = "symbol", ts
     return grouped(df, list(specs), sorted({s[1] for s in specs.values()}), kernel, symbol, ts)
 
 
+#: Rows whose windows rolled() has open at once.
+ROLL_BLOCK = 1024
+
+
+def rolled(x: np.ndarray, n: int, least: int, kind: str) -> np.ndarray:
+    """Total, mean or percentile rank over the last n rows, of known values."""
+    far, out = np.concatenate([np.full(n - 1, np.nan), x]), np.full(len(x), np.nan)
+    for a in range(0, len(x), ROLL_BLOCK):
+        here = x[a:a + ROLL_BLOCK]
+        v = np.lib.stride_tricks.sliding_window_view(far[a:a + len(here) + n - 1], n)
+        known = v == v
+        k = known.sum(1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            if kind == "ts_rank":
+                y = ((v < here[:, None]).sum(1) + ((v == here[:, None]).sum(1) + 1) / 2) / k
+                y[here != here] = np.nan
+            else:
+                y = np.where(known, v, 0.0).sum(1)
+                y = y / k if kind == "mean" else y
+        out[a:a + ROLL_BLOCK] = np.where(k >= least, y, np.nan)
+    return out
+
+
+#: Values that expanding_rank() compares with one another at once.
+RANK_BLOCK = 256
+
+
 def expanding_rank(x: np.ndarray, least: int) -> np.ndarray:
-    """Average-tie percentile rank of each value among those so far, by a
-    Fenwick tree over the sorted values."""
-    ok = ~np.isnan(x)
-    values = np.unique(x[ok])
-    at = np.searchsorted(values, x)
-    tree, out, seen = np.zeros(len(values) + 1), np.full(len(x), np.nan), 0
-    count = np.zeros(len(values))
-    for i in np.flatnonzero(ok):
-        k = int(at[i])
-        count[k] += 1
-        seen += 1
-        j = k + 1
-        while j <= len(values):
-            tree[j] += 1
-            j += j & -j
-        j, below = k, 0.0
-        while j > 0:
-            below += tree[j]
-            j -= j & -j
-        if seen >= least:
-            out[i] = (below + (count[k] + 1) / 2) / seen
+    """Average-tie percentile rank of each value among those so far: by search in
+    the sorted values of the blocks before, by comparison within its block."""
+    ok = np.flatnonzero(~np.isnan(x))
+    v, out, past = x[ok], np.full(len(x), np.nan), np.empty(0)
+    for a in range(0, len(v), RANK_BLOCK):
+        b = v[a:a + RANK_BLOCK]
+        lo, hi = np.searchsorted(past, b, "left"), np.searchsorted(past, b, "right")
+        earlier = np.tri(len(b), dtype=bool)
+        below = lo + ((b[None, :] < b[:, None]) & earlier).sum(1)
+        same = hi - lo + ((b[None, :] == b[:, None]) & earlier).sum(1)
+        out[ok[a:a + RANK_BLOCK]] = (below + (same + 1) / 2) / np.arange(a + 1, a + len(b) + 1)
+        past = np.sort(np.concatenate([past, b]), kind="stable")
+    out[ok[:least - 1]] = np.nan
     return out
 
 

@@ -50,19 +50,22 @@ from pyspark.sql import functions as F
 from .common import block_of, cut, dealt, drop, mix, n_blocks, pick, slices, span_hashes, text_buffer, text_bytes, tidied
 
 MER = 28
-#: Windows of one string at most.
-RUN = 64
+#: Windows of one string at most, and whose hashes are made at one time.
+RUN, PART = 64, 1 << 14
 #: Bytes of a column's file that stay in memory, and entries read at a time.
 SPOOL, CHUNK = 1 << 22, 1 << 19
-#: Strings of one collection build, about.
-STRINGS = 4096
+#: Strings of one collection build, about, and how far their collections' longest
+#: ones lie apart.
+STRINGS, SPREAD = 1024, 16
 
 
 def window_minima(buf: np.ndarray, length: int) -> np.ndarray:
     """For every start of a window of `length` bytes, the least hash of its
     substrings of MER bytes (of all its bytes if it is shorter)."""
-    n, mer = len(buf) - length + 1, min(MER, length)
-    if n <= 0:
+    n, mer = max(len(buf) - length + 1, 0), min(MER, length)
+    if n > PART:  # intermediates stay in a core's cache
+        return np.concatenate([window_minima(buf[a:a + PART + length - 1], length) for a in range(0, n, PART)])
+    if not n:
         return np.zeros(0, np.uint64)
     pad = np.concatenate([buf, np.zeros(8, np.uint8)])
     x = np.ndarray((len(buf),), "<u8", pad, 0, (1,)).astype(np.uint64)
@@ -240,12 +243,13 @@ class ColumnBWT:
             b = int(np.searchsorted(place, done + n)) if done + n < total else len(place)
             begin = done + a
             stays = np.ones(n + b - a, bool)
-            stays[at[a:b] - begin] = False
+            new = at[a:b] - begin
+            stays[new] = False
             fix = slice(*np.searchsorted(where, [begin, begin + len(stays)]))
             for i, (c, x) in enumerate(zip(out, old, strict=True)):
                 y = np.empty(len(stays), x.dtype)
                 y[stays] = x
-                y[~stays] = fresh[i][a:b]
+                y[new] = fresh[i][a:b]
                 if i == 1:
                     y[where[fix] - begin] = value[fix]
                 c.write(y)
@@ -301,6 +305,19 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray
     return out
 
 
+def _builds(size: np.ndarray, longest: np.ndarray):
+    """(first, last + 1) of the collections of each build, in the order of their
+    longest strings: STRINGS members or lengths SPREAD apart end a build."""
+    a = members = 0
+    for i, n in enumerate(size.tolist()):
+        if members >= STRINGS or longest[i] > longest[a] + SPREAD:
+            yield a, i
+            a, members = i, 0
+        members += n
+    if len(size):
+        yield a, len(size)
+
+
 def _pack(values: np.ndarray) -> bytes:
     """The upper five bytes of each value."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
@@ -455,20 +472,21 @@ def _answers(strings: DataFrame, buckets: int, length: int) -> DataFrame:
         alone = np.repeat(size == 1, size)
         sid = [np.flatnonzero(alone)]
         lo, hi, best = [np.zeros(len(sid[0]), np.int64)], [lens[first[sid[0]]] - length + 1], [mdoc[sid[0]]]
-        rest = np.flatnonzero(~alone)
-        edges = np.searchsorted(rest, group)
-        start = 0
-        for e in [*edges[1:], len(rest)]:  # whole collections, about STRINGS members a build
-            if e - start >= STRINGS or (e == len(rest) and e > start):
-                r = first[rest[start:e]]
-                n = lens[r]
-                flat = np.repeat(off[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                s, a, b, d = first_documents(data[flat], np.concatenate([[0], np.cumsum(n)]), doc[r], length)
-                sid.append(rest[start:e][s])
-                lo.append(a)
-                hi.append(b)
-                best.append(d)
-                start = e
+        # Whole collections by their longest member, about STRINGS members a
+        # build: rounds are as many as the longest string and read all columns.
+        group, size, longest = group[size > 1], size[size > 1], np.maximum.reduceat(lens[first], group)[size > 1]
+        o2 = np.argsort(longest, kind="stable")
+        group, size, longest = group[o2], size[o2], longest[o2]
+        for a, e in _builds(size, longest):
+            mine = np.repeat(group[a:e] - (np.cumsum(size[a:e]) - size[a:e]), size[a:e]) + np.arange(size[a:e].sum())
+            r = first[mine]
+            n = lens[r]
+            flat = np.repeat(off[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            s, w, b, d = first_documents(data[flat], np.concatenate([[0], np.cumsum(n)]), doc[r], length)
+            sid.append(mine[s])
+            lo.append(w)
+            hi.append(b)
+            best.append(d)
         sid, lo, hi, best = map(np.concatenate, (sid, lo, hi, best))
         o2 = np.argsort(sid, kind="stable")
         sid, lo, hi, best = sid[o2], lo[o2], hi[o2], best[o2]

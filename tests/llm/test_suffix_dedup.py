@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelforge.llm import suffix_dedup as sd
@@ -113,6 +114,58 @@ def test_columns_are_never_in_memory(monkeypatch):
     assert few < 2_000_000 and few < 0.3 * peak(1 << 30, 1 << 30)
 
 
+class _Function:
+    """Stands for a DataFrame and gives the function that its groups would go to."""
+
+    repartition = groupBy = lambda self, *a: self
+
+    def applyInArrow(self, run, schema):
+        return run
+
+
+def test_a_long_string_costs_other_collections_no_rounds(monkeypatch):
+    """Collections of short strings aren't built along with long ones, whose
+    rounds would read all columns; answers are those of a brute-force version."""
+    r = random.Random(4)
+    groups = []
+    for k in range(40):
+        core = bytes(r.choice(b"abcdefgh") for _ in range(111 if k in (7, 20) else 50))
+        groups.append([core, core + b"x", b"y" + core])
+    strings = [(v, x) for v, g in enumerate(groups) for x in g]
+    r.shuffle(strings)
+    doc = r.sample(range(1000), len(strings))
+    t = pa.table({"bucket": pa.array([0], pa.int32()), "_pf_blk": pa.array([3], pa.int32()),
+                  "vals": [np.array([v for v, _ in strings], "<u8").tobytes()], "docs": [np.array(doc, "<i8").tobytes()],
+                  "lens": [np.array([len(x) | 128 for _, x in strings], np.uint8).tobytes()], "data": [b"".join(x for _, x in strings)]})
+    builds, plain = [], sd.first_documents
+    monkeypatch.setattr(sd, "first_documents", lambda data, off, *a: builds.append(np.diff(off)) or plain(data, off, *a))
+    out = sd._answers(_Function(), 1, 50)(t).to_pylist()
+    assert sorted(n for b in builds for n in b.tolist()) == sorted(len(x) for _, x in strings)
+    assert all(b.max() < 60 or b.min() > 100 for b in builds)
+    first = {}
+    for (_, x), d in zip(strings, doc, strict=True):
+        for p in range(len(x) - 49):
+            first[x[p:p + 50]] = min(d, first.get(x[p:p + 50], d))
+    data = np.frombuffer(b"".join(x for _, x in strings), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(x) for _, x in strings])])
+    keys = sd.span_hashes(data, off[:-1], off[1:]) ^ np.array([v for v, _ in strings], np.uint64)
+    where = {int(k): x for k, (_, x) in zip(keys, strings, strict=True)}
+    got = {}
+    for row in out:
+        for k, a, b, d in zip(np.frombuffer(row["key"], "<u8").tolist(), row["lo"], row["hi"], np.frombuffer(row["doc"], "<i8").tolist(), strict=True):
+            got |= {(k, p): d for p in range(a, b)}
+    assert got == {(k, p): first[x[p:p + 50]] for k, x in where.items() for p in range(len(x) - 49)}
+
+
+@pytest.mark.parametrize("length", [16, 20, 50, 64])
+def test_minima_in_parts(monkeypatch, length):
+    buf = np.random.default_rng(3).integers(97, 101, 3000).astype(np.uint8)
+    whole = sd.window_minima(buf, length)
+    monkeypatch.setattr(sd, "PART", 100)
+    for n in (0, length - 1, length, 99 + length, 100 + length, 3000):
+        assert sd.window_minima(buf[:n], length).tolist() == whole[:max(n - length + 1, 0)].tolist()
+
+
 def test_equal_hashes_are_not_equal_strings():
     data = np.frombuffer(b"abcdabcxabcd", np.uint8)
     assert sd._same_bytes(data, np.array([0, 0, 4]), np.array([4, 8, 8]), np.array([4, 4, 3])).tolist() == [False, True, True]

@@ -320,7 +320,7 @@ _PLAIN = ["open", "high", "low", "close", "volume", "range_pct", "body", "gap_pc
 def m24_factory(spark, sf):
     """All 14 transforms of the 32 base columns and the 17 alphas of the factory
     over daily bars; count and mean of each of the 465."""
-    d = cand.summaries(cand.base(cand.alphas(bars.supplier_days(spark, sf))), list(cand.BASE), [f"f{i}" for i in cand.ALPHAS])
+    d = cand.factory(bars.supplier_days(spark, sf, "symbol"))
     return d.select("feature", "n", *rd(mean=C("total") / C("n")))
 
 
